@@ -159,7 +159,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int =
         groups = sorted({min(dim, g) for g in (16, 32, dim)})
         plan[dim] = (rotation(raws), groups, math.ceil(count / block))
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         dim, i, j = (k.as_py() for k in key)
         basis, groups, _ = plan[dim]
         own = np.asarray(table.column("block"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-RANGE_BYTES, SHARD, FANOUT = 1 << 18, 512, 16
+RANGE_BYTES, SHARD, FANOUT = 1 << 18, 512, 64
 
 
 def record() -> Column:
@@ -68,10 +68,10 @@ def _over(rows: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x[value]), ","), 256).alias("hash"))
 
 
-def tree(rows: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from ranges (shard, range, hash) over shards (node, hash) to the root."""
-    ranges = _over(rows, ["shard", "range"], ["page_id", "nth"], "sha256")
-    level = _over(ranges, ["shard"], ["range"], "hash").withColumnRenamed("shard", "node")
+def tree(scratch: Scratch, rows: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """Levels from ranges (shard, range, hash) over shards (node, hash) to the root; the two large ones are written."""
+    ranges = scratch.table(_over(rows, ["shard", "range"], ["page_id", "nth"], "sha256"))
+    level = scratch.table(_over(ranges, ["shard"], ["range"], "hash").withColumnRenamed("shard", "node"))
     levels = [ranges, level]
     for _ in range(height):
         level = _over(level.withColumn("up", F.floor(F.col("node") / fanout)), ["up"], ["node"], "hash").withColumnRenamed("up", "node")
@@ -79,12 +79,12 @@ def tree(rows: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
     return levels
 
 
-def differing(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+def differing(scratch: Scratch, left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """(shard, range) of the ranges that differ, reached from the root through differing nodes only."""
 
     def apart(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         both = a.withColumnRenamed("hash", "h1").join(b.withColumnRenamed("hash", "h2"), keys, "full")
-        return both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select(*keys)
+        return scratch.table(both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select(*keys))
 
     bad = apart(left[-1], right[-1], ["node"])
     for a, b in list(zip(left, right, strict=True))[-2:0:-1]:
@@ -112,7 +112,7 @@ def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BY
         lo, hi, height = lo // fanout, hi // fanout, height + 1
         if (lo, hi) == (-1, 0):  # floors of either sign never meet
             break
-    bad = scratch.table(differing(tree(left, height, fanout), tree(right, height, fanout), fanout))
+    bad = differing(scratch, tree(scratch, left, height, fanout), tree(scratch, right, height, fanout), fanout)
     place, key = ["shard", "range"], ["shard", "range", "page_id", "nth"]
     ours = left.join(bad, place, "left_semi").select(*key, F.col("sha256").alias("ours"), F.col("n_bytes").alias("ours_bytes"))
     theirs = right.join(bad, place, "left_semi").select(*key, F.col("sha256").alias("theirs"), F.col("n_bytes").alias("their_bytes"))

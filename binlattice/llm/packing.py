@@ -82,7 +82,7 @@ def best_fit(docs: DataFrame, *, lengths: tuple[int, ...] = LENGTHS, overhead: i
     sized = tokens(docs, tokenizer).where("n > 0")
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         copies: dict[int | None, int] = {}
         pieces = []
         for doc, n in sorted(zip(table.column("doc_id").to_pylist(), table.column("n").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
