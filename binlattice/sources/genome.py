@@ -34,8 +34,8 @@ def gc(bins: DataFrame, sequences: DataFrame, mapped_only: bool = True) -> DataF
 def gene_coverage(bins: DataFrame, genes: DataFrame, binsize: int) -> DataFrame:
     """Gene base pairs in each bin; genes are joined by the bins they touch."""
     k = F.explode(F.sequence(F.floor(F.col("gs") / binsize), F.floor((F.col("ge") - 1) / binsize)))
-    touched = genes.select("chrom", F.col("start").alias("gs"), F.col("end").alias("ge")).where("ge > gs").withColumn("start", k * binsize)
-    met = bins.join(touched, ["chrom", "start"], "left")
+    touched = genes.select("chrom", F.col("start").alias("gs"), F.col("end").alias("ge")).where("ge > gs").withColumn("k", k).withColumn("start", F.col("k") * binsize)
+    met = bins.join(touched.drop("k"), ["chrom", "start"], "left")
     inside = F.least("end", "ge") - F.greatest("start", "gs")
     return met.groupBy("chrom", "start", "end").agg(F.coalesce(F.sum(F.greatest(inside, F.lit(0))), F.lit(0)).alias("covered"))
 
