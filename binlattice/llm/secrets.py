@@ -85,7 +85,8 @@ def built_in(count: int = FILL, seed: int = 7) -> list[tuple[str, int]]:
 
 def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, int]]:
     """Labelled tokens of a bounded sample of documents; at most 50 a document and label."""
-    rows = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
