@@ -155,7 +155,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int =
     sizes = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}
     plan = {}
     for dim, count in sizes.items():
-        raws = [bytes(r.raw) for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(fit).select("raw").collect()]
+        picked = classes.where(F.col("dim") == dim).select("id").orderBy(F.xxhash64("id"), "id").limit(fit)
+        raws = [bytes(r.raw) for r in classes.join(F.broadcast(picked), "id", "left_semi").orderBy("id").select("raw").collect()]
         groups = sorted({min(dim, g) for g in (16, 32, dim)})
         plan[dim] = (rotation(raws), groups, math.ceil(count / block))
 
