@@ -6,8 +6,8 @@ pattern matches is a secret where the mean log-likelihood ratio of its
 transitions reaches ``ratio``.
 
 Samples for the query: of the ``sample_docs`` documents with the least hash of
-their doc_id, values that a pattern matched are label 1 and other tokens label
-0, and seeded random strings fill label 1 up, so a corpus without secrets trains
+their doc_id, values that a pattern matched are label 1 and other tokens of at
+most two digits label 0, so that a missed secret isn't learned as ordinary, and seeded random strings fill label 1 up, so a corpus without secrets trains
 too. Everything is scanned whole. Null texts are empty; an empty sample leaves
 only the built-in strings and identifiers.
 """
@@ -99,7 +99,7 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str,
                     labels.append(1)
                 for a, _, b in spans:
                     masked[a:b] = " " * (b - a)
-                plain = ORDINARY.findall("".join(masked))[:50]
+                plain = [t for t in ORDINARY.findall("".join(masked)) if sum(map(str.isdigit, t)) <= 2][:50]
                 tokens += plain
                 labels += [0] * len(plain)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(labels, pa.int32())], ["token", "label"])
