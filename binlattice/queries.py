@@ -447,7 +447,7 @@ u AS (SELECT *, sum(n) OVER (PARTITION BY k, lbin ORDER BY cnt ROWS BETWEEN CURR
 w AS (SELECT *, max(0.1e0 * rcs - u) OVER (PARTITION BY k, lbin ORDER BY cnt) AS best, least(min(u / nullif(rcs, 0)) OVER (PARTITION BY k, lbin ORDER BY cnt), 1) AS q FROM u)
 SELECT k AS kernel, lbin, cnt AS n_contacts, coalesce(min(CASE WHEN best >= 0 THEN cnt END) OVER (PARTITION BY k, lbin), max(cnt) OVER (PARTITION BY k, lbin) + 1) AS threshold, round(q, 6) AS qval FROM w""" % ", ".join(f"{v!r}e0" for v in _E12), ("cis", "band"))
 def _(spark, d):
-    limits = dots.thresholds(_hist(maps.hour_map(spark, d)), _E12, 0.1)
+    limits = dots.thresholds(_hist(maps.hour_map(spark, d)).persist(), _E12, 0.1)
     return rounded(limits.withColumnRenamed("count", "n_contacts"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,11 +16,12 @@ def binnify(chromsizes: DataFrame, binsize: int) -> DataFrame:
 
 def digest(sequences: DataFrame, site: str, cut: int) -> DataFrame:
     """Fragments (chrom, start, end) of (chrom, seq): cuts lie cut letters into each occurrence of a site."""
-    parts = F.split(F.upper("seq"), site)
-    ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda a, s: a + F.length(s)) + (i - 1) * len(site) + F.when(i < F.size("parts"), F.lit(cut)).otherwise(0))
-    rows = sequences.select("chrom", parts.alias("parts")).select("chrom", F.posexplode(ends).alias("k", "end"), ends.alias("ends"))
-    start = F.when(F.col("k") == 0, 0).otherwise(F.expr("ends[k - 1]"))
-    return rows.select("chrom", start.cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("end > start")
+    rows = sequences.select("chrom", F.posexplode(F.split(F.upper("seq"), site)).alias("k", "part"))
+    w = W.partitionBy("chrom").orderBy("k")
+    last = F.lead("k").over(w).isNull()
+    end = F.sum(F.length("part")).over(w) + F.col("k") * len(site) + F.when(last, 0).otherwise(cut)
+    cuts = rows.select("chrom", "k", end.cast("long").alias("end"))
+    return cuts.select("chrom", F.coalesce(F.lag("end").over(w), F.lit(0)).cast("long").alias("start"), "end").where("end > start")
 
 
 def gc(bins: DataFrame, sequences: DataFrame, mapped_only: bool = True) -> DataFrame:
