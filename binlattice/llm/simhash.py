@@ -28,7 +28,7 @@ from . import text as tx
 from .shared import Scratch, components, without
 
 SEED = 42
-SMALL = 8
+SMALL = 24
 DIRECT = 2048
 BLOCK = 1 << 16
 
