@@ -125,6 +125,22 @@ def forest(x: np.ndarray, limit: int, cut: bool = True) -> list[tuple[np.ndarray
     return out
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, node), one for each node but the roots, that connect what the edges (a, b) connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[rest]], nodes[rest]
+
+
 def links(batches, limit: int):
     """Edges among fingerprints that share a key; the rows come sorted by key and fingerprint."""
     key, fp = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
@@ -139,9 +155,8 @@ def links(batches, limit: int):
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         for i in np.flatnonzero(np.diff(bounds) > SMALL):
             edges += forest(np.unique(fp[bounds[i] : bounds[i + 1]]), limit)
-        a, b = (np.concatenate(e) for e in zip(*edges, strict=True))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
+        a, b = spanning(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
