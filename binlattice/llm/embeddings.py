@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, components
 
 BLOCK, TILE, FIT, SLACK = 4096, 512, 4096, 1e-4
+BLOCK_BYTES, SPREAD = 16 << 20, 32
 
 
 def _classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +54,12 @@ def _classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     return scratch.table(rows.select("vec_id", "key")), classes
 
 
+def block_count(count: int, dim: int, block: int) -> int:
+    """How many blocks: of ``block`` vectors up to SPREAD of them, then of up to BLOCK_BYTES, as each vector is sent once a block."""
+    largest = max(block, BLOCK_BYTES // (8 * dim))
+    return max(math.ceil(count / largest), min(math.ceil(count / block), SPREAD))
+
+
 def rotation(raws: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(r, dtype="<f8") for r in raws])
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -158,7 +165,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int =
         picked = classes.where(F.col("dim") == dim).select("id").orderBy(F.xxhash64("id"), "id").limit(fit)
         raws = [bytes(r.raw) for r in classes.join(F.broadcast(picked), "id", "left_semi").orderBy("id").select("raw").collect()]
         groups = sorted({min(dim, g) for g in (16, 32, dim)})
-        plan[dim] = (rotation(raws), groups, math.ceil(count / block))
+        plan[dim] = (rotation(raws), groups, block_count(count, dim, block))
 
     def compare(key, table):
         dim, i, j = (k.as_py() for k in key)

@@ -218,6 +218,11 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where(f"vec_id between {k} and {k + 5}")).where("n_links > 0").count() == 0
 
 
+def test_embedding_blocks_are_bounded():
+    assert [embeddings.block_count(n, 64, 4096) for n in (0, 1, 4097, 131072, 1 << 20, 1 << 30)] == [0, 1, 2, 32, 32, 1 << 15]
+    assert embeddings.block_count(1 << 20, 4096, 4096) == 256
+
+
 def test_secrets(spark):
     key = "AKIA" + "Q7" * 8
     texts = [None, "", f'password = "hunter22222" and {key}', "token:key secret=short7", "é" * 10 + "token: " + "0123456789abcdef" * 3, "plain identifiers getUserNameFromRequest here", "api-key: x apikey=abcdefghi API_KEY='" + "Zk3" * 9, "blob q8Zt1Vx0LpR7mNs4KdW2yBfH9 end"]
