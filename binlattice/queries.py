@@ -645,7 +645,7 @@ def _(spark, d):
     return rounded(genome.gc(bins, seqs).select("chrom", F.col("start").alias("start_bp"), F.col("end").alias("end_bp"), "gc"))
 
 
-@plain("gene_coverage", f"WITH {_SIZES}, b AS (SELECT chrom, k * 250 AS s, least((k + 1) * 250, length) AS t FROM (SELECT chrom, length, unnest(range(0, CAST(ceil(length / 250.0e0) AS BIGINT))) AS k FROM sz) u), g AS (SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS chrom, c_custkey * 13 % 900 AS s, c_custkey * 13 % 900 + c_custkey % 400 AS t FROM customer) SELECT b.chrom, CAST(b.s AS BIGINT) AS start_bp, CAST(coalesce(sum(greatest(least(b.t, g.t) - greatest(b.s, g.s), 0)), 0) AS BIGINT) AS covered FROM b LEFT JOIN g ON g.chrom = b.chrom AND g.s < b.t AND g.t > b.s GROUP BY 1, 2")
+@plain("gene_coverage", f"WITH {_SIZES}, b AS (SELECT chrom, k * 250 AS s, least((k + 1) * 250, length) AS t FROM (SELECT chrom, length, unnest(range(0, CAST(ceil(length / 250.0e0) AS BIGINT))) AS k FROM sz) u), g AS (SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS chrom, c_custkey * 13 % 900 AS s, c_custkey * 13 % 900 + c_custkey % 400 AS t FROM customer) SELECT b.chrom, CAST(b.s AS BIGINT) AS start_bp, CAST(coalesce(sum(CASE WHEN g.s IS NOT NULL THEN greatest(least(b.t, g.t) - greatest(b.s, g.s), 0) END), 0) AS BIGINT) AS covered FROM b LEFT JOIN g ON g.chrom = b.chrom AND g.s < b.t AND g.t > b.s GROUP BY 1, 2")
 def _(spark, d):
     s = F.col("c_custkey") * 13 % 900
     genes = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("chrom"), s.alias("start"), (s + F.col("c_custkey") % 400).alias("end"))

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Recognition sites of common restriction enzymes, the cut marked by ^
+SITES = {"BglII": "A^GATCT", "DpnII": "^GATC", "EcoRI": "G^AATTC", "HindIII": "A^AGCTT", "MboI": "^GATC", "NcoI": "C^CATGG"}
+
+
+def site_of(enzyme: str) -> tuple[str, int]:
+    """Letters and cut of an enzyme's name, or of a site with its cut marked by ^."""
+    marked = SITES.get(enzyme, enzyme)
+    if not re.fullmatch("[ACGT]*\\^[ACGT]*", marked) or len(marked) < 2:
+        raise ValueError(f"neither a known enzyme nor a site like A^AGCTT: {enzyme}")
+    return marked.replace("^", ""), marked.index("^")
+
+
 def binnify(chromsizes: DataFrame, binsize: int) -> DataFrame:
     """Fixed-size bins of (chrom, length); the last one of a chromosome may be short."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / binsize) - 1))
@@ -38,10 +52,49 @@ def gene_coverage(bins: DataFrame, genes: DataFrame, binsize: int) -> DataFrame:
     k = F.explode(F.sequence(F.floor(F.col("gs") / binsize), F.floor((F.col("ge") - 1) / binsize)))
     touched = genes.select("chrom", F.col("start").alias("gs"), F.col("end").alias("ge")).where("ge > gs").withColumn("k", k).withColumn("start", F.col("k") * binsize)
     met = bins.join(touched.drop("k"), ["chrom", "start"], "left")
-    inside = F.least("end", "ge") - F.greatest("start", "gs")
+    inside = F.when(F.col("ge").isNotNull(), F.least("end", "ge") - F.greatest("start", "gs"))
     return met.groupBy("chrom", "start", "end").agg(F.coalesce(F.sum(F.greatest(inside, F.lit(0))), F.lit(0)).alias("covered"))
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, seq) of each record; records are split by the reader, so that a task holds one chromosome at a time."""
+    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    head = F.split("value", "\r?\n", 2)
+    return rows.select(F.split(head[0], "\\s")[0].alias("chrom"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), "\\s", "").alias("seq"))
+
+
+def path_and_column(text: str) -> tuple[str, int | str | None]:
+    """PATH, or PATH::NAME, or PATH::NUMBER with columns counted from 1; the column comes back from 0."""
+    path, _, column = text.partition("::")
+    if column.isdigit() and int(column) < 1:
+        raise ValueError("columns count from 1")
+    return path, (int(column) - 1 if column.isdigit() else column) if column else None
+
+
+def has_header(lines: list[str]) -> bool:
+    """Whether the first row is of names: no number in it, in a column where all further rows have one."""
+    def number(x: str) -> bool:
+        return re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|nan", x.strip()) is not None
+
+    rows = [x.split("\t") for x in lines]
+    if len(rows) < 2:
+        return False
+    return any(not number(x) and all(len(r) > k and number(r[k]) for r in rows[1:]) for k, x in enumerate(rows[0]))
+
+
+def read_track(spark: SparkSession, text: str) -> DataFrame:
+    """(chrom, start, end, value) of a tab-separated file, header or not; value is the column after ::, or the fourth."""
+    path, column = path_and_column(text)
+    first = [r.value for r in spark.read.text(path).where("value not like '#%' and value <> ''").limit(11).collect()]
+    rows = spark.read.csv(path, sep="\t", header=has_header(first), comment="#", nullValue="nan")
+    names = rows.columns
+    value = names[column if isinstance(column, int) else 3] if column is None or isinstance(column, int) else column
+    if value not in names:
+        raise ValueError(f"no column {value} in {path}")
+    kinds = (names[0], "chrom", "string"), (names[1], "start", "long"), (names[2], "end", "long"), (value, "value", "double")
+    return rows.select(*(F.col(f"`{n}`").cast(t).alias(a) for n, a, t in kinds))
+
+
 def read_table(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Tab-separated, typed; nan and blanks are null."""
     return spark.read.csv(path, sep="\t", schema=schema, header=header, nullValue="nan", mode="FAILFAST")
