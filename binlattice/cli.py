@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions import arrays
 from .operators import bands, compartments, dots, expected, profiles, rearrange, snip
@@ -34,10 +35,18 @@ def parser() -> argparse.ArgumentParser:
     add("pileup", features={"required": True}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"})
     add("eigs-cis", n_eigs={"type": int, "default": 3})
     add("eigs-trans", n_eigs={"type": int, "default": 3})
-    add("saddle", track={"required": True, "help": "chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"})
+    add("saddle", track={"required": True, "help": "FILE or FILE::COLUMN of chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"})
     add("dots", max_distance={"type": int, "default": 2_000_000}, fdr={"type": float, "default": 0.02}, n_lambda_bins={"type": int, "default": 45}, radius={"type": float, "default": 39_000})
     add("random-sample", count=number, cis_count=number, frac={"type": float}, exact={"action": "store_true"}, seed={"type": int, "default": 0})
     add("rearrange")
+    g = sub.add_parser("genome").add_subparsers(dest="what", required=True)
+    for name, inputs in (("binnify", ["chromsizes", "binsize"]), ("digest", ["fasta", "enzyme"]), ("gc", ["bins", "fasta"]), ("genecov", ["bins", "genes"])):
+        s = g.add_parser(name)
+        for x in inputs:
+            s.add_argument(x, **number if x == "binsize" else {})
+        s.add_argument("-o", "--output", required=True)
+        if name == "gc":
+            s.add_argument("--all-letters", action="store_true")
     return p
 
 
@@ -47,7 +56,24 @@ def region(text: str) -> tuple[str, int, int]:
     return chrom, int(start), int(end)
 
 
+def run_genome(spark: SparkSession, a: argparse.Namespace) -> None:
+    bed = "chrom string, start long, end long"
+    if a.what == "binnify":
+        out = genome.binnify(genome.read_table(spark, a.chromsizes, "chrom string, length long", header=False), a.binsize)
+    elif a.what == "digest":
+        out = genome.digest(genome.read_fasta(spark, a.fasta), *genome.site_of(a.enzyme))
+    elif a.what == "gc":
+        out = genome.gc(genome.read_table(spark, a.bins, bed), genome.read_fasta(spark, a.fasta), not a.all_letters)
+    else:
+        bins = genome.read_table(spark, a.bins, bed)
+        size = bins.select(F.max(F.col("end") - F.col("start"))).first()[0]
+        out = genome.gene_coverage(bins, genome.read_table(spark, a.genes, bed, header=False), size)
+    genome.write_table(out, a.output)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.command == "genome":
+        return run_genome(spark, a)
     m = maps.read_map(spark, a.map)
     view = genome.read_view(spark, a.view) if a.view else maps.chrom_view(m.bins)
     out = None
@@ -77,7 +103,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             raise ValueError("eigs-trans takes no view")
         out = compartments.eigs_trans(m, a.n_eigs)
     elif a.command == "saddle":
-        track = genome.read_table(spark, a.track, "chrom string, start long, end long, value double").join(m.bins.select("bin_id", "chrom", "start"), ["chrom", "start"])
+        track = genome.read_track(spark, a.track).drop("end").join(m.bins.select("bin_id", "chrom", "start"), ["chrom", "start"])
         out = compartments.saddle_cis(m, compartments.digitize(track, a.n_bins, qrange=(0.02, 0.98)), view, expected.expected_cis(m, view), a.n_bins)
         out = compartments.saddle_strength(out, a.n_bins) if a.strength else out
     elif a.command == "dots":

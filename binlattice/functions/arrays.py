@@ -137,6 +137,19 @@ def peakdet(v: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(lows, dtype=int), np.array(highs, dtype=int)
 
 
+def prominence_sweep(v: np.ndarray, steps: int = 100, least_pairs: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the largest threshold at which peakdet still calls it a minimum, and a maximum."""
+    low, high = np.full(len(v), np.nan), np.full(len(v), np.nan)
+    known = np.unique(v[np.isfinite(v)])
+    if len(known) < 2:
+        return low, high
+    for delta in np.geomspace(np.diff(known).min(), known[-1] - known[0], steps):
+        lows, highs = peakdet(v, delta)
+        if len(lows) >= least_pairs:
+            low[lows], high[highs] = delta, delta
+    return low, high
+
+
 def li_threshold(v: np.ndarray) -> float:
     """Minimum cross-entropy threshold by fixed-point iteration."""
     v = v[np.isfinite(v)]

@@ -24,6 +24,16 @@ def expand_align(features: DataFrame, flank: int, binsize: int, sides: tuple[str
     return features
 
 
+def aligned_windows(loci: DataFrame, binsize: int, flank: int = 0, region_start: int = 0) -> DataFrame:
+    """Adds lo, hi (bins, end exclusive), start_bp and end_bp of bin-aligned windows around loci (chrom, left, right)."""
+    if flank % binsize:
+        raise ValueError("the flank is no multiple of the bin size")
+    require(loci.where("left > right").limit(1), "left after right")
+    at = lambda c: ((F.col(c) - region_start) / binsize).cast("long")
+    out = loci.withColumn("lo", at("left") - flank // binsize).withColumn("hi", at("right") + flank // binsize + 1)
+    return out.withColumn("start_bp", F.col("lo") * binsize).withColumn("end_bp", F.col("hi") * binsize)
+
+
 def snippets(cmap: ContactMap, features: DataFrame, view: DataFrame, *, flank: int | None, min_diag: int | None = 2, expected: DataFrame | None = None, only_expected: bool = False) -> DataFrame:
     """Long form (snip_id, i, j, value) for BED (chrom, start, end) or BEDPE (chrom1, ...) features with snip_id.
 
