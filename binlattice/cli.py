@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays
 from .operators import bands, compartments, dots, expected, profiles, rearrange, snip
+from .plans.joins import align_track
+from .schema import ContactMap
 from .sources import genome, maps
 
 
@@ -33,8 +35,9 @@ def parser() -> argparse.ArgumentParser:
     add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"})
     add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"})
     add("pileup", features={"required": True}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"})
-    add("eigs-cis", n_eigs={"type": int, "default": 3})
-    add("eigs-trans", n_eigs={"type": int, "default": 3})
+    phased = {"n_eigs": {"type": int, "default": 3}, "phasing_track": {"help": "FILE or FILE::COLUMN of chrom, start, end, value"}, "sort_metric": {"choices": ["spearmanr", "pearsonr", "var_explained", "MAD_explained"]}}
+    add("eigs-cis", clip_percentile={"type": float, "default": 99.9}, **phased)
+    add("eigs-trans", **phased)
     add("saddle", track={"required": True, "help": "FILE or FILE::COLUMN of chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"})
     add("dots", max_distance={"type": int, "default": 2_000_000}, fdr={"type": float, "default": 0.02}, n_lambda_bins={"type": int, "default": 45}, radius={"type": float, "default": 39_000})
     add("random-sample", count=number, cis_count=number, frac={"type": float}, exact={"action": "store_true"}, seed={"type": int, "default": 0})
@@ -56,6 +59,11 @@ def region(text: str) -> tuple[str, int, int]:
     return chrom, int(start), int(end)
 
 
+def track_of(spark: SparkSession, m: ContactMap, text: str | None) -> DataFrame | None:
+    """The values of a track file at the bins of a map; bad bins have none."""
+    return align_track(m.bins, genome.read_track(spark, text)).select("bin_id", "value") if text else None
+
+
 def run_genome(spark: SparkSession, a: argparse.Namespace) -> None:
     bed = "chrom string, start long, end long"
     if a.what == "binnify":
@@ -97,14 +105,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         e = expected.expected_cis(m, view) if a.by_expected else None
         out = snip.pileup(snip.snippets(m, genome.read_features(spark, a.features), view, flank=a.flank, min_diag=None, expected=e), a.aggregate)
     elif a.command == "eigs-cis":
-        out = compartments.eigs_cis(m, view, a.n_eigs)
+        out = compartments.eigs_cis(m, view, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), clip_percentile=a.clip_percentile, sort=a.sort_metric)
     elif a.command == "eigs-trans":
         if a.view:
             raise ValueError("eigs-trans takes no view")
-        out = compartments.eigs_trans(m, a.n_eigs)
+        out = compartments.eigs_trans(m, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), sort=a.sort_metric)
     elif a.command == "saddle":
-        track = genome.read_track(spark, a.track).drop("end").join(m.bins.select("bin_id", "chrom", "start"), ["chrom", "start"])
-        out = compartments.saddle_cis(m, compartments.digitize(track, a.n_bins, qrange=(0.02, 0.98)), view, expected.expected_cis(m, view), a.n_bins)
+        out = compartments.saddle_cis(m, compartments.digitize(track_of(spark, m, a.track), a.n_bins, qrange=(0.02, 0.98)), view, expected.expected_cis(m, view), a.n_bins)
         out = compartments.saddle_strength(out, a.n_bins) if a.strength else out
     elif a.command == "dots":
         out = dots.dots(m, view, expected.expected_cis(m, view), arrays.recommend_kernels(m.binsize), band=a.max_distance // m.binsize, fdr=a.fdr, n_lambda_bins=a.n_lambda_bins, radius_bins=a.radius / m.binsize)

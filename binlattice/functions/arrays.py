@@ -23,6 +23,32 @@ def pair_distances(v1: np.ndarray, v2: np.ndarray, same: bool) -> tuple[np.ndarr
     return dist[keep], out[0][keep], out[1][keep]
 
 
+def class_pairs(at: np.ndarray, cls: np.ndarray, dists: np.ndarray) -> np.ndarray:
+    """How many ordered pairs of places have each pair of classes and one of the distances.
+
+    The spectra of the classes' 0/1 vectors, weighted by that of the distances,
+    give all class pairs in one product.
+    """
+    lo, k = at.min(), int(cls.max()) + 1
+    n = int(at.max() - lo) + 1
+    size = 1 << (2 * n).bit_length()
+    dists = dists[dists < n]
+    allowed = np.zeros(size)
+    allowed[dists] = allowed[-dists] = 1
+    spectra = np.empty((k, size // 2 + 1), dtype=complex)
+    for c in range(k):
+        own = np.zeros(n)
+        own[at[cls == c] - lo] = 1
+        spectra[c] = np.fft.rfft(own, size)
+    weight = np.fft.rfft(allowed).real * 2
+    weight[[0, -1]] /= 2
+    out = np.zeros((k, k))
+    for f in range(0, len(weight), 1 << 16):
+        part = spectra[:, f : f + (1 << 16)]
+        out += ((part.conj() * weight[f : f + (1 << 16)]) @ part.T).real
+    return np.rint(out / size).astype(np.int64)
+
+
 def persistent_log_bins(end: int = 10, per_decade: int = 10) -> np.ndarray:
     """Integer edges that grow by a constant ratio and whose widths never fall."""
     grid = np.unique(np.rint(10 ** np.linspace(0, end, end * per_decade + 1)).astype(np.int64))
@@ -239,15 +265,28 @@ def ranks(v: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2)[back]
 
 
-def phase(values: np.ndarray, vectors: np.ndarray, track: np.ndarray, sort: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Flips each vector to correlate (Spearman) with a track, and sorts by that if asked to."""
-    r = np.zeros(len(values))
-    for k, v in enumerate(vectors):
-        ok = np.isfinite(v) & np.isfinite(track)
-        if ok.sum() > 2:
-            r[k] = np.corrcoef(ranks(v[ok]), ranks(track[ok]))[0, 1]
+def agreement(v: np.ndarray, track: np.ndarray, metric: str) -> float:
+    """How well a track explains a vector: its sign is the phase, its size ranks vectors."""
+    ok = np.isfinite(v) & np.isfinite(track)
+    x, y = v[ok], track[ok]
+    if len(x) < 3:
+        return 0.0
+    if metric == "MAD_explained":
+        around = x - np.median(x)
+        return float(np.median(around * (y - np.median(y))) * np.median(np.abs(around)))
+    if metric == "spearmanr":
+        x, y = ranks(x), ranks(y)
+    r = np.corrcoef(x, y)[0, 1] if x.std() and y.std() else 0.0
+    return float(abs(r) * r * x.var() if metric == "var_explained" else r)
+
+
+def phase(values: np.ndarray, vectors: np.ndarray, track: np.ndarray, sort: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flips each vector to agree with a track, by Spearman's or the named metric, and sorts by it if one is named."""
+    if sort not in (None, "spearmanr", "pearsonr", "var_explained", "MAD_explained"):
+        raise ValueError(f"no such metric: {sort}")
+    r = np.array([agreement(v, track, sort or "spearmanr") for v in vectors])
     out = vectors * np.where(r < 0, -1.0, 1.0)[:, None]
-    order = np.argsort(-np.abs(r)) if sort else np.arange(len(values))
+    order = np.argsort(-np.abs(r), kind="stable") if sort else np.arange(len(values))
     return values[order], out[order]
 
 

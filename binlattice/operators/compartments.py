@@ -48,14 +48,31 @@ def _completed(sums: DataFrame, n_bins: int, trim: bool) -> DataFrame:
 
 
 def saddle_cis(cmap: ContactMap, track: DataFrame, view: DataFrame, expected: DataFrame, n_bins: int, *, min_diag: int = 3, max_diag: int = -1, trim_outliers: bool = False) -> DataFrame:
-    """Sum s and number c of observed over expected by class pair; zeros count, both triangles do."""
-    bins = assign_supports(cmap.bins, view).where("region is not null").join(track.select("bin_id", "cls"), "bin_id").where("cls >= 0")
-    cells = region_cells(cmap, bins, ["cls"]).where(F.col("dist") >= min_diag)
-    if max_diag >= 0:
-        cells = cells.where(F.col("dist") <= max_diag)
-    lookup = expected.select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
-    oe = cells.join(F.broadcast(lookup), ["region", "dist"]).select(F.col("clsi").alias("ci"), F.col("clsj").alias("cj"), ratio("value", "e").alias("oe"))
-    return _completed(oe.groupBy("ci", "cj").agg(F.sum("oe").alias("s"), F.count("oe").alias("c")), n_bins, trim_outliers)
+    """Sum s and number c of observed over expected by class pair; zeros count, both triangles do.
+
+    Absent pixels add to c alone, so only stored ones are read: c comes from
+    the classes' indicator vectors, correlated at the distances that count.
+    """
+    bins = assign_supports(cmap.bins, view).where("region is not null and weight is not null").join(track.select("bin_id", "cls"), "bin_id").where("cls >= 0")
+    reach = F.col("dist") >= min_diag if max_diag < 0 else F.col("dist").between(min_diag, max_diag)
+    lookup = expected.where(reach & (F.col("balanced_avg") != 0)).select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
+
+    def count(own: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or at.empty:
+            return pd.DataFrame({"ci": [], "cj": [], "c": []})
+        classes = np.sort(own.cls.unique())
+        pairs = arrays.class_pairs(own.bin_id.to_numpy(), np.searchsorted(classes, own.cls), at.dist.to_numpy())
+        ci, cj = np.nonzero(pairs)
+        return pd.DataFrame({"ci": classes[ci], "cj": classes[cj], "c": pairs[ci, cj]})
+
+    counted = bins.select("region", "bin_id", "cls").groupBy("region").cogroup(lookup.groupBy("region")).applyInPandas(count, "ci int, cj int, c long")
+    px = annotate(cmap.pixels, bins, ("region", "cls", "weight")).where("region1 = region2").withColumn("dist", F.col("bin2_id") - F.col("bin1_id"))
+    oe = px.join(F.broadcast(lookup.withColumnRenamed("region", "region1")), ["region1", "dist"]).withColumn("oe", ratio(F.col("count") * F.col("weight1") * F.col("weight2"), "e"))
+    pair = lambda x, y: F.struct(F.col(f"cls{x}").alias("ci"), F.col(f"cls{y}").alias("cj"))
+    sides = F.when(F.col("dist") == 0, F.array(pair(1, 2))).otherwise(F.array(pair(1, 2), pair(2, 1)))
+    sums = oe.select(F.explode(sides).alias("x"), "oe").groupBy("x.ci", "x.cj").agg(F.sum("oe").alias("s"))
+    sizes = counted.groupBy("ci", "cj").agg(F.sum("c").alias("c"))
+    return _completed(sizes.join(sums, ["ci", "cj"], "left").select("ci", "cj", F.coalesce("s", F.lit(0.0)).alias("s"), "c"), n_bins, trim_outliers)
 
 
 def saddle_trans(cmap: ContactMap, track: DataFrame, expected: DataFrame, n_bins: int, *, trim_outliers: bool = False) -> DataFrame:
@@ -91,7 +108,7 @@ def _dense(pdf: pd.DataFrame, n: int) -> np.ndarray:
     return a
 
 
-def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: DataFrame | None = None, ignore_diags: int = 2, clip_percentile: float = 99.9, sort: bool = False) -> DataFrame:
+def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: DataFrame | None = None, ignore_diags: int = 2, clip_percentile: float = 99.9, sort: str | None = None) -> DataFrame:
     """Long form (region, bin_id, k, eigval, value): one task a region holds that region's matrix."""
     bins = assign_supports(cmap.bins, view).where("region is not null").select("bin_id", "region")
     bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
@@ -111,10 +128,11 @@ def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: Dat
     return bins.groupBy("region").cogroup(px.groupBy("region")).applyInPandas(solve, "region string, bin_id long, k int, eigval double, value double")
 
 
-def eigs_trans(cmap: ContactMap, n_eigs: int = 3, *, perc_top: float = 99.95, perc_bottom: float = 1.0, seed: int = 0) -> DataFrame:
+def eigs_trans(cmap: ContactMap, n_eigs: int = 3, *, phasing: DataFrame | None = None, perc_top: float = 99.95, perc_bottom: float = 1.0, sort: str | None = None, seed: int = 0) -> DataFrame:
     """Long form (bin_id, k, eigval, value) from contacts between chromosomes; the whole map is one matrix in one task."""
     px = annotate(cmap.pixels, cmap.bins).select(F.lit(0).alias("g"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value"), (F.col("chrom1") == F.col("chrom2")).alias("cis"))
     bins = cmap.bins.select(F.lit(0).alias("g"), "bin_id", "chrom")
+    bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
 
     def solve(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("bin_id")
@@ -132,6 +150,8 @@ def eigs_trans(cmap: ContactMap, n_eigs: int = 3, *, perc_top: float = 99.95, pe
         mean = a[np.ix_(good, good)].mean() if good.any() else 1.0
         a = np.where(good[:, None] & good[None, :], (a - mean) / mean, 0)
         values, vectors = arrays.eigenvectors(a, n_eigs)
+        if own.phase.notna().any():
+            values, vectors = arrays.phase(values, vectors, own.phase.to_numpy(float), sort)
         k = np.repeat(np.arange(1, n_eigs + 1), len(own))
         return pd.DataFrame({"bin_id": np.tile(own.bin_id, n_eigs), "k": k, "eigval": np.repeat(values, len(own)), "value": vectors.ravel()})
 

@@ -145,6 +145,29 @@ def test_blocks(spark):
     assert {(r.i, r.j): r.value for r in signals.adaptively_coarse(cells).collect()} == {(i, j): a[i, j] for i, j in np.ndindex(8, 8)}
 
 
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_class_pairs(n):
+    rng = np.random.default_rng(n)
+    at = np.sort(rng.choice(2 * n, n, replace=False)) + 100
+    cls, dists = rng.integers(0, 4, n), np.array([d for d in range(3 * n) if d % 3 != 1])
+    want = np.zeros((cls.max() + 1,) * 2, dtype=int)
+    for i, j in np.ndindex(n, n):
+        want[cls[i], cls[j]] += abs(at[i] - at[j]) % 3 != 1
+    assert (arrays.class_pairs(at, cls, dists) == want).all()
+
+
+@pytest.mark.parametrize("metric", [None, "spearmanr", "pearsonr", "var_explained", "MAD_explained"])
+def test_phase(metric):
+    t = np.sin(np.arange(60) / 5)
+    t[3] = np.nan
+    weak, strong = np.cos(np.arange(60) * 1.7) + 0.3 * np.nan_to_num(t), -2 * np.nan_to_num(t)
+    values, vectors = arrays.phase(np.array([5.0, 4.0]), np.array([weak, strong]), t, metric)
+    assert values.tolist() == ([4.0, 5.0] if metric else [5.0, 4.0])
+    assert np.nansum(vectors[0 if metric else 1] * t) > 0
+    with pytest.raises(ValueError):
+        arrays.phase(values, vectors, t, "other")
+
+
 def test_path_and_column():
     assert genome.path_and_column("a.tsv") == ("a.tsv", None) and genome.path_and_column("a.tsv::gene") == ("a.tsv", "gene")
     assert genome.path_and_column("a.tsv::4") == ("a.tsv", 3)
