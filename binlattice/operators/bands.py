@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.columns import distance_to_mask
-from ..plans.joins import assign_supports
+from ..plans.joins import annotate, assign_supports
 from ..schema import ContactMap, ratio
 
 
@@ -29,18 +29,38 @@ def band_cells(cmap: ContactMap, bins: DataFrame, reach: int, weighted: bool = T
     return cells.withColumn("value", F.col("count") * F.col("wi") * F.col("wj") if weighted else F.col("count").cast("double"))
 
 
+def diamond_sizes(bins: DataFrame, window: int, ignore_diags: int, weighted: bool = True) -> DataFrame:
+    """Adds n_valid: pairs of good bins in each bin's diamond, at least ignore_diags apart.
+
+    Good bins to the left times good bins to the right, less the pairs too near
+    each other; all are sums over neighbours in one sort by region.
+    """
+    w = W.partitionBy("region").orderBy("bin_id")
+    good = F.col("weight").isNotNull().cast("long") if weighted else F.lit(1).cast("long")
+    rows = bins.withColumn("_g", good)
+    near = range(min(ignore_diags, 2 * window - 1))
+    rows = rows.select("*", *((F.col("_g") * F.coalesce(F.lead("_g", s).over(w), F.lit(0))).alias(f"_g{s}") for s in near))
+    total = lambda c, lo, hi: F.coalesce(F.sum(c).over(w.rowsBetween(lo, hi)), F.lit(0))
+    n = total("_g", 1 - window, 0) * total("_g", 0, window - 1)
+    for s in near:
+        n = n - total(f"_g{s}", -min(s, window - 1), min(0, window - 1 - s))
+    return rows.withColumn("n_valid", n).drop("_g", *(f"_g{s}" for s in near))
+
+
 def insulation(cmap: ContactMap, view: DataFrame, window: int, *, ignore_diags: int = 2, weighted: bool = True, norm_by_median: bool = True) -> DataFrame:
     """log2 mean of the diamond of window bins at every bin, over the region's median.
 
-    Null where nothing is valid or the sum is zero. Every valid pair adds to the
-    diamonds it lies in: at most window of them.
+    Null where nothing is valid or the sum is zero. Every stored pixel adds to
+    the diamonds it lies in, at most window of them; absent ones only count.
     """
     bins = assign_supports(cmap.bins, view).where("region is not null")
-    edges = bins.groupBy("region").agg(F.min("bin_id").alias("lo"), F.max("bin_id").alias("hi"))
-    cells = band_cells(cmap, bins, 2 * (window - 1), weighted).where((F.col("j") - F.col("i") >= ignore_diags) & F.col("value").isNotNull())
-    at = F.sequence(F.greatest("i", F.col("j") - (window - 1)), F.least("j", F.col("i") + (window - 1)))
-    per = cells.select("region", F.explode(at).alias("bin_id"), "count", "value").groupBy("bin_id").agg(F.count("*").alias("n_valid"), F.sum("count").alias("sum_counts"), F.sum("value").alias("sum_balanced"))
-    out = bins.join(F.broadcast(edges), "region").join(per, "bin_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    near = cmap.pixels.where((F.col("bin2_id") - F.col("bin1_id") <= 2 * (window - 1)) & (F.col("bin2_id") - F.col("bin1_id") >= ignore_diags))
+    px = annotate(near, bins, ("region", "weight")).where("region1 = region2")
+    value = F.col("count") * F.col("weight1") * F.col("weight2") if weighted else F.col("count").cast("double")
+    at = F.sequence(F.greatest("bin1_id", F.col("bin2_id") - (window - 1)), F.least("bin2_id", F.col("bin1_id") + (window - 1)))
+    per = px.withColumn("value", value).where("value is not null").select(F.explode(at).alias("bin_id"), "count", "value").groupBy("bin_id").agg(F.sum("count").alias("sum_counts"), F.sum("value").alias("sum_balanced"))
+    out = diamond_sizes(bins, window, ignore_diags, weighted).join(per, "bin_id", "left")
+    out = out.withColumns({c: F.when(F.col("n_valid") > 0, F.coalesce(c, F.lit(0).cast(t))) for c, t in (("sum_counts", "long"), ("sum_balanced", "double"))})
     out = out.withColumn("score", ratio("sum_balanced", "n_valid"))
     if norm_by_median:
         median = out.groupBy("region").agg(F.median("score").alias("_m"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from binlattice import cli
 from binlattice.functions import arrays, tables
-from binlattice.operators import signals, snip
+from binlattice.operators import bands, signals, snip
 from binlattice.sources import genome
 
 CELL = "region string, i long, j long, value double"
@@ -156,6 +156,19 @@ def test_class_pairs(n):
     assert (arrays.class_pairs(at, cls, dists) == want).all()
 
 
+@pytest.mark.parametrize(("window", "ignore"), [(1, 0), (1, 2), (2, 4), (3, 2), (4, 0), (3, 9)])
+def test_diamond_sizes(spark, window, ignore):
+    good = [True, True, False, True, True, True, True, False, True, True, True]
+    region = ["a"] * 6 + ["b"] * 5
+    bins = spark.createDataFrame([(i, r, 1.0 if g else None) for i, (r, g) in enumerate(zip(region, good, strict=True))], "bin_id long, region string, weight double")
+    for weighted in (True, False):
+        ok = good if weighted else [True] * len(good)
+        for r in bands.diamond_sizes(bins, window, ignore, weighted).collect():
+            p = r.bin_id
+            pairs = [(i, j) for i in range(p - window + 1, p + 1) for j in range(p, p + window) if 0 <= i and j < 11 and region[i] == region[p] == region[j]]
+            assert r.n_valid == sum(ok[i] and ok[j] and j - i >= ignore for i, j in pairs)
+
+
 @pytest.mark.parametrize("metric", [None, "spearmanr", "pearsonr", "var_explained", "MAD_explained"])
 def test_phase(metric):
     t = np.sin(np.arange(60) / 5)
