@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("expected-cis", smooth={"action": "store_true"}, aggregate_smoothed={"action": "store_true"}, ignore_diags={"type": int, "default": 2})
     add("expected-trans")
     add("logbin-expected", bins_per_decade={"type": int, "default": 10})
-    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2})
+    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"})
     add("directionality", window_bins={"type": int, "default": 10})
     add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"})
     add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"})
@@ -94,7 +94,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "logbin-expected":
         out = expected.logbin(expected.expected_cis(m, view), per_decade=a.bins_per_decade)
     elif a.command == "insulation":
-        out = bands.insulation_table(m, view, a.window, ignore_diags=a.ignore_diags, threshold=a.threshold if a.threshold in ("Li", "Otsu") else float(a.threshold))
+        windows = [w * m.binsize for w in a.window] if a.window_pixels else a.window
+        more = {"min_frac_valid": a.min_frac_valid_pixels, "min_dist_bad_bin": a.min_dist_bad_bin, "append_raw": a.append_raw_scores}
+        out = bands.insulation_table(m, view, windows, ignore_diags=a.ignore_diags, **more, threshold=a.threshold if a.threshold in ("Li", "Otsu") else float(a.threshold))
     elif a.command == "directionality":
         out = bands.directionality(m, a.window_bins)
     elif a.command == "coverage":

@@ -15,7 +15,7 @@ def fill_nainf(c: str, value: float = 0.0) -> Column:
 
 
 def distance_to_mask(df: DataFrame, mask: str, region: str, order: str) -> DataFrame:
-    """Adds dist_left, dist_right and their least: steps to the nearest true, an edge counting as one just outside."""
+    """Adds dist_left, dist_right, their least and their greatest: steps to the nearest true, an edge counting as one just outside."""
     w = W.partitionBy(region).orderBy(order)
     at = F.row_number().over(w)
     rows = df.withColumn("_i", at).withColumn("_n", F.count("*").over(W.partitionBy(region)))
@@ -23,7 +23,7 @@ def distance_to_mask(df: DataFrame, mask: str, region: str, order: str) -> DataF
     left = F.col("_i") - F.coalesce(F.last(here, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     right = F.coalesce(F.first(here, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), F.col("_n") + 1) - F.col("_i")
     out = rows.withColumn("dist_left", left.cast("long")).withColumn("dist_right", right.cast("long"))
-    return out.withColumn("dist_min", F.least("dist_left", "dist_right")).drop("_i", "_n")
+    return out.withColumn("dist_min", F.least("dist_left", "dist_right")).withColumn("dist_max", F.greatest("dist_left", "dist_right")).drop("_i", "_n")
 
 
 def scores(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -91,18 +91,31 @@ def call_boundaries(scores: DataFrame, threshold: float | str = "Li") -> DataFra
     return scores.withColumn("is_boundary", F.coalesce(F.col("boundary_strength") >= threshold, F.lit(False)))
 
 
-def insulation_table(cmap: ContactMap, view: DataFrame, windows: list[int], *, ignore_diags: int = 2, threshold: float | str = "Li", weighted: bool = True) -> DataFrame:
-    """Scores, strengths and boundaries of several windows (in bp, multiples of the bin size) side by side."""
-    out = None
+def insulation_table(
+    cmap: ContactMap, view: DataFrame, windows: list[int], *, ignore_diags: int = 2, threshold: float | str = "Li", weighted: bool = True, min_frac_valid: float = 0.66, min_dist_bad_bin: int = 0, append_raw: bool = False
+) -> DataFrame:
+    """Scores, strengths and boundaries of several windows (in bp, multiples of the bin size) side by side.
+
+    Bins nearer to a bad bin or the region's edge than min_dist_bad_bin have no
+    score and no boundary. Raw sums of the diamonds are added if asked for.
+    """
+    where = assign_supports(cmap.bins, view).where("region is not null")
+    where = where.withColumn("is_bad_bin", F.col("weight").isNull() if weighted else F.lit(False))
+    out = distance_to_mask(where, "is_bad_bin", "region", "bin_id").withColumnRenamed("dist_min", "dist_bad_bin")
+    out = out.select("bin_id", "chrom", "start", "end", "region", "is_bad_bin", "dist_bad_bin")
+    far = out.where(F.col("dist_bad_bin") >= min_dist_bad_bin).select("bin_id", F.lit(True).alias("_far"))
     for w in windows:
         if w % cmap.binsize:
             raise ValueError(f"window {w} is not a multiple of the bin size {cmap.binsize}")
-        own = call_boundaries(boundaries(insulation(cmap, view, w // cmap.binsize, ignore_diags=ignore_diags, weighted=weighted)), threshold)
-        shared = ["bin_id", "chrom", "start", "end", "region", "is_bad_bin"]
+        own = insulation(cmap, view, w // cmap.binsize, ignore_diags=ignore_diags, weighted=weighted)
+        if min_dist_bad_bin:
+            own = own.join(far, "bin_id", "left").withColumn("log2_score", F.when(F.col("_far"), F.col("log2_score"))).drop("_far")
+        own = call_boundaries(boundaries(own, min_frac_valid=min_frac_valid), threshold)
         names = {"log2_score": f"log2_insulation_score_{w}", "n_valid": f"n_valid_pixels_{w}", "boundary_strength": f"boundary_strength_{w}", "is_boundary": f"is_boundary_{w}"}
-        own = own.select(*(shared if out is None else ["bin_id"]), *(F.col(a).alias(b) for a, b in names.items()))
-        out = own if out is None else out.join(own, "bin_id")
-    return distance_to_mask(out, "is_bad_bin", "region", "bin_id").withColumnRenamed("dist_min", "dist_bad_bin").drop("dist_left", "dist_right")
+        if append_raw:
+            names |= {"sum_counts": f"sum_counts_{w}", "sum_balanced": f"sum_balanced_{w}"}
+        out = out.join(own.select("bin_id", *(F.col(a).alias(b) for a, b in names.items())), "bin_id")
+    return out
 
 
 def near_bad(bins: DataFrame, k: int) -> DataFrame:

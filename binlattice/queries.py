@@ -277,10 +277,10 @@ def _(spark, d):
 
 
 @query("dist_bad_bin", """, l AS (SELECT bin_id, bin_id - coalesce(max(CASE WHEN w IS NULL THEN bin_id END) OVER (PARTITION BY chrom ORDER BY bin_id), bin_id // 180 * 180 - 1) AS a, coalesce(min(CASE WHEN w IS NULL THEN bin_id END) OVER (PARTITION BY chrom ORDER BY bin_id DESC), bin_id // 180 * 180 + 180) - bin_id AS b FROM bins)
-SELECT bin_id, a AS dist_left, b AS dist_right, least(a, b) AS dist_min FROM l""")
+SELECT bin_id, a AS dist_left, b AS dist_right, least(a, b) AS dist_min, greatest(a, b) AS dist_max FROM l""")
 def _(spark, d):
     bins = maps.hour_map(spark, d).bins.withColumn("bad", F.col("weight").isNull())
-    return columns.distance_to_mask(bins, "bad", "chrom", "bin_id").select("bin_id", "dist_left", "dist_right", "dist_min")
+    return columns.distance_to_mask(bins, "bad", "chrom", "bin_id").select("bin_id", "dist_left", "dist_right", "dist_min", "dist_max")
 
 
 @query("digitize_values", "SELECT bin_id, cls FROM tk", ("cls",))

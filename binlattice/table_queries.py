@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns, tables
-from .operators import compartments, signals, snip
+from .operators import bands, compartments, signals, snip
 from .plans import joins
-from .queries import ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
+from .queries import _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
 from .sources import maps
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -175,6 +175,15 @@ def _(spark, d):
     return snip.aligned_windows(loci, 500, 2000).select("id", "lo", "hi", "start_bp", "end_bp")
 
 
+@query("insulation_masked", _INS + """, ds AS (SELECT bin_id, least(bin_id - coalesce(max(CASE WHEN w IS NULL THEN bin_id END) OVER (PARTITION BY chrom ORDER BY bin_id), bin_id // 180 * 180 - 1), coalesce(min(CASE WHEN w IS NULL THEN bin_id END) OVER (PARTITION BY chrom ORDER BY bin_id DESC), bin_id // 180 * 180 + 180) - bin_id) AS k FROM bins)
+SELECT ins.bin_id, bad AS is_bad_bin, k AS dist_bad_bin, round(CASE WHEN k >= 3 THEN l END, 6) AS score, n AS n_valid, CAST(sc AS BIGINT) AS sum_counts, round(sb, 5) AS sum_balanced FROM ins JOIN ds ON ds.bin_id = ins.bin_id""")
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    out = bands.insulation_table(m, maps.chrom_view(m.bins), [36000], min_dist_bad_bin=3, append_raw=True, threshold=0.0)
+    score, n, counts, balanced = (F.col(f"{c}_36000") for c in ("log2_insulation_score", "n_valid_pixels", "sum_counts", "sum_balanced"))
+    return out.select("bin_id", "is_bad_bin", "dist_bad_bin", F.round(score, 6).alias("score"), n.alias("n_valid"), counts.alias("sum_counts"), F.round(balanced, 5).alias("sum_balanced"))
+
+
 @plain("sampled_deviation")
 def _(spark, d):
     return rounded(tables.sampled_deviation(maps.hour_map(spark, d).bins, "weight", "bin_id", 200))
