@@ -79,6 +79,23 @@ def pair_scaling(pairs: DataFrame, edges: list[int], length: int) -> DataFrame:
     return counted.select(lo.alias("dist_lo"), hi.alias("dist_hi"), "n_pairs", (area(lo) - area(hi)).alias("area"))
 
 
+def region_scaling(pairs: DataFrame, region1: tuple[int, int], region2: tuple[int, int], edges: list[int]) -> DataFrame:
+    """Pairs (pos1 in region1, pos2 in region2) by distance bin, empty bins too, with the area of possible pairs.
+
+    The points of a rectangle at a distance of x or more are those of four
+    triangles, two added and two taken away.
+    """
+    (s1, e1), (s2, e2) = sorted([region1, region2])
+    half = lambda u: max(u, 0) ** 2 / 2
+    beyond = [half(e2 - s1 - x) - half(s2 - s1 - x) - half(e2 - e1 - x) + half(s2 - e1 - x) for x in edges]
+    table = [(k + 1, lo, hi, float(a - b)) for k, (lo, hi, a, b) in enumerate(zip(edges, edges[1:], beyond, beyond[1:], strict=False))]
+    bins = pairs.sparkSession.createDataFrame(table, "b int, dist_lo long, dist_hi long, area double")
+    inside = pairs.where(F.col("pos1").between(region1[0], region1[1] - 1) & F.col("pos2").between(region2[0], region2[1] - 1))
+    which = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("pos2") - F.col("pos1")))
+    counted = inside.select(which.alias("b")).groupBy("b").agg(F.count("*").alias("n_pairs"))
+    return bins.join(counted, "b", "left").select("dist_lo", "dist_hi", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "area")
+
+
 def sample_approx(pixels: DataFrame, frac: float, seed: int = 0) -> DataFrame:
     """Binomial thinning of every pixel; a pixel's draw depends on its ids and the seed, not on partitions."""
     if not 0 <= frac <= 1:

@@ -145,3 +145,16 @@ def dense_rows(cells: DataFrame, row: str = "i", col: str = "j", value: str = "v
     return cells.groupBy(row).agg(F.concat_ws("\t", F.transform(listed, lambda x: F.coalesce(x[value].cast("string"), F.lit("nan")))).alias("line"))
 
 
+def dense_text(cells: DataFrame, bins: DataFrame, assembly: str, digits: int = 8) -> DataFrame:
+    """(row, line) of a dense block with headers: row 0 names the columns, the others their bin and its cells.
+
+    A bin's name is number|assembly|chrom:first-last, counted from 1.
+    """
+    name = F.concat(F.col("bin_id").cast("string"), F.lit(f"|{assembly}|"), "chrom", F.lit(":"), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
+    named = bins.select("bin_id", name.alias("name"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "name"))), lambda x: x["name"])
+    corner = F.concat(F.count("*").cast("string"), F.lit("x"), F.count("*").cast("string"))
+    head = named.agg(F.concat_ws("\t", corner, listed).alias("line")).select(F.lit(0).cast("long").alias("row"), "line")
+    shown = cells.select("i", "j", F.when(F.col("value").isNotNull(), F.format_string(f"%.{digits}f", F.col("value").cast("double"))).alias("value"))
+    rows = dense_rows(shown).join(named.withColumnRenamed("bin_id", "i"), "i")
+    return head.union(rows.select((F.col("i") + 1).alias("row"), F.concat_ws("\t", "name", "line")))

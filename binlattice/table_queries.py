@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns, tables
-from .operators import bands, compartments, signals, snip
+from .operators import bands, compartments, profiles, signals, snip
 from .plans import joins
 from .queries import _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
-from .sources import maps
+from .sources import genome, maps
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -184,6 +184,20 @@ def _(spark, d):
     return out.select("bin_id", "is_bad_bin", "dist_bad_bin", F.round(score, 6).alias("score"), n.alias("n_valid"), counts.alias("sum_counts"), F.round(balanced, 5).alias("sum_balanced"))
 
 
+@query("dense_text", ", ar AS (SELECT *, bin_id || '|toy|' || chrom || ':' || (s + 1) || '-' || t AS name FROM bins WHERE arm = 'c1_p'), ce AS (SELECT a.bin_id AS i, b.bin_id AS j, a.name, coalesce(p.cnt, 0) AS v FROM ar a JOIN ar b ON true LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id)) SELECT CAST(0 AS BIGINT) AS row_id, '90x90' || chr(9) || string_agg(name, chr(9) ORDER BY bin_id) AS line FROM ar UNION ALL SELECT i + 1, name || chr(9) || string_agg(printf('%.4f', CAST(v AS DOUBLE)), chr(9) ORDER BY j) FROM ce GROUP BY i, name")
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    bins = joins.assign_supports(m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark)).where("region = 'c1_p'")
+    return genome.dense_text(compartments.region_cells(m, bins, []), bins, "toy", 4).withColumnRenamed("row", "row_id")
+
+
+@plain("region_scaling", "WITH p AS (SELECT b.o_custkey - a.o_custkey AS d FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey >= 10 AND a.o_custkey < 80 AND b.o_custkey >= 40 AND b.o_custkey < 140), e AS (SELECT CAST(pow(2, k) AS BIGINT) AS lo, CAST(pow(2, k + 1) AS BIGINT) AS hi FROM range(0, 7) t(k)), q AS (SELECT lo, hi, (SELECT count(*) FROM p WHERE d >= lo AND d < hi) AS n FROM e) SELECT lo AS dist_lo, hi AS dist_hi, n AS n_pairs, CAST((SELECT sum(greatest(least(x + hi, 140) - greatest(x + lo, 40), 0) + greatest(least(x + 1 + hi, 140) - greatest(x + 1 + lo, 40), 0)) / 2.0e0 FROM range(10, 80) r(x)) AS DOUBLE) AS area FROM q")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    pairs = o.select("o_orderkey", F.col("o_custkey").alias("pos1")).join(o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("pos2")), "o_orderkey")
+    return profiles.region_scaling(pairs, (10, 80), (40, 140), [1 << k for k in range(8)])
+
+
 @plain("sampled_deviation")
 def _(spark, d):
     return rounded(tables.sampled_deviation(maps.hour_map(spark, d).bins, "weight", "bin_id", 200))

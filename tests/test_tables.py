@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from binlattice import cli
 from binlattice.functions import arrays, tables
-from binlattice.operators import bands, signals, snip
+from binlattice.operators import bands, profiles, signals, snip
 from binlattice.sources import genome
 
 CELL = "region string, i long, j long, value double"
@@ -181,6 +181,26 @@ def test_phase(metric):
         arrays.phase(values, vectors, t, "other")
 
 
+@pytest.mark.parametrize(("one", "two"), [((0, 40), (0, 40)), ((0, 30), (10, 60)), ((0, 20), (35, 50)), ((10, 60), (0, 30))])
+def test_region_scaling(spark, one, two):
+    edges = [0, 3, 8, 20, 70]
+    pairs = spark.createDataFrame([(p, q) for p in range(0, 60, 3) for q in range(1, 60, 4)], "pos1 long, pos2 long")
+    (s1, e1), (s2, e2) = sorted([one, two])
+    fine = (np.arange(600) + 0.5) / 10
+    p, q = fine[(fine >= s1) & (fine < e1)], fine[(fine >= s2) & (fine < e2)]
+    gap = q[None, :] - p[:, None]
+    for r in profiles.region_scaling(pairs, one, two, edges).collect():
+        assert r.n_pairs == sum(one[0] <= a < one[1] and two[0] <= b < two[1] and r.dist_lo <= b - a < r.dist_hi for a in range(0, 60, 3) for b in range(1, 60, 4))
+        assert r.area == pytest.approx(((gap >= r.dist_lo) & (gap < r.dist_hi)).sum() / 100, abs=6)
+
+
+def test_dense_text(spark):
+    bins = spark.createDataFrame([(4, "c", 0, 10), (5, "c", 10, 15)], "bin_id long, chrom string, start long, end long")
+    cells = spark.createDataFrame([(4, 4, 1.0), (4, 5, None), (5, 4, None), (5, 5, 2.5)], "i long, j long, value double")
+    got = [r.line for r in genome.dense_text(cells, bins, "toy", 1).orderBy("row").collect()]
+    assert got == ["2x2\t4|toy|c:1-10\t5|toy|c:11-15", "4|toy|c:1-10\t1.0\tnan", "5|toy|c:11-15\tnan\t2.5"]
+
+
 def test_path_and_column():
     assert genome.path_and_column("a.tsv") == ("a.tsv", None) and genome.path_and_column("a.tsv::gene") == ("a.tsv", "gene")
     assert genome.path_and_column("a.tsv::4") == ("a.tsv", 3)
