@@ -42,8 +42,9 @@ def region_cells(cmap: ContactMap, bins: DataFrame, columns: list[str]) -> DataF
 
 def _completed(sums: DataFrame, n_bins: int, trim: bool) -> DataFrame:
     """S and C with their transposes added."""
-    both = sums.union(sums.select(F.col("cj").alias("ci"), F.col("ci").alias("cj"), "s", "c"))
-    out = both.groupBy("ci", "cj").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    turned = F.array(F.struct("ci", "cj"), F.struct(F.col("cj").alias("ci"), F.col("ci").alias("cj")))
+    both = sums.select(F.explode(turned).alias("x"), "s", "c")
+    out = both.groupBy("x.ci", "x.cj").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     return out.where(f"ci between 1 and {n_bins} and cj between 1 and {n_bins}") if trim else out
 
 
