@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 << 20
-
+from ..sources.workspace import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="binlattice-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+BROADCAST_BYTES = 32 << 20
 
 
 class Scratch:
@@ -34,17 +26,30 @@ class Scratch:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, *by: str) -> DataFrame:
+        """Writes df, with a folder for each value of the columns ``by``, and reads it back."""
         self.count += 1
         name = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(name)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(name)
         kept = self.spark.read.schema(df.schema).parquet(name)
         kept._binlattice_path = name
         return kept
 
+    def run(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Writes df in so many sorted buckets by the hash of key; joins of such runs by it need no shuffle."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        name = f"run_{path.rsplit('-', 1)[1].replace('/', '_')}"
+        df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+        kept = self.spark.table(name)
+        kept._binlattice_path, kept._binlattice_run = path, name
+        return kept
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for df in tables:
+            if name := getattr(df, "_binlattice_run", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             path = self._path(df._binlattice_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -53,21 +58,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def narrow_join(big: DataFrame, small: DataFrame, key: str, payload: str, how: str = "left") -> DataFrame:
-    """Joins the documents with per-document marks, one row a key.
+def places(prefix: str = "") -> list[Column]:
+    """row and tag, which tell rows of one doc_id apart, and rows without one.
+
+    row is the doc_id, or a hash of the text where that is null; tag is another
+    hash of the text. Rows equal in both hold the same text, so they may share
+    whatever is found out about it.
+    """
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(own))
+    return [row.alias(f"{prefix}row"), F.xxhash64(F.lit(7), own).bitwiseAND(0x7FFFFFFF).cast("int").alias(f"{prefix}tag")]
+
+
+def narrow_join(big: DataFrame, small: DataFrame, key: str | list[str], payload: str | Column, how: str = "left", *, limit: int | None = None) -> DataFrame:
+    """Joins the documents with marks, one row a key.
 
-    The marks are broadcast if their measured size is within BROADCAST_BYTES;
-    beyond it, both sides are shuffled by the key, which is unique there.
+    payload is the column of marks, or their size in bytes. The marks are broadcast
+    if their measured size is within limit (BROADCAST_BYTES by default); beyond
+    it, both sides are shuffled by the key.
     """
-    size = small.agg(F.sum(F.length(payload) + 64)).first()[0] or 0
-    side = F.broadcast(small) if size <= BROADCAST_BYTES else small.hint("merge")
+    size = small.agg(F.sum((F.length(payload) if isinstance(payload, str) else payload) + 64)).first()[0] or 0
+    side = F.broadcast(small) if size <= (BROADCAST_BYTES if limit is None else limit) else small.hint("merge")
     return big.join(side, key, how)
 
 
 def without(docs: DataFrame, scratch: Scratch, gone: DataFrame) -> DataFrame:
-    """The documents but those whose doc_id is in gone (doc_id, distinct), columns as they were."""
-    listed = scratch.table(gone.select("doc_id").withColumn("mark", F.lit("x")))
-    return narrow_join(docs, listed, "doc_id", "mark", "left_anti").select(docs.columns)
+    """The documents but the rows in gone (row, tag of ``places``, distinct), columns as they were."""
+    listed = scratch.table(gone.select(F.col("row").alias("__row"), F.col("tag").alias("__tag"), F.lit("x").alias("__mark")))
+    return narrow_join(docs.select("*", *places("__")), listed, ["__row", "__tag"], "__mark", "left_anti").select(docs.columns)
 
 
 def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:

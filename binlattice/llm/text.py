@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,7 +24,7 @@ ALNUM[0x30:0x3A] = True
 ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-RUN_BYTES = 1 << 21
+RUN_BYTES, LONG_WORD = 1 << 21, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP2 = np.uint64(0xD6E8FEB86659FD93)
@@ -38,6 +39,8 @@ def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = (np.full(size, x, dtype=np.uint64) for x in (base, inverse))
         up[0] = down[0] = 1
+        if len(_powers) > 8:
+            _powers.clear()
         have = _powers[int(base)] = np.cumprod(up), np.cumprod(down)
     return have
 
@@ -81,19 +84,26 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        up, down = _pow(_BASE, len(self.data) + 1)
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """A hash of each word: of a polynomial of its bytes with a base that key varies, or XXH3 for long words.
+
+        With a key that texts cannot know, equal hashes cannot be contrived.
+        """
+        up, down = _pow(_BASE ^ np.uint64(key << 1), len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        size = self.ends - self.starts
+        h = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + size.astype(np.uint64))
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.word(i), key)
+        return h
 
-    def rolling(self, hashes: np.ndarray, width: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def rolling(self, hashes: np.ndarray, width: int, second: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of width words inside one document."""
         total = len(hashes)
         if total < width:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-        base = _STEP2 if second else _STEP
+        base = (_STEP2 if second else _STEP) ^ np.uint64(key << 1)
         up, down = _pow(base, total + 1)
         sums = np.zeros(total + 1, dtype=np.uint64)
         np.cumsum(hashes * up[:total], out=sums[1:])
