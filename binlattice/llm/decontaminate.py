@@ -9,9 +9,19 @@ are joined. A match fixes where the unit can lie; placements outside the
 document are out by length and position, and the rest are verified word by word
 over windows of the unit's own size.
 
+Items are taken in blocks of a fixed size. What a block finds is written, a row
+for each text that holds one of its units, and its broadcasts are destroyed, so
+memory doesn't grow with the benchmark; one last pass puts the rows to the
+documents, the same way for one block as for many.
+
 Defined cases: null or empty texts have no words and no hits; items without
-words are never found; repeated items are found together; document columns
-other than the text pass through (``mark`` returns only its own columns).
+words are never found; items of one item_id count as one item, whatever their
+texts, and so do those without item_id, which have no name in the lists; equal
+windows of several items are found for each; every row of documents gives one
+row, judged by its own text, also where a doc_id is null or on several rows;
+texts of any length are scanned whole; no documents give no rows, no items no
+hits; other columns of the documents may have any names (``clean`` passes them
+through, ``mark`` returns only its own).
 """
 
 from __future__ import annotations
@@ -27,11 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Scratch, without
+from .shared import Scratch, narrow_join, places, without
 
 SHINGLE = 5
 BLOCK_BYTES = 8 << 20
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<long>"
 
 
 @dataclass
@@ -150,7 +159,7 @@ def find(groups: list[Group], words: tx.Words, hashes: np.ndarray):
 
 
 def item_blocks(items: DataFrame, limit: int):
-    """The items, at most about limit bytes of them on the driver at a time."""
+    """The items, at most about limit bytes of them on the driver at a time; no block is empty."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         block.append((row[0], row[1]))
@@ -158,24 +167,32 @@ def item_blocks(items: DataFrame, limit: int):
         if size > limit:
             yield block
             block, size = [], 0
-    yield block
+    if block:
+        yield block
 
 
-def mark(docs: DataFrame, items: DataFrame, *, window: int | None = 8, containment: float = 1.0, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, item_ids.
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Ranges [start, end) without overlaps that cover what the given ones do."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.ones(len(spans), dtype=bool)
+    first[1:] = spans[1:, 0] > reach[:-1]
+    last = np.append(first[1:], True)[: len(spans)]
+    return np.stack([spans[first, 0], reach[last]], axis=1).astype("<i4")
 
-    Items are read in blocks of a fixed size, so what goes to the executors is
-    bounded however many items there are; with more than one block the rows of
-    a document are put together afterwards.
-    """
-    spark = docs.sparkSession
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, *, window: int | None, containment: float, shingle: int, block_bytes: int) -> DataFrame:
+    """(row, tag, ranges, item_ids) of the texts that hold a unit: word ranges as packed int32 pairs, one set a block."""
+    context = docs.sparkSession.sparkContext
+    body = docs.select(F.col("text").cast("string").alias("text"), *places())
     parts = []
     for block in item_blocks(items, block_bytes):
         groups = build(block, window, containment, shingle)
-        shared = spark.sparkContext.broadcast(groups)
+        if not groups:
+            continue
+        plain = context.broadcast(groups)
 
-        def count(batches, shared=shared):
+        def count(batches, shared=plain):
             total = {g.width: np.zeros(len(g.vocabulary), dtype=np.int64) for g in shared.value}
             for batch in batches:
                 for _, _, w in tx.words(batch.column(0), tx.ALNUM, True):
@@ -186,46 +203,66 @@ def mark(docs: DataFrame, items: DataFrame, *, window: int | None = 8, containme
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), width, dtype=np.int32)), pa.array(at), pa.array(n[at])], ["width", "at", "n"])
 
-        seen = body.select("text").mapInArrow(count, "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n")).collect() if groups else []
+        seen = body.select("text").mapInArrow(count, "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n")).collect()
         order(groups, {(r.width, r.at): r.n for r in seen})
-        ranked = spark.sparkContext.broadcast(groups)
+        ranked = context.broadcast(groups)
 
-        def scan(batches, ranked=ranked):
+        def scan(batches, shared=ranked):
             for batch in batches:
-                found: list[list] = []
-                for lo, hi, w in tx.words(batch.column(1), tx.ALNUM, True):
-                    hit, ids = defaultdict(set), defaultdict(set)
-                    for d, item, a, b in find(ranked.value, w, w.hashes()):
-                        hit[d].update(range(a - int(w.first[d]), b - int(w.first[d])))
-                        ids[d].add(item)
-                    found += [[n, sorted(hit.get(d, ())), sorted(ids.get(d, ()))] for d, n in enumerate(w.counts.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "hit", "item_ids"],
-                )
-
-        parts.append(body.mapInArrow(scan, "doc_id long, n_words long, hit array<int>, item_ids array<long>"))
-    if len(parts) > 1:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        parts = [every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))]
+                at, ranges, ids = [], [], []
+                for lo, _, w in tx.words(batch.column(0), tx.ALNUM, True):
+                    spans, own = defaultdict(list), defaultdict(set)
+                    for d, item, a, b in find(shared.value, w, w.hashes()):
+                        spans[d].append((a - int(w.first[d]), b - int(w.first[d])))
+                        own[d].add(item)
+                    for d in sorted(spans):
+                        at.append(lo + int(d))
+                        ranges.append(joined(np.array(spans[d])).tobytes())
+                        ids.append(sorted(own[d], key=lambda i: (i is None, i or 0)))
+                found = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([found.column(1), found.column(2), pa.array(ranges, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], ["row", "tag", "ranges", "item_ids"])
+
+        parts.append(scratch.table(body.mapInArrow(scan, "row long, tag int, ranges binary, item_ids array<long>")))
+        plain.destroy()
+        ranked.destroy()
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "row long, tag int, ranges array<binary>, item_ids array<long>")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.groupBy("row", "tag").agg(F.collect_set("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
+    return scratch.table(every)
+
+
+def mark(docs: DataFrame, items: DataFrame, *, window: int | None = 8, containment: float = 1.0, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, limit: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, item_ids; limit as in ``narrow_join``."""
+    found = hits(docs, items, Scratch(docs.sparkSession), window=window, containment=containment, shingle=shingle, block_bytes=block_bytes)
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *places())
+    size = F.aggregate("ranges", F.lit(0), lambda n, r: n + F.length(r) + 16) + 8 * F.size("item_ids")
+    both = narrow_join(body, found, ["row", "tag"], size, limit=limit).select("doc_id", "text", "ranges", "item_ids")
+
+    def count(batches):
+        for batch in batches:
+            n = [c for _, _, w in tx.words(batch.column(1), tx.ALNUM, True) for c in w.counts.tolist()]
+            covered = []
+            for own in batch.column(2).to_pylist():
+                spans = joined(np.frombuffer(b"".join(own), dtype="<i4").reshape(-1, 2)) if own else np.empty((0, 2), dtype=int)
+                covered.append(int((spans[:, 1] - spans[:, 0]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(covered, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "item_ids"])
+
+    counted = both.mapInArrow(count, "doc_id long, n_words long, n_hit long, item_ids array<long>").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<long>")))
     as_text = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
-    return parts[0].select(
-        "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(as_text, 256).alias("items_sha256"), "item_ids",
-    )
+    return counted.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), "item_ids")
 
 
-def clean(docs: DataFrame, items: DataFrame, *, containment: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, containment: float = 0.8, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark item.
 
     An item is held where a window of its own number of words has at least the
-    given share of its shingles. Rows that repeat a doc_id go together; a null
-    doc_id names no document, so such rows stay.
+    given share of its shingles.
     """
-    found = mark(docs, items, window=None, containment=containment, shingle=shingle).where("n_items > 0")
-    return without(docs, Scratch(docs.sparkSession), found.select("doc_id").distinct())
+    scratch = Scratch(docs.sparkSession)
+    return without(docs, scratch, hits(docs, items, scratch, window=None, containment=containment, shingle=shingle, block_bytes=block_bytes))
 
 
 def digest(ids: list[int]) -> str:
