@@ -6,15 +6,23 @@ dimensions, the product so far plus the product of the suffix norms bounds the
 cosine, and rows and columns that cannot reach the threshold leave the tile.
 What is left is verified in double precision on the vectors as given.
 
+Blocks are leaves of a tree of median splits along the leading dimensions of the
+sample, cut further by a hash to a bounded size. A leaf's bounding box comes from
+all its vectors, and two leaves whose boxes lie farther apart than linked vectors
+can are not sent to each other; all other pairs of blocks are one task's work
+each, and compare everything in it.
+
 Equal vectors are one node with a count, links are counted where they are
 found and only a spanning forest of them leaves a task, so a large group of
-copies costs no pairs. Blocks are dealt by a hash and bounded in size; each
-pair of blocks is one task's work, and compares everything in it.
+copies costs no pairs.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
-component link with nothing; only vectors of one length are compared; the
-rotation is fitted on a bounded sample, which affects speed only. Rows that
-repeat a vec_id count as that many vectors.
+component link with nothing, and neither do rows without vec_id, whose
+component_id is null; only vectors of one length are compared, at any length;
+the rotation and the splits are fitted on a bounded sample, which affects speed
+only; rows that repeat a vec_id count as that many vectors, and each gives its
+own row; a cosine of exactly the threshold links; no vectors give no rows; other
+columns may have any names and are not returned.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, components
 
 BLOCK, TILE, FIT, SLACK = 4096, 512, 4096, 1e-4
-BLOCK_BYTES, SPREAD = 16 << 20, 32
+BLOCK_BYTES, SPREAD, LEADING, LEAF_FIT = 16 << 20, 32, 16, 8
 
 
 def _classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -40,8 +48,8 @@ def _classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         for batch in batches:
             keys: list[bytes | None] = []
             raws: list[bytes | None] = []
-            for v in batch.column(1):
-                a = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype("<f8")
+            for known, v in zip(batch.column(0).is_valid().to_pylist(), batch.column(1), strict=True):
+                a = None if not known or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype("<f8")
                 good = a is not None and len(a) and np.isfinite(a).all() and a.any()
                 raws.append((a + 0.0).tobytes() if good else None)
                 keys.append(xxhash.xxh3_128_digest(raws[-1]) if good else None)
@@ -60,20 +68,44 @@ def block_count(count: int, dim: int, block: int) -> int:
     return max(math.ceil(count / largest), min(math.ceil(count / block), SPREAD))
 
 
-def rotation(raws: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, dtype="<f8") for r in raws])
+def unit(raws: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(raws), dtype="<f8").reshape(len(raws), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def rotation(x: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
 
 
+def splits(lead: np.ndarray, leaves: int) -> list[tuple[int, float]]:
+    """A complete tree of splits (dimension, value) in breadth-first order, with at least ``leaves`` leaves if the sample allows."""
+    parts, tree = [lead], []
+    while len(parts) < min(leaves, len(lead) // LEAF_FIT):
+        level = []
+        for x in parts:
+            k = int(np.argmax(x.var(axis=0))) if len(x) else 0
+            cut = float(np.median(x[:, k])) if len(x) else 0.0
+            tree.append((k, cut))
+            level += [x[x[:, k] < cut], x[x[:, k] >= cut]]
+        parts = level
+    return tree
+
+
+def leaf(lead: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
+    """The leaf of each row."""
+    at = np.zeros(len(lead), dtype=np.int64)
+    k, v = (np.array(x) for x in zip(*tree, strict=True)) if tree else (None, None)
+    for _ in range((len(tree) + 1).bit_length() - 1):
+        at = 2 * at + 1 + (lead[np.arange(len(lead)), k[at]] >= v[at])
+    return at - len(tree)
+
+
 class Side:
     """Vectors of one block, sorted along the leading dimension."""
 
     def __init__(self, table: pa.Table, basis: np.ndarray, groups: list[int]):
-        x = np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype="<f8").reshape(len(table), -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(table.column("raw").to_pylist())
         r = x @ basis
         order = np.argsort(r[:, 0], kind="stable")
         self.x, r = x[order], r[order]
@@ -155,21 +187,78 @@ def _compare(a: Side, b: Side, same: bool, threshold: float) -> pa.Table:
     return pa.table({"id": ids[at], "n": links[at], "root": roots})
 
 
+def _leaves(classes: DataFrame, plan: dict) -> DataFrame:
+    """The classes with their leaf and its extent in the leading dimensions."""
+
+    def run(batches):
+        for batch in batches:
+            dims, raws = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            at, lead = np.zeros(len(raws), dtype=np.int64), [b""] * len(raws)
+            for dim in np.unique(dims).tolist():
+                basis, tree = plan[dim][0], plan[dim][3]
+                own = np.flatnonzero(dims == dim)
+                x = unit([raws[i] for i in own]) @ basis[:, :LEADING]
+                at[own] = leaf(x, tree)
+                for i, v in zip(own.tolist(), x, strict=True):
+                    lead[i] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(lead, pa.list_(pa.float64()))], [*batch.schema.names, "leaf", "lead"])
+
+    return classes.select("id", "n", "dim", "raw").mapInArrow(run, "id long, n long, dim int, raw binary, leaf long, lead array<double>")
+
+
+def _boxes(placed: DataFrame) -> dict[int, dict[int, tuple[int, np.ndarray, np.ndarray]]]:
+    """By dim and leaf: how many vectors, and their least and largest leading coordinates."""
+
+    def run(batches):
+        seen: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            for dim, at, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, lo, hi = seen.get((dim, at), (0, lead, lead))
+                seen[dim, at] = n + 1, np.minimum(lo, lead), np.maximum(hi, lead)
+        keys, values = list(seen), list(seen.values())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), *(pa.array([list(v[i]) for v in values], pa.list_(pa.float64())) for i in (1, 2))], ["dim", "leaf", "n", "lo", "hi"])
+
+    out: dict[int, dict] = {}
+    for r in placed.select("dim", "leaf", "lead").mapInArrow(run, "dim int, leaf long, n long, lo array<double>, hi array<double>").toLocalIterator():
+        own = out.setdefault(r.dim, {})
+        n, lo, hi = own.get(r.leaf, (0, r.lo, r.hi))
+        own[r.leaf] = n + r.n, np.minimum(lo, r.lo), np.maximum(hi, r.hi)
+    return out
+
+
+def partners(boxes: dict[int, tuple[int, np.ndarray, np.ndarray]], size: int, threshold: float) -> list[tuple[int, int, int, int, int]]:
+    """(leaf, its first block, its blocks, first block of a leaf that may hold links to it, blocks of that)."""
+    ids = sorted(boxes)
+    blocks = np.array([-(-boxes[i][0] // size) for i in ids])
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    lo, hi = (np.array([boxes[i][k] for i in ids]) for k in (1, 2))
+    out = []
+    for k, i in enumerate(ids):
+        gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
+        near = np.flatnonzero((gap**2).sum(axis=1) <= 2 - 2 * threshold + SLACK)
+        out += [(i, int(first[k]), int(blocks[k]), int(first[j]), int(blocks[j])) for j in near]
+    return out
+
+
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int = BLOCK, fit: int = FIT) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    scratch = Scratch(vectors.sparkSession)
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
     rows, classes = _classes(vectors, scratch)
     sizes = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}
     plan = {}
     for dim, count in sizes.items():
         picked = classes.where(F.col("dim") == dim).select("id").orderBy(F.xxhash64("id"), "id").limit(fit)
-        raws = [bytes(r.raw) for r in classes.join(F.broadcast(picked), "id", "left_semi").orderBy("id").select("raw").collect()]
+        x = unit([bytes(r.raw) for r in classes.join(F.broadcast(picked), "id", "left_semi").orderBy("id").select("raw").collect()])
         groups = sorted({min(dim, g) for g in (16, 32, dim)})
-        plan[dim] = (rotation(raws), groups, block_count(count, dim, block))
+        basis, blocks = rotation(x), block_count(count, dim, block)
+        plan[dim] = (basis, groups, math.ceil(count / blocks), splits(x @ basis[:, :LEADING], blocks))
+    placed = scratch.table(_leaves(classes, plan))
+    met = [(dim, *p) for dim, boxes in _boxes(placed).items() for p in partners(boxes, plan[dim][2], threshold)]
 
     def compare(key, table):
         dim, i, j = (k.as_py() for k in key)
-        basis, groups, _ = plan[dim]
+        basis, groups = plan[dim][:2]
         own = np.asarray(table.column("block"))
         a = Side(table.filter(pa.array(own == i)), basis, groups) if (own == i).any() else None
         b = a if i == j else Side(table.filter(pa.array(own == j)), basis, groups) if (own == j).any() else None
@@ -177,9 +266,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int =
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         return _compare(a, b, i == j, threshold)
 
-    counts = F.create_map(*(F.lit(x) for d, (_, _, g) in plan.items() for x in (d, g)))[F.col("dim")] if plan else F.lit(1)
-    dealt = classes.select("dim", "id", "n", "raw", counts.alias("g")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    near = spark.createDataFrame(met, "dim int, leaf long, base long, own long, first long, others long")  # at most (FIT / LEAF_FIT) ** 2 rows a dim
+    other = placed.drop("lead").join(F.broadcast(near), ["dim", "leaf"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("id"), F.col("own")))
+    other = other.withColumn("other", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("others") - 1)))
     paired = other.select("dim", "id", "n", "raw", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = scratch.table(paired.groupBy("dim", "i", "j").applyInArrow(compare, "id long, n long, root long"))
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
@@ -188,6 +277,6 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, block: int =
     named = classes.select("key", "id", "n").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     groups = named.join(least, "root").select("key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(groups, "key", "left")
+    out = rows.where("key is not null").join(groups, "key").unionByName(rows.where("key is null"), allowMissingColumns=True)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
