@@ -13,7 +13,10 @@ no task sees all records.
 
 Defined cases: null url and html are empty; records that repeat a page_id are
 told apart by their hash order; records without page_id have no place in the
-tree and are reported as ``unkeyed``; empty replicas have no root.
+tree, so those of the two sides are matched by their hashes, each with one at
+most; a replica may be empty, then all of the other's records are missing or
+extra, and two empty ones give no rows; records of any length are hashed whole;
+other columns may have any names and are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, partitions
 
 RANGE_BYTES, SHARD, FANOUT = 1 << 18, 512, 64
 
@@ -39,7 +42,9 @@ def hashed(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.select("page_id", F.octet_length(record()).cast("long").alias("n_bytes"), F.sha2(record(), 256).alias("sha256"))
     same = W.partitionBy("shard", "page_id").orderBy("sha256")
-    return rows.withColumn("shard", F.floor(F.col("page_id") / shard)).withColumn("nth", F.row_number().over(same))
+    rows = rows.withColumn("shard", F.floor(F.col("page_id") / shard))
+    keyed = rows.where("page_id is not null").withColumn("nth", F.row_number().over(same))
+    return keyed.unionByName(rows.where("page_id is null").withColumn("nth", F.lit(0)))
 
 
 def laid_out(rows: DataFrame, range_bytes: int = RANGE_BYTES, group: int = SHARD) -> DataFrame:
@@ -69,12 +74,12 @@ def _over(rows: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
 
 
 def tree(scratch: Scratch, rows: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from ranges (shard, range, hash) over shards (node, hash) to the root; the two large ones are written."""
+    """Levels from ranges (shard, range, hash) over shards (node, hash) to the root, each written once."""
     ranges = scratch.table(_over(rows, ["shard", "range"], ["page_id", "nth"], "sha256"))
     level = scratch.table(_over(ranges, ["shard"], ["range"], "hash").withColumnRenamed("shard", "node"))
     levels = [ranges, level]
     for _ in range(height):
-        level = _over(level.withColumn("up", F.floor(F.col("node") / fanout)), ["up"], ["node"], "hash").withColumnRenamed("up", "node")
+        level = scratch.table(_over(level.withColumn("up", F.floor(F.col("node") / fanout)), ["up"], ["node"], "hash").withColumnRenamed("up", "node"))
         levels.append(level)
     return levels
 
@@ -99,8 +104,9 @@ def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BY
     """One row per record of either side: page_id, nth, offset, n_bytes, sha256, shard, range, status.
 
     Statuses are intact, altered, missing (from the replica), extra (only
-    there) and unkeyed. Offsets, sizes and hashes are the primary's, or the
-    replica's for extra records, which have no offset.
+    there) and, for records without page_id that both sides have, unkeyed.
+    Offsets, sizes and hashes are the primary's, or the replica's for extra
+    records; those and records without page_id have no offset.
     """
     scratch = Scratch(primary.sparkSession)
     hashes = [scratch.table(hashed(x, shard)) for x in (primary, replica)]
@@ -120,6 +126,20 @@ def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BY
     wrong = scratch.table(ours.join(theirs, key, "full").withColumn("status", status).where("status is not null"))
     known = left.join(wrong.select(*key, "status"), key, "left").select("page_id", "nth", "offset", "n_bytes", "sha256", *place, F.coalesce("status", F.lit("intact")).alias("status"))
     extra = wrong.where("status = 'extra'").select("page_id", "nth", F.lit(None).cast("long").alias("offset"), F.col("their_bytes").alias("n_bytes"), F.col("theirs").alias("sha256"), *place, "status")
-    unkeyed = hashes[0].where("page_id is null").select("page_id", "nth", F.lit(None).cast("long").alias("offset"), "n_bytes", "sha256", "shard", F.lit(None).cast("long").alias("range"), F.lit("unkeyed").alias("status"))
-    return known.unionByName(extra).unionByName(unkeyed)
+    return known.unionByName(extra).unionByName(unkeyed(*hashes))
 
+
+def unkeyed(ours: DataFrame, theirs: DataFrame, chunk: int = 1000) -> DataFrame:
+    """The records without page_id: by hash, as many as both sides have are unkeyed, the rest missing or extra.
+
+    Counts are compared, not rows, and given out in chunks, so that no task holds all copies of a record.
+    """
+    sides = [x.where("page_id is null").groupBy("sha256", "n_bytes").agg(F.count("*").alias(c)) for x, c in ((ours, "a"), (theirs, "b"))]
+    both = sides[0].join(sides[1], ["sha256", "n_bytes"], "full").fillna(0, ["a", "b"])
+    kinds = [("unkeyed", F.least("a", "b"), F.lit(0)), ("missing", F.col("a") - F.col("b"), F.least("a", "b")), ("extra", F.col("b") - F.col("a"), F.least("a", "b"))]
+    parts = both.select("sha256", "n_bytes", F.explode(F.array(*(F.struct(F.lit(s).alias("status"), n.alias("n"), base.alias("base")) for s, n, base in kinds))).alias("k")).where("k.n > 0")
+    chunks = parts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("k.n") - 1) / chunk))).alias("c")).repartition(partitions(ours.sparkSession))
+    nth = F.explode(F.sequence(F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.col("k.n"))))
+    none = [F.lit(None).cast("long").alias(c) for c in ("page_id", "offset", "shard", "range")]
+    rows = chunks.select(*none, "n_bytes", "sha256", "k.status", "k.base", nth.alias("nth"))
+    return rows.select("page_id", (F.col("base") + F.col("nth")).cast("int").alias("nth"), "offset", "n_bytes", "sha256", "shard", "range", "status")
