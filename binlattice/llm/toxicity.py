@@ -1,20 +1,31 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and full-width
-forms to Latin, and digits and signs that stand for letters to those letters.
-Lexicon entries are whole words or word beginnings; the most heavily weighted
-entry at a word counts, and words inside an exception phrase don't. The sum is
-normalised by length and turned into a probability.
+Folding lower-cases, takes accents and other marks off letters, drops invisible
+characters, maps look-alike letters of other scripts and full-width forms to
+Latin, and digits and signs that stand for letters inside a word to those
+letters; numbers stay numbers, which no entry matches. Four or more single
+letters in a row are one spelled-out word. Lexicon entries are whole words or
+word beginnings; the most heavily weighted entry at a word counts, and words
+inside an exception phrase don't. The sum is normalised by length and turned
+into a probability.
 
 Entries and weights are log ratios of rates in labelled toxic and other
 documents, from at most ``SAMPLE`` rows a class. Without labels of both
-classes the built-in entries and a fixed calibration are used. Null and empty
-texts match nothing and get the score of a document without matches.
+classes the built-in entries and a fixed calibration are used.
+
+Defined cases: null and empty texts match nothing and get the score of a document
+without matches; every row of documents gives one row, scored by its text alone,
+also where a doc_id is null (then it isn't held out and trains nothing) or on
+several rows (each of which trains, as any row); of several labels of one doc_id
+the largest counts, null labels and labels without a document none; equal
+weights at one word are one hit; texts of any length are read whole; no documents
+give no rows; other columns may have any names and are not returned.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,20 +40,25 @@ from .labelled import logistic, remainder, sample
 SAMPLE, ENTRIES, PREFIXES = 2500, 3000, (4, 5, 6, 7)
 BUILT_IN = {"idiot": 4.0, "moron": 4.0, "scum": 4.0, "pathetic": 3.0, "worthless": 3.0, "loser": 3.0, "stupid": 3.0, "disgusting": 2.5, "trash": 2.0, "clown": 2.0}
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circus clown", "idiot proof", "pond scum", "stupid simple")
-LOOKALIKE = str.maketrans(
-    "аеорсухіјѕһԁԛԝкмтвнαεορτυικνβ" + "".join(chr(0xFF41 + i) for i in range(26)) + "0134578",
-    "aeopcyxijshdqwkmtbhaeoptuiknb" + "abcdefghijklmnopqrstuvwxyz" + "oieastb",
-)
+LOOKALIKE = str.maketrans("аеорсухіјѕһԁԛԝкмтвнαεορτυικνβ", "aeopcyxijshdqwkmtbhaeoptuiknb")
+DIGITS = str.maketrans("0134578", "oieastb")
 SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
+MARKS = re.compile("[\u0300-\u036f\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
+DIGIT_WORD = re.compile(r"[^\W_]*\d[^\W_]*")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+SPELLED = re.compile(r"(?<= )\S(?: \S){3,}(?= )")
 
 
 def fold(text: str) -> str:
     """Folded words, each between single spaces."""
     text = text.lower()
+    if not text.isascii():
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(LOOKALIKE)
     if "@" in text or "$" in text:
         text = SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
-    return " " + NOT_LETTERS.sub(" ", text.translate(LOOKALIKE)).strip() + " "
+    text = DIGIT_WORD.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(DIGITS), text)
+    folded = " " + NOT_LETTERS.sub(" ", text).strip() + " "
+    return SPELLED.sub(lambda m: m[0].replace(" ", ""), folded)
 
 
 @dataclass
