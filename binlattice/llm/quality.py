@@ -6,8 +6,16 @@ then trees on pairs, for the pairs that explain most of what is left. A score
 is a sum of table look-ups, done for all documents of a batch at once.
 
 Learned from at most ``SAMPLE`` labelled rows a class. Without both classes
-every document scores one half. Null and empty texts have zero features and are
-scored like any other.
+every document scores one half.
+
+Defined cases: null and empty texts have zero features and are scored like any
+other; every row of documents gives one row, scored by its text alone, also where
+a doc_id is null (then it isn't held out and trains nothing) or on several rows
+(each of which trains, as any row); of several labels of one doc_id the largest
+counts, null labels and labels without a document none; of equal splits the
+first is taken, and of features with equal gain the first; texts of any length
+are read whole; no documents give no rows; other columns may have any names
+(``accepted`` passes them through, ``score`` returns only its own).
 """
 
 from __future__ import annotations
