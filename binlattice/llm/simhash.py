@@ -13,7 +13,14 @@ there.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and are
 linked like any other; fewer words than a shingle are one shingle; equal texts
-always share a component; a repeated doc_id counts as one document.
+always share a component; every row of documents gives one row, by its own text,
+also where a doc_id is on several rows; rows without doc_id link as well, and a
+component's id is null only where no row of it has one; a bit set in exactly half
+the shingles is zero; texts of any length are read whole; no documents give no
+rows; other columns may have any names and are not returned.
+
+Distinct fingerprints of one variant meet in one task, eight bytes each; copies of
+a text or fingerprint don't add to them.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Scratch, components, without
+from .shared import Scratch, components, places, without
 
 SEED = 42
 SMALL = 24
@@ -52,16 +59,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and the fingerprint of the text, as a signed long."""
+    """doc_id, row and tag, and the fingerprint of the text, as a signed long."""
 
     def run(batches):
         for batch in batches:
             data, at = tx.buffers(batch.column(1))
             whole = data.tobytes()
             fp = np.array([fingerprint(whole[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fp.view(np.int64))], ["doc_id", "row", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *places())
+    return body.mapInArrow(run, "doc_id long, row long, tag int, fp long")
 
 
 def segments(limit: int) -> list[tuple[int, int]]:
@@ -171,8 +179,8 @@ def links(batches, limit: int):
         yield settle(key, fp)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, limit: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, limit: int = 4, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach), with keep also row and tag of ``places``."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.table(fingerprints(docs, shingle))
     classes = scratch.table(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -183,11 +191,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, limit: int = 4) -> Dat
     named = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = scratch.table(named.join(least, "root").select("fp", "component_id"))
-    return own.join(groups, "fp").select("doc_id", "fp", "component_id")
+    return own.join(groups, "fp").select("doc_id", "fp", "component_id", *["row", "tag"][: 2 * keep])
 
 
-def first_of_each(docs: DataFrame, *, shingle: int = 5, limit: int = 6) -> DataFrame:
-    """The documents, all columns, with one of each component: that of the smallest doc_id."""
+def first_of_each(docs: DataFrame, *, shingle: int = 4, limit: int = 4) -> DataFrame:
+    """The documents, all columns, with those of one doc_id of each component: the smallest; rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, shingle=shingle, limit=limit).where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, scratch, gone)
+    found = near_duplicates(docs.select("text", "doc_id"), shingle=shingle, limit=limit, keep=True)
+    return without(docs, scratch, found.where("doc_id <> component_id").select("row", "tag").distinct())
