@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import arrays
 from .operators import bands, compartments, dots, expected, profiles, rearrange, snip
-from .plans.joins import align_track
-from .schema import ContactMap
+from .plans.joins import align_track, view_pairs
+from .schema import ContactMap, expected_fits_trans, expected_fits_view, expected_problems, require
 from .sources import genome, maps
 
 
@@ -29,19 +29,20 @@ def parser() -> argparse.ArgumentParser:
     number = {"type": int}
     add("expected-cis", smooth={"action": "store_true"}, aggregate_smoothed={"action": "store_true"}, ignore_diags={"type": int, "default": 2})
     add("expected-trans")
-    add("logbin-expected", bins_per_decade={"type": int, "default": 10})
-    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"})
+    add("logbin-expected", bins_per_decade={"type": int, "default": 10}, table={"choices": ["binned", "slopes", "combined", "combined-slopes"], "default": "binned"}, spread={"choices": ["logstd", "std"], "default": "logstd"})
+    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"}, bedgraph={"action": "store_true", "help": "also one track a window, beside the output"})
     add("directionality", window_bins={"type": int, "default": 10})
-    add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"})
+    add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"}, store={"action": "store_true", "help": "the output is the map with the marginals as bin columns"})
     add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"})
-    add("pileup", features={"required": True}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"})
+    add("pileup", features={"required": True}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"}, expected={"help": "table of cis expected to divide by"}, stack={"help": "folder for the snippets themselves, as Parquet"})
     phased = {"n_eigs": {"type": int, "default": 3}, "phasing_track": {"help": "FILE or FILE::COLUMN of chrom, start, end, value"}, "sort_metric": {"choices": ["spearmanr", "pearsonr", "var_explained", "MAD_explained"]}}
     add("eigs-cis", clip_percentile={"type": float, "default": 99.9}, **phased)
     add("eigs-trans", **phased)
-    add("saddle", track={"required": True, "help": "FILE or FILE::COLUMN of chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"})
-    add("dots", max_distance={"type": int, "default": 2_000_000}, fdr={"type": float, "default": 0.02}, n_lambda_bins={"type": int, "default": 45}, radius={"type": float, "default": 39_000})
+    add("saddle", track={"required": True, "help": "FILE or FILE::COLUMN of chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"}, contact_type={"choices": ["cis", "trans"], "default": "cis"}, expected={"help": "table of expected values"}, qrange={"type": float, "nargs": 2}, vrange={"type": float, "nargs": 2}, min_dist={"type": int, "default": 3, "help": "in bins"}, max_dist={"type": int, "default": -1, "help": "in bins"}, trim_outliers={"action": "store_true"}, bundle={"help": "folder for sums, counts, edges and the digitized track, as Parquet"})
+    add("dots", max_distance={"type": int, "default": 2_000_000}, fdr={"type": float, "default": 0.02}, n_lambda_bins={"type": int, "default": 45}, radius={"type": float, "default": 39_000}, expected={"help": "table of cis expected"})
     add("random-sample", count=number, cis_count=number, frac={"type": float}, exact={"action": "store_true"}, seed={"type": int, "default": 0})
     add("rearrange")
+    add("coarsen", factor={"type": int, "nargs": "+", "required": True, "help": "one map a factor goes into the output folder"})
     g = sub.add_parser("genome").add_subparsers(dest="what", required=True)
     for name, inputs in (("binnify", ["chromsizes", "binsize"]), ("digest", ["fasta", "enzyme"]), ("gc", ["bins", "fasta"]), ("genecov", ["bins", "genes"])):
         s = g.add_parser(name)
@@ -64,6 +65,26 @@ def track_of(spark: SparkSession, m: ContactMap, text: str | None) -> DataFrame
     return align_track(m.bins, genome.read_track(spark, text)).select("bin_id", "value") if text else None
 
 
+def cis_expected(spark: SparkSession, m: ContactMap, view: DataFrame, path: str | None) -> DataFrame:
+    """A cis expected from a file, checked against map and view, or computed."""
+    if not path:
+        return expected.expected_cis(m, view)
+    e = genome.read_expected(spark, path, ["balanced_avg"])
+    pairs = view_pairs(view, "cis").where("region1 = region2")
+    require(expected_problems(e, ["region1", "region2", "dist"]), f"expected {path}")
+    require(expected_fits_view(e.where("region1 = region2"), expected.diag_table(expected.region_bins(m, view), pairs)), f"expected {path} does not fit the view")
+    return e.where("region1 = region2")
+
+
+def trans_expected(spark: SparkSession, m: ContactMap, view: DataFrame, path: str | None) -> DataFrame:
+    """A trans expected from a file, checked against map and view, or computed."""
+    if not path:
+        return expected.expected_trans(m, view)
+    e = genome.read_expected(spark, path, ["balanced_avg"])
+    require(expected_fits_trans(e, expected.block_table(expected.region_bins(m, view), view_pairs(view, "trans"))), f"expected {path} does not fit the view")
+    return e
+
+
 def run_genome(spark: SparkSession, a: argparse.Namespace) -> None:
     bed = "chrom string, start long, end long"
     if a.what == "binnify":
@@ -83,29 +104,39 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "genome":
         return run_genome(spark, a)
     m = maps.read_map(spark, a.map)
-    view = genome.read_view(spark, a.view) if a.view else maps.chrom_view(m.bins)
+    view = genome.read_view(spark, a.view, m.chromsizes()) if a.view else maps.chrom_view(m.bins)
     out = None
     if a.command == "expected-cis":
-        out = expected.expected_cis(m, view, ignore_diags=a.ignore_diags)
-        out = expected.smooth_cvd(out, True) if a.smooth or a.aggregate_smoothed else out
-        out = expected.smooth_cvd(out, False) if a.aggregate_smoothed else out
+        out = expected.expected_cis(m, view, ignore_diags=a.ignore_diags, smooth=a.smooth, aggregate_smoothed=a.aggregate_smoothed)
     elif a.command == "expected-trans":
         out = expected.expected_trans(m, view)
     elif a.command == "logbin-expected":
         out = expected.logbin(expected.expected_cis(m, view), per_decade=a.bins_per_decade)
+        out = expected.slopes(out) if a.table.endswith("slopes") else out
+        out = expected.combine_binned(out, spread="std" if a.table == "combined-slopes" else a.spread, value="slope" if a.table == "combined-slopes" else "balanced_avg") if a.table.startswith("combined") else out
     elif a.command == "insulation":
         windows = [w * m.binsize for w in a.window] if a.window_pixels else a.window
         more = {"min_frac_valid": a.min_frac_valid_pixels, "min_dist_bad_bin": a.min_dist_bad_bin, "append_raw": a.append_raw_scores}
         out = bands.insulation_table(m, view, windows, ignore_diags=a.ignore_diags, **more, threshold=a.threshold if a.threshold in ("Li", "Otsu") else float(a.threshold))
+        for w in windows if a.bedgraph else ():
+            genome.write_bedgraph(out, f"{a.output}.{w}.bedgraph", f"log2_insulation_score_{w}")
     elif a.command == "directionality":
         out = bands.directionality(m, a.window_bins)
     elif a.command == "coverage":
         out = profiles.coverage(m, weighted=not a.raw, ignore_diags=a.ignore_diags)
+        if a.store:
+            total = out.agg(F.sum("cov_cis")).first()[0]
+            maps.write_map(ContactMap(out, m.pixels, m.binsize, m.meta | {"cis": total}), a.output)
+            return
     elif a.command == "virtual4c":
         out = profiles.virtual4c(m, *region(a.viewpoint))
     elif a.command == "pileup":
-        e = expected.expected_cis(m, view) if a.by_expected else None
-        out = snip.pileup(snip.snippets(m, genome.read_features(spark, a.features), view, flank=a.flank, min_diag=None, expected=e), a.aggregate)
+        e = cis_expected(spark, m, view, a.expected) if a.by_expected or a.expected else None
+        stack = snip.snippets(m, genome.read_features(spark, a.features), view, flank=a.flank, min_diag=None, expected=e)
+        if a.stack:
+            stack.write.parquet(a.stack)
+            stack = spark.read.parquet(a.stack)
+        out = snip.pileup(stack, a.aggregate)
     elif a.command == "eigs-cis":
         out = compartments.eigs_cis(m, view, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), clip_percentile=a.clip_percentile, sort=a.sort_metric)
     elif a.command == "eigs-trans":
@@ -113,14 +144,28 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             raise ValueError("eigs-trans takes no view")
         out = compartments.eigs_trans(m, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), sort=a.sort_metric)
     elif a.command == "saddle":
-        out = compartments.saddle_cis(m, compartments.digitize(track_of(spark, m, a.track), a.n_bins, qrange=(0.02, 0.98)), view, expected.expected_cis(m, view), a.n_bins)
+        track = track_of(spark, m, a.track)
+        edges = compartments.bin_edges(track, a.n_bins, vrange=a.vrange, qrange=None if a.vrange else a.qrange or (0.0, 1.0))
+        classes = track.withColumn("cls", compartments.digitized(F.col("value"), edges))
+        if a.contact_type == "trans":
+            out = compartments.saddle_trans(m, classes, trans_expected(spark, m, view, a.expected), a.n_bins, trim_outliers=a.trim_outliers)
+        else:
+            out = compartments.saddle_cis(m, classes, view, cis_expected(spark, m, view, a.expected), a.n_bins, min_diag=a.min_dist, max_diag=a.max_dist, trim_outliers=a.trim_outliers)
+        if a.bundle:
+            out.write.parquet(f"{a.bundle}/saddle")
+            classes.write.parquet(f"{a.bundle}/track")
+            spark.createDataFrame(list(enumerate(edges)), "n int, edge double").write.parquet(f"{a.bundle}/edges")
+            out = spark.read.parquet(f"{a.bundle}/saddle")
         out = compartments.saddle_strength(out, a.n_bins) if a.strength else out
     elif a.command == "dots":
-        out = dots.dots(m, view, expected.expected_cis(m, view), arrays.recommend_kernels(m.binsize), band=a.max_distance // m.binsize, fdr=a.fdr, n_lambda_bins=a.n_lambda_bins, radius_bins=a.radius / m.binsize)
+        out = dots.dots(m, view, cis_expected(spark, m, view, a.expected), arrays.recommend_kernels(m.binsize), band=a.max_distance // m.binsize, fdr=a.fdr, n_lambda_bins=a.n_lambda_bins, radius_bins=a.radius / m.binsize)
     elif a.command == "random-sample":
         maps.write_map(profiles.sample(m, count=a.count, cis_count=a.cis_count, frac=a.frac, exact=a.exact, seed=a.seed), a.output)
     elif a.command == "rearrange":
         maps.write_map(rearrange.rearrange(m, view), a.output)
+    elif a.command == "coarsen":
+        for k in a.factor:
+            maps.write_map(maps.coarser(m, k), f"{a.output}/{m.binsize * k}")
     if out is not None:
         genome.write_table(out, a.output)
 

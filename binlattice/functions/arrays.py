@@ -68,6 +68,28 @@ def interpolate(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[k] + (at - x[k]) * (y[k + 1] - y[k]) / (x[k + 1] - x[k])
 
 
+def quadratic_basis(at: np.ndarray, knots: np.ndarray, n: int) -> np.ndarray:
+    """Values of the n quadratic B-splines at some places; the end pieces go on beyond the knots."""
+    k = np.clip(np.searchsorted(knots, at, side="right") - 1, 2, n - 1)
+    out, rows = np.zeros((len(at), n)), np.arange(len(at))
+    t = lambda d: knots[k + d]
+    rise = (at - t(0)) / (t(1) - t(0))
+    left, mid, right = (at - t(-1)) / (t(1) - t(-1)), (t(2) - at) / (t(2) - t(0)), (at - t(0)) / (t(2) - t(0))
+    out[rows, k - 2] = (1 - rise) * (t(1) - at) / (t(1) - t(-1))
+    out[rows, k - 1] = (1 - rise) * left + rise * mid
+    out[rows, k] = rise * right
+    return out
+
+
+def interpolate_quadratic(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Quadratic spline through the points, with knots midway between all but the outer ones, carried on at the ends."""
+    knots = np.concatenate([[x[0]] * 3, ((x[1:] + x[:-1]) / 2)[1:-1], [x[-1]] * 3])
+    return quadratic_basis(at, knots, len(x)) @ np.linalg.solve(quadratic_basis(x, knots, len(x)), y)
+
+
+INTERPOLATORS = {"linear": (interpolate, 2), "quadratic": (interpolate_quadratic, 3)}
+
+
 def log_smooth(x: np.ndarray, y: np.ndarray, sigma: float, per_sigma: int = 10) -> np.ndarray:
     """Gaussian mean over log10 x within five sigma, at points thinned to per_sigma a sigma, and interpolated between."""
     lx = np.log10(x)
@@ -93,10 +115,10 @@ def kernel(width: int, inner: int, kind: str) -> np.ndarray:
         return ((np.abs(x) <= 1) & (np.abs(y) > inner)).astype(int)
     if kind == "horizontal":
         return ((np.abs(y) <= 1) & (np.abs(x) > inner)).astype(int)
-    if kind == "lowleft":
-        return (ring & (x < 0) & (y > 0)).astype(int)
-    if kind == "upright":
+    if kind == "lowleft":  # a convolution turns kernels about, so this one reads the corner towards the diagonal
         return (ring & (x > 0) & (y < 0)).astype(int)
+    if kind == "upright":
+        return (ring & (x < 0) & (y > 0)).astype(int)
     raise ValueError(f"unknown kernel {kind}")
 
 
@@ -104,7 +126,9 @@ def recommend_kernels(binsize: int) -> dict[str, np.ndarray]:
     """Donut, vertical, horizontal and lower-left kernels for resolutions of 4 to 28 kb."""
     if not 4000 <= binsize <= 28000:
         raise ValueError("no recommended kernels at this resolution")
-    w, p = (3, 1) if binsize >= 18000 else (5, 2) if binsize >= 8000 else (7, 4)
+    # fixed values: least bin size, half-widths outer and inner
+    steps = ((18000, 3, 1), (8000, 5, 2), (4000, 7, 4))
+    w, p = next((w, p) for least, w, p in steps if binsize >= least)
     return {k: kernel(w, p, k) for k in ("donut", "vertical", "horizontal", "lowleft")}
 
 
@@ -127,23 +151,49 @@ def poisson_sf(lam: float, top: int) -> np.ndarray:
     return np.minimum(1.0, tail[: top + 1])
 
 
-def prominence(v: np.ndarray) -> np.ndarray:
-    """Prominence of strict local maxima, 0 elsewhere; the first global maximum is measured from the lowest local minimum."""
-    out = np.zeros(len(v))
-    inner = np.arange(1, len(v) - 1)
-    peaks = inner[(v[inner] > v[inner - 1]) & (v[inner] > v[inner + 1])]
-    lows = v[inner[(v[inner] < v[inner - 1]) & (v[inner] < v[inner + 1])]]
+def poisson_sf_at(lam: float, counts: np.ndarray) -> np.ndarray:
+    """P(X > k) at some counts, by the series of the tail beyond each; work is by number of counts and spread, not by their size."""
+    k = np.asarray(counts, dtype=float)
+    steps = int(40 + 14 * math.sqrt(lam + 1))
+    above = k >= lam  # sum the shorter tail: upwards from k + 1, or downwards from k
+    lead = np.where(above, k + 1, k)
+    log_lead = lead * math.log(lam) - lam - np.array([math.lgamma(x + 1) for x in lead])
+    term, total = np.ones(len(k)), np.zeros(len(k))
+    for i in range(steps):
+        total += term
+        term = term * np.where(above, lam / (lead + 1 + i), np.maximum(lead - i, 0) / lam)
+    part = np.exp(log_lead) * total
+    return np.clip(np.where(above, part, 1 - part), 0.0, 1.0)
+
+
+def prominence(v: np.ndarray, max_dist: int | None = None) -> np.ndarray:
+    """Prominence of strict local maxima among known neighbours, 0 elsewhere.
+
+    A side ends at a higher value, or max_dist + 1 places away if that comes
+    first; the lowest value up to there counts. Of maxima that neither side
+    ends, the first is measured from the lowest local minimum within max_dist.
+    """
+    n, reach = len(v), len(v) if max_dist is None else int(max_dist)
+    out = np.zeros(n)
+    known = np.flatnonzero(~np.isnan(v))
+    x, inner = v[known], slice(1, -1)
+    turn = lambda a: known[inner][(a[inner] > a[:-2]) & (a[inner] > a[2:])]
+    if len(known) < 3:
+        return out
+    peaks, lows = turn(x), turn(-x)
     top_seen = False
-    for p in peaks:
+    for p in peaks.tolist():
         left, right = np.flatnonzero(v[:p] > v[p]), np.flatnonzero(v[p + 1 :] > v[p])
-        if not len(left) and not len(right):
-            if not top_seen:
-                out[p] = v[p] - (lows.min() if len(lows) else v.min())
+        stop = max(int(left[-1]) if len(left) else -1, p - reach - 1)
+        end = min(p + 1 + int(right[0]) if len(right) else n, p + reach + 1)
+        sides = [v[p] - np.nanmin(v[stop:p])] if stop >= 0 else []
+        sides += [v[p] - np.nanmin(v[p:end])] if end < n else []
+        if sides:
+            out[p] = min(sides)
+        elif not top_seen:
             top_seen = True
-            continue
-        sides = [v[p] - v[left[-1] : p].min()] if len(left) else []
-        sides += [v[p] - v[p + 1 : p + 1 + right[0]].min()] if len(right) and right[0] else [0.0] * bool(len(right))
-        out[p] = min(sides)
+            near = lows[(lows >= p - reach) & (lows < p + reach)]
+            out[p] = v[p] - (v[near].min() if len(near) else np.nanmin(v[max(p - reach, 0) : p + reach]))
     return out
 
 
@@ -214,6 +264,43 @@ def balance(a: np.ndarray, max_iter: int = 1000, tol: float = 1e-5, ignore_diags
     return x
 
 
+def newton_scaling(product, n: int, tol: float = 1e-6, max_products: int = 300) -> tuple[np.ndarray, float]:
+    """x with x * (A x) = 1 for a symmetric non-negative A given by its product with a vector, and the residual.
+
+    Outer steps solve Newton's equation for a factor y of x by conjugate
+    gradients, preconditioned by the marginals; y stays within bounds, and each
+    outer step is solved as closely as the last one's progress warrants.
+    """
+    low, high, forcing, most = 0.1, 3.0, 0.9, 0.1  # bounds of a factor; how closely inner steps are solved
+    x, eta, used = np.ones(n), most, 1
+    v = x * product(x)
+    r = 1 - v
+    err = float(r @ r)
+    while err > tol**2 and used < max_products:
+        y, p, rz_before, rz, goal = np.ones(n), None, 1.0, float(r @ (r / v)), max(eta**2 * err, tol**2)
+        while (p is None or rz > goal) and used < max_products:
+            p = r / v if p is None else r / v + rz / rz_before * p
+            w, used = x * product(x * p) + v * p, used + 1
+            step = rz / float(p @ w) * p
+            to = y + step
+            out = (to <= low) | (to >= high)
+            if out.any():  # go as far as the bounds allow, and take a new outer step
+                room = np.where(step[out] < 0, low - y[out], high - y[out]) / step[out]
+                y = y + room.min() * step
+                break
+            y, r, rz_before = to, r - rz / float(p @ w) * w, rz
+            rz = float(r @ (r / v))
+        x, used = x * y, used + 1
+        v = x * product(x)
+        r = 1 - v
+        before, err = err, float(r @ r)
+        chosen = forcing * err / before
+        if forcing * eta**2 > most:
+            chosen = max(chosen, forcing * eta**2)
+        eta = max(min(chosen, most), tol / 2 / math.sqrt(err)) if err else most
+    return x, math.sqrt(err)
+
+
 def balance_rectangle(a: np.ndarray, max_iter: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, bool]:
     """Iterative correction of rows and columns, and whether it converged."""
     x, done = np.nan_to_num(a.astype(float)), False
@@ -350,32 +437,73 @@ def interp_nan(v: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(v)), np.flatnonzero(ok), v[ok]) if ok.any() else v.copy()
 
 
-def zoom(a: np.ndarray, shape: tuple[int, int], same_sum: bool = False) -> np.ndarray:
-    """Resampled to a shape: linear interpolation up to a multiple, then block means."""
+def interp_nan_2d(a: np.ndarray, pad_zeros: bool = True) -> np.ndarray:
+    """NaN rows and columns filled bilinearly from the whole ones around them, with a margin of zeros if asked for.
+
+    The rows (columns) with most NaNs are the masked ones; a NaN elsewhere is an error.
+    """
+    x = np.pad(a.astype(float), 1) if pad_zeros else a.astype(float).copy()
+    gap = np.isnan(x)
+    if gap.any():
+        if gap[[0, -1]].any() or gap[:, [0, -1]].any():
+            raise ValueError("edges must not be NaN")
+        rows, cols = (np.flatnonzero(n < n.max()) for n in (gap.sum(axis=1), gap.sum(axis=0)))
+        if gap[np.ix_(rows, cols)].any():
+            raise ValueError("there are NaNs outside the masked rows and columns")
+        whole = x[np.ix_(rows, cols)]
+        along = np.stack([np.interp(np.arange(x.shape[1]), cols, row) for row in whole])
+        full = np.stack([np.interp(np.arange(x.shape[0]), rows, col) for col in along.T], axis=1)
+        x[gap] = full[gap]
+    return x[1:-1, 1:-1] if pad_zeros else x
+
+
+def zoom(a: np.ndarray, shape: tuple[int, ...], same_sum: bool = False, zoom_function=None) -> np.ndarray:
+    """Resampled to a shape: linear interpolation between aligned corners up to a multiple, then block means.
+
+    zoom_function(array, finer shape) may take the interpolation's place; with
+    same_sum, values shrink as their number grows.
+    """
     out = a.astype(float)
-    for axis, size in enumerate(shape):
-        fine = size * max(1, math.ceil(out.shape[axis] / size))
-        at = (np.arange(fine) + 0.5) * out.shape[axis] / fine - 0.5
-        out = np.apply_along_axis(lambda v: np.interp(at, np.arange(len(v)), v), axis, out)  # noqa: B023
-        out = np.moveaxis(np.moveaxis(out, axis, 0).reshape(size, fine // size, -1).mean(axis=1).reshape(size, *np.delete(out.shape, axis)), 0, axis)
-    return out * (a.sum() / out.sum()) if same_sum and out.sum() else out
-
-
-def adaptive_coarsegrain(a: np.ndarray, counts: np.ndarray, cutoff: int = 5, max_levels: int = 8) -> np.ndarray:
-    """Cells of too few counts take the mean of the 2, 4, ... wide block around them; invalid cells stay NaN."""
-    def level(a, c, depth):
-        n = len(a)
-        if depth == 0 or n < 4:
-            return a
-        m = (n + 1) // 2 * 2
-        pad = lambda x: np.pad(x, ((0, m - n), (0, m - n)), constant_values=np.nan)
-        pa, pc = pad(a).reshape(m // 2, 2, m // 2, 2), pad(np.where(np.isfinite(a), c, np.nan)).reshape(m // 2, 2, m // 2, 2)
-        valid = np.isfinite(pa)
-        size = np.maximum(valid.sum(axis=(1, 3)), 1)
-        mean, total = np.where(valid, pa, 0).sum(axis=(1, 3)) / size, np.where(valid, pc, 0).sum(axis=(1, 3))
-        coarse = level(np.where(valid.any(axis=(1, 3)), mean, np.nan), total, depth - 1)
-        thin = (np.where(valid, pc, np.inf) < cutoff).any(axis=(1, 3), keepdims=True)
-        out = np.where(thin & valid, coarse[:, None, :, None], pa)
-        return out.reshape(m, m)[:n, :n]
-
-    return level(a.astype(float), counts.astype(float), max_levels)
+    fold = [math.ceil(n / size) if size < n else 1 for n, size in zip(out.shape, shape, strict=True)]
+    fine = tuple(size * k for size, k in zip(shape, fold, strict=True))
+    if zoom_function:
+        out = np.asarray(zoom_function(out, fine), dtype=float)
+    else:
+        for axis, m in enumerate(fine):
+            n = out.shape[axis]
+            at = np.linspace(0, n - 1, m)
+            lo = np.minimum(at.astype(int), max(n - 2, 0))
+            part = (at - lo).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+            out = np.take(out, lo, axis) * (1 - part) + np.take(out, np.minimum(lo + 1, n - 1), axis) * part
+    for axis, k in enumerate(fold):
+        out = out.reshape(*out.shape[:axis], shape[axis], k, *out.shape[axis + 1 :]).mean(axis=axis + 1)
+    return out * (math.prod(a.shape) / math.prod(shape)) if same_sum else out
+
+
+def adaptive_coarsegrain(a: np.ndarray, counts: np.ndarray, cutoff: int = 5, max_levels: int = 8, min_shape: int = 8) -> np.ndarray:
+    """Quartets of cells with one of too few counts share the mean of the 2, 4, ... wide block around them; invalid cells stay NaN.
+
+    Every level carries sums, counts and numbers of valid cells, so blocks with
+    bad cells weigh no more than what is valid in them.
+    """
+    n = len(a)
+    size = 1 << max(n - 1, 0).bit_length()
+    grown = lambda x, fill: np.pad(x.astype(float), (0, size - n), constant_values=fill)
+    quartets = lambda x: x.reshape(len(x) // 2, 2, -1, 2)
+    spread = lambda x: np.repeat(np.repeat(x, 2, axis=0), 2, axis=1)
+
+    def refined(total, count, valid, depth):
+        if depth == 0 or len(total) <= min_shape:
+            return total
+        sums = [quartets(x).sum(axis=(1, 3)) for x in (total, count, valid)]
+        least = quartets(np.where(valid > 0, count, np.inf)).min(axis=(1, 3))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = refined(*sums, depth - 1) / sums[2]
+        out = np.where(spread(least < cutoff), spread(mean) * valid, total)
+        return np.where(valid > 0, out, 0.0)
+
+    cells = grown(a, np.nan)
+    valid = np.isfinite(cells).astype(float)
+    known = valid > 0
+    out = refined(np.where(known, cells, 0.0), np.where(known, grown(counts, 0), 0.0), valid, max_levels)
+    return np.where(known, out, np.nan)[:n, :n]

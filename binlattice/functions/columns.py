@@ -87,9 +87,10 @@ def gauss_smooth(df: DataFrame, value: str, region: str, order: str, sigma: floa
     return a.join(b, [region, "_o"]).groupBy(region, order).agg(ratio(F.sum(w * F.col("_v")), F.sum(w)).alias("smooth"))
 
 
-def asymmetry(cells: DataFrame) -> DataFrame:
-    """Cells (i, j, value) whose mirror differs."""
-    other = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("mirror"))
-    both = cells.join(other, ["i", "j"], "full")
+def asymmetry(cells: DataFrame, by: str | None = None) -> DataFrame:
+    """Cells (i, j, value) whose mirror differs, in one matrix or in one for each value of by."""
+    keys = [by] if by else []
+    other = cells.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("mirror"))
+    both = cells.join(other, [*keys, "i", "j"], "full")
     tolerance = 1e-7 * cells.agg(F.coalesce(F.stddev_pop("value"), F.lit(0.0))).first()[0] + 1e-5
     return both.where(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("mirror", F.lit(0.0))) >= tolerance)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.columns import distance_to_mask
-from ..plans.joins import annotate, assign_supports
+from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap, ratio
 
 
@@ -55,7 +55,7 @@ def insulation(cmap: ContactMap, view: DataFrame, window: int, *, ignore_diags:
     """
     bins = assign_supports(cmap.bins, view).where("region is not null")
     near = cmap.pixels.where((F.col("bin2_id") - F.col("bin1_id") <= 2 * (window - 1)) & (F.col("bin2_id") - F.col("bin1_id") >= ignore_diags))
-    px = annotate(near, bins, ("region", "weight")).where("region1 = region2")
+    px = annotate(near, bins, ("region", "weight"), rows=cmap.n_bins()).where("region1 = region2")
     value = F.col("count") * F.col("weight1") * F.col("weight2") if weighted else F.col("count").cast("double")
     at = F.sequence(F.greatest("bin1_id", F.col("bin2_id") - (window - 1)), F.least("bin2_id", F.col("bin1_id") + (window - 1)))
     per = px.withColumn("value", value).where("value is not null").select(F.explode(at).alias("bin_id"), "count", "value").groupBy("bin_id").agg(F.sum("count").alias("sum_counts"), F.sum("value").alias("sum_balanced"))
@@ -131,7 +131,7 @@ def directionality(cmap: ContactMap, window: int, *, ignore_diags: int = 2, min_
     px = cmap.pixels.where((F.col("bin2_id") - F.col("bin1_id") >= ignore_diags) & (F.col("bin2_id") - F.col("bin1_id") < window))
     side = cmap.bins.where("weight is not null").select("bin_id", "chrom", "weight")
     for k in "12":
-        px = px.join(F.broadcast(side.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("chrom").alias(f"c{k}"), F.col("weight").alias(f"w{k}"))), f"bin{k}_id")
+        px = px.join(small(side.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("chrom").alias(f"c{k}"), F.col("weight").alias(f"w{k}")), cmap.n_bins()), f"bin{k}_id")
     v = F.col("count") * F.col("w1") * F.col("w2")
     ends = px.where("c1 = c2").select(F.explode(F.array(F.struct(F.col("bin1_id").alias("bin_id"), F.lit(0.0).alias("a"), v.alias("b")), F.struct(F.col("bin2_id").alias("bin_id"), v.alias("a"), F.lit(0.0).alias("b")))).alias("x"))
     sums = ends.groupBy("x.bin_id").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))

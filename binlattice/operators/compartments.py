@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..plans.joins import annotate, assign_supports
+from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap, ratio
 
 
@@ -67,8 +67,8 @@ def saddle_cis(cmap: ContactMap, track: DataFrame, view: DataFrame, expected: Da
         return pd.DataFrame({"ci": classes[ci], "cj": classes[cj], "c": pairs[ci, cj]})
 
     counted = bins.select("region", "bin_id", "cls").groupBy("region").cogroup(lookup.groupBy("region")).applyInPandas(count, "ci int, cj int, c long")
-    px = annotate(cmap.pixels, bins, ("region", "cls", "weight")).where("region1 = region2").withColumn("dist", F.col("bin2_id") - F.col("bin1_id"))
-    oe = px.join(F.broadcast(lookup.withColumnRenamed("region", "region1")), ["region1", "dist"]).withColumn("oe", ratio(F.col("count") * F.col("weight1") * F.col("weight2"), "e"))
+    px = annotate(cmap.pixels, bins, ("region", "cls", "weight"), rows=cmap.n_bins()).where("region1 = region2").withColumn("dist", F.col("bin2_id") - F.col("bin1_id"))
+    oe = px.join(small(lookup.withColumnRenamed("region", "region1"), cmap.n_bins()), ["region1", "dist"]).withColumn("oe", ratio(F.col("count") * F.col("weight1") * F.col("weight2"), "e"))
     pair = lambda x, y: F.struct(F.col(f"cls{x}").alias("ci"), F.col(f"cls{y}").alias("cj"))
     sides = F.when(F.col("dist") == 0, F.array(pair(1, 2))).otherwise(F.array(pair(1, 2), pair(2, 1)))
     sums = oe.select(F.explode(sides).alias("x"), "oe").groupBy("x.ci", "x.cj").agg(F.sum("oe").alias("s"))
@@ -83,7 +83,7 @@ def saddle_trans(cmap: ContactMap, track: DataFrame, expected: DataFrame, n_bins
     n = bins.groupBy("chrom", "cls").agg(F.count("*").alias("n"))
     a, b = (n.select(F.col("chrom").alias(f"chrom{k}"), F.col("cls").alias(c), F.col("n").alias(f"n{k}")) for k, c in (("1", "ci"), ("2", "cj")))
     sizes = e.join(a, "chrom1").join(b, "chrom2").groupBy("ci", "cj").agg(F.sum(F.col("n1") * F.col("n2")).alias("c"))
-    px = annotate(cmap.pixels, bins, ("chrom", "cls", "weight")).where("chrom1 <> chrom2").join(F.broadcast(e), ["chrom1", "chrom2"])
+    px = annotate(cmap.pixels, bins, ("chrom", "cls", "weight"), rows=cmap.n_bins()).where("chrom1 <> chrom2").join(F.broadcast(e), ["chrom1", "chrom2"])
     sums = px.groupBy(F.col("cls1").alias("ci"), F.col("cls2").alias("cj")).agg(F.sum(ratio(F.col("count") * F.col("weight1") * F.col("weight2"), "e")).alias("s"))
     return _completed(sizes.join(sums, ["ci", "cj"], "left").select("ci", "cj", F.coalesce("s", F.lit(0.0)).alias("s"), "c"), n_bins, trim_outliers)
 
@@ -113,7 +113,7 @@ def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: Dat
     """Long form (region, bin_id, k, eigval, value): one task a region holds that region's matrix."""
     bins = assign_supports(cmap.bins, view).where("region is not null").select("bin_id", "region")
     bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
-    px = annotate(cmap.pixels, bins.join(cmap.bins.select("bin_id", "weight"), "bin_id"), ("region", "weight")).where("region1 = region2")
+    px = annotate(cmap.pixels, bins.join(cmap.bins.select("bin_id", "weight"), "bin_id"), ("region", "weight"), rows=cmap.n_bins()).where("region1 = region2")
     px = px.select(F.col("region1").alias("region"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value")).where("value is not null")
 
     def solve(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +131,7 @@ def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: Dat
 
 def eigs_trans(cmap: ContactMap, n_eigs: int = 3, *, phasing: DataFrame | None = None, perc_top: float = 99.95, perc_bottom: float = 1.0, sort: str | None = None, seed: int = 0) -> DataFrame:
     """Long form (bin_id, k, eigval, value) from contacts between chromosomes; the whole map is one matrix in one task."""
-    px = annotate(cmap.pixels, cmap.bins).select(F.lit(0).alias("g"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value"), (F.col("chrom1") == F.col("chrom2")).alias("cis"))
+    px = annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).select(F.lit(0).alias("g"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value"), (F.col("chrom1") == F.col("chrom2")).alias("cis"))
     bins = cmap.bins.select(F.lit(0).alias("g"), "bin_id", "chrom")
     bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..plans.joins import assign_supports
+from ..plans.joins import assign_supports, small
 from ..schema import ContactMap
 from .bands import band_cells
 
@@ -41,7 +42,7 @@ def scores(cmap: ContactMap, view: DataFrame, expected: DataFrame, kernels: dict
     half = arrays.check_kernels(kernels, 0)
     bins = assign_supports(cmap.bins, view).where("region is not null")
     lookup = expected.select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
-    cells = band_cells(cmap, bins, band + 2 * half).withColumn("dist", F.col("j") - F.col("i")).join(F.broadcast(lookup), ["region", "dist"], "left")
+    cells = band_cells(cmap, bins, band + 2 * half).withColumn("dist", F.col("j") - F.col("i")).join(small(lookup, cmap.n_bins()), ["region", "dist"], "left")
     cells = cells.withColumn("la", F.col("e") / (F.col("wi") * F.col("wj"))).select("region", "i", "j", "count", "value", "e", "la")
     side = 2 * half + 1
     spark = cmap.bins.sparkSession
@@ -68,19 +69,25 @@ def histogram(scored: DataFrame, edges: list[float]) -> DataFrame:
 def thresholds(hist: DataFrame, edges: list[float], fdr: float) -> DataFrame:
     """(kernel, lbin, count, threshold, qval): Benjamini-Hochberg by lambda-bin over the counts seen in any bin of the kernel.
 
-    The survival function of the Poisson law at each upper edge comes from the
-    driver: edges times counts, whatever the size of the map.
+    The survival function of the Poisson law at each upper edge is computed for
+    the pairs of bin and count that occur, where they lie.
     """
-    spark = hist.sparkSession
-    seen = hist.agg(F.max("count"), F.max("lbin")).first()
-    if seen[0] is None:
-        return hist.select("kernel", "lbin", "count", F.lit(0).cast("long").alias("threshold"), F.lit(0.0).alias("qval")).limit(0)
-    if seen[1] >= len(edges):
+    over = hist.agg(F.max("lbin")).first()[0]
+    if over is not None and over >= len(edges):
         raise ValueError("the open lambda-bin isn't empty: more bins are needed")
-    table = [(b, k, float(p)) for b in range(seen[1] + 1) for k, p in enumerate(arrays.poisson_sf(edges[b], int(seen[0])))]
-    sf = spark.createDataFrame(table, "lbin int, count long, sf double")
+
+    def survival(batches):
+        for batch in batches:
+            lbin, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            out = np.zeros(len(lbin))
+            for b in np.unique(lbin):
+                out[lbin == b] = arrays.poisson_sf_at(edges[b], count[lbin == b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["lbin", "count", "sf"])
+
+    met = hist.select("kernel", "count").distinct().join(hist.select("kernel", "lbin").distinct(), "kernel").select(F.col("lbin").cast("int").alias("lbin"), F.col("count").cast("long").alias("count")).distinct()
+    sf = met.mapInArrow(survival, "lbin int, count long, sf double")
     grid = hist.select("kernel", "count").distinct().join(hist.select("kernel", "lbin").distinct(), "kernel")
-    rows = grid.join(hist, ["kernel", "lbin", "count"], "left").withColumn("n", F.coalesce("n", F.lit(0))).join(F.broadcast(sf), ["lbin", "count"])
+    rows = grid.join(hist, ["kernel", "lbin", "count"], "left").withColumn("n", F.coalesce("n", F.lit(0))).join(sf, ["lbin", "count"])
     w = W.partitionBy("kernel", "lbin").orderBy("count")
     up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     rows = rows.withColumn("rcs", F.sum("n").over(down)).withColumn("u", F.sum("n").over(W.partitionBy("kernel", "lbin")) * F.col("sf"))
@@ -92,7 +99,7 @@ def thresholds(hist: DataFrame, edges: list[float], fdr: float) -> DataFrame:
 
 def extracted(scored: DataFrame, limits: DataFrame, edges: list[float], n_kernels: int) -> DataFrame:
     """Pixels at or over the threshold of their lambda-bin for every kernel: (bin1_id, bin2_id, kernel, count, la_exp, qval)."""
-    hit = with_lambda_bin(scored, edges).join(F.broadcast(limits), ["kernel", "lbin", "count"]).where(F.col("count") >= F.col("threshold"))
+    hit = with_lambda_bin(scored, edges).join(limits, ["kernel", "lbin", "count"]).where(F.col("count") >= F.col("threshold"))
     every = F.count("*").over(W.partitionBy("bin1_id", "bin2_id"))
     return hit.withColumn("_n", every).where(F.col("_n") == n_kernels).select("bin1_id", "bin2_id", "region", "kernel", "count", "la_exp", "qval")
 
@@ -116,10 +123,14 @@ def enriched(dots: DataFrame) -> DataFrame:
     need = [f"la_{k}" for k in ("donut", "vertical", "horizontal", "lowleft")]
     if missing := set(need) - set(dots.columns):
         raise ValueError(f"the enrichment filter needs all four kernels; missing {sorted(missing)}")
+    # fixed values: factors over each neighbourhood, over either of the first two, and the sum of q-values of lone pixels
+    factors, either, lone = {"lowleft": 1.75, "donut": 1.75, "vertical": 1.5, "horizontal": 1.5}, 2.0, 0.02
     over = lambda k, f: F.col("count") > f * F.col(f"la_{k}")
-    strong = over("lowleft", 1.75) & over("donut", 1.75) & over("vertical", 1.5) & over("horizontal", 1.5) & (over("lowleft", 2.0) | over("donut", 2.0))
+    strong = over("lowleft", either) | over("donut", either)
+    for k, f in factors.items():
+        strong = strong & over(k, f)
     total = sum(F.col(f"q_{k}") for k in ("donut", "vertical", "horizontal", "lowleft"))
-    return dots.where(strong & ((F.col("c_size") > 1) | (total <= 0.02)))
+    return dots.where(strong & ((F.col("c_size") > 1) | (total <= lone)))
 
 
 def dots(cmap: ContactMap, view: DataFrame, expected: DataFrame, kernels: dict[str, np.ndarray], *, band: int, max_nans: int = 1, n_lambda_bins: int = 40, fdr: float = 0.1, radius_bins: float | None = 2.0) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,30 +43,42 @@ def diag_table(bins: DataFrame, pairs: DataFrame, weighted: bool = True) -> Data
 
 def regional_pixels(cmap: ContactMap, view: DataFrame, weighted: bool) -> DataFrame:
     """Pixels with regions and balanced value; with weights, pixels of bad bins go."""
-    px = annotate(cmap.pixels, region_bins(cmap, view), ("chrom", "region", "region_idx", "weight"))
+    px = annotate(cmap.pixels, region_bins(cmap, view), ("chrom", "region", "region_idx", "weight"), rows=cmap.n_bins())
     px = px.withColumn("dist", F.col("bin2_id") - F.col("bin1_id")).withColumn("balanced", F.col("count") * F.col("weight1") * F.col("weight2"))
     return px.where("weight1 is not null and weight2 is not null") if weighted else px
 
 
-def expected_cis(cmap: ContactMap, view: DataFrame, *, intra_only: bool = True, weighted: bool = True, ignore_diags: int = 2) -> DataFrame:
+def expected_cis(
+    cmap: ContactMap, view: DataFrame, *, intra_only: bool = True, weighted: bool = True, ignore_diags: int = 2, smooth: bool = False, aggregate_smoothed: bool = False, smooth_sigma: float = 0.1, transforms: dict[str, Callable[[], Column]] | None = None
+) -> DataFrame:
     """Per region (pair) and distance: n_total, n_valid, sums and averages.
 
     count_avg divides by n_total, balanced_avg by n_valid; distances below
-    ignore_diags have counts of pairs but no sums.
+    ignore_diags have counts of pairs but no sums. transforms name further
+    columns of pixels to sum and average over n_valid, made from count, balanced,
+    weight1, weight2 and dist. Smoothed averages are added by region, and over
+    all regions too, if asked for.
     """
+    transforms = transforms or {}
     bins = region_bins(cmap, view)
     pairs = view_pairs(view, "cis")
     if intra_only:
         pairs = pairs.where("region1 = region2")
     table = diag_table(bins, pairs, weighted)
-    px = regional_pixels(cmap, view, weighted).where("chrom1 = chrom2").select(F.col("region1"), F.col("region2"), "dist", "count", "balanced")
-    values = ["count", "balanced"] if weighted else ["count"]
+    px = regional_pixels(cmap, view, weighted).where("chrom1 = chrom2")
+    px = px.select(F.col("region1"), F.col("region2"), "dist", "count", "balanced", *(make().alias(name) for name, make in transforms.items()))
+    values = (["count", "balanced"] if weighted else ["count"]) + list(transforms)
     sums = px.groupBy(*REGIONS, "dist").agg(*(F.sum(v).alias(f"{v}_sum") for v in values))
     out = table.join(sums, [*REGIONS, "dist"], "left")
     for v in values:
         out = out.withColumn(f"{v}_sum", F.when(F.col("dist") >= ignore_diags, F.coalesce(F.col(f"{v}_sum"), F.lit(0)).cast("double")))
     out = out.withColumn("count_avg", ratio("count_sum", "n_total")).withColumn("dist_bp", F.col("dist") * cmap.binsize)
-    return out.withColumn("balanced_avg", ratio("balanced_sum", "n_valid")) if weighted else out
+    for v in (["balanced"] if weighted else []) + list(transforms):
+        out = out.withColumn(f"{v}_avg", ratio(f"{v}_sum", "n_valid"))
+    value = "balanced_sum" if weighted else "count_sum"
+    if smooth or aggregate_smoothed:
+        out = smooth_cvd(out, True, value, smooth_sigma)
+    return smooth_cvd(out, False, value, smooth_sigma) if aggregate_smoothed else out
 
 
 def block_table(bins: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -111,11 +125,12 @@ def obs_over_exp(cmap: ContactMap, view: DataFrame, expected: DataFrame) -> Data
     return px.join(lookup, [*REGIONS, "dist"], "left").select("bin1_id", "bin2_id", ratio("balanced", "e").alias("oe"))
 
 
-def diagsum_from_cells(cells: DataFrame, ignore_diags: int = 2) -> DataFrame:
-    """Per distance of a dense square matrix (i, j, value): valid cells and their sum; empty rows and columns are invalid."""
-    bad = cells.groupBy("i").agg(F.count("value").alias("n")).where("n = 0").select("i")
-    upper = cells.where("j >= i").join(bad, "i", "left_anti").join(bad.withColumnRenamed("i", "j"), "j", "left_anti")
-    out = upper.groupBy((F.col("j") - F.col("i")).alias("dist")).agg(F.count("*").alias("n_valid"), F.sum("value").alias("s"))
+def diagsum_from_cells(cells: DataFrame, ignore_diags: int = 2, by: str | None = None) -> DataFrame:
+    """Per distance of a dense square matrix (i, j, value), or of one for each value of by: valid cells and their sum; empty rows and columns are invalid."""
+    keys = [by] if by else []
+    bad = cells.groupBy(*keys, "i").agg(F.count("value").alias("n")).where("n = 0").select(*keys, "i")
+    upper = cells.where("j >= i").join(bad, [*keys, "i"], "left_anti").join(bad.withColumnRenamed("i", "j"), [*keys, "j"], "left_anti")
+    out = upper.groupBy(*keys, (F.col("j") - F.col("i")).alias("dist")).agg(F.count("*").alias("n_valid"), F.sum("value").alias("s"))
     return out.withColumn("sum", F.when(F.col("dist") >= ignore_diags, F.coalesce("s", F.lit(0.0)))).drop("s")
 
 
@@ -159,8 +174,18 @@ def logbin(expected: DataFrame, value: str = "balanced_sum", per_decade: int = 1
     return out.where((F.col("n_valid") > min_nvalid) & (F.col("balanced_avg") > 0) & (F.col("count_sum") > min_count))
 
 
-def slopes(binned: DataFrame) -> DataFrame:
-    """Log-log slope between consecutive kept distance bins of a region pair, at the geometric mean distance."""
+def slopes(binned: DataFrame, smooth: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Log-log slope between consecutive kept distance bins of a region pair, at the geometric mean distance.
+
+    smooth may take the logarithms of a region pair's averages, in order, before slopes are drawn.
+    """
+    if smooth:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("dist_bin_id")
+            return pdf.assign(balanced_avg=np.exp(smooth(np.log(pdf.balanced_avg.to_numpy(float)))))
+
+        binned = binned.groupBy(*REGIONS).applyInPandas(run, binned.schema)
     w = W.partitionBy(*REGIONS).orderBy("dist_bin_id")
     nxt = lambda c: F.lead(c).over(w)
     return binned.select(
@@ -169,27 +194,58 @@ def slopes(binned: DataFrame) -> DataFrame:
     ).where("slope is not null")
 
 
-def combine_binned(binned: DataFrame, minmax_drop_bins: int = 2) -> DataFrame:
-    """n_valid-weighted mean over regions by distance bin, with log spread, and extremes without the last bins of each region."""
+def combine_binned(binned: DataFrame, minmax_drop_bins: int = 2, spread: str | Callable[[Column, Column], Column] = "logstd", value: str = "balanced_avg") -> DataFrame:
+    """n_valid-weighted mean over regions by distance bin, with spread, and extremes without the last bins of each region.
+
+    spread is logstd, std, or an aggregate made from the value and the weight
+    columns; value may be slope. The result names the value balanced_avg.
+    """
+    binned = binned.withColumn("balanced_avg", F.col(value))
     w, v = F.col("n_valid"), F.col("balanced_avg")
+    if spread != "logstd":
+        made = F.sqrt(F.greatest(ratio(F.sum(w * v * v), F.sum(w)) - ratio(F.sum(w * v), F.sum(w)) ** 2, F.lit(0.0))).alias("std") if spread == "std" else spread(v, w).alias("spread")
+        means = binned.groupBy("dist_bin_id").agg(F.sum("n_valid").alias("n_valid"), ratio(F.sum(w * F.col("dist_avg")), F.sum(w)).alias("dist_avg"), ratio(F.sum(w * v), F.sum(w)).alias("balanced_avg"), made)
+        return means.join(_extremes(binned, minmax_drop_bins), "dist_bin_id", "left")
     mean = binned.groupBy("dist_bin_id").agg(F.sum("n_valid").alias("n_valid"), ratio(F.sum(w * F.col("dist_avg")), F.sum(w)).alias("dist_avg"), ratio(F.sum(w * v), F.sum(w)).alias("balanced_avg"), ratio(F.sum(w * F.log(v)), F.sum(w)).alias("_m"))
-    spread = binned.join(mean.select("dist_bin_id", "_m"), "dist_bin_id").groupBy("dist_bin_id").agg(F.exp(F.sqrt(F.greatest(ratio(F.sum(w * (F.log(v) - F.col("_m")) ** 2), F.sum(w)), F.lit(0.0)))).alias("logstd"))
+    logstd = binned.join(mean.select("dist_bin_id", "_m"), "dist_bin_id").groupBy("dist_bin_id").agg(F.exp(F.sqrt(F.greatest(ratio(F.sum(w * (F.log(v) - F.col("_m")) ** 2), F.sum(w)), F.lit(0.0)))).alias("logstd"))
+    return mean.drop("_m").join(logstd, "dist_bin_id").join(_extremes(binned, minmax_drop_bins), "dist_bin_id", "left")
+
+
+def _extremes(binned: DataFrame, drop: int) -> DataFrame:
     last = F.row_number().over(W.partitionBy(*REGIONS).orderBy(F.desc("dist_bin_id")))
-    extremes = binned.withColumn("_k", last).where(F.col("_k") > minmax_drop_bins).groupBy("dist_bin_id").agg(F.min(v).alias("low"), F.max(v).alias("high"))
-    return mean.drop("_m").join(spread, "dist_bin_id").join(extremes, "dist_bin_id", "left")
+    return binned.withColumn("_k", last).where(F.col("_k") > drop).groupBy("dist_bin_id").agg(F.min("balanced_avg").alias("low"), F.max("balanced_avg").alias("high"))
 
 
-def interpolate_expected(expected: DataFrame, binned: DataFrame) -> DataFrame:
-    """The binned average at every distance, linear in log-log and extrapolated; null below the first bin."""
+def interpolate_expected(expected: DataFrame, binned: DataFrame, columns: tuple[str, ...] = ("balanced_avg",), *, kind: str = "quadratic", by_region: bool | str = True, extrapolate_small_s: bool = False) -> DataFrame:
+    """An expected whose columns come from a binned one, interpolated in log-log at the bins' middles and carried on.
+
+    By region; or, if by_region is False or names a region, from one curve for
+    all. Null below the first bin, unless asked for, and where a curve has too
+    few bins for the kind (linear or quadratic).
+    """
+    curve, least = arrays.INTERPOLATORS[kind]
+    keys = [*REGIONS, "dist"]
 
-    def fill(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def fill(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("dist_bin_id")
-        x, y = np.log(np.sqrt(right.dist_bin_start * (right.dist_bin_end + 1.0)).to_numpy(float)), np.log(right.balanced_avg.to_numpy(float))
-        out = left[[*REGIONS, "dist"]].assign(interpolated=np.nan)
-        if len(x) > 1:
-            ok = left.dist >= max(1, right.dist_bin_start.min())
-            out.loc[ok, "interpolated"] = np.exp(arrays.interpolate(np.log(left.dist[ok].to_numpy(float)), x, y))
+        out = left[keys].assign(**{c: np.nan for c in columns})
+        if len(right) >= least:
+            ok = (left.dist >= (1 if extrapolate_small_s else right.dist_bin_start.min())).to_numpy()
+            x, at = np.log((right.dist_bin_start + right.dist_bin_end).to_numpy(float) / 2), np.log(left.dist[ok].to_numpy(float))
+            for c in columns:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out.loc[ok, c] = np.exp(curve(at, x, np.log(right[c].to_numpy(float))))
         return out
 
-    kind = "region1 string, region2 string, dist long, interpolated double"
-    return expected.groupBy(*REGIONS).cogroup(binned.groupBy(*REGIONS)).applyInPandas(fill, kind)
+    need = ["dist_bin_id", "dist_bin_start", "dist_bin_end", *columns]
+    schema = "region1 string, region2 string, dist long, " + ", ".join(f"{c} double" for c in columns)
+    if by_region is True and set(REGIONS) <= set(binned.columns):
+        filled = expected.select(keys).groupBy(*REGIONS).cogroup(binned.select(*REGIONS, *need).groupBy(*REGIONS)).applyInPandas(fill, schema)
+    else:
+        if isinstance(by_region, str):
+            binned = binned.where(F.col("region1") == by_region)
+        one = binned.select(need).toPandas()  # a row a distance bin
+        if one.dist_bin_id.duplicated().any():
+            raise ValueError("a combined expected has one row for each distance bin")
+        filled = expected.select(keys).groupBy(*REGIONS).applyInPandas(lambda left: fill(left, one), schema)
+    return expected.drop(*columns).join(filled, keys, "left")

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ContactMap, ratio
+from ..functions import arrays
+from ..plans.joins import BROADCAST_ROWS, small
+from ..schema import ContactMap
+from ..sources.workspace import shared_dir
 
 
-def matvec(pixels: DataFrame, x: DataFrame) -> DataFrame:
+def matvec(pixels: DataFrame, x: DataFrame, rows: int | None = None) -> DataFrame:
     """y = A x for the symmetric matrix of upper-triangle pixels; x has (bin_id, x), the result (bin_id, y)."""
-    a, b = (x.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("x").alias(f"x{k}")) for k in "12")
-    px = pixels.join(F.broadcast(a), "bin1_id").join(F.broadcast(b), "bin2_id")
+    a, b = (small(x.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("x").alias(f"x{k}")), rows) for k in "12")
+    px = pixels.join(a, "bin1_id").join(b, "bin2_id")
     up = F.struct(F.col("bin1_id").alias("bin_id"), (F.col("count") * F.col("x2")).alias("v"))
     down = F.struct(F.col("bin2_id").alias("bin_id"), F.when(F.col("bin1_id") != F.col("bin2_id"), F.col("count") * F.col("x1")).otherwise(0.0).alias("v"))
     return px.select(F.explode(F.array(up, down)).alias("t")).groupBy("t.bin_id").agg(F.sum("t.v").alias("y"))
 
 
-def ice_step(pixels: DataFrame, bias: DataFrame, damping: float = 0.8) -> DataFrame:
+def ice_step(pixels: DataFrame, bias: DataFrame, damping: float = 0.8, rows: int | None = None) -> DataFrame:
     """One round of iterative correction: bias (bin_id, x) divided by its damped relative marginal."""
-    y = matvec(pixels, bias).join(bias, "bin_id").withColumn("s", F.col("x") * F.col("y"))
+    y = matvec(pixels, bias, rows).join(bias, "bin_id").withColumn("s", F.col("x") * F.col("y"))
     mean = y.where("s <> 0").agg(F.avg("s").alias("m"))
     rel = F.when(F.col("s") == 0, 1.0).otherwise(F.col("s") / F.col("m"))
     step = y.crossJoin(F.broadcast(mean)).select("bin_id", "x", rel.alias("s"))
@@ -30,34 +35,53 @@ def balance(cmap: ContactMap, *, ignore_diags: int = 2, max_iter: int = 200, tol
     """Weights by iterative correction, each round a checkpoint; bins without contacts get null. Also whether it converged."""
     spark = cmap.bins.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="binlattice-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     px = cmap.pixels.where(F.col("bin2_id") - F.col("bin1_id") >= ignore_diags)
     bias = cmap.bins.select("bin_id", F.lit(1.0).alias("x"))
     done = False
     for _ in range(max_iter):
-        bias = ice_step(px, bias.select("bin_id", "x")).checkpoint()
+        bias = ice_step(px, bias.select("bin_id", "x"), rows=cmap.n_bins()).checkpoint()
         if done := (bias.where("s <> 1").agg(F.var_pop("s")).first()[0] or 0.0) < tol:
             break
     return cmap.bins.select("bin_id").join(bias.select("bin_id", F.col("x").alias("weight")), "bin_id", "left"), done
 
 
-def knight_ruiz(cmap: ContactMap, *, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
-    """Doubly stochastic scaling of the valid bins by damped Newton-like updates x := sqrt(x / (A x)) over distributed products."""
+def knight_ruiz(cmap: ContactMap, *, ignore_diags: int = 0, tol: float = 1e-6, max_products: int = 300) -> tuple[DataFrame, float]:
+    """(bin_id, weight) that make all marginals 1, by Newton's method with conjugate gradients, and the residual.
+
+    Products with the matrix are distributed; the vectors, one number a bin, stay
+    on the driver, so there may be at most as many bins as are broadcast. Bins
+    without contacts have no weight.
+    """
+    if cmap.n_bins() > BROADCAST_ROWS:
+        raise ValueError(f"{cmap.n_bins()} bins are too many to keep their vectors on the driver")
     spark = cmap.bins.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    px = cmap.pixels.where(F.col("bin2_id") - F.col("bin1_id") >= ignore_diags).persist()
+    ids = np.sort(px.select(F.explode(F.array("bin1_id", "bin2_id")).alias("b")).distinct().toPandas()["b"].to_numpy())
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="binlattice-"))
-    x = cmap.pixels.select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id")).distinct().withColumn("x", F.lit(1.0))
-    for _ in range(max_iter):
-        y = matvec(cmap.pixels, x).join(x, "bin_id")
-        x = y.select("bin_id", F.sqrt(ratio("x", "y")).alias("x"), F.abs(F.col("x") * F.col("y") - 1).alias("gap")).checkpoint()
-        if (x.agg(F.max("gap")).first()[0] or 0.0) < tol:
-            break
-        x = x.select("bin_id", "x")
-    return x.select("bin_id", "x")
+    def product(v: np.ndarray) -> np.ndarray:
+        got = matvec(px, spark.createDataFrame(pd.DataFrame({"bin_id": ids, "x": v})), len(ids)).toPandas()
+        out = np.zeros(len(ids))
+        out[np.searchsorted(ids, got["bin_id"])] = got["y"]
+        return out
+
+    x, residual = arrays.newton_scaling(product, len(ids), tol, max_products)
+    px.unpersist()
+    found = spark.createDataFrame(pd.DataFrame({"bin_id": ids, "weight": x}), "bin_id long, weight double")
+    return cmap.bins.select("bin_id").join(found, "bin_id", "left"), residual
+
+
+def balance_rectangle(cells: DataFrame, *, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
+    """Iterative correction of the rows and columns of each region's rectangle of cells (region, i, j, value)."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(t.i.max()) + 1, int(t.j.max()) + 1))
+        a[t.i, t.j] = t.value.fillna(0)
+        out, done = arrays.balance_rectangle(a, max_iter, tol)
+        return t[["region", "i", "j"]].assign(value=out[t.i, t.j], converged=done)
+
+    kind = "region string, i long, j long, value double, converged boolean"
+    return cells.select("region", "i", "j", "value").groupBy("region").applyInPandas(run, kind)
 
 
 def trimmed_trans(cells: DataFrame, perc_top: float, perc_bottom: float) -> DataFrame:
@@ -66,5 +90,5 @@ def trimmed_trans(cells: DataFrame, perc_top: float, perc_bottom: float) -> Data
     margin = cells.groupBy("i").agg(F.sum("value").alias("m")).where("m > 0")
     low = margin.agg(F.percentile("m", perc_bottom / 100).alias("low"))
     weak = margin.crossJoin(F.broadcast(low)).where("m < low").select("i")
-    kept = cells.join(F.broadcast(weak), "i", "left_anti").join(F.broadcast(weak.withColumnRenamed("i", "j")), "j", "left_anti")
+    kept = cells.join(small(weak), "i", "left_anti").join(small(weak.withColumnRenamed("i", "j")), "j", "left_anti")
     return kept.crossJoin(F.broadcast(top)).select("i", "j", F.least("value", "top").alias("value"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import annotate
+from ..plans.joins import annotate, small
 from ..schema import ContactMap
 
 
@@ -16,7 +14,7 @@ def coverage(cmap: ContactMap, *, weighted: bool = False, ignore_diags: int = 0)
 
     Balanced: pixels of bad bins add nothing and bad bins are null.
     """
-    px = annotate(cmap.pixels, cmap.bins).where(F.abs(F.col("bin2_id") - F.col("bin1_id")) >= ignore_diags)
+    px = annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).where(F.abs(F.col("bin2_id") - F.col("bin1_id")) >= ignore_diags)
     zero = F.lit(0.0)
     v = F.col("count") * F.coalesce("weight1", zero) * F.coalesce("weight2", zero) if weighted else F.col("count")
     ends = px.select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id"), v.alias("v"), (F.col("chrom1") == F.col("chrom2")).alias("cis"))
@@ -45,13 +43,15 @@ def bin_mask(cmap: ContactMap, filters: list) -> DataFrame:
 def filtered(cmap: ContactMap, mask: DataFrame) -> ContactMap:
     """The map with only pixels whose ends both pass; all bins stay."""
     ok = mask.where("good").select("bin_id")
-    px = cmap.pixels.join(F.broadcast(ok.withColumnRenamed("bin_id", "bin1_id")), "bin1_id", "left_semi").join(F.broadcast(ok.withColumnRenamed("bin_id", "bin2_id")), "bin2_id", "left_semi")
+    px = cmap.pixels
+    for k in "12":
+        px = px.join(small(ok.withColumnRenamed("bin_id", f"bin{k}_id"), cmap.n_bins()), f"bin{k}_id", "left_semi")
     return ContactMap(cmap.bins, px.select("bin1_id", "bin2_id", "count"), cmap.binsize, cmap.meta)
 
 
 def virtual4c(cmap: ContactMap, chrom: str, start: int, end: int, *, weighted: bool = True) -> DataFrame:
     """Every bin's mean over stored pixels to a viewpoint; null inside it and where nothing is stored."""
-    px = annotate(cmap.pixels, cmap.bins, ("chrom", "start", "end", "weight"))
+    px = annotate(cmap.pixels, cmap.bins, ("chrom", "start", "end", "weight"), rows=cmap.n_bins())
     v = F.col("count") * F.col("weight1") * F.col("weight2") if weighted else F.col("count").cast("double")
     inside = lambda k: (F.col(f"chrom{k}") == chrom) & (F.col(f"start{k}") < end) & (F.col(f"end{k}") > start)
     met = px.where(inside(1) != inside(2)).select(F.when(inside(1), F.col("bin2_id")).otherwise(F.col("bin1_id")).alias("bin_id"), v.alias("v"))
@@ -60,7 +60,7 @@ def virtual4c(cmap: ContactMap, chrom: str, start: int, end: int, *, weighted: b
 
 def cross_score(cmap: ContactMap, edges: list[int]) -> DataFrame:
     """Cis marginals by bin, distance bin and side: down at a pixel's first bin, up at its second, both together."""
-    px = annotate(cmap.pixels, cmap.bins).where("chrom1 = chrom2")
+    px = annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).where("chrom1 = chrom2")
     bp = (F.col("bin2_id") - F.col("bin1_id")) * cmap.binsize
     which = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= bp))
     rows = px.where(which < len(edges)).select(which.alias("dist_bin"), F.explode(F.array(F.struct(F.col("bin1_id").alias("bin_id"), F.lit("down").alias("dir")), F.struct(F.col("bin2_id").alias("bin_id"), F.lit("up").alias("dir")))).alias("x"), "count")
@@ -96,27 +96,53 @@ def region_scaling(pairs: DataFrame, region1: tuple[int, int], region2: tuple[in
     return bins.join(counted, "b", "left").select("dist_lo", "dist_hi", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "area")
 
 
-def sample_approx(pixels: DataFrame, frac: float, seed: int = 0) -> DataFrame:
-    """Binomial thinning of every pixel; a pixel's draw depends on its ids and the seed, not on partitions."""
+HASH_RANGE, CHUNK, SPLITS, FEW = 1 << 60, 4096, 1 << 12, 10_000
+
+
+def contact_hash(seed: int = 0):
+    """A number in [0, HASH_RANGE) for the k-th contact of a pixel."""
+    return lambda k: F.xxhash64("bin1_id", "bin2_id", k, F.lit(seed)).bitwiseAND(HASH_RANGE - 1)
+
+
+def sample_approx(pixels: DataFrame, frac: float, seed: int = 0, *, key=None) -> DataFrame:
+    """Binomial thinning of every pixel: contacts whose hash lies below the share of its range stay.
+
+    The draw depends on the pixel, the contact's number and the seed, not on
+    partitions; key may be another hash of a contact's number.
+    """
     if not 0 <= frac <= 1:
         raise ValueError("a fraction is between 0 and 1")
+    key, cut = key or contact_hash(seed), F.lit(round(frac * HASH_RANGE))
+    inside = lambda c: F.sequence(c * CHUNK + 1, F.least((c + 1) * CHUNK, "count"))
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / CHUNK)), F.lit(0).cast("long"), lambda n, c: n + F.size(F.filter(inside(c), lambda k: key(k) < cut)))
+    return pixels.where("count > 0").select("bin1_id", "bin2_id", drawn.alias("count")).where("count > 0")
 
-    def draw(batches):
-        for b in batches:
-            b1, b2, n = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            got = np.array([np.random.default_rng((seed, int(x), int(y))).binomial(int(c), frac) for x, y, c in zip(b1, b2, n, strict=True)], dtype=np.int64)
-            keep = got > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (b1, b2, got)], ["bin1_id", "bin2_id", "count"])
 
-    return pixels.select("bin1_id", "bin2_id", "count").mapInArrow(draw, "bin1_id long, bin2_id long, count long")
+def sample_exact(pixels: DataFrame, count: int, seed: int = 0, *, key=None) -> DataFrame:
+    """Exactly count contacts without replacement: those of the least hash; ties by pixel and number.
 
-
-def sample_exact(pixels: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """Exactly count contacts without replacement: those of the least hash of (pixel, number, seed)."""
-    contacts = pixels.select("bin1_id", "bin2_id", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("k"))
-    h = F.xxhash64("bin1_id", "bin2_id", "k", F.lit(seed))
-    picked = contacts.orderBy(h, "bin1_id", "bin2_id", "k").limit(count)
-    return picked.groupBy("bin1_id", "bin2_id").agg(F.count("*").alias("count"))
+    Histograms of the hash narrow the last one down until few contacts share its
+    interval; only those are sorted.
+    """
+    contacts = pixels.select("bin1_id", "bin2_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("k")).withColumn("h", (key or contact_hash(seed))(F.col("k")))
+    lo, width, left, size = 0, HASH_RANGE, count, None
+    while (size is None or size > FEW) and width > 1 and left > 0:
+        step = max(1, width // SPLITS)
+        hist = {r.s: r.n for r in contacts.where((F.col("h") >= lo) & (F.col("h") < lo + width)).groupBy(F.floor((F.col("h") - lo) / step).alias("s")).agg(F.count("*").alias("n")).collect()}  # about SPLITS rows
+        at = None
+        for s in sorted(hist):
+            at = s
+            if hist[s] >= left:
+                break
+            left -= hist[s]
+        if at is None or hist[at] < left:
+            left = 0  # there are no more contacts than asked for
+            lo += width
+            break
+        lo, width, size = lo + at * step, step, hist[at]
+    sure = contacts.where(F.col("h") < lo)
+    last = contacts.where((F.col("h") >= lo) & (F.col("h") < lo + width)).orderBy("h", "bin1_id", "bin2_id", "k").limit(left)
+    return sure.unionByName(last).groupBy("bin1_id", "bin2_id").agg(F.count("*").alias("count"))
 
 
 def sample(cmap: ContactMap, *, count: int | None = None, cis_count: int | None = None, frac: float | None = None, exact: bool = False, seed: int = 0) -> ContactMap:
@@ -125,7 +151,7 @@ def sample(cmap: ContactMap, *, count: int | None = None, cis_count: int | None
         raise ValueError("give one of count, cis_count and frac")
     total = cmap.pixels.agg(F.sum("count")).first()[0] or 0
     if cis_count is not None:
-        frac = cis_count / annotate(cmap.pixels, cmap.bins).where("chrom1 = chrom2").agg(F.sum("count")).first()[0]
+        frac = cis_count / annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).where("chrom1 = chrom2").agg(F.sum("count")).first()[0]
     elif count is not None:
         frac = count / total
     if frac > 1:

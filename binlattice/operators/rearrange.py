@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.joins import assign_supports
+from ..plans.joins import assign_supports, small
 from ..schema import ContactMap, require
 
 
@@ -36,10 +36,10 @@ def rearrange_bins(bins: DataFrame, view: DataFrame) -> DataFrame:
     return rows.select("bin_id", new_id.alias("new_id"), "new_chrom", (end - (F.col("end") - F.col("start"))).alias("new_start"), end.alias("new_end"), "weight")
 
 
-def rearrange_pixels(pixels: DataFrame, mapping: DataFrame) -> DataFrame:
+def rearrange_pixels(pixels: DataFrame, mapping: DataFrame, rows: int | None = None) -> DataFrame:
     """Pixels whose ends both stay, with new ids, upper triangle again; counts keep their type."""
     for k in "12":
-        pixels = pixels.join(F.broadcast(mapping.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("new_id").alias(f"n{k}"))), f"bin{k}_id")
+        pixels = pixels.join(small(mapping.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("new_id").alias(f"n{k}")), rows), f"bin{k}_id")
     return pixels.select(F.least("n1", "n2").alias("bin1_id"), F.greatest("n1", "n2").alias("bin2_id"), "count")
 
 
@@ -48,4 +48,4 @@ def rearrange(cmap: ContactMap, view: DataFrame) -> ContactMap:
     order = bins.groupBy("new_chrom").agg(F.min("new_id").alias("at")).select("new_chrom", (F.row_number().over(W.orderBy("at")) - 1).alias("chrom_idx"))
     named = bins.join(F.broadcast(order), "new_chrom")
     out = named.select(F.col("new_id").alias("bin_id"), F.col("new_chrom").alias("chrom"), "chrom_idx", F.col("new_start").alias("start"), F.col("new_end").alias("end"), "weight")
-    return ContactMap(out, rearrange_pixels(cmap.pixels, bins), cmap.binsize, cmap.meta)
+    return ContactMap(out, rearrange_pixels(cmap.pixels, bins, cmap.n_bins()), cmap.binsize, cmap.meta)

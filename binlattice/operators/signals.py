@@ -53,20 +53,29 @@ def _cells(region: str, a: np.ndarray) -> pd.DataFrame:
 CELLS = "region string, i long, j long, value double"
 
 
-def zoomed(cells: DataFrame, shape: tuple[int, int], *, same_sum: bool = False) -> DataFrame:
+def zoomed(cells: DataFrame, shape: tuple[int, int], *, same_sum: bool = False, zoom_function=None) -> DataFrame:
     """Each region's block of cells (region, i, j, value) resampled to a shape."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        return _cells(t.region.iloc[0], arrays.zoom(_blocks(t, "value")[0], shape, same_sum))
+        return _cells(t.region.iloc[0], arrays.zoom(_blocks(t, "value")[0], shape, same_sum, zoom_function))
 
     return cells.select("region", "i", "j", "value").groupBy("region").applyInPandas(run, CELLS)
 
 
-def adaptively_coarse(cells: DataFrame, cutoff: int = 5, max_levels: int = 8) -> DataFrame:
+def adaptively_coarse(cells: DataFrame, cutoff: int = 5, max_levels: int = 8, min_shape: int = 8) -> DataFrame:
     """Each region's square block of cells (region, i, j, value, count), thin places pooled."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         value, count = _blocks(t, "value", "count")
-        return _cells(t.region.iloc[0], arrays.adaptive_coarsegrain(value, np.nan_to_num(count), cutoff, max_levels))
+        return _cells(t.region.iloc[0], arrays.adaptive_coarsegrain(value, np.nan_to_num(count), cutoff, max_levels, min_shape))
 
     return cells.select("region", "i", "j", "value", "count").groupBy("region").applyInPandas(run, CELLS)
+
+
+def filled_gaps(cells: DataFrame, *, pad_zeros: bool = True) -> DataFrame:
+    """Each region's block of cells (region, i, j, value) with masked rows and columns interpolated."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        return _cells(t.region.iloc[0], arrays.interp_nan_2d(_blocks(t, "value")[0], pad_zeros))
+
+    return cells.select("region", "i", "j", "value").groupBy("region").applyInPandas(run, CELLS)

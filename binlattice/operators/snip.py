@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import assign_supports, assign_view
+from ..plans.joins import assign_supports, assign_view, small
 from ..schema import ContactMap, ratio, require
 
 REDUCERS = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_pop}
@@ -34,13 +36,15 @@ def aligned_windows(loci: DataFrame, binsize: int, flank: int = 0, region_start:
     return out.withColumn("start_bp", F.col("lo") * binsize).withColumn("end_bp", F.col("hi") * binsize)
 
 
-def snippets(cmap: ContactMap, features: DataFrame, view: DataFrame, *, flank: int | None, min_diag: int | None = 2, expected: DataFrame | None = None, only_expected: bool = False) -> DataFrame:
+def snippets(cmap: ContactMap, features: DataFrame, view: DataFrame, *, flank: int | None, min_diag: int | None = 2, expected: DataFrame | None = None, only_expected: bool = False, value: Callable[[], Column] | None = None) -> DataFrame:
     """Long form (snip_id, i, j, value) for BED (chrom, start, end) or BEDPE (chrom1, ...) features with snip_id.
 
     Balanced values, zero for absent pixels; null for bad bins and for j - i
     below min_diag; a window that leaves its region is null altogether. With an
-    expected, observed over expected, or the expected itself.
+    expected, observed over expected, or the expected itself. value may make
+    another one from count (null if absent), wx, wy and, with an expected, e.
     """
+    made = value
     two = "chrom1" in features.columns
     sides = ("1", "2") if two else ("",)
     for k in sides:
@@ -56,14 +60,17 @@ def snippets(cmap: ContactMap, features: DataFrame, view: DataFrame, *, flank: i
     rows = rows.withColumn("ok", F.coalesce(inside(a) & inside(b), F.lit(False)))
     cells = rows.withColumn("i", di).withColumn("j", dj).select("snip_id", "region", "i", "j", "ok", F.when(F.col("ok"), F.col("base") + F.col(f"lo{a}") + F.col("i")).alias("x"), F.when(F.col("ok"), F.col("base") + F.col(f"lo{b}") + F.col("j")).alias("y"))
     w = cmap.bins.select("bin_id", "weight")
-    cells = cells.join(F.broadcast(w.select(F.col("bin_id").alias("x"), F.col("weight").alias("wx"))), "x", "left").join(F.broadcast(w.select(F.col("bin_id").alias("y"), F.col("weight").alias("wy"))), "y", "left")
+    cells = cells.join(small(w.select(F.col("bin_id").alias("x"), F.col("weight").alias("wx")), cmap.n_bins()), "x", "left")
+    cells = cells.join(small(w.select(F.col("bin_id").alias("y"), F.col("weight").alias("wy")), cmap.n_bins()), "y", "left")
     px = cmap.pixels.select(F.col("bin1_id").alias("p"), F.col("bin2_id").alias("q"), "count")
     cells = cells.withColumn("p", F.least("x", "y")).withColumn("q", F.greatest("x", "y")).join(px, ["p", "q"], "left")
     value = F.coalesce("count", F.lit(0)) * F.col("wx") * F.col("wy")
     if expected is not None:
         lookup = expected.select(F.col("region1").alias("region"), F.col("dist").alias("d"), F.col("balanced_avg").alias("e"))
-        cells = cells.withColumn("d", F.col("q") - F.col("p")).join(F.broadcast(lookup), ["region", "d"], "left")
+        cells = cells.withColumn("d", F.col("q") - F.col("p")).join(small(lookup, cmap.n_bins()), ["region", "d"], "left")
         value = F.col("e") if only_expected else ratio(value, "e")
+    if made:
+        value = made()
     if min_diag is not None:
         value = F.when(F.col("y") - F.col("x") >= min_diag, value)
     out = cells.select("snip_id", "i", "j", F.when(F.col("ok"), value).alias("value"))

@@ -1,4 +1,4 @@
-"""Annotation and interval joins. Every one has an equality key, so none is a nested loop."""
+"""Annotation and interval joins. Every one has an equality key but view_pairs, whose result is all pairs of a view's regions."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a table that was counted to be within the limit; as it is beyond."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a table of so many rows at most, counted if not known, if that is within the limit; as it is beyond."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
-def annotate(pixels: DataFrame, bins: DataFrame, columns: tuple[str, ...] = ("chrom", "weight")) -> DataFrame:
-    """Pixels with the bin columns of either end, suffixed 1 and 2."""
-    side = small(bins.select("bin_id", *columns))
+def annotate(pixels: DataFrame, bins: DataFrame, columns: tuple[str, ...] = ("chrom", "weight"), rows: int | None = None) -> DataFrame:
+    """Pixels with the bin columns of either end, suffixed 1 and 2; rows bounds the number of bins, if it is known."""
+    side = small(bins.select("bin_id", *columns), rows)
     for k in "12":
         named = side.select(F.col("bin_id").alias(f"bin{k}_id"), *(F.col(c).alias(c + k) for c in columns))
         pixels = pixels.join(named, f"bin{k}_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,24 +45,32 @@ nb AS (SELECT chrom, count(w) AS g FROM bins GROUP BY 1),
 tr AS (SELECT a.chrom AS region1, b.chrom AS region2, a.g * b.g AS n_valid, coalesce(s.cs, 0) AS count_sum, coalesce(s.bs, 0) AS balanced_sum FROM nb a JOIN nb b ON a.chrom < b.chrom
        LEFT JOIN (SELECT c1, c2, sum(cnt) AS cs, sum(bal) AS bs FROM px WHERE c1 <> c2 AND w1 IS NOT NULL AND w2 IS NOT NULL GROUP BY 1, 2) s ON s.c1 = a.chrom AND s.c2 = b.chrom)"""
 _CLS = ",\ntk AS (SELECT bin_id, chrom, w, CASE WHEN w IS NULL THEN -1 ELSE " + " + ".join(f"CASE WHEN sin(bin_id / 25.0e0) >= {-0.8 + 0.4 * k:.1f}e0 THEN 1 ELSE 0 END" for k in range(5)) + " END AS cls FROM bins)"
-_BAND = """,
+def _band(kernels: dict, band: int) -> str:
+    """CTEs of the band's cells, of kernels summed over them, and of adjusted expected values."""
+    half = len(next(iter(kernels.values()))) // 2
+    weights = ", ".join(f"('{n}', {y - half}, {x - half}, {int(v)}.0e0)" for n, m in kernels.items() for y, r in enumerate(m) for x, v in enumerate(r))
+    return f""",
 cell AS (SELECT a.chrom AS region, a.bin_id AS i, b.bin_id AS j, coalesce(p.cnt, 0) AS cnt, coalesce(p.cnt, 0) * a.w * b.w AS o, x.balanced_avg AS e, x.balanced_avg / (a.w * b.w) AS er
-         FROM bins a JOIN bins b ON a.chrom = b.chrom AND b.bin_id - a.bin_id BETWEEN 0 AND 42 LEFT JOIN pix p ON p.bin1_id = a.bin_id AND p.bin2_id = b.bin_id LEFT JOIN ex x ON x.region = a.chrom AND x.dist = b.bin_id - a.bin_id),
-ker(k, dy, dx, kw) AS (VALUES """ + ", ".join(f"('{n}', {y - 1}, {x - 1}, {v}.0e0)" for n, m in ASYMMETRIC.items() for y, r in enumerate(m) for x, v in enumerate(r)) + f"""),
+         FROM bins a JOIN bins b ON a.chrom = b.chrom AND b.bin_id - a.bin_id BETWEEN 0 AND {band + 2 * half} LEFT JOIN pix p ON p.bin1_id = a.bin_id AND p.bin2_id = b.bin_id LEFT JOIN ex x ON x.region = a.chrom AND x.dist = b.bin_id - a.bin_id),
+ker(k, dy, dx, kw) AS (VALUES {weights}),
 ag AS (SELECT k, i + dy AS ti, j + dx AS tj, sum(o * kw) AS ko, sum(e * kw) AS ke, count(*) AS n FROM cell CROSS JOIN ker WHERE o IS NOT NULL AND e IS NOT NULL GROUP BY 1, 2, 3),
-sc AS (SELECT c.i, c.j, c.cnt, ag.k, coalesce(er, 0e0) * ko / nullif(ke, 0e0) AS la FROM cell c JOIN ag ON ag.ti = c.i AND ag.tj = c.j WHERE c.i < c.j AND c.i > c.j - {BAND} AND n = 9
-       AND NOT EXISTS (SELECT 1 FROM ag z WHERE z.ti = c.i AND z.tj = c.j AND coalesce(z.ke, 0) = 0)),
+no AS (SELECT DISTINCT ti, tj FROM ag WHERE coalesce(ke, 0) = 0),
+sc AS (SELECT c.i, c.j, c.cnt, ag.k, coalesce(er, 0e0) * ko / nullif(ke, 0e0) AS la FROM cell c JOIN ag ON ag.ti = c.i AND ag.tj = c.j WHERE c.i < c.j AND c.i > c.j - {band} AND n = {(2 * half + 1) ** 2}
+       AND NOT EXISTS (SELECT 1 FROM no WHERE no.ti = c.i AND no.tj = c.j)),
 lb AS (SELECT *, """ + " + ".join(f"CASE WHEN round(la, 9) > {round(v, 9)!r}e0 THEN 1 ELSE 0 END" for v in dots.lambda_edges(12)) + " AS lbin FROM sc)"
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
+RECOMMENDED = {k: arrays.kernel(3, 1, k) for k in ("donut", "vertical", "horizontal", "lowleft")}
+
+
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), recursive: bool = False):
     """Registers a query on the hour map; uses names the CTEs its SQL stands on."""
 
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ctes = _MAP + "".join({"cis": _CIS, "arms": _ARMS, "trans": _TRANS, "cls": _CLS, "band": _BAND}[u] for u in uses)
-            ORACLE_SQL[name] = f"WITH {ctes.strip()}\n{sql}"
+            ctes = _MAP + "".join({"cis": _CIS, "arms": _ARMS, "trans": _TRANS, "cls": _CLS, "band": _band(ASYMMETRIC, BAND), "around": _band(RECOMMENDED, 30)}[u] for u in uses)
+            ORACLE_SQL[name] = f"WITH {'RECURSIVE ' * recursive}{ctes.strip()}\n{sql}"
         return f
 
     return add
@@ -253,11 +262,14 @@ def _(spark, d):
     return rounded(out.withColumn("sum_balanced", F.round("sum_balanced", 5)))
 
 
-@query("boundaries_10", _INS + """, ok AS (SELECT bin_id, chrom, -round(l, 9) AS v, row_number() OVER (PARTITION BY chrom ORDER BY bin_id) AS i FROM ins WHERE l IS NOT NULL AND n >= 0.66 * (SELECT max(n) FROM ins)),
+_STRENGTHS = _INS + """, ok AS (SELECT bin_id, chrom, -round(l, 9) AS v, row_number() OVER (PARTITION BY chrom ORDER BY bin_id) AS i FROM ins WHERE l IS NOT NULL AND n >= 0.66 * (SELECT max(n) FROM ins)),
 nb AS (SELECT *, lag(v) OVER (PARTITION BY chrom ORDER BY i) AS a, lead(v) OVER (PARTITION BY chrom ORDER BY i) AS b FROM ok),
 pk AS (SELECT * FROM nb WHERE v > a AND v > b), lw AS (SELECT chrom, min(v) AS m FROM nb WHERE v < a AND v < b GROUP BY 1), mn AS (SELECT chrom, min(v) AS m FROM ok GROUP BY 1),
 h AS (SELECT pk.chrom, pk.i, pk.v, pk.bin_id, (SELECT max(o.i) FROM ok o WHERE o.chrom = pk.chrom AND o.i < pk.i AND o.v > pk.v) AS l, (SELECT min(o.i) FROM ok o WHERE o.chrom = pk.chrom AND o.i > pk.i AND o.v > pk.v) AS r FROM pk),
-k AS (SELECT h.*, (SELECT min(o.v) FROM ok o WHERE o.chrom = h.chrom AND o.i >= h.l AND o.i < h.i) AS ml, (SELECT min(o.v) FROM ok o WHERE o.chrom = h.chrom AND o.i > h.i AND o.i < h.r) AS mr FROM h)
+k AS (SELECT h.*, (SELECT min(o.v) FROM ok o WHERE o.chrom = h.chrom AND o.i >= h.l AND o.i < h.i) AS ml, (SELECT min(o.v) FROM ok o WHERE o.chrom = h.chrom AND o.i > h.i AND o.i < h.r) AS mr FROM h)"""
+
+
+@query("boundaries_10", _STRENGTHS + """
 SELECT bin_id, round(CASE WHEN l IS NULL AND r IS NULL THEN v - coalesce(lw.m, mn.m) WHEN l IS NULL THEN v - mr WHEN r IS NULL THEN v - ml ELSE least(v - ml, v - mr) END, 6) AS boundary_strength,
   CASE WHEN l IS NULL AND r IS NULL THEN v - coalesce(lw.m, mn.m) WHEN l IS NULL THEN v - mr WHEN r IS NULL THEN v - ml ELSE least(v - ml, v - mr) END >= 0.1 AS is_boundary
 FROM k LEFT JOIN lw USING (chrom) JOIN mn USING (chrom)""")
@@ -416,12 +428,17 @@ def _(spark, d):
 
 
 def _scores(m):
-    import numpy as np
-
     kernels = {k: np.array(v) for k, v in ASYMMETRIC.items()}
     return dots.scores(m, maps.chrom_view(m.bins), _cis(m), kernels, band=BAND)
 
 
+@query("dots_neighbourhoods", " SELECT i AS bin1_id, j AS bin2_id, cnt AS n, k AS kernel, round(la, 5) AS la_exp FROM sc", ("cis", "around"))
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    found = dots.scores(m, maps.chrom_view(m.bins), _cis(m), RECOMMENDED, band=30)
+    return rounded(found.select("bin1_id", "bin2_id", F.col("count").alias("n"), "kernel", "la_exp"), 5)
+
+
 @query("dots_scores", " SELECT i AS bin1_id, j AS bin2_id, cnt AS n, k AS kernel, round(la, 5) AS la_exp FROM sc", ("cis", "band"))
 def _(spark, d):
     return rounded(_scores(maps.hour_map(spark, d)).select("bin1_id", "bin2_id", F.col("count").alias("n"), "kernel", "la_exp"), 5)
@@ -439,23 +456,40 @@ def _(spark, d):
     return _hist(maps.hour_map(spark, d)).withColumnRenamed("count", "n_contacts")
 
 
-@query("dots_thresholds", """, hs AS (SELECT k, lbin, cnt, count(*) AS n FROM lb GROUP BY 1, 2, 3), gr AS (SELECT * FROM (SELECT DISTINCT k, cnt FROM hs) a JOIN (SELECT DISTINCT k, lbin FROM hs) b USING (k)),
-pt AS (SELECT b, k, exp(-l + k * ln(l) - lgamma(k + 1)) AS p FROM (SELECT unnest(range(0, 12)) AS b, unnest([%s]) AS l) u, (SELECT unnest(range(0, 400)) AS k) v),
+_LIMITS = """, hs AS (SELECT k, lbin, cnt, count(*) AS n FROM lb GROUP BY 1, 2, 3), gr AS (SELECT * FROM (SELECT DISTINCT k, cnt FROM hs) a JOIN (SELECT DISTINCT k, lbin FROM hs) b USING (k)),
+pt AS (SELECT b, k, exp(-l + k * ln(l) - lgamma(k + 1)) AS p FROM (SELECT unnest(range(0, 12)) AS b, unnest([{edges}]) AS l) u, (SELECT unnest(range(0, 400)) AS k) v),
 sf AS (SELECT lbin, cnt, (SELECT sum(p) FROM pt WHERE pt.b = g.lbin AND pt.k > g.cnt) AS sf FROM (SELECT DISTINCT lbin, cnt FROM gr) g),
 f AS (SELECT gr.k, gr.lbin, gr.cnt, coalesce(n, 0) AS n, sf.sf FROM gr JOIN sf ON sf.lbin = gr.lbin AND sf.cnt = gr.cnt LEFT JOIN hs ON hs.k = gr.k AND hs.lbin = gr.lbin AND hs.cnt = gr.cnt),
 u AS (SELECT *, sum(n) OVER (PARTITION BY k, lbin ORDER BY cnt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rcs, sum(n) OVER (PARTITION BY k, lbin) * sf AS u FROM f),
-w AS (SELECT *, max(0.1e0 * rcs - u) OVER (PARTITION BY k, lbin ORDER BY cnt) AS best, least(min(u / nullif(rcs, 0)) OVER (PARTITION BY k, lbin ORDER BY cnt), 1) AS q FROM u)
-SELECT k AS kernel, lbin, cnt AS n_contacts, coalesce(min(CASE WHEN best >= 0 THEN cnt END) OVER (PARTITION BY k, lbin), max(cnt) OVER (PARTITION BY k, lbin) + 1) AS threshold, round(q, 6) AS qval FROM w""" % ", ".join(f"{v!r}e0" for v in _E12), ("cis", "band"))
+w AS (SELECT *, max({fdr}e0 * rcs - u) OVER (PARTITION BY k, lbin ORDER BY cnt) AS best, least(min(u / nullif(rcs, 0)) OVER (PARTITION BY k, lbin ORDER BY cnt), 1) AS q FROM u),
+th AS (SELECT k, lbin, cnt, coalesce(min(CASE WHEN best >= 0 THEN cnt END) OVER (PARTITION BY k, lbin), max(cnt) OVER (PARTITION BY k, lbin) + 1) AS threshold, q FROM w)"""
+
+
+def _limits(fdr: float) -> str:
+    return _LIMITS.format(fdr=fdr, edges=", ".join(f"{v!r}e0" for v in _E12))
+
+
+@query("dots_thresholds", _limits(0.1) + " SELECT k AS kernel, lbin, cnt AS n_contacts, threshold, round(q, 6) AS qval FROM th", ("cis", "band"))
 def _(spark, d):
     limits = dots.thresholds(_hist(maps.hour_map(spark, d)).persist(), _E12, 0.1)
     return rounded(limits.withColumnRenamed("count", "n_contacts"))
 
 
+_WIDE = ", ".join(f"round(max(CASE WHEN lb.k = '{k}' THEN la END), 5) AS la_{k}, round(max(CASE WHEN lb.k = '{k}' THEN q END), 6) AS q_{k}" for k in RECOMMENDED)
+
+
+@query("dots_pixels", _limits(0.2) + f" SELECT lb.i AS bin1_id, lb.j AS bin2_id, lb.cnt AS n, {_WIDE} FROM lb JOIN th ON th.k = lb.k AND th.lbin = lb.lbin AND th.cnt = lb.cnt WHERE lb.cnt >= threshold GROUP BY 1, 2, 3 HAVING count(*) = 4", ("cis", "around"))
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    found = dots.dots(m, maps.chrom_view(m.bins), _cis(m), RECOMMENDED, band=30, fdr=0.2, n_lambda_bins=12, radius_bins=None)
+    las, qs = ([f"{c}_{k}" for k in RECOMMENDED] for c in ("la", "q"))
+    return found.select("bin1_id", "bin2_id", F.col("count").alias("n"), *(F.round(c, 5).alias(c) for c in las), *(F.round(c, 6).alias(c) for c in qs))
+
+
 @plain("dots_called")
 def _(spark, d):
     m = maps.hour_map(spark, d)
-    kernels = {k: arrays.kernel(3, 1, k) for k in ("donut", "vertical", "horizontal", "lowleft")}
-    return dots.dots(m, maps.chrom_view(m.bins), _cis(m), kernels, band=30, fdr=0.2)
+    return dots.dots(m, maps.chrom_view(m.bins), _cis(m), RECOMMENDED, band=30, fdr=0.2)
 
 
 @query("matvec", ", x AS (SELECT bin_id, 1.0e0 + bin_id % 7 AS x FROM bins) SELECT bin_id, round(sum(v), 4) AS y FROM (SELECT bin1_id AS bin_id, cnt * x AS v FROM pix JOIN x ON x.bin_id = bin2_id UNION ALL SELECT bin2_id, cnt * x FROM pix JOIN x ON x.bin_id = bin1_id WHERE bin1_id <> bin2_id) u GROUP BY 1")
@@ -470,11 +504,6 @@ def _(spark, d):
     return rounded(matrix.ice_step(m.pixels, m.bins.select("bin_id", F.lit(1.0).alias("x"))))
 
 
-@plain("balanced_weights")
-def _(spark, d):
-    return matrix.balance(maps.hour_map(spark, d), max_iter=6)[0]
-
-
 @plain("eigs_cis")
 def _(spark, d):
     m = maps.hour_map(spark, d)
@@ -497,16 +526,6 @@ def _(spark, d):
     return expected.interpolate_expected(_cis(m), _logbin(m))
 
 
-@plain("sample_exact")
-def _(spark, d):
-    return profiles.sample_exact(maps.hour_map(spark, d).pixels, 1000)
-
-
-@plain("sample_approx")
-def _(spark, d):
-    return profiles.sample_approx(maps.hour_map(spark, d).pixels, 0.2)
-
-
 def _turned(spark):
     return maps.half_view(spark).where("region_idx in (0, 1, 5, 6)").withColumn("new_chrom", F.when(F.col("region_idx") < 2, "x").otherwise("y")).withColumn("strand", F.when(F.col("region_idx") % 2 == 1, "-").otherwise("+"))
 
@@ -586,13 +605,6 @@ def _(spark, d):
     return rounded(expected.block_sums(maps.hour_map(spark, d), maps.half_view(spark)), 4)
 
 
-@query("diagsum_dense", ", ce AS (SELECT a.bin_id AS i, b.bin_id AS j, coalesce(p.cnt, 0) * a.w * b.w AS v FROM bins a JOIN bins b ON a.arm = b.arm AND a.arm = 'c1_p' LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id)) SELECT j - i AS dist, count(*) AS n_valid, round(CASE WHEN j - i >= 2 THEN coalesce(sum(v), 0) END, 5) AS sum FROM ce WHERE j >= i AND v IS NOT NULL GROUP BY 1")
-def _(spark, d):
-    m = maps.hour_map(spark, d)
-    bins = joins.assign_supports(m.bins, maps.half_view(spark)).where("region = 'c1_p'")
-    return rounded(expected.diagsum_from_cells(compartments.region_cells(m, bins, []).select("i", "j", "value")), 5)
-
-
 @query("validate_view", " SELECT chrom, CAST(0 AS BIGINT) AS start_bp, CAST(700000 AS BIGINT) AS end_bp, 'out of bounds' AS problem FROM bins WHERE bin_id = 0")
 def _(spark, d):
     m = maps.hour_map(spark, d)
@@ -652,13 +664,6 @@ def _(spark, d):
     return genome.gene_coverage(genome.binnify(_sizes(spark, d), 250), genes, 250).select("chrom", F.col("start").alias("start_bp"), F.col("covered").cast("long").alias("covered"))
 
 
-@query("dense_rows", ", ce AS (SELECT a.bin_id AS i, b.bin_id AS j, coalesce(p.cnt, 0) AS v FROM bins a JOIN bins b ON a.arm = b.arm AND a.arm = 'c2_q' LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id)) SELECT i, string_agg(CAST(v AS VARCHAR), chr(9) ORDER BY j) AS line FROM ce GROUP BY 1")
-def _(spark, d):
-    m = maps.hour_map(spark, d)
-    bins = joins.assign_supports(m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark)).where("region = 'c2_q'")
-    return genome.dense_rows(compartments.region_cells(m, bins, []).select("i", "j", "value"))
-
-
 @plain("part_coverage", "WITH r AS (SELECT DISTINCT l_orderkey AS g, l_partkey - (SELECT min(p_partkey) FROM part) AS b FROM lineitem), p AS (SELECT x.b AS b1, y.b AS b2, count(*) AS cnt FROM r x JOIN r y ON x.g = y.g AND x.b < y.b GROUP BY 1, 2) SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS bin_id, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cov_tot FROM part LEFT JOIN (SELECT b1 AS b, cnt FROM p UNION ALL SELECT b2, cnt FROM p) u ON u.b = p_partkey - (SELECT min(p_partkey) FROM part) GROUP BY 1")
 def _(spark, d):
     return profiles.coverage(maps.part_map(spark, d)).select("bin_id", "cov_tot")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIVISIVE = ("KR", "VC", "VC_SQRT")
+SORT_BUCKET = 1 << 20
 
 
 @dataclass
@@ -22,6 +23,13 @@ class ContactMap:
     pixels: DataFrame
     binsize: int
     meta: dict = field(default_factory=dict)
+    _rows: int | None = field(default=None, repr=False, compare=False)
+
+    def n_bins(self) -> int:
+        """How many bins there are, counted once: the bound of what is broadcast by bin or distance."""
+        if self._rows is None:
+            self._rows = self.bins.count()
+        return self._rows
 
     def chromsizes(self) -> DataFrame:
         return self.bins.groupBy("chrom", "chrom_idx").agg(F.max("end").alias("length"))
@@ -92,6 +100,22 @@ def uncatalogued(expected: DataFrame, view: DataFrame) -> DataFrame:
 
 
 def is_sorted(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Rows that come before their predecessor in the stated order column (none: sorted)."""
-    lagged = F.lag(F.struct(*by)).over(W.orderBy(order))
-    return df.withColumn("_before", lagged).where(F.col("_before") > F.struct(*by)).drop("_before")
+    """Rows that come before their predecessor in the stated order column (none: sorted).
+
+    Rows are compared within buckets of the order column, and each bucket's
+    first with the last of the one before, so no task sees all of them.
+    """
+    key = F.struct(*by)
+    rows = df.withColumn("_b", F.floor(F.col(order) / SORT_BUCKET))
+    ends = rows.groupBy("_b").agg(F.max_by(key, order).alias("_end"))
+    last = F.lag("_end").over(W.orderBy("_b"))  # one row a bucket
+    inside = F.lag(key).over(W.partitionBy("_b").orderBy(order))
+    compared = rows.withColumn("_in", inside).join(ends.select("_b", last.alias("_last")), "_b").withColumn("_before", F.coalesce("_in", "_last"))
+    return compared.where(F.col("_before") > key).select(df.columns)
+
+
+def expected_fits_trans(expected: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Region pairs of a trans expected that are missing, repeated or have another number of valid pairs than their blocks."""
+    have = expected.groupBy("region1", "region2").agg(F.count("*").alias("rows"), F.max("n_valid").alias("n_have"))
+    both = blocks.select("region1", "region2", F.col("n_valid").alias("n_need")).join(have, ["region1", "region2"], "full")
+    return both.where(~F.col("n_need").eqNullSafe(F.col("n_have")) | (F.col("rows") > 1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..schema import require, view_problems
 
 # Recognition sites of common restriction enzymes, the cut marked by ^
 SITES = {"BglII": "A^GATCT", "DpnII": "^GATC", "EcoRI": "G^AATTC", "HindIII": "A^AGCTT", "MboI": "^GATC", "NcoI": "C^CATGG"}
@@ -116,19 +117,30 @@ def read_expected(spark: SparkSession, path: str, values: list[str]) -> DataFram
         raise ValueError(f"not an expected table: {path}") from e
 
 
-def read_view(spark: SparkSession, path: str) -> DataFrame:
-    """BED with three or four columns; without names, chrom:start-end."""
-    rows = spark.read.csv(path, sep="\t")
-    name = F.col("_c3") if len(rows.columns) > 3 else F.concat("_c0", F.lit(":"), "_c1", F.lit("-"), "_c2")
-    return rows.select(F.col("_c0").alias("chrom"), F.col("_c1").cast("long").alias("start"), F.col("_c2").cast("long").alias("end"), name.alias("name")).withColumn("region_idx", F.monotonically_increasing_id().cast("int"))
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Numbers the rows of one text file as they come in it: by split, then by place in the split."""
+    placed = rows.select("*", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    counts = placed.groupBy("_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    return placed.join(F.broadcast(counts.select("_at", "_first", before.alias("_before"))), "_at").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_at", "_id", "_first", "_before")
+
+
+def read_view(spark: SparkSession, path: str, chromsizes: DataFrame | None = None) -> DataFrame:
+    """BED with three or four columns; without names, chrom:start-end. Checked against chromosome lengths (chrom, length), if given."""
+    rows = in_file_order(spark.read.csv(path, sep="\t", comment="#"), "region_idx")
+    name = F.col("_c3") if "_c3" in rows.columns else F.concat("_c0", F.lit(":"), "_c1", F.lit("-"), "_c2")
+    view = rows.select(F.col("_c0").alias("chrom"), F.col("_c1").cast("long").alias("start"), F.col("_c2").cast("long").alias("end"), name.alias("name"), F.col("region_idx").cast("int"))
+    if chromsizes is not None:
+        require(view_problems(view, chromsizes), f"view {path}")
+    return view
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """BED or BEDPE by the number of columns, with snip_id in file order."""
-    rows = spark.read.csv(path, sep="\t", comment="#")
-    names = ["chrom1", "start1", "end1", "chrom2", "start2", "end2"] if len(rows.columns) >= 6 else ["chrom", "start", "end"]
+    rows = in_file_order(spark.read.csv(path, sep="\t", comment="#"), "snip_id")
+    names = ["chrom1", "start1", "end1", "chrom2", "start2", "end2"] if "_c5" in rows.columns else ["chrom", "start", "end"]
     typed = [F.col(f"_c{i}").cast("string" if "chrom" in n else "long").alias(n) for i, n in enumerate(names)]
-    return rows.select(*typed).withColumn("snip_id", F.monotonically_increasing_id())
+    return rows.select(*typed, "snip_id")
 
 
 def write_table(df: DataFrame, path: str, na: str = "nan") -> None:
@@ -139,22 +151,26 @@ def write_bedgraph(df: DataFrame, path: str, value: str) -> None:
     df.where(F.col(value).isNotNull()).select("chrom", "start", "end", value).write.csv(path, sep="\t")
 
 
-def dense_rows(cells: DataFrame, row: str = "i", col: str = "j", value: str = "value") -> DataFrame:
-    """A dense block as text: one line a row, cells by tabs."""
+def dense_rows(cells: DataFrame, row: str = "i", col: str = "j", value: str = "value", by: str | None = None) -> DataFrame:
+    """A dense block, or one for each value of by, as text: one line a row, cells by tabs."""
     listed = F.array_sort(F.collect_list(F.struct(col, value)))
-    return cells.groupBy(row).agg(F.concat_ws("\t", F.transform(listed, lambda x: F.coalesce(x[value].cast("string"), F.lit("nan")))).alias("line"))
+    return cells.groupBy(*([by] if by else []), row).agg(F.concat_ws("\t", F.transform(listed, lambda x: F.coalesce(x[value].cast("string"), F.lit("nan")))).alias("line"))
 
 
-def dense_text(cells: DataFrame, bins: DataFrame, assembly: str, digits: int = 8) -> DataFrame:
-    """(row, line) of a dense block with headers: row 0 names the columns, the others their bin and its cells.
+def dense_text(cells: DataFrame, bins: DataFrame, assembly: str, digits: int = 8, by: str | None = None) -> DataFrame:
+    """(row, line) of a dense block with headers, or of one for each value of by: row 0 names the columns, the others their bin and its cells.
 
     A bin's name is number|assembly|chrom:first-last, counted from 1.
     """
+    keys = [by] if by else []
     name = F.concat(F.col("bin_id").cast("string"), F.lit(f"|{assembly}|"), "chrom", F.lit(":"), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
-    named = bins.select("bin_id", name.alias("name"))
+    named = bins.select(*keys, "bin_id", name.alias("name"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "name"))), lambda x: x["name"])
     corner = F.concat(F.count("*").cast("string"), F.lit("x"), F.count("*").cast("string"))
-    head = named.agg(F.concat_ws("\t", corner, listed).alias("line")).select(F.lit(0).cast("long").alias("row"), "line")
-    shown = cells.select("i", "j", F.when(F.col("value").isNotNull(), F.format_string(f"%.{digits}f", F.col("value").cast("double"))).alias("value"))
-    rows = dense_rows(shown).join(named.withColumnRenamed("bin_id", "i"), "i")
-    return head.union(rows.select((F.col("i") + 1).alias("row"), F.concat_ws("\t", "name", "line")))
+    blocks = named.groupBy(*keys).agg(F.concat_ws("\t", corner, listed).alias("line"), F.min("bin_id").alias("first"))
+    head = blocks.select(*keys, F.lit(0).cast("long").alias("row"), "line")
+    shown = cells.select(*keys, "i", "j", F.when(F.col("value").isNotNull(), F.format_string(f"%.{digits}f", F.col("value").cast("double"))).alias("value"))
+    rows = dense_rows(shown, by=by).join(named.withColumnRenamed("bin_id", "i"), [*keys, "i"])
+    first = blocks.select(*keys, "first")
+    rows = rows.join(F.broadcast(first), keys) if keys else rows.crossJoin(F.broadcast(first))
+    return head.union(rows.select(*keys, (F.col("i") - F.col("first") + 1).alias("row"), F.concat_ws("\t", "name", "line")))

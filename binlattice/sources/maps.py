@@ -5,19 +5,27 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.joins import small
 from ..schema import ContactMap
 
 EPOCH_US, HOUR_US = 1704067200000000, 3600000000
 _derived: dict[tuple[str, str, str], ContactMap] = {}
 
 
-def pixels_of(members: DataFrame, group: str, item: str, bin_: str) -> DataFrame:
-    """Contacts of all unordered pairs of items in a group, counted by their bins."""
-    a, b = (members.select(F.col(group).alias("g"), F.col(item).alias(f"i{k}"), F.col(bin_).alias(f"b{k}")) for k in "12")
-    pairs = a.join(b, "g").where("i1 < i2")
-    return pairs.groupBy(F.least("b1", "b2").alias("bin1_id"), F.greatest("b1", "b2").alias("bin2_id")).agg(F.count("*").alias("count"))
+def pixels_of(members: DataFrame, group: str, bin_: str) -> DataFrame:
+    """Contacts of all unordered pairs of a group's members, counted by their bins.
+
+    Members are counted by bin first, so a group of very many members costs the
+    square of its bins at most, not of its members.
+    """
+    counted = members.groupBy(F.col(group).alias("g"), F.col(bin_).alias("b")).agg(F.count("*").alias("n"))
+    a, b = (counted.select("g", F.col("b").alias(f"bin{k}_id"), F.col("n").alias(f"n{k}")) for k in "12")
+    both = a.join(b, "g").where("bin1_id <= bin2_id and (bin1_id < bin2_id or n1 > 1)")
+    pairs = F.when(F.col("bin1_id") == F.col("bin2_id"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
+    return both.groupBy("bin1_id", "bin2_id").agg(F.sum(pairs).alias("count"))
 
 
 def fixed_bins(spark: SparkSession, n: int, per_chrom: int, binsize: int) -> DataFrame:
@@ -35,7 +43,7 @@ def weighted(bins: DataFrame, pixels: DataFrame, bad) -> DataFrame:
 
 
 def _kept(spark: SparkSession, kind: str, sf_dir: str, make) -> ContactMap:
-    """Derived once a session and folder: a map is read many times by one query."""
+    """Derived once a session and folder: a map is read many times by one query. ``forget`` releases them."""
     key = (spark.sparkContext.applicationId, kind, sf_dir)
     if key not in _derived:
         m = make()
@@ -45,13 +53,21 @@ def _kept(spark: SparkSession, kind: str, sf_dir: str, make) -> ContactMap:
     return _derived[key]
 
 
+def forget() -> None:
+    """Releases the maps that the session keeps."""
+    for m in _derived.values():
+        m.pixels.unpersist()
+        m.bins.unpersist()
+    _derived.clear()
+
+
 def hour_map(spark: SparkSession, sf_dir: str) -> ContactMap:
     """720 hour bins on four chromosomes; contacts are pairs of events of a user."""
 
     def make() -> ContactMap:
         us = F.unix_micros(F.col("ts").cast("timestamp"))
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.floor((us - EPOCH_US) / HOUR_US).alias("b"))
-        return ContactMap(fixed_bins(spark, 720, 180, 3600), pixels_of(events, "user_id", "event_id", "b"), 3600, {"bad": F.col("bin_id") % 37 == 5})
+        return ContactMap(fixed_bins(spark, 720, 180, 3600), pixels_of(events, "user_id", "b"), 3600, {"bad": F.col("bin_id") % 37 == 5})
 
     return _kept(spark, "hour", sf_dir, make)
 
@@ -64,7 +80,7 @@ def part_map(spark: SparkSession, sf_dir: str) -> ContactMap:
         rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") - 1).alias("b")).distinct()
         first = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_partkey")).first()[0]
         rows = rows.withColumn("b", F.col("b") + 1 - first)
-        return ContactMap(fixed_bins(spark, n, max(1, n // 10), 1000), pixels_of(rows, "l_orderkey", "b", "b"), 1000, {"bad": F.col("bin_id") % 41 == 3})
+        return ContactMap(fixed_bins(spark, n, max(1, n // 10), 1000), pixels_of(rows, "l_orderkey", "b"), 1000, {"bad": F.col("bin_id") % 41 == 3})
 
     return _kept(spark, "part", sf_dir, make)
 
@@ -100,6 +116,22 @@ def read_map(spark: SparkSession, path: str) -> ContactMap:
     return ContactMap(spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/pixels"), meta.pop("binsize"), meta)
 
 
+def coarser(cmap: ContactMap, factor: int) -> ContactMap:
+    """The map in bins factor times as wide, counted from each chromosome's start; weights are not carried over."""
+    own = F.floor((F.col("start") / cmap.binsize) / factor)
+    named = cmap.bins.withColumn("k", own)
+    wide = named.groupBy("chrom_idx", "chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("bin_id").alias("first"))
+    sizes = wide.groupBy("chrom_idx").agg(F.count("*").alias("n"))
+    base = sizes.select("chrom_idx", F.coalesce(F.sum("n").over(W.orderBy("chrom_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a chromosome
+    bins = wide.join(F.broadcast(base), "chrom_idx").select((F.col("base") + F.col("k")).alias("bin_id"), "chrom", "chrom_idx", "start", "end", F.lit(None).cast("double").alias("weight"))
+    ids = named.join(F.broadcast(base), "chrom_idx").select("bin_id", (F.col("base") + F.col("k")).alias("wide"))
+    px = cmap.pixels
+    for k in "12":
+        px = px.join(small(ids.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("wide").alias(f"w{k}")), cmap.n_bins()), f"bin{k}_id")
+    px = px.groupBy(F.col("w1").alias("bin1_id"), F.col("w2").alias("bin2_id")).agg(F.sum("count").alias("count"))
+    return ContactMap(bins, px, cmap.binsize * factor, cmap.meta)
+
+
 def range_query(pixels: DataFrame, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
     """Stored pixels with i0 <= bin1 < i1 and j0 <= bin2 < j1; both reach the scan."""
     return pixels.where((F.col("bin1_id") >= i0) & (F.col("bin1_id") < i1) & (F.col("bin2_id") >= j0) & (F.col("bin2_id") < j1))

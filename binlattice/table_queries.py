@@ -6,32 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns, tables
-from .operators import bands, compartments, profiles, signals, snip
+from .operators import bands, compartments, expected, matrix, profiles, signals, snip
 from .plans import joins
-from .queries import _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
+from .queries import _STRENGTHS, _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
 from .sources import genome, maps
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-_ARM = """, ar AS (SELECT *, bin_id % 90 AS k FROM bins WHERE arm = 'c1_p'), ce AS (SELECT a.k AS i, b.k AS j, b.k - a.k AS dist, coalesce(p.cnt, 0) AS cnt, coalesce(p.cnt, 0) * a.w * b.w AS v
-FROM ar a JOIN ar b ON true LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id))"""
+_CELLS = """, ce AS (SELECT a.arm AS region, a.bin_id % 90 AS i, b.bin_id % 90 AS j, b.bin_id - a.bin_id AS dist, coalesce(p.cnt, 0) AS cnt, coalesce(p.cnt, 0) * a.w * b.w AS v
+FROM bins a JOIN bins b ON a.arm = b.arm LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id))"""
 
 
-def _arm(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """All cells of the first half chromosome, numbered from 0."""
+def _cells(spark: SparkSession, d: str, weighted: bool = True) -> DataFrame:
+    """All cells of every half chromosome, each numbered from 0."""
     m = maps.hour_map(spark, d)
-    bins = joins.assign_supports(m.bins, maps.half_view(spark)).where("region = 'c1_p'")
-    return compartments.region_cells(m, bins, list(extra))
+    bins = joins.assign_supports(m.bins if weighted else m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark))
+    return compartments.region_cells(m, bins, []).withColumn("i", F.col("i") % 90).withColumn("j", F.col("j") % 90)
 
 
-@query("set_diagonal", _ARM + " SELECT i, j, round(CASE WHEN j - i = 1 THEN -1.0e0 ELSE v END, 6) AS value FROM ce")
+@query("set_diagonal", _CELLS + " SELECT region, i, j, round(CASE WHEN j - i = 1 THEN -1.0e0 ELSE v END, 6) AS value FROM ce")
 def _(spark, d):
-    return rounded(tables.set_diagonal(_arm(spark, d), -1.0, 1).select("i", "j", "value"))
+    return rounded(tables.set_diagonal(_cells(spark, d), -1.0, 1).select("region", "i", "j", "value"))
 
 
-@query("get_diagonal", _ARM + " SELECT i, j, round(v, 6) AS value FROM ce WHERE j - i = 3")
+@query("get_diagonal", _CELLS + " SELECT region, i, j, round(v, 6) AS value FROM ce WHERE j - i = 3")
 def _(spark, d):
-    return rounded(tables.diagonal(_arm(spark, d), 3).select("i", "j", "value"))
+    return rounded(tables.diagonal(_cells(spark, d), 3).select("region", "i", "j", "value"))
+
+
+@query("diagsum_dense", _CELLS + " SELECT region, j - i AS dist, count(*) AS n_valid, round(CASE WHEN j - i >= 2 THEN coalesce(sum(v), 0) END, 5) AS sum FROM ce WHERE j >= i AND v IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(expected.diagsum_from_cells(_cells(spark, d).select("region", "i", "j", "value"), by="region"), 5)
+
+
+@query("dense_rows", _CELLS + " SELECT region, i, string_agg(CAST(cnt AS VARCHAR), chr(9) ORDER BY j) AS line FROM ce GROUP BY 1, 2")
+def _(spark, d):
+    return genome.dense_rows(_cells(spark, d, False).select("region", "i", "j", "value"), by="region")
 
 
 @query("finite_weights", " SELECT bin_id, round(ln(w - 1), 5) AS value FROM bins WHERE w > 1")
@@ -93,12 +103,10 @@ def _(spark, d):
     return rounded(out.select("dist", "normalized", tables.unnormalized(F.col("normalized")).alias("contrast")))
 
 
-@query("asymmetric_cells", _ARM + ", t AS (SELECT i, j, CASE WHEN i > j AND (i + j) % 7 = 0 THEN cnt + 1 ELSE cnt END AS v FROM ce) SELECT a.i, a.j FROM t a JOIN t b ON a.i = b.j AND a.j = b.i WHERE a.v <> b.v")
+@query("asymmetric_cells", _CELLS + ", t AS (SELECT region, i, j, CASE WHEN i > j AND (i + j) % 7 = 0 THEN cnt + 1 ELSE cnt END AS v FROM ce) SELECT a.region, a.i, a.j FROM t a JOIN t b ON a.region = b.region AND a.i = b.j AND a.j = b.i WHERE a.v <> b.v")
 def _(spark, d):
-    m = maps.hour_map(spark, d)
-    bins = joins.assign_supports(m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark)).where("region = 'c1_p'")
     value = F.when((F.col("i") > F.col("j")) & ((F.col("i") + F.col("j")) % 7 == 0), F.col("value") + 1).otherwise(F.col("value"))
-    return columns.asymmetry(compartments.region_cells(m, bins, []).select("i", "j", value.cast("double").alias("value"))).select("i", "j")
+    return columns.asymmetry(_cells(spark, d, False).select("region", "i", "j", value.cast("double").alias("value")), by="region").select("region", "i", "j")
 
 
 _RUNS = "r AS (SELECT c_nationkey AS region, c_custkey * 10 AS s, c_custkey % 11 AS n, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 3 AS DOUBLE) END AS v FROM customer)"
@@ -184,11 +192,11 @@ def _(spark, d):
     return out.select("bin_id", "is_bad_bin", "dist_bad_bin", F.round(score, 6).alias("score"), n.alias("n_valid"), counts.alias("sum_counts"), F.round(balanced, 5).alias("sum_balanced"))
 
 
-@query("dense_text", ", ar AS (SELECT *, bin_id || '|toy|' || chrom || ':' || (s + 1) || '-' || t AS name FROM bins WHERE arm = 'c1_p'), ce AS (SELECT a.bin_id AS i, b.bin_id AS j, a.name, coalesce(p.cnt, 0) AS v FROM ar a JOIN ar b ON true LEFT JOIN pix p ON p.bin1_id = least(a.bin_id, b.bin_id) AND p.bin2_id = greatest(a.bin_id, b.bin_id)) SELECT CAST(0 AS BIGINT) AS row_id, '90x90' || chr(9) || string_agg(name, chr(9) ORDER BY bin_id) AS line FROM ar UNION ALL SELECT i + 1, name || chr(9) || string_agg(printf('%.4f', CAST(v AS DOUBLE)), chr(9) ORDER BY j) FROM ce GROUP BY i, name")
+@query("dense_text", _CELLS + ", nm AS (SELECT *, bin_id || '|toy|' || chrom || ':' || (s + 1) || '-' || t AS name FROM bins) SELECT arm AS region, CAST(0 AS BIGINT) AS row_id, '90x90' || chr(9) || string_agg(name, chr(9) ORDER BY bin_id) AS line FROM nm GROUP BY 1 UNION ALL SELECT region, i + 1, name || chr(9) || string_agg(printf('%.4f', CAST(cnt AS DOUBLE)), chr(9) ORDER BY j) FROM ce JOIN nm ON arm = region AND bin_id % 90 = i GROUP BY region, i, name")
 def _(spark, d):
     m = maps.hour_map(spark, d)
-    bins = joins.assign_supports(m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark)).where("region = 'c1_p'")
-    return genome.dense_text(compartments.region_cells(m, bins, []), bins, "toy", 4).withColumnRenamed("row", "row_id")
+    bins = joins.assign_supports(m.bins.withColumn("weight", F.lit(1)), maps.half_view(spark))
+    return genome.dense_text(compartments.region_cells(m, bins, []), bins, "toy", 4, by="region").withColumnRenamed("row", "row_id")
 
 
 @plain("region_scaling", "WITH p AS (SELECT b.o_custkey - a.o_custkey AS d FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey >= 10 AND a.o_custkey < 80 AND b.o_custkey >= 40 AND b.o_custkey < 140), e AS (SELECT CAST(pow(2, k) AS BIGINT) AS lo, CAST(pow(2, k + 1) AS BIGINT) AS hi FROM range(0, 7) t(k)), q AS (SELECT lo, hi, (SELECT count(*) FROM p WHERE d >= lo AND d < hi) AS n FROM e) SELECT lo AS dist_lo, hi AS dist_hi, n AS n_pairs, CAST((SELECT sum(greatest(least(x + hi, 140) - greatest(x + lo, 40), 0) + greatest(least(x + 1 + hi, 140) - greatest(x + 1 + lo, 40), 0)) / 2.0e0 FROM range(10, 80) r(x)) AS DOUBLE) AS area FROM q")
@@ -213,12 +221,84 @@ def _(spark, d):
     return rounded(signals.swept_prominence(maps.hour_map(spark, d).bins, "weight", "chrom", "bin_id"))
 
 
-@plain("zoomed")
+@query("zoomed", _CELLS + """, ax AS (SELECT k, least(CAST(floor(k * 89 / 119.0e0) AS INT), 88) AS lo, k * 89 / 119.0e0 - least(CAST(floor(k * 89 / 119.0e0) AS INT), 88) AS part FROM range(0, 120) t(k)),
+wt AS (SELECT k, lo AS at, 1 - part AS f FROM ax UNION ALL SELECT k, lo + 1, part FROM ax)
+SELECT region, x.k // 3 AS i, y.k // 3 AS j, round(sum(x.f * y.f * coalesce(v, 0)) / 9, 6) AS value FROM ce JOIN wt x ON x.at = i JOIN wt y ON y.at = j GROUP BY 1, 2, 3""")
 def _(spark, d):
-    cells = _arm(spark, d).select("region", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return rounded(signals.zoomed(cells, (30, 30)))
+    cells = _cells(spark, d).select("region", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return rounded(signals.zoomed(cells, (40, 40)))
+
+
+def _pooled() -> str:
+    """SQL of sums over wider and wider blocks of cells, and of means handed back from the widest."""
+    down = ", p0 AS (SELECT region, i, j, coalesce(v, 0) AS v, CASE WHEN v IS NULL THEN 0 ELSE cnt END AS c, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS ok FROM ce)"
+    for k in range(1, 5):
+        down += f", p{k} AS (SELECT region, i // 2 AS i, j // 2 AS j, sum(v) AS v, sum(c) AS c, sum(ok) AS ok FROM p{k - 1} GROUP BY 1, 2, 3)"
+    up = ", u4 AS (SELECT * FROM p4)"
+    for k in range(3, -1, -1):
+        low = f"SELECT *, min(CASE WHEN ok > 0 THEN c END) OVER (PARTITION BY region, i // 2, j // 2) AS least_c FROM p{k}"
+        up += f", u{k} AS (SELECT p.region, p.i, p.j, CASE WHEN p.ok = 0 THEN 0 WHEN p.least_c < 5 THEN u.v / q.ok * p.ok ELSE p.v END AS v FROM ({low}) p JOIN u{k + 1} u ON u.region = p.region AND u.i = p.i // 2 AND u.j = p.j // 2 JOIN p{k + 1} q ON q.region = p.region AND q.i = p.i // 2 AND q.j = p.j // 2)"
+    return down + up
 
 
-@plain("adaptively_coarse")
+@query("adaptively_coarse", _CELLS + _pooled() + " SELECT u0.region, u0.i, u0.j, round(CASE WHEN p0.ok = 1 THEN u0.v END, 6) AS value FROM u0 JOIN p0 USING (region, i, j)")
 def _(spark, d):
-    return rounded(signals.adaptively_coarse(_arm(spark, d).withColumn("count", F.coalesce("count", F.lit(0)))))
+    out = signals.adaptively_coarse(_cells(spark, d).withColumn("count", F.coalesce("count", F.lit(0))))
+    return rounded(out.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))))
+
+
+_LIMITS = _STRENGTHS + """, st AS (SELECT bin_id, CASE WHEN l IS NULL AND r IS NULL THEN v - coalesce(lw.m, mn.m) WHEN l IS NULL THEN v - mr WHEN r IS NULL THEN v - ml ELSE least(v - ml, v - mr) END AS s FROM k LEFT JOIN lw USING (chrom) JOIN mn USING (chrom)),
+sv AS (SELECT s - (SELECT min(s) FROM st) AS x, s FROM st), gap AS (SELECT min(g) / 2 AS g FROM (SELECT x - lag(x) OVER (ORDER BY x) AS g FROM (SELECT DISTINCT x FROM sv) u) v WHERE g > 0),
+li(n, t, before) AS (SELECT 0, (SELECT avg(x) FROM sv), -1.0e0 UNION ALL SELECT n + 1, CASE WHEN lo > 0 THEN (lo - hi) / (ln(lo) - ln(hi)) ELSE hi / 2 END, t FROM (SELECT n, t, (SELECT avg(x) FROM sv WHERE x > li.t) AS hi, (SELECT avg(x) FROM sv WHERE x <= li.t) AS lo FROM li WHERE abs(t - before) > (SELECT g FROM gap) AND n < 200) u),
+lim AS (SELECT arg_max(t, n) + (SELECT min(s) FROM st) AS li_at FROM li),
+hb AS (SELECT least(CAST(floor((s - lo) / (hi - lo) * 256) AS INT), 255) AS b, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM st, (SELECT min(s) AS lo, max(s) AS hi FROM st) u GROUP BY 1),
+he AS (SELECT k AS b, coalesce(n, 0) AS n, (SELECT min(s) FROM st) + (k + 0.5e0) * ((SELECT max(s) - min(s) FROM st) / 256) AS mid FROM range(0, 256) t(k) LEFT JOIN hb ON hb.b = k),
+hc AS (SELECT b, mid, sum(n) OVER w AS w1, sum(n) OVER () - sum(n) OVER w AS w2, sum(n * mid) OVER w AS s1, sum(n * mid) OVER () - sum(n * mid) OVER w AS s2 FROM he WINDOW w AS (ORDER BY b)),
+ot AS (SELECT mid AS otsu_at FROM hc WHERE b < 255 ORDER BY round(w1 * w2 * pow(s1 / greatest(w1, 1) - s2 / greatest(w2, 1), 2), 6) DESC, b LIMIT 1)"""
+
+
+@query("boundaries_by_threshold", _LIMITS + " SELECT bin_id, s >= li_at AS li, s >= otsu_at AS otsu FROM st, lim, ot", recursive=True)
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    found = bands.boundaries(bands.insulation(m, maps.chrom_view(m.bins), 10)).where("boundary_strength is not null")
+    li = bands.call_boundaries(found, "Li").select("bin_id", F.col("is_boundary").alias("li"))
+    return li.join(bands.call_boundaries(found, "Otsu").select("bin_id", F.col("is_boundary").alias("otsu")), "bin_id")
+
+
+def _portable(seed: int):
+    """A contact's hash that other engines can compute."""
+    text = lambda k: F.concat_ws("-", "bin1_id", "bin2_id", k, F.lit(seed))
+    return lambda k: F.conv(F.substring(F.md5(text(k)), 1, 15), 16, 10).cast("long")
+
+
+_CONTACTS = ", co AS (SELECT bin1_id, bin2_id, k, CAST('0x' || substr(md5(concat_ws('-', bin1_id, bin2_id, k, 7)), 1, 15) AS BIGINT) AS h FROM (SELECT bin1_id, bin2_id, unnest(range(1, cnt + 1)) AS k FROM pix) u)"
+
+
+@query("sample_exact", _CONTACTS + " SELECT bin1_id, bin2_id, count(*) AS n FROM (SELECT * FROM co ORDER BY h, bin1_id, bin2_id, k LIMIT 50000) u GROUP BY 1, 2")
+def _(spark, d):
+    return profiles.sample_exact(maps.hour_map(spark, d).pixels, 50000, key=_portable(7)).withColumnRenamed("count", "n")
+
+
+@query("sample_approx", _CONTACTS + f" SELECT bin1_id, bin2_id, count(*) AS n FROM co WHERE h < {round(0.2 * profiles.HASH_RANGE)} GROUP BY 1, 2")
+def _(spark, d):
+    return profiles.sample_approx(maps.hour_map(spark, d).pixels, 0.2, key=_portable(7)).withColumnRenamed("count", "n")
+
+
+@query("balanced_weights", ", mg AS (SELECT bin_id, sum(cnt) AS s FROM (SELECT bin1_id AS bin_id, cnt FROM pix WHERE bin2_id - bin1_id >= 2 UNION ALL SELECT bin2_id, cnt FROM pix WHERE bin2_id - bin1_id >= 2) u GROUP BY 1) SELECT bins.bin_id, mg.s IS NOT NULL AS reached, true AS even, true AS converged FROM bins LEFT JOIN mg USING (bin_id)")
+def _(spark, d):
+    """Balanced to convergence: every bin with contacts has a weight, and all marginals are within 2 % of their mean."""
+    m = maps.hour_map(spark, d)
+    weights, done = matrix.balance(m)
+    px = m.pixels.where("bin2_id - bin1_id >= 2")
+    y = matrix.matvec(px, weights.where("weight is not null").withColumnRenamed("weight", "x")).join(weights, "bin_id").select("bin_id", (F.col("y") * F.col("weight")).alias("y"))
+    near = y.crossJoin(F.broadcast(y.agg(F.avg("y").alias("m")))).select("bin_id", (F.abs(F.col("y") / F.col("m") - 1) < 0.02).alias("even"))
+    return m.bins.select("bin_id").join(near, "bin_id", "left").select("bin_id", F.col("even").isNotNull().alias("reached"), F.coalesce("even", F.lit(True)).alias("even"), F.lit(done).alias("converged"))
+
+
+@query("newton_weights", ", mg AS (SELECT DISTINCT unnest([bin1_id, bin2_id]) AS bin_id FROM pix) SELECT bins.bin_id, mg.bin_id IS NOT NULL AS reached, CASE WHEN mg.bin_id IS NOT NULL THEN 1.0e0 END AS marginal FROM bins LEFT JOIN mg ON mg.bin_id = bins.bin_id")
+def _(spark, d):
+    """Newton's balancing: every bin with contacts has a marginal of 1."""
+    m = maps.hour_map(spark, d)
+    weights, _ = matrix.knight_ruiz(m, tol=1e-8)
+    y = matrix.matvec(m.pixels, weights.where("weight is not null").withColumnRenamed("weight", "x"))
+    return weights.join(y, "bin_id", "left").select("bin_id", F.col("weight").isNotNull().alias("reached"), F.round(F.col("weight") * F.col("y"), 5).alias("marginal"))
