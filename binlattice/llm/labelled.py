@@ -25,14 +25,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton's method with a ridge on all but the last weight, which is the intercept."""
+    """Newton's method with a ridge on all but the last weight, which is the intercept.
+
+    Both classes weigh the same in sum, as a sample bounded by class says nothing about their shares.
+    """
+    each = np.where(y > 0.5, 1 / max(1, (y > 0.5).sum()), 1 / max(1, (y <= 0.5).sum())) * len(y) / 2
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((a * (each * p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (each * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-7:
             break

@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, takes accents and other marks off letters, drops invisible
-characters, maps look-alike letters of other scripts and full-width forms to
+Folding lower-cases, drops invisible characters and marks, maps look-alike letters of other scripts and full-width forms to
 Latin, and digits and signs that stand for letters inside a word to those
 letters; numbers stay numbers, which no entry matches. Four or more single
-letters in a row are one spelled-out word. Lexicon entries are whole words or
+letters in a row are one spelled-out word. A text with accents is also searched
+without them for entries that are whole words, and the search that finds more
+counts. Lexicon entries are whole words or
 word beginnings; the most heavily weighted entry at a word counts, and words
 inside an exception phrase don't. The sum is normalised by length and turned
 into a probability.
@@ -49,11 +50,12 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 SPELLED = re.compile(r"(?<= )\S(?: \S){3,}(?= )")
 
 
-def fold(text: str) -> str:
-    """Folded words, each between single spaces."""
+def fold(text: str, bare: bool = False) -> str:
+    """Folded words, each between single spaces; bare also takes accents off their letters."""
     text = text.lower()
     if not text.isascii():
-        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(LOOKALIKE)
+        text = unicodedata.normalize("NFKD" if bare else "NFKC", text)
+        text = MARKS.sub("", text).translate(LOOKALIKE)
     if "@" in text or "$" in text:
         text = SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
     text = DIGIT_WORD.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(DIGITS), text)
@@ -83,17 +85,25 @@ class Model:
             self._built = a
         return self._built
 
-    def features(self, text: str | None) -> list[float]:
-        folded = fold(text or "")
+    def hits(self, folded: str, whole: bool = False) -> list[float]:
+        """The best weight at each word that has one, in order, without those inside exceptions; whole: of entries that are words."""
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (size, w) in self.automaton().iter(folded):
             start = end - size + 1
             if w is None:
                 spared.append((start, end))
-            elif w > best.get(start, 0.0):
+            elif w > best.get(start, 0.0) and (not whole or folded[end] == " "):
                 best[start] = w
-        hits = [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
+        return [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
+
+    def features(self, text: str | None) -> list[float]:
+        text = text or ""
+        folded = fold(text)
+        hits = self.hits(folded)
+        if not text.isascii():  # accents may be put on to disguise a word, or belong to another word
+            bare = self.hits(fold(text, True), True)
+            hits = bare if sum(bare) > sum(hits) else hits
         n = max(1, folded.count(" ") - 1)
         total = sum(hits)
         return [total / (1 + np.sqrt(n / 50)), max(hits, default=0.0), total / n * 10]
