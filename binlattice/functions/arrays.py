@@ -407,27 +407,23 @@ def fake_cis(a: np.ndarray, cis: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def clusters(points: np.ndarray, radius: float) -> np.ndarray:
-    """Labels of points by clustering features: each point joins the nearest cluster whose radius stays within the threshold."""
-    n: list[int] = []
-    total: list[np.ndarray] = []
-    square: list[float] = []
-    labels = np.empty(len(points), dtype=int)
+    """Labels of points by clustering features: each point, in order, joins the nearest cluster if its radius stays within the threshold."""
+    most = len(points)
+    n, square = np.zeros(most), np.zeros(most)
+    total, centre = np.zeros((most, points.shape[1])), np.zeros((most, points.shape[1]))
+    labels, used = np.empty(most, dtype=int), 0
     for k, p in enumerate(points.astype(float)):
-        best = -1
-        if n:
-            centre = np.array(total) / np.array(n)[:, None]
-            c = int(np.argmin(((centre - p) ** 2).sum(axis=1)))
+        best, own = used, float(p @ p)
+        if used:
+            c = int(((centre[:used] - p) ** 2).sum(axis=1).argmin())
             m, s = n[c] + 1, total[c] + p
-            if (square[c] + p @ p) / m - (s / m) @ (s / m) <= radius**2:
+            if (square[c] + own) / m - (s / m) @ (s / m) <= radius**2:
                 best = c
-        if best < 0:
-            best = len(n)
-            n.append(0)
-            total.append(np.zeros(len(p)))
-            square.append(0.0)
+        used = max(used, best + 1)
         n[best] += 1
-        total[best] = total[best] + p
-        square[best] += float(p @ p)
+        total[best] += p
+        square[best] += own
+        centre[best] = total[best] / n[best]
         labels[k] = best
     return labels
 

@@ -103,10 +103,18 @@ def expected_trans(cmap: ContactMap, view: DataFrame) -> DataFrame:
 
 
 def expected_full(cmap: ContactMap, view: DataFrame, ignore_diags: int = 2) -> DataFrame:
-    """Cis by distance and trans with distance -1 in one table."""
-    keep = [*REGIONS, "dist", "n_valid", "count_sum", "balanced_sum", "balanced_avg"]
-    cis = expected_cis(cmap, view, intra_only=False, ignore_diags=ignore_diags).select(keep)
-    return cis.unionByName(expected_trans(cmap, view).withColumn("dist", F.lit(-1).cast("long")).select(keep))
+    """Cis by distance and trans with distance -1 in one table, from one pass over the pixels."""
+    bins = region_bins(cmap, view)
+    far = F.lit(-1).cast("long")
+    table = diag_table(bins, view_pairs(view, "cis")).select(*REGIONS, "dist", "n_valid")
+    table = table.unionByName(block_table(bins, view_pairs(view, "trans")).select(*REGIONS, far.alias("dist"), "n_valid"))
+    px = regional_pixels(cmap, view, True).withColumn("dist", F.when(F.col("chrom1") == F.col("chrom2"), F.col("dist")).otherwise(far))
+    sums = px.groupBy(*REGIONS, "dist").agg(F.sum("count").alias("count_sum"), F.sum("balanced").alias("balanced_sum"))
+    out = table.join(sums, [*REGIONS, "dist"], "left")
+    counted = (F.col("dist") < 0) | (F.col("dist") >= ignore_diags)
+    for v in ("count_sum", "balanced_sum"):
+        out = out.withColumn(v, F.when(counted, F.coalesce(v, F.lit(0)).cast("double")))
+    return out.withColumn("balanced_avg", ratio("balanced_sum", "n_valid"))
 
 
 def rolled_up(expected: DataFrame, view: DataFrame) -> DataFrame:

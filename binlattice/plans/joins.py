@@ -23,20 +23,26 @@ def annotate(pixels: DataFrame, bins: DataFrame, columns: tuple[str, ...] = ("ch
     return pixels
 
 
+def with_regions(df: DataFrame, view: DataFrame, chosen) -> DataFrame:
+    """Adds _r, which chosen makes of the list of regions of a row's chromosome; views are small, so nothing is shuffled but them."""
+    region = F.struct("region_idx", "name", F.col("start").alias("s"), F.col("end").alias("e"))
+    listed = view.groupBy("chrom").agg(F.collect_list(region).alias("_regions"))
+    return df.join(F.broadcast(listed), "chrom", "left").withColumn("_r", chosen(F.col("_regions"))).drop("_regions")
+
+
 def assign_supports(bins: DataFrame, view: DataFrame) -> DataFrame:
     """Bins with the region they overlap; of several regions, the last in view order."""
-    hit = bins.join(F.broadcast(view.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), "name", "region_idx")), "chrom", "left")
-    inside = hit.where("_s is null or (end > _s and (_e is null or start < _e))")
-    best = inside.groupBy("bin_id").agg(F.max(F.struct("region_idx", "name")).alias("r")).select("bin_id", F.col("r.name").alias("region"), F.col("r.region_idx").alias("region_idx"))
-    return bins.join(best, "bin_id", "left")
+    inside = lambda r: r["s"].isNull() | ((F.col("end") > r["s"]) & (r["e"].isNull() | (F.col("start") < r["e"])))
+    hit = with_regions(bins, view, lambda regions: F.array_max(F.filter(regions, inside)))
+    return hit.select(*bins.columns, F.col("_r.name").alias("region"), F.col("_r.region_idx").alias("region_idx"))
 
 
 def assign_regions(features: DataFrame, view: DataFrame, key: str) -> DataFrame:
-    """Features (key, chrom, start, end) with the region of largest overlap, or null."""
-    hit = features.join(F.broadcast(view.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), "name", "region_idx")), "chrom")
-    overlap = F.least("end", "_e") - F.greatest("start", "_s")
-    best = hit.withColumn("overlap", overlap).where("overlap > 0").groupBy(key).agg(F.max_by("name", F.struct("overlap", -F.col("region_idx"))).alias("region"))
-    return features.join(best, key, "left")
+    """Features (key, chrom, start, end) with the region of largest overlap, or null; of equal overlaps, the first in view order."""
+    overlap = lambda r: F.least(F.col("end"), r["e"]) - F.greatest(F.col("start"), r["s"])
+    ranked = lambda r: F.struct(overlap(r).alias("overlap"), (-r["region_idx"]).alias("turn"), r["name"].alias("name"))
+    hit = with_regions(features, view, lambda regions: F.array_max(F.filter(F.transform(regions, ranked), lambda x: x["overlap"] > 0)))
+    return hit.select(*features.columns, F.col("_r.name").alias("region"))
 
 
 def assign_regions_paired(features: DataFrame, view: DataFrame, key: str) -> DataFrame:
