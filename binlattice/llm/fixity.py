@@ -8,8 +8,9 @@ children are looked at only below nodes that differ, and records only in
 ranges that differ.
 
 Everything is DataFrame functions; records are hashed once per replica into a
-small written table. Offsets come from sums by shard and by group of shards, so
-no task sees all records.
+small written table. Offsets come from sums by shard and by group of shards, and
+shards where a page_id repeats very often are cut into slots, so no task sees
+all records, whatever their page_ids are.
 
 Defined cases: null url and html are empty; records that repeat a page_id are
 told apart by their hash order; records without page_id have no place in the
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Scratch, partitions
+from .shared import Scratch, narrow_join, partitions
 
-RANGE_BYTES, SHARD, FANOUT = 1 << 18, 512, 64
+RANGE_BYTES, SHARD, FANOUT, HOT_ROWS, SLOT_ROWS = 1 << 18, 512, 64, 1 << 14, 1 << 12
 
 
 def record() -> Column:
@@ -37,35 +38,69 @@ def record() -> Column:
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
-def hashed(pages: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(page_id, nth, shard, n_bytes, sha256): nth tells records of one page_id apart."""
+def located(pages: DataFrame, shard: int) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.select("page_id", F.octet_length(record()).cast("long").alias("n_bytes"), F.sha2(record(), 256).alias("sha256"))
-    same = W.partitionBy("shard", "page_id").orderBy("sha256")
-    rows = rows.withColumn("shard", F.floor(F.col("page_id") / shard))
-    keyed = rows.where("page_id is not null").withColumn("nth", F.row_number().over(same))
-    return keyed.unionByName(rows.where("page_id is null").withColumn("nth", F.lit(0)))
+    return rows.withColumn("shard", F.floor(F.col("page_id") / shard))
+
+
+def crowded(scratch: Scratch, sides: list[DataFrame], shard: int, hot_rows: int) -> DataFrame | None:
+    """The shards of more than hot_rows records on both sides together, where one page_id repeats very often; None if there are none."""
+    every = located(sides[0], shard).select("shard").unionByName(located(sides[1], shard).select("shard")).where("shard is not null")
+    found = scratch.table(every.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("shard", F.lit("x").alias("mark")))
+    return found if found.take(1) else None
+
+
+def hashed(pages: DataFrame, shard: int = SHARD, crowd: DataFrame | None = None, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """(page_id, n_bytes, sha256, shard, nth, page, slot): nth tells records of one page_id apart.
+
+    Crowded shards are cut by page and slot, a slot holding so many records of a
+    page_id; in all others both are 0. There, nth comes from counts by the
+    beginning of the hash, so records of one page_id are never sorted together.
+    """
+    rows = located(pages, shard).withColumns({"n_bytes": F.octet_length(record()).cast("long"), "sha256": F.sha2(record(), 256)}).select("page_id", "n_bytes", "sha256", "shard")
+    zero = F.lit(0).cast("long")
+    keyed, own = rows.where("page_id is not null"), W.partitionBy("shard", "page_id").orderBy("sha256")
+    none = rows.where("page_id is null").withColumns({"nth": F.lit(0), "page": zero, "slot": zero})
+    if crowd is None:
+        return keyed.withColumns({"nth": F.row_number().over(own), "page": zero, "slot": zero}).unionByName(none)
+    plain = narrow_join(keyed, crowd, "shard", "mark", "left_anti").withColumns({"nth": F.row_number().over(own), "page": zero, "slot": zero})
+    heavy = narrow_join(keyed, crowd, "shard", "mark", "left_semi").withColumn("head", F.substring("sha256", 1, 3))
+    counts = heavy.groupBy("page_id", "head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("page_id").orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("page_id", "head").orderBy("sha256"))
+    heavy = heavy.withColumn("within", within).join(counts.select("page_id", "head", before.alias("before")), ["page_id", "head"])
+    heavy = heavy.withColumn("nth", (F.col("before") + F.col("within")).cast("int")).drop("head", "before", "within")
+    return plain.unionByName(heavy.withColumns({"page": F.col("page_id"), "slot": F.floor(F.col("nth") / slot_rows)})).unionByName(none)
+
+
+SLICE = ["shard", "page", "slot"]
 
 
 def laid_out(rows: DataFrame, range_bytes: int = RANGE_BYTES, group: int = SHARD) -> DataFrame:
     """Adds offset, the record's first byte in the archive, and range, its number in the shard."""
     keyed = rows.where("page_id is not null")
-    shards = keyed.groupBy("shard").agg(F.sum("n_bytes").alias("bytes")).withColumn("block", F.floor(F.col("shard") / group))
-    blocks = shards.groupBy("block").agg(F.sum("bytes").alias("total"))
-    before = F.coalesce(F.sum("total").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("bytes").over(W.partitionBy("block").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = shards.join(blocks.select("block", before.alias("before")), "block").select("shard", (inside + F.col("before")).alias("base"))
-    own = F.coalesce(F.sum("n_bytes").over(W.partitionBy("shard").orderBy("page_id", "nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = keyed.withColumn("own", own).join(bases, "shard")
-    return placed.withColumn("offset", F.col("base") + F.col("own")).withColumn("range", F.floor(F.col("own") / range_bytes)).drop("own", "base")
+    slices = keyed.groupBy(*SLICE).agg(F.sum("n_bytes").alias("bytes")).withColumn("block", F.floor(F.col("shard") / group))
+    blocks = slices.groupBy("block").agg(F.sum("bytes").alias("total"))
+    past = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = slices.join(blocks.select("block", past("total", W.orderBy("block")).alias("before")), "block")
+    bases = bases.select(*SLICE, (past("bytes", W.partitionBy("block").orderBy(*SLICE)) + F.col("before")).alias("base"), past("bytes", W.partitionBy("shard").orderBy("page", "slot")).alias("inside"))
+    own = past("n_bytes", W.partitionBy(*SLICE).orderBy("page_id", "nth"))
+    placed = keyed.withColumn("own", own).join(bases, SLICE)
+    at = F.col("inside") + F.col("own")
+    return placed.withColumn("offset", F.col("base") + F.col("own")).withColumn("range", F.floor(at / range_bytes)).drop("own", "base", "inside")
 
 
 def aligned(rows: DataFrame, primary: DataFrame) -> DataFrame:
     """A replica's records with the primary's ranges: each record belongs to the range that last began before it."""
-    edges = primary.groupBy("shard", "range").agg(F.min(F.struct("page_id", "nth")).alias("k")).select("shard", "k.page_id", "k.nth", F.lit(0).alias("side"), "range")
-    own = rows.where("page_id is not null").select("shard", "page_id", "nth", F.lit(1).alias("side"), F.lit(None).cast("long").alias("range"), "n_bytes", "sha256")
-    last = F.last("range", ignorenulls=True).over(W.partitionBy("shard").orderBy("page_id", "nth", "side"))
-    return own.unionByName(edges, allowMissingColumns=True).withColumn("range", F.coalesce(last, F.lit(0))).where("side = 1").drop("side")
+    first = F.struct("page_id", "nth", "page", "slot")
+    edges = primary.groupBy("shard", "range").agg(F.min(first).alias("k")).select("shard", "k.page_id", "k.nth", "k.page", "k.slot", F.lit(0).alias("side"), "range")
+    own = rows.where("page_id is not null").select("shard", "page_id", "nth", "page", "slot", F.lit(1).alias("side"), F.lit(None).cast("long").alias("range"), "n_bytes", "sha256")
+    every = own.unionByName(edges, allowMissingColumns=True)
+    last = F.last("range", ignorenulls=True).over(W.partitionBy(*SLICE).orderBy("page_id", "nth", "side"))
+    earlier = F.max("top").over(W.partitionBy("shard").orderBy("page", "slot").rowsBetween(W.unboundedPreceding, -1))
+    carried = every.groupBy(*SLICE).agg(F.max("range").alias("top")).select(*SLICE, earlier.alias("carried"))
+    met = every.withColumn("last", last).where("side = 1").join(carried, SLICE)
+    return met.withColumn("range", F.coalesce("last", "carried", F.lit(0))).drop("side", "last", "carried")
 
 
 def _over(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -100,7 +135,7 @@ def differing(scratch: Scratch, left: list[DataFrame], right: list[DataFrame], f
     return apart(*(x.join(shards, "shard", "left_semi") for x in (left[0], right[0])), ["shard", "range"])
 
 
-def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BYTES, shard: int = SHARD, fanout: int = FANOUT) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BYTES, shard: int = SHARD, fanout: int = FANOUT, hot_rows: int = HOT_ROWS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """One row per record of either side: page_id, nth, offset, n_bytes, sha256, shard, range, status.
 
     Statuses are intact, altered, missing (from the replica), extra (only
@@ -109,7 +144,8 @@ def audit(primary: DataFrame, replica: DataFrame, *, range_bytes: int = RANGE_BY
     records; those and records without page_id have no offset.
     """
     scratch = Scratch(primary.sparkSession)
-    hashes = [scratch.table(hashed(x, shard)) for x in (primary, replica)]
+    crowd = crowded(scratch, [primary, replica], shard, hot_rows)
+    hashes = [scratch.table(hashed(x, shard, crowd, slot_rows)) for x in (primary, replica)]
     left = scratch.table(laid_out(hashes[0], range_bytes))
     right = scratch.table(aligned(hashes[1], left))
     ends = left.select("shard").union(right.select("shard")).agg(F.min("shard"), F.max("shard")).first()

@@ -531,6 +531,20 @@ def test_packing(spark, rows):
     assert packing.best_fit(empty(spark)).count() == 0
 
 
+def test_fixity_of_crowded_page_ids(spark):
+    """Cutting crowded shards changes nothing: offsets, ranges and statuses are those of the plain order."""
+    rows = [(i, f"u{i}", "x" * (i * 37 % 90)) for i in range(60)] + [(33, f"v{k}", "y" * (k % 50)) for k in range(300)] + [(-5, "neg", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    replica = pages.where("url <> 'v7' and url <> 'u12'").withColumn("html", F.when(F.col("url") == "v200", "bad").otherwise(F.col("html")))
+    args = {"range_bytes": 2000, "shard": 16, "fanout": 4}
+    plain = fixity.audit(pages, replica, **args)
+    cut = fixity.audit(pages, replica, **args, hot_rows=50, slot_rows=7)
+    columns = ["page_id", "nth", "offset", "n_bytes", "sha256", "shard", "range", "status"]
+    assert counter(cut, *columns) == counter(plain, *columns)
+    offsets = sorted((r.offset, r.n_bytes) for r in cut.collect() if r.offset is not None)
+    assert len(offsets) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(offsets, offsets[1:]))
+
+
 def best_fit_by_hand(sizes, lengths, length):
     """(room, number, used) of the bins of plain best fit, by searching all of them."""
     bins = []
