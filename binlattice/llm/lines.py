@@ -39,7 +39,7 @@ from . import text as tx
 from .shared import Scratch, narrow_join, partitions, places
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
-BUCKET_ROWS, SALTS, HOT_SHARE = 4_000_000, 64, 100_000
+BUCKET_ROWS, BUCKETS_MOST, SALTS, HOT_SHARE = 4_000_000, 100_000, 64, 100_000  # Spark lays out no more buckets
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -135,7 +135,8 @@ def drops(docs: DataFrame, scratch: Scratch, *, min_chars: int, min_docs: int, b
     dealt = keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     staged = scratch.table(dealt, "batch")
     rows = staged.count()
-    runs = LineRuns(scratch, max(partitions(docs.sparkSession), math.ceil(rows / BUCKET_ROWS)), fanout)
+    buckets = min(BUCKETS_MOST, max(partitions(docs.sparkSession), math.ceil(rows / BUCKET_ROWS)))
+    runs = LineRuns(scratch, buckets, fanout)
     for b in range(batches):
         runs.add(staged.where(F.col("batch") == b).select("doc_id", "key"))
     common = scratch.table(runs.rows().where(F.col("n") >= min_docs))
