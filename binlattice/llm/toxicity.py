@@ -1,14 +1,14 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, drops invisible characters and marks, maps look-alike letters of other scripts and full-width forms to
-Latin, and digits and signs that stand for letters inside a word to those
-letters; numbers stay numbers, which no entry matches. Four or more single
-letters in a row are one spelled-out word. A text with accents is also searched
-without them for entries that are whole words, and the search that finds more
-counts. Lexicon entries are whole words or
+Folding lower-cases, drops invisible characters and marks, maps look-alike
+letters of other scripts and full-width forms to Latin, and digits and signs that
+stand for letters inside a word to those letters; numbers stay numbers, which no
+entry matches. Four or more single letters in a row are one spelled-out word. A
+text with accents is also searched without them for entries that are whole
+words, and the search that finds more counts. Lexicon entries are whole words or
 word beginnings; the most heavily weighted entry at a word counts, and words
-inside an exception phrase don't. The sum is normalised by length and turned
-into a probability.
+inside an exception phrase don't. The sum is normalised by length and turned into
+a probability.
 
 Entries and weights are log ratios of rates in labelled toxic and other
 documents, from at most ``SAMPLE`` rows a class. Without labels of both
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import logistic, remainder, sample
+from .shared import Scratch
 
 SAMPLE, ENTRIES, PREFIXES = 2500, 3000, (4, 5, 6, 7)
 BUILT_IN = {"idiot": 4.0, "moron": 4.0, "scum": 4.0, "pathetic": 3.0, "worthless": 3.0, "loser": 3.0, "stupid": 3.0, "disgusting": 2.5, "trash": 2.0, "clown": 2.0}
@@ -146,7 +147,7 @@ def _counts(batches):
 
 def train(docs: DataFrame, labels: DataFrame, *, each: int = SAMPLE) -> Model:
     model = Model()
-    rows = sample(docs, labels, "toxic", folds=3, held=1, each=each).select("text", "label").where("text is not null")
+    rows = Scratch(docs.sparkSession).table(sample(docs, labels, "toxic", folds=3, held=1, each=each).select("text", "label").where("text is not null"))
     size = {r.label: (r.n, r.words) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("words")).collect()}
     if len(size) < 2:
         return model
