@@ -145,7 +145,7 @@ def samples(text: str) -> list[tuple[int, str]]:
     """(label, token): values that a pattern matched, by alphabet, and ordinary tokens."""
     spans = base_spans(text)
     plain = (text[a:b] for a, b in outside(text, spans, PLAIN))
-    return [(alphabet(v), v) for k, a, b in spans if (v := value(text, k, a, b))] + [(ORDINARY, t) for t in plain if not THREE_DIGITS.search(t)]
+    return [(alphabet(v), v) for a, k, b in spans if (v := value(text, k, a, b))] + [(ORDINARY, t) for t in plain if not THREE_DIGITS.search(t)]
 
 
 def counted(docs: DataFrame) -> dict[int, np.ndarray]:

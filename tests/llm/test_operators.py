@@ -378,6 +378,9 @@ def test_secret_models_by_hand(spark):
         c = [0, *secrets.codes(token).tolist()]
         sums = [sum(np.log(share(k, a, b) / share(secrets.ORDINARY, a, b)) for a, b in zip(c, c[1:])) for k in range(secrets.ORDINARY)]
         assert secrets.llr(table_, token) == pytest.approx(max(sums) - np.log(secrets.ORDINARY))
+    key = "AKIA" + "Q7" * 8
+    text_ = f"a token : 'Zz/9.abcdefgh' and {key} {'0a' * 20}"
+    assert secrets.samples(text_) == [(4, "Zz/9abcdefgh"), (2, key), (0, "0a" * 20)]
     docs = table(spark, [(1, "password=abcdef123456 getUserName"), (None, "plainIdentifier"), (2, None)])
     counts = secrets.counted(docs.unionByName(docs))
     assert (counts[0] == 2 * secrets.transitions(["abcdef123456"])).all() and (counts[secrets.ORDINARY] == 2 * secrets.transitions(["getUserName", "plainIdentifier"])).all()
