@@ -218,11 +218,13 @@ def _boxes(placed: DataFrame) -> dict[int, dict[int, tuple[int, np.ndarray, np.n
         keys, values = list(seen), list(seen.values())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), *(pa.array([list(v[i]) for v in values], pa.list_(pa.float64())) for i in (1, 2))], ["dim", "leaf", "n", "lo", "hi"])
 
+    parts = placed.select("dim", "leaf", "lead").mapInArrow(run, "dim int, leaf long, n long, lo array<double>, hi array<double>")
+    flat = parts.select("dim", "leaf", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("k", "x"))
     out: dict[int, dict] = {}
-    for r in placed.select("dim", "leaf", "lead").mapInArrow(run, "dim int, leaf long, n long, lo array<double>, hi array<double>").toLocalIterator():
-        own = out.setdefault(r.dim, {})
-        n, lo, hi = own.get(r.leaf, (0, r.lo, r.hi))
-        own[r.leaf] = n + r.n, np.minimum(lo, r.lo), np.maximum(hi, r.hi)
+    for r in flat.groupBy("dim", "leaf", "k").agg(F.sum("n").alias("n"), F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi")).orderBy("dim", "leaf", "k").collect():  # leaves times dimensions
+        own = out.setdefault(r.dim, {}).setdefault(r.leaf, (r.n, [], []))
+        own[1].append(r.lo)
+        own[2].append(r.hi)
     return out
 
 
@@ -231,7 +233,7 @@ def partners(boxes: dict[int, tuple[int, np.ndarray, np.ndarray]], size: int, th
     ids = sorted(boxes)
     blocks = np.array([-(-boxes[i][0] // size) for i in ids])
     first = np.concatenate([[0], np.cumsum(blocks)])
-    lo, hi = (np.array([boxes[i][k] for i in ids]) for k in (1, 2))
+    lo, hi = (np.array([boxes[i][side] for i in ids]) for side in (1, 2))
     out = []
     for k, i in enumerate(ids):
         gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
