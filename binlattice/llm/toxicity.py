@@ -4,8 +4,8 @@ Folding lower-cases, drops invisible characters and marks, maps look-alike
 letters of other scripts and full-width forms to Latin, and digits and signs that
 stand for letters inside a word to those letters; numbers stay numbers, which no
 entry matches. Four or more single letters in a row are one spelled-out word. A
-text with accents is also searched without them for entries that are whole
-words, and the search that finds more counts. Lexicon entries are whole words or
+word with accents is also looked up without them among the entries that are whole
+words. Lexicon entries are whole words or
 word beginnings; the most heavily weighted entry at a word counts, and words
 inside an exception phrase don't. The sum is normalised by length and turned into
 a probability.
@@ -39,41 +39,64 @@ from pyspark.sql import functions as F
 from .labelled import logistic, remainder, sample
 from .shared import Scratch
 
-SAMPLE, ENTRIES, PREFIXES = 2500, 3000, (4, 5, 6, 7)
+SAMPLE, ENTRIES, PREFIXES, WORDS_KEPT = 2500, 3000, (4, 5, 6, 7), 1 << 16
 BUILT_IN = {"idiot": 4.0, "moron": 4.0, "scum": 4.0, "pathetic": 3.0, "worthless": 3.0, "loser": 3.0, "stupid": 3.0, "disgusting": 2.5, "trash": 2.0, "clown": 2.0}
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circus clown", "idiot proof", "pond scum", "stupid simple")
 LOOKALIKE = str.maketrans("аеорсухіјѕһԁԛԝкмтвнαεορτυικνβ", "aeopcyxijshdqwkmtbhaeoptuiknb")
 DIGITS = str.maketrans("0134578", "oieastb")
 SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 MARKS = re.compile("[\u0300-\u036f\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
-DIGIT_WORD = re.compile(r"[^\W_]*\d[^\W_]*")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LOOKALIKES = re.compile("[" + "".join(map(chr, LOOKALIKE)) + "]")
+NUMBERS, NOT_ASCII = re.compile(r"\d+"), re.compile("[^\x00-\x7f]+")
+NOT_WORDS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<= )\S(?: \S){3,}(?= )")
 
 
-def fold(text: str, bare: bool = False) -> str:
-    """Folded words, each between single spaces; bare also takes accents off their letters."""
+def fold(text: str) -> str:
+    """Folded words, each between single spaces."""
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD" if bare else "NFKC", text)
-        text = MARKS.sub("", text).translate(LOOKALIKE)
+        text = MARKS.sub("", unicodedata.normalize("NFKC", text))
+        if LOOKALIKES.search(text):
+            text = text.translate(LOOKALIKE)
     if "@" in text or "$" in text:
         text = SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
-    text = DIGIT_WORD.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(DIGITS), text)
-    folded = " " + NOT_LETTERS.sub(" ", text).strip() + " "
+    folded = " " + NOT_WORDS.sub(" ", text).strip() + " "
+    parts, last = [], 0
+    for start, end in words_with(NUMBERS, folded):
+        word = folded[start:end]
+        inner = "" if word.isdigit() else NUMBERS.sub(" ", word.translate(DIGITS)).strip()
+        parts += [folded[last:start], inner + " " if inner else ""]
+        last = end + 1
+    if parts:
+        folded = "".join(parts) + folded[last:]
     return SPELLED.sub(lambda m: m[0].replace(" ", ""), folded)
 
 
+def words_with(pattern: re.Pattern, folded: str):
+    """Bounds of the words, between single spaces, that hold a match."""
+    last = 0
+    for m in pattern.finditer(folded):
+        if m.start() >= last:
+            start, last = folded.rfind(" ", 0, m.start()) + 1, folded.find(" ", m.end())
+            yield start, last
+
+
+def bare(word: str) -> str:
+    """A folded word without the accents on its letters."""
+    return MARKS.sub("", unicodedata.normalize("NFKD", word))
+
+
 @dataclass
 class Model:
     entries: dict[str, float] = field(default_factory=lambda: {f" {w} ": v for w, v in BUILT_IN.items()})
     weights: list[float] = field(default_factory=lambda: [1.0, 0.5, 0.5, -4.0])
 
     def __post_init__(self):
-        self._built = None
+        self._built, self._bare = None, {}
 
     def __getstate__(self):
-        return {"entries": self.entries, "weights": self.weights, "_built": None}
+        return {"entries": self.entries, "weights": self.weights, "_built": None, "_bare": {}}
 
     def automaton(self):
         if self._built is None:
@@ -86,25 +109,27 @@ class Model:
             self._built = a
         return self._built
 
-    def hits(self, folded: str, whole: bool = False) -> list[float]:
-        """The best weight at each word that has one, in order, without those inside exceptions; whole: of entries that are words."""
+    def features(self, text: str | None) -> list[float]:
+        folded = fold(text or "")
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (size, w) in self.automaton().iter(folded):
             start = end - size + 1
             if w is None:
                 spared.append((start, end))
-            elif w > best.get(start, 0.0) and (not whole or folded[end] == " "):
+            elif w > best.get(start, 0.0):
                 best[start] = w
-        return [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
-
-    def features(self, text: str | None) -> list[float]:
-        text = text or ""
-        folded = fold(text)
-        hits = self.hits(folded)
-        if not text.isascii():  # accents may be put on to disguise a word, or belong to another word
-            bare = self.hits(fold(text, True), True)
-            hits = bare if sum(bare) > sum(hits) else hits
+        if not folded.isascii():  # accents may be put on to disguise a word
+            for start, end in words_with(NOT_ASCII, folded):
+                word = folded[start:end]
+                w = self._bare.get(word)
+                if w is None:
+                    if len(self._bare) >= WORDS_KEPT:
+                        self._bare.clear()
+                    w = self._bare[word] = self.entries.get(f" {bare(word)} ", 0.0)
+                if w > best.get(start - 1, 0.0):
+                    best[start - 1] = w
+        hits = [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
         n = max(1, folded.count(" ") - 1)
         total = sum(hits)
         return [total / (1 + np.sqrt(n / 50)), max(hits, default=0.0), total / n * 10]
@@ -160,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, each: int = SAMPLE) -> Model:
     found = counted.where((F.col("df1") >= 3) & (surplus >= 2.0) & (rate >= 1.2)).select("term", rate.alias("w"), (surplus * rate).alias("rank"))
     for r in found.orderBy(F.desc("rank"), "term").limit(ENTRIES).collect():
         model.entries[r.term] = max(float(r.w), model.entries.get(r.term, 0.0))
+    model._built, model._bare = None, {}
     shape = rows.mapInArrow(lambda b: featured(b, model), "x array<double>, label int").collect()
     x, y = np.array([r.x for r in shape]), np.array([r.label for r in shape])
     model.weights = logistic(x, y).tolist()
