@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,23 @@ def narrow_join(big: DataFrame, small: DataFrame, key: str | list[str], payload:
     return big.join(side, key, how)
 
 
+def by_key(batches):
+    """The columns of whole groups of rows that come sorted by their first column."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        key = held.column(0).to_numpy()
+        end = int(np.searchsorted(key, key[-1]))
+        if end:
+            yield held.slice(0, end).combine_chunks()
+            held = held.slice(end)
+    if held is not None:
+        yield held.combine_chunks()
+
+
 def without(docs: DataFrame, scratch: Scratch, gone: DataFrame) -> DataFrame:
     """The documents but the rows in gone (row, tag of ``places``, distinct), columns as they were."""
     listed = scratch.table(gone.select(F.col("row").alias("__row"), F.col("tag").alias("__tag"), F.lit("x").alias("__mark")))

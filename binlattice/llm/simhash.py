@@ -32,14 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Scratch, components, places, without
+from .shared import Scratch, by_key, components, places, without
 
 SEED = 42
 SMALL = 24
+PARTNERS = 8
 DIRECT = 2048
 BLOCK = 1 << 16
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes h; zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), BLOCK):
+        part = h[i : i + BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int) -> int:
     words = text.translate(tx.LOWER_BYTES).split()
     if not words:
@@ -50,12 +60,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
     width = min(shingle, len(words))
     digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
     pairs = zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, BLOCK):
-        part = h[i : i + BLOCK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), dtype=np.uint64, count=n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -149,6 +154,37 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[rest]], nodes[rest]
 
 
+def near(batches, wide: int):
+    """Pairs of fingerprints that share a key and differ in wide bits at most; the rows come sorted by key and fingerprint.
+
+    All pairs of a bucket, but no more than ``PARTNERS`` with later ones for each
+    fingerprint of a bucket of more than ``SMALL``, taken from ``DIRECT`` at a time.
+    """
+
+    def pairs(x):
+        for lo in range(0, len(x), DIRECT):
+            own = x[lo : lo + DIRECT]
+            for i in range(0, len(own), 64):
+                hit = np.triu(np.bitwise_count(own[i : i + 64, None] ^ own[None, i:]) <= wide, 1)
+                a, b = np.nonzero(hit & (np.cumsum(hit, axis=1) <= PARTNERS))
+                yield own[i + a], own[i + b]
+
+    for part in by_key(batches):
+        key, fp = (part.column(k).to_numpy() for k in range(2))
+        fp = fp.view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        size = np.repeat(np.diff(bounds), np.diff(bounds))
+        found = []
+        for step in range(1, SMALL):
+            i = np.flatnonzero((key[step:] == key[:-step]) & (size[step:] <= SMALL))
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= wide]
+            found.append((fp[i], fp[i + step]))
+        for i in np.flatnonzero(np.diff(bounds) > SMALL):
+            found += pairs(fp[bounds[i] : bounds[i + 1]])
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
 def links(batches, limit: int):
     """Edges among fingerprints that share a key; the rows come sorted by key and fingerprint."""
     key, fp = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)

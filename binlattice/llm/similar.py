@@ -1,16 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by a prefix-filtered self-join.
+"""Near-duplicates by SimHash, verified by exact Jaccard similarity of word shingles, and completed by a prefix-filtered join.
 
 Two texts link where their sets of five-word shingles have a similarity of 0.8
-or more. All shingles have one order: those counted as frequent last, then by
+or more. Candidates come from SimHash first: fingerprints of the sets meet by
+their deletion variants for ``LIMIT`` bits, and those that differ in ``WIDE`` bits
+at most are verified. At 0.8 about ten bits differ, and no width is sure to hold
+all such pairs, so a join on prefixes adds the links between texts that SimHash
+has not connected.
+
+All shingles have one order: those counted as frequent last, then by
 hash. A set of n that reaches 0.8 with another shares at least ceil(0.8 n) of its
 shingles, so both have a common one among the first n - ceil(0.8 n) + 1, and
 only those are joined: no link is lost, whatever was counted as frequent.
 Candidates pass exact bounds by size and by counts of shingles in classes, 128
 and then about as many as half the shingles, before their sets are compared.
 
-Texts of one set are one node. Buckets of more than ``SMALL`` nodes first give a
-few candidates a node; what these connect gives no more pairs, all other pairs of
-the bucket follow in a second round. Links, not only components, hold at 0.8, but a
+Texts of one set are one node. Sets of one fingerprint are compared with the first
+of them, which meets the others. What SimHash connects gives no more pairs; all
+other pairs of a prefix bucket follow. Links, not only components, hold at 0.8, but a
 component may chain texts that are less similar.
 
 Defined cases: null and empty texts have no shingles and are one node; fewer
@@ -30,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import text as tx
-from .shared import Scratch, components, narrow_join, places, without
+from .shared import Scratch, by_key, components, narrow_join, places, without
 
 SHINGLE, CLASSES, SMALL = 5, 128, 4
+LIMIT, WIDE = 6, 12
 COUNTED, OFTEN, FREQUENT = 1 << 22, 8, 1 << 18
 
 
@@ -102,7 +110,7 @@ def body(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, tag, id, n, sketch) of every document, and rows (often, times) of shingles that a task saw often."""
+    """(doc_id, row, tag, id, n, sketch, fp) of every document, and rows (often, times) of shingles that a task saw often."""
 
     def run(batches):
         held, size = [], 0
@@ -110,44 +118,40 @@ def described(docs: DataFrame) -> DataFrame:
         def frequent():
             h, times = np.unique(np.concatenate(held), return_counts=True)
             h, times = h[times >= OFTEN], times[times >= OFTEN]
-            none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())]
+            none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(times)], names)
 
-        names = ["doc_id", "row", "tag", "id", "n", "sketch", "often", "times"]
+        names = ["doc_id", "row", "tag", "id", "n", "sketch", "fp", "often", "times"]
         for batch in batches:
-            ids, n, sketches = [], [], []
+            ids, n, sketches, fps = [], [], [], []
             for own in sets(batch.column(1)):
                 ids.append(node(own))
                 n.append(len(own))
                 sketches.append(sketch(own))
+                fps.append(simhash.majority(own))
                 held.append(own)
                 size += len(own)
                 if size > COUNTED:
                     yield frequent()
                     held, size = [], 0
             none = [pa.nulls(len(n), pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sketches, pa.binary()), *none], names)
+            ids, fps = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (ids, fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), ids, pa.array(n, pa.int32()), pa.array(sketches, pa.binary()), fps, *none], names)
         if held:
             yield frequent()
 
-    return body(docs).mapInArrow(run, "doc_id long, row long, tag int, id long, n int, sketch binary, often long, times long")
+    return body(docs).mapInArrow(run, "doc_id long, row long, tag int, id long, n int, sketch binary, fp long, often long, times long")
 
 
-def by_key(batches):
-    """The columns of whole groups of rows that come sorted by their first column."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        key = held.column(0).to_numpy()
-        end = int(np.searchsorted(key, key[-1]))
-        if end:
-            yield held.slice(0, end).combine_chunks()
-            held = held.slice(end)
-    if held is not None:
-        yield held.combine_chunks()
+def by_fingerprint(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets (id, n, fp) by SimHash: each with the first of its fingerprint, and firsts within WIDE bits."""
+    first = scratch.table(classes.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("k")).select("fp", "k.id", "k.n"))
+    met = simhash.variants(first, LIMIT).repartition(F.col("key")).sortWithinPartitions("key", "fp")
+    pairs = scratch.table(met.mapInArrow(lambda batches: simhash.near(batches, WIDE), "a long, b long").distinct())
+    left, right = (first.select(F.col("fp").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    equal = classes.select("fp", F.col("id").alias("id_b"), F.col("n").alias("n_b")).join(first.select("fp", F.col("id").alias("id_a"), F.col("n").alias("n_a")), "fp").where("id_a <> id_b")
+    every = pairs.join(left, "a").join(right, "b").select("id_a", "n_a", "id_b", "n_b").unionByName(equal.drop("fp"))
+    return scratch.table(every.where(linked(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
 
 
 def shared(docs: DataFrame, often: np.ndarray, times: np.ndarray) -> DataFrame:
@@ -177,14 +181,12 @@ def shared(docs: DataFrame, often: np.ndarray, times: np.ndarray) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(met, "key long, id long")
 
 
-def candidates(batches, first: bool):
-    """(a, b) within the bounds, from rows (key, id, root, n, sketch) sorted by key.
-
-    First: all pairs of small buckets, and a few for each node of the others.
-    Then: those pairs of the others whose roots differ.
-    """
+def candidates(batches):
+    """(a, b) whose roots differ, within the bounds, from rows (key, id, root, n, sketch) sorted by key."""
 
     def passed(ids, n, counts, i, j):
+        keep = root[i] != root[j]
+        i, j = i[keep], j[keep]
         x, y = n[i], n[j]
         keep = linked(np.minimum(x, y), x, y)
         i, j = i[keep], j[keep]
@@ -199,25 +201,20 @@ def candidates(batches, first: bool):
         counts = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         size = np.repeat(np.diff(bounds), np.diff(bounds))
-        if first:
-            for step in range(1, SMALL):
-                i = np.flatnonzero((key[step:] == key[:-step]) & (size[step:] <= SMALL))
-                for k in range(0, len(i), 1 << 16):
-                    yield passed(ids, n, counts, i[k : k + (1 << 16)], i[k : k + (1 << 16)] + step)
+        for step in range(1, SMALL):
+            i = np.flatnonzero((key[step:] == key[:-step]) & (size[step:] <= SMALL))
+            for k in range(0, len(i), 1 << 16):
+                yield passed(ids, n, counts, i[k : k + (1 << 16)], i[k : k + (1 << 16)] + step)
         held, waiting = [], 0
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo <= SMALL:
                 continue
-            own = np.arange(lo, hi)
-            if first:
-                more = ((order[:-1], order[1:]) for order in (own[np.argsort(ids[own])], own[np.lexsort((ids[own], n[own]))]))
-            else:
-                after = ((i, np.arange(i + 1, hi)) for i in range(lo, hi - 1) if (root[i + 1 : hi] != root[i]).any())
-                more = ((np.full(len(j), i), j) for i, j in ((i, j[root[j] != root[i]]) for i, j in after))
-            for i, j in more:
-                for k in range(0, len(i), 1 << 16):
-                    held.append((i[k : k + (1 << 16)], j[k : k + (1 << 16)]))
-                    waiting += len(held[-1][0])
+            for i in range(lo, hi - 1):
+                rest = i + 1 + np.flatnonzero(root[i + 1 : hi] != root[i])
+                for k in range(0, len(rest), 1 << 16):
+                    j = rest[k : k + (1 << 16)]
+                    held.append((np.full(len(j), i), j))
+                    waiting += len(j)
                     if waiting >= 1 << 16:
                         yield passed(ids, n, counts, *(np.concatenate(x) for x in zip(*held, strict=True)))
                         held, waiting = [], 0
@@ -262,28 +259,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often, times = frequent["often"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     order = np.argsort(often)
     own = seen.where("doc_id is not null").select("doc_id", "row", "tag", "id")
-    least = seen.where("doc_id is not null").groupBy("id").agg(F.min(F.struct("row", "tag")).alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.table(least.select("id", F.col("k.row").alias("least"), "k.row", "k.tag", "n", "sketch"))
+    least = seen.where("doc_id is not null").groupBy("id").agg(F.min(F.struct("row", "tag")).alias("k"), *(F.first(c).alias(c) for c in ("n", "sketch", "fp")))
+    classes = scratch.table(least.select("id", F.col("k.row").alias("least"), "k.row", "k.tag", "n", "sketch", "fp"))
     copies = own.select("row", "tag").distinct().join(classes.select("row", "tag"), ["row", "tag"], "left_anti")
     single = without(docs, scratch, copies)
     met = scratch.table(shared(single, often[order], times[order]))
 
-    def paired(rows, first):
-        rows = rows.select("key", "id", "root", "n", "sketch").repartition(F.col("key")).sortWithinPartitions("key", "id")
-        return scratch.table(rows.mapInArrow(lambda batches: candidates(batches, first), "a long, b long").distinct())
-
     def rooted(edges):
         nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
         return components(scratch, nodes, edges)
 
-    full = met.join(classes.select("id", "n", "sketch"), "id")
-    edges = verified(docs, scratch, classes, paired(full.withColumn("root", F.col("id")), True))
-    crowded = met.groupBy("key").count().where(F.col("count") > SMALL).select("key")
-    rest = full.join(crowded, "key", "left_semi").join(rooted(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    edges = scratch.table(edges.union(verified(docs, scratch, classes, paired(rest, False))).distinct())
-    named = classes.select("id", "least").join(rooted(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = scratch.table(named.join(least, "root").select("id", "component_id"))
+    def named(rows, edges):
+        return rows.join(rooted(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    edges = verified(docs, scratch, classes, by_fingerprint(scratch, classes))
+    buckets = named(met.join(classes.select("id", "n", "sketch"), "id"), edges).select("key", "id", "root", "n", "sketch")
+    pairs = scratch.table(buckets.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(candidates, "a long, b long").distinct())
+    edges = scratch.table(edges.union(verified(docs, scratch, classes, pairs)))
+    ended = named(classes.select("id", "least"), edges)
+    least = ended.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = scratch.table(ended.join(least, "root").select("id", "component_id"))
     return own.join(groups, "id").select("doc_id", "row", "tag", "id", "component_id")
 
 

@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more, verified."""
+    """One document of each group of near-duplicates stays: SimHash of five-word shingles, similarity 0.8 or more, verified and completed."""
     return similar.first_of_each(docs)
 
 

@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 
-from binlattice.llm import similar
+from binlattice.llm import simhash, similar
 from test_operators import components
 
 
@@ -53,3 +55,43 @@ def test_stage_on_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, a), (None, a), (1, a), (2, a), (2, b), (3, b), (4, "c")], "doc_id long, text string")
     assert sorted(str((r.doc_id, r.text)) for r in similar.first_of_each(docs).collect()) == sorted(map(str, [(1, a), (2, b), (4, "c"), (None, a), (None, a)]))
     assert similar.first_of_each(docs.where("doc_id > 9")).count() == 0
+
+
+def test_stage_goes_by_fingerprints_first(spark, monkeypatch):
+    """Pairs at 0.8 with fingerprints within LIMIT bits link by SimHash, nothing below 0.8 does, and the join on prefixes adds the rest."""
+    rows = corpus()[:215]
+    own = list(similar.sets(pa.array([t for _, t in rows])))
+    texts = {int(np.uint64(similar.node(x)).view(np.int64)): (shingles(t), simhash.majority(x)) for (_, t), x in zip(rows, own, strict=True)}
+    limits, found, variants, verified = [], [], simhash.variants, similar.verified
+    monkeypatch.setattr(simhash, "variants", lambda fps, limit: limits.append(limit) or variants(fps, limit))
+
+    def kept(*given):
+        found.append(verified(*given))
+        return found[-1]
+
+    monkeypatch.setattr(similar, "verified", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert limits == [similar.LIMIT]
+    alike = {(a, b) for a in texts for b in texts if a < b and near(texts[a][0], texts[b][0])}
+    sure = {(a, b) for a, b in alike if (texts[a][1] ^ texts[b][1]).bit_count() <= similar.LIMIT}
+    first, more = ({(r.a, r.b) for r in x.collect()} for x in found[:2])
+    assert 20 < len(sure) < len(alike) and sure <= first <= alike and more and more <= alike
+    sets = {i: shingles(t) for i, t in rows}
+    assert left == set(components(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])]).values())
+
+
+def test_fingerprints_of_one_bucket_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 40)).astype(np.uint64)) for k in (1, 3, 9, 14)]))
+    for size in (simhash.SMALL, len(fps)):
+        x = np.sort(fps[:size].view(np.int64))
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.full(size, 7)), pa.array(x)], ["key", "fp"])]
+        got = {(a, b) for t in simhash.near(iter(batches), 12) for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)}
+        u = x.view(np.uint64)
+        assert got == {(int(x[i]), int(x[j])) for i in range(size) for j in range(i + 1, size) if int(u[i] ^ u[j]).bit_count() <= 12}
+    assert len(got) > 60
+    crowd = np.sort(np.uint64(1) << np.arange(60, dtype=np.uint64)).view(np.int64)
+    (out,) = simhash.near([pa.RecordBatch.from_arrays([pa.array(np.zeros(60, dtype=np.int64)), pa.array(crowd)], ["key", "fp"])], 12)
+    assert np.bincount(np.searchsorted(crowd, out.column(0).to_numpy())).tolist() == [simhash.PARTNERS] * 52 + list(range(7, 0, -1))
