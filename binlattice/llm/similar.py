@@ -109,15 +109,23 @@ def body(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *places()).where("doc_id is not null")
 
 
+def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that come OFTEN times or more, and how often; empties the list."""
+    h = np.concatenate(held)
+    held.clear()
+    h.sort()
+    h, times = np.unique(h[: 1 - OFTEN][h[OFTEN - 1 :] == h[: 1 - OFTEN]], return_counts=True)
+    return h, times + OFTEN - 1
+
+
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, row, tag, id, n, sketch, fp) of every document, and rows (often, times) of shingles that a task saw often."""
 
     def run(batches):
         held, size = [], 0
 
-        def frequent():
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            h, times = h[times >= OFTEN], times[times >= OFTEN]
+        def counted():
+            h, times = frequent(held)
             none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(times)], names)
 
@@ -132,13 +140,13 @@ def described(docs: DataFrame) -> DataFrame:
                 held.append(own)
                 size += len(own)
                 if size > COUNTED:
-                    yield frequent()
-                    held, size = [], 0
+                    yield counted()
+                    size = 0
             none = [pa.nulls(len(n), pa.int64())] * 2
             ids, fps = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (ids, fps))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), ids, pa.array(n, pa.int32()), pa.array(sketches, pa.binary()), fps, *none], names)
         if held:
-            yield frequent()
+            yield counted()
 
     return body(docs).mapInArrow(run, "doc_id long, row long, tag int, id long, n int, sketch binary, fp long, often long, times long")
 
@@ -255,8 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, row and tag of ``places``, id of its set, component_id (the smallest doc_id that links reach)."""
     scratch = Scratch(docs.sparkSession)
     seen = scratch.table(described(docs))
-    frequent = seen.where("often is not null").groupBy("often").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "often").limit(FREQUENT).toPandas()
-    often, times = frequent["often"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
+    common = seen.where("often is not null").groupBy("often").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "often").limit(FREQUENT).toPandas()
+    often, times = common["often"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
     order = np.argsort(often)
     own = seen.where("doc_id is not null").select("doc_id", "row", "tag", "id")
     least = seen.where("doc_id is not null").groupBy("id").agg(F.min(F.struct("row", "tag")).alias("k"), *(F.first(c).alias(c) for c in ("n", "sketch", "fp")))

@@ -24,7 +24,7 @@ ALNUM[0x30:0x3A] = True
 ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-RUN_BYTES, LONG_WORD = 1 << 21, 64
+RUN_BYTES, LONG_WORD = 1 << 18, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP2 = np.uint64(0xD6E8FEB86659FD93)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 
 
 def test_pipeline(spark, tmp_path):
@@ -54,3 +55,25 @@ def test_pipeline_on_null_and_repeated_ids(spark, tmp_path):
         spark.createDataFrame([], columns).write.parquet(f"{d}/{name}.parquet")
     packed = sorted(((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, d).collect()), key=str)
     assert packed == [(1, 30), (5, 30), (None, 30)]
+
+
+def test_batches_for_python_are_small(spark):
+    """A stage cuts the session's batches; a session with smaller ones keeps them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "concat(id, ' ', repeat('word ', 100000)) AS text")
+    try:
+        spark.conf.set(key, str(64 << 20))
+        out = corpus_pipeline.best_fit_packing(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(size, "n long").collect()) < corpus_pipeline.BATCH_BYTES + 1_000_000
+        assert out.count() == out.select("doc_id", "piece").distinct().count() and out.select("doc_id").distinct().count() == 60
+        spark.conf.set(key, "100000")
+        corpus_pipeline.best_fit_packing(spark, docs, "")
+        assert spark.conf.get(key) == "100000"
+    finally:
+        spark.conf.set(key, before)

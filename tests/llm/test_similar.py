@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against all pairs by brute force."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -95,3 +96,25 @@ def test_fingerprints_of_one_bucket_against_all_pairs():
     crowd = np.sort(np.uint64(1) << np.arange(60, dtype=np.uint64)).view(np.int64)
     (out,) = simhash.near([pa.RecordBatch.from_arrays([pa.array(np.zeros(60, dtype=np.int64)), pa.array(crowd)], ["key", "fp"])], 12)
     assert np.bincount(np.searchsorted(crowd, out.column(0).to_numpy())).tolist() == [simhash.PARTNERS] * 52 + list(range(7, 0, -1))
+
+
+def test_frequent_shingles_against_counts():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, similar.OFTEN - 1, similar.OFTEN, 5000):
+        held = [rng.integers(0, 600, n // 2, dtype=np.uint64) % np.uint64(max(n // 9, 1)), rng.integers(0, 600, n - n // 2, dtype=np.uint64) % np.uint64(max(n // 9, 1))]
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        got = similar.frequent(held)
+        assert got[0].tolist() == h[times >= similar.OFTEN].tolist() and got[1].tolist() == times[times >= similar.OFTEN].tolist() and not held
+
+
+def test_sets_take_little_memory_beside_the_texts():
+    """Texts are worked on in short runs: tables and temporary arrays stay small, however many texts a batch has."""
+    rng = random.Random(7)
+    texts = pa.array([" ".join(f"m{rng.randint(0, 9999)}" for _ in range(2000)) for _ in range(500)])
+    simhash.tx._powers.clear()
+    tracemalloc.start()
+    try:
+        assert sum(len(own) > 0 for own in similar.sets(texts)) == 500
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
