@@ -36,7 +36,7 @@ from .shared import Scratch, by_key, components, places, without
 
 SEED = 42
 SMALL = 24
-PARTNERS = 8
+PARTNERS = 2
 DIRECT = 2048
 BLOCK = 1 << 16
 
@@ -154,20 +154,39 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[rest]], nodes[rest]
 
 
-def near(batches, wide: int):
-    """Pairs of fingerprints that share a key and differ in wide bits at most; the rows come sorted by key and fingerprint.
+def meeting(x: np.ndarray, y: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
+    """The first tag of a variant, segment * 64 + bit, that x and y have in common, or -1."""
+    out = np.full(len(x), -1, dtype=np.int64)
+    for k, (first, n) in reversed(list(enumerate(cut))):
+        apart = ((x ^ y) >> np.uint64(first)) & np.uint64((1 << n) - 1)
+        bit = np.bitwise_count(np.where(apart == 0, apart, apart - np.uint64(1))).astype(np.int64)
+        out = np.where(np.bitwise_count(apart) <= 1, k * 64 + bit, out)
+    return out
+
+
+def near(batches, limit: int, wide: int):
+    """Pairs of fingerprints that share a key of ``variants`` and differ in wide bits at most; the rows come sorted by key and fingerprint.
 
-    All pairs of a bucket, but no more than ``PARTNERS`` with later ones for each
-    fingerprint of a bucket of more than ``SMALL``, taken from ``DIRECT`` at a time.
+    A pair comes once, from the first variant it shares. All pairs of a bucket, but no
+    more than ``PARTNERS`` with later ones for each fingerprint of a bucket of more
+    than ``SMALL``, taken from ``DIRECT`` at a time.
     """
+    cut = segments(limit)
+    bits = max(n for _, n in cut)
+
+    def once(tag, x, y):
+        keep = meeting(x, y, cut) == tag
+        return x[keep], y[keep]
 
-    def pairs(x):
+    def pairs(tag, x):
         for lo in range(0, len(x), DIRECT):
             own = x[lo : lo + DIRECT]
             for i in range(0, len(own), 64):
-                hit = np.triu(np.bitwise_count(own[i : i + 64, None] ^ own[None, i:]) <= wide, 1)
-                a, b = np.nonzero(hit & (np.cumsum(hit, axis=1) <= PARTNERS))
-                yield own[i + a], own[i + b]
+                a, b = np.nonzero(np.triu(np.bitwise_count(own[i : i + 64, None] ^ own[None, i:]) <= wide, 1))
+                keep = meeting(own[i + a], own[i + b], cut) == tag
+                a, b = a[keep], b[keep]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) < PARTNERS
+                yield own[i + a[keep]], own[i + b[keep]]
 
     for part in by_key(batches):
         key, fp = (part.column(k).to_numpy() for k in range(2))
@@ -178,9 +197,9 @@ def near(batches, wide: int):
         for step in range(1, SMALL):
             i = np.flatnonzero((key[step:] == key[:-step]) & (size[step:] <= SMALL))
             i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= wide]
-            found.append((fp[i], fp[i + step]))
+            found.append(once(key[i] >> bits, fp[i], fp[i + step]))
         for i in np.flatnonzero(np.diff(bounds) > SMALL):
-            found += pairs(fp[bounds[i] : bounds[i + 1]])
+            found += pairs(int(key[bounds[i]]) >> bits, fp[bounds[i] : bounds[i + 1]])
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 

@@ -155,7 +155,7 @@ def by_fingerprint(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of sets (id, n, fp) by SimHash: each with the first of its fingerprint, and firsts within WIDE bits."""
     first = scratch.table(classes.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("k")).select("fp", "k.id", "k.n"))
     met = simhash.variants(first, LIMIT).repartition(F.col("key")).sortWithinPartitions("key", "fp")
-    pairs = scratch.table(met.mapInArrow(lambda batches: simhash.near(batches, WIDE), "a long, b long").distinct())
+    pairs = scratch.table(met.mapInArrow(lambda batches: simhash.near(batches, LIMIT, WIDE), "a long, b long"))
     left, right = (first.select(F.col("fp").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     equal = classes.select("fp", F.col("id").alias("id_b"), F.col("n").alias("n_b")).join(first.select("fp", F.col("id").alias("id_a"), F.col("n").alias("n_a")), "fp").where("id_a <> id_b")
     every = pairs.join(left, "a").join(right, "b").select("id_a", "n_a", "id_b", "n_b").unionByName(equal.drop("fp"))

@@ -82,20 +82,36 @@ def test_stage_goes_by_fingerprints_first(spark, monkeypatch):
     assert left == set(components(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])]).values())
 
 
-def test_fingerprints_of_one_bucket_against_all_pairs():
+def met(fps):
+    """What near makes of the variants of fingerprints, and its pairs."""
+    fps, rows = np.unique(fps), []
+    for k, (first, n) in enumerate(simhash.segments(6)):
+        for bit in range(n):
+            own = (fps >> np.uint64(first)) & np.uint64((1 << n) - 1) & ~np.uint64(1 << bit)
+            rows.append((own.astype(np.int64) | ((k * 64 + bit) << 16), fps.view(np.int64)))
+    key, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((fp, key))
+    batch = pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(fp[order])], ["key", "fp"])
+    pairs = [(a, b) for t in simhash.near(iter([batch.slice(0, 999), batch.slice(999)]), 6, 12) for a, b in zip(*(c.to_pylist() for c in t.columns), strict=True)]
+    return fps, [tuple(sorted(np.array(p).view(np.uint64).tolist())) for p in pairs]
+
+
+def test_fingerprints_within_the_limit_meet_once():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 40)).astype(np.uint64)) for k in (1, 3, 9, 14)]))
-    for size in (simhash.SMALL, len(fps)):
-        x = np.sort(fps[:size].view(np.int64))
-        batches = [pa.RecordBatch.from_arrays([pa.array(np.full(size, 7)), pa.array(x)], ["key", "fp"])]
-        got = {(a, b) for t in simhash.near(iter(batches), 12) for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)}
-        u = x.view(np.uint64)
-        assert got == {(int(x[i]), int(x[j])) for i in range(size) for j in range(i + 1, size) if int(u[i] ^ u[j]).bit_count() <= 12}
-    assert len(got) > 60
-    crowd = np.sort(np.uint64(1) << np.arange(60, dtype=np.uint64)).view(np.int64)
-    (out,) = simhash.near([pa.RecordBatch.from_arrays([pa.array(np.zeros(60, dtype=np.int64)), pa.array(crowd)], ["key", "fp"])], 12)
-    assert np.bincount(np.searchsorted(crowd, out.column(0).to_numpy())).tolist() == [simhash.PARTNERS] * 52 + list(range(7, 0, -1))
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    fps, pairs = met(np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 200)).astype(np.uint64)) for k in (1, 3, 6, 9, 14)]))
+    bits = {(a, b): (a ^ b).bit_count() for a in fps.tolist() for b in fps.tolist() if a < b}
+    assert len(pairs) == len(set(pairs)) and max(bits[p] for p in pairs) <= 12
+    assert 200 < sum(n <= 6 for n in bits.values()) and {p for p, n in bits.items() if n <= 6} <= set(pairs)
+
+
+def test_pairs_of_a_crowd_grow_with_its_size():
+    """Near copies are connected by few pairs each, not by all pairs and not by one pair many times."""
+    rng, base = np.random.default_rng(8), np.uint64(0x123456789ABCDEF)
+    for n in (300, 1200):
+        fps, pairs = met(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3, n)).astype(np.uint64)))
+        assert len(pairs) == len(set(pairs)) < 64 * len(fps)
+        assert set(components(fps.tolist(), pairs).values()) == {min(fps.tolist())}
 
 
 def test_frequent_shingles_against_counts():
