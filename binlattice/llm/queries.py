@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, fixity, lines, packing, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, divergence, embeddings, fixity, lines, packing, quality, search, secrets, simhash, spelling, substrings, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,7 +65,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fixity_audit, op2_toxicity, op3_quality, op4_decontaminate, op5_embedding_dedup, op6_line_dedup, op7_packing, op8_simhash, op9_substring_dedup, op10_secrets)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(spelling.vocabulary(_read(spark, sf_dir, "documents"), altered=199))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fixity_audit, op2_toxicity, op3_quality, op4_decontaminate, op5_embedding_dedup, op6_line_dedup, op7_packing, op8_simhash, op9_substring_dedup, op10_secrets,
+        op11_spelling, op12_divergence, op13_search,
+    )
+}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,5 +157,57 @@ g AS (SELECT t.doc_id, t.i, word, max(r.i) OVER (PARTITION BY t.doc_id ORDER BY
 a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (doc_id)
+""",
+    "op11_spelling": r"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h FROM g, t),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+c AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM p),
+near AS (
+  SELECT a.word AS x, b.word AS y, b.n AS y_n FROM c a JOIN c b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON c.cut = v.word
+  UNION SELECT v.word, c.word, c.n FROM c JOIN v ON c.cut = v.word
+),
+best AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-y_n, y)) AS near, max(y_n) AS near_n FROM near GROUP BY x),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.reached WHERE f.form IS NOT NULL)
+SELECT f.word, n, CAST(n_near AS BIGINT) AS n_near, form, CAST(form_n AS BIGINT) AS form_n, reached AS root
+FROM f JOIN walk ON walk.word = f.word JOIN (SELECT word AS last FROM f WHERE form IS NULL) ON last = reached
+""",
+    "op12_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT l.lang, count(term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM g) l LEFT JOIN kept USING (lang) GROUP BY l.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT g.lang, g.source, v.v, v.total, coalesce(sum(c.n), 0) AS own FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source, v.v, v.total),
+p AS (
+  SELECT s.lang, s.source, term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (own + 2 * v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 2)) // (total + 2 * v) AS q
+  FROM s JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3) x
+    ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+""",
+    "op13_search": """
+WITH u AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """,
 }
