@@ -5,11 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap, ratio
+from ..sources.workspace import Kept
+from . import eigen, quantiles
+from .expected import diag_table
+from .matrix import knight_ruiz
 
 
 def bin_edges(track: DataFrame, n_bins: int, *, vrange: tuple[float, float] | None = None, qrange: tuple[float, float] | None = None) -> list[float]:
@@ -19,7 +24,7 @@ def bin_edges(track: DataFrame, n_bins: int, *, vrange: tuple[float, float] | No
     if vrange:
         return np.linspace(*vrange, n_bins + 1).tolist()
     q = np.linspace(*qrange, n_bins + 1).tolist()
-    return list(track.agg(F.percentile("value", F.array(*map(F.lit, q)))).first()[0])
+    return list(quantiles.exact_quantiles(track, [], "value", q).first()[0])
 
 
 def digitized(value: Column, edges: list[float]) -> Column:
@@ -103,60 +108,166 @@ def saddle_strength(saddle: DataFrame, n_bins: int) -> DataFrame:
     return out.union(saddle.sparkSession.range(1).select(F.lit(0).alias("extent"), F.lit(0.0).alias("strength")))
 
 
-def _dense(pdf: pd.DataFrame, n: int) -> np.ndarray:
-    a = np.zeros((n, n))
-    a[pdf.i.to_numpy(), pdf.j.to_numpy()] = a[pdf.j.to_numpy(), pdf.i.to_numpy()] = pdf.value.to_numpy()
-    return a
+def cis_operator(cmap: ContactMap, view: DataFrame, *, ignore_diags: int = 2, clip_percentile: float = 99.9) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, i, j, s) and members (key, bin_id) of observed over expected less one, by region.
+
+    Members have contacts in their region. Expected is the mean of a logarithmic
+    distance bin over all pairs of members; absent pixels are zeros, so only stored ones
+    and the ignored diagonals, which are ones, are entries. They are clipped at a
+    percentile of all cells, absent ones included.
+    """
+    bins = assign_supports(cmap.bins, view).where("region is not null").select("bin_id", "region", "weight")
+    kept = Kept(cmap.bins.sparkSession)
+    px = annotate(cmap.pixels, bins, ("region", "weight"), rows=cmap.n_bins()).where("region1 = region2 and weight1 is not null and weight2 is not null and count > 0")
+    px = kept.table(px.select(F.col("region1").alias("key"), F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value")))
+    members = kept.table(px.select("key", F.explode(F.array("i", "j")).alias("bin_id")).distinct())
+    own = bins.select(F.col("region").alias("key"), "bin_id").join(members.select("bin_id", F.lit(1.0).alias("weight")), "bin_id", "left")
+    pairs = view.select(F.col("name").alias("region1"), F.col("name").alias("region2"))
+    counts = diag_table(own.withColumnRenamed("key", "region"), pairs).select(F.col("region1").alias("key"), "dist", "n_valid")
+    widest = bins.groupBy("region").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 2
+    edges = F.array(*map(F.lit, arrays.log_bins(1, max(widest, 2), 1.03).tolist()))
+    which = F.size(F.filter(edges, lambda e: e <= F.col("dist")))
+    steps = F.array(*map(F.lit, range(ignore_diags))).cast("array<long>")
+    near = members.select("key", F.col("bin_id").alias("i"), F.explode(F.transform(steps, lambda d: F.col("bin_id") + d)).alias("j"))
+    near = near.join(members.withColumnRenamed("bin_id", "j"), ["key", "j"], "left_semi").select("key", "i", "j", F.lit(1.0).alias("value"))
+    cells = px.where(F.col("j") - F.col("i") >= ignore_diags).unionByName(near).withColumn("dist", F.col("j") - F.col("i")).withColumn("db", which)
+    pairs_in = counts.withColumn("db", which).groupBy("key", "db").agg(F.sum("n_valid").alias("n"))
+    mean = kept.table(cells.groupBy("key", "db").agg(F.sum("value").alias("sum")).join(pairs_in, ["key", "db"]).select("key", "db", ratio("sum", "n").alias("m")))
+    oe = cells.join(small(mean), ["key", "db"]).select("key", "i", "j", F.when(F.col("dist") < ignore_diags, 1.0).when(F.col("m") == 0, F.col("value")).otherwise(F.col("value") / F.col("m")).alias("s"))
+    if not clip_percentile:
+        return oe, members
+    oe = kept.table(oe)
+    sizes = members.groupBy("key").agg((F.count("*") * F.count("*")).alias("cells"))
+    top = clipped_at(oe.select("key", F.col("s").alias("v"), F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("n")), sizes, clip_percentile)
+    return oe.join(F.broadcast(top), "key").select("key", "i", "j", F.least("s", "top").alias("s")), members
+
+
+def clipped_at(values: DataFrame, sizes: DataFrame, percentile: float) -> DataFrame:
+    """(key, top): a percentile over so many cells a key (key, cells), of which those not among the values (key, v, n) are zero and the values aren't below it."""
+    stored = values.groupBy("key").agg(F.sum("n").alias("stored"))
+    at = sizes.join(stored, "key").select("key", (F.lit(percentile / 100) * (F.col("cells") - 1)).alias("at"), (F.col("cells") - F.col("stored")).alias("zeros"))
+    ends = at.select("key", "at", "zeros", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("end")).withColumn("r", F.col("end") - F.col("zeros")).distinct()
+    found = quantiles.at_ranks(values, ["key"], ends.where("r >= 0").select("key", "r"))
+    value = ends.join(found, ["key", "r"], "left").select("key", "at", "end", F.coalesce("v", F.lit(0.0)).alias("v"))
+    low, high = (F.max(F.when(F.col("end") == f("at"), F.col("v"))) for f in (F.floor, F.ceil))
+    return value.groupBy("key", "at").agg(low.alias("low"), high.alias("high")).select("key", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("top"))
+
+
+def phased(vectors: DataFrame, track: DataFrame, sort: str | None = None) -> DataFrame:
+    """Vectors (key, bin_id, k, eigval, value) turned to agree with a track (bin_id, value), by Spearman's or the named metric, and ordered by it if one is named."""
+    if sort not in (None, "spearmanr", "pearsonr", "var_explained", "MAD_explained"):
+        raise ValueError(f"no such metric: {sort}")
+    of = ["key", "k"]
+    both = vectors.join(track.select("bin_id", F.col("value").alias("y")), "bin_id").where("value is not null and y is not null and not isnan(y)").select(*of, F.col("value").alias("x"), "y")
+    if sort == "MAD_explained":
+        middle = both.groupBy(*of).agg(F.median("x").alias("mx"), F.median("y").alias("my"))  # as many values as bins
+        off = both.join(F.broadcast(middle), of).select(*of, (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+        scored = off.groupBy(*of).agg((F.median(F.col("x") * F.col("y")) * F.median(F.abs("x"))).alias("r"), F.count("*").alias("n"))
+    else:
+        if sort in (None, "spearmanr"):
+            middle = lambda c: F.rank().over(W.partitionBy(*of).orderBy(c)) + (F.count("*").over(W.partitionBy(*of, c)) - 1) / 2
+            both = both.select(*of, middle("x").alias("x"), middle("y").alias("y"))
+        r = F.corr("x", "y")
+        scored = both.groupBy(*of).agg((F.abs(r) * r * F.var_pop("x") if sort == "var_explained" else r).alias("r"), F.count("*").alias("n"))
+    r = F.when(F.col("n") >= 3, F.nanvl(F.coalesce("r", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    scored = vectors.select(*of).distinct().join(scored, of, "left").select(*of, F.coalesce(r, F.lit(0.0)).alias("r"))
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.abs("r")), "k")).cast("int") if sort else F.col("k")
+    scored = scored.select(*of, F.when(F.col("r") < 0, -1.0).otherwise(1.0).alias("sign"), place.alias("place"))
+    return vectors.join(F.broadcast(scored), of).select("key", "bin_id", F.col("place").alias("k"), "eigval", (F.col("value") * F.col("sign")).alias("value"))
+
+
+def solved(entries: DataFrame, members: DataFrame, bins: DataFrame, n: int, weighted: bool = False, phasing: DataFrame | None = None, sort: str | None = None) -> DataFrame:
+    """(key, bin_id, k, eigval, value) for all bins (key, bin_id): null where a bin isn't a member or a key has too few."""
+    spark = bins.sparkSession
+    values, vectors = eigen.leading(entries, members, n)
+    rows = [(key, k + 1, float(x)) for key, xs in values.items() if len(xs) == n for k, x in enumerate(xs)]
+    table = F.broadcast(spark.createDataFrame(rows, "key string, k int, eigval double"))
+    long = vectors.select("key", "bin_id", F.posexplode("v").alias("k", "value")).withColumn("k", F.col("k") + 1).join(table, ["key", "k"])
+    largest = long.groupBy("key", "k").agg(F.max(F.struct(F.abs("value").alias("size"), (-F.col("bin_id")).alias("b"), F.signum("value").alias("sign"))).alias("top"))
+    size = F.sqrt(F.abs("eigval")) if weighted else F.lit(1.0)
+    long = long.join(F.broadcast(largest), ["key", "k"]).select("key", "bin_id", "k", "eigval", (F.col("value") * F.col("top.sign") * size).alias("value"))
+    if phasing is not None:
+        long = phased(long, phasing, sort)
+    found = long.select("key", "k", "eigval").distinct()
+    every = bins.select("key", "bin_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).join(F.broadcast(found), ["key", "k"], "left")
+    return every.join(long.select("key", "bin_id", "k", "value"), ["key", "bin_id", "k"], "left").select("key", "bin_id", "k", "eigval", "value")
 
 
 def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: DataFrame | None = None, ignore_diags: int = 2, clip_percentile: float = 99.9, sort: str | None = None) -> DataFrame:
-    """Long form (region, bin_id, k, eigval, value): one task a region holds that region's matrix."""
-    bins = assign_supports(cmap.bins, view).where("region is not null").select("bin_id", "region")
-    bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
-    px = annotate(cmap.pixels, bins.join(cmap.bins.select("bin_id", "weight"), "bin_id"), ("region", "weight"), rows=cmap.n_bins()).where("region1 = region2")
-    px = px.select(F.col("region1").alias("region"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value")).where("value is not null")
+    """Long form (region, bin_id, k, eigval, value): leading eigenvectors of observed over expected less one, scaled by the root of the eigenvalue.
+
+    Regions are solved together by block Lanczos over the stored pixels; no task
+    holds a region's matrix. Regions of too few bins have nulls.
+    """
+    entries, members = cis_operator(cmap, view, ignore_diags=ignore_diags, clip_percentile=clip_percentile)
+    bins = assign_supports(cmap.bins, view).where("region is not null").select(F.col("region").alias("key"), "bin_id")
+    enough = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(ignore_diags + 3, n_eigs)).select("key")
+    entries, members = (df.join(F.broadcast(enough), "key", "left_semi") for df in (entries, members))
+    return solved(entries, members, bins, n_eigs, True, phasing, sort).withColumnRenamed("key", "region")
+
 
-    def solve(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("bin_id")
-        at = pd.Series(np.arange(len(own)), index=own.bin_id)
-        a = _dense(pd.DataFrame({"i": cells.bin1_id.map(at), "j": cells.bin2_id.map(at), "value": cells.value}), len(own))
-        values, vectors = arrays.cis_eig(a, n_eigs, ignore_diags, clip_percentile)
-        if own.phase.notna().any():
-            values, vectors = arrays.phase(values, vectors, own.phase.to_numpy(float), sort)
-        k = np.repeat(np.arange(1, n_eigs + 1), len(own))
-        return pd.DataFrame({"region": key[0], "bin_id": np.tile(own.bin_id, n_eigs), "k": k, "eigval": np.repeat(values, len(own)), "value": vectors.ravel()})
+def trans_operator(cmap: ContactMap, *, perc_top: float = 99.95, perc_bottom: float = 1.0, seed: int = 0, max_products: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Entries and members, under one key, of the balanced map between chromosomes over its mean, less one.
 
-    return bins.groupBy("region").cogroup(px.groupBy("region")).applyInPandas(solve, "region string, bin_id long, k int, eigval double, value double")
+    Trans values are clipped at a percentile of all trans cells, and bins of low
+    marginal go. A cell within a chromosome stands for a random trans cell of its
+    row or column, drawn by a hash; only draws that meet a stored pixel make
+    entries. The map is balanced with them, twice, drawing from the balanced one
+    the second time.
+    """
+    kept = Kept(cmap.bins.sparkSession)
+    px = annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).where("chrom1 <> chrom2 and weight1 is not null and weight2 is not null and count > 0")
+    px = kept.table(px.select(F.lit("all").alias("key"), F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), (F.col("count") * F.col("weight1") * F.col("weight2")).alias("v")))
+    n = cmap.bins.groupBy("chrom").agg(F.count("*").alias("n"))
+    sizes = n.agg(F.lit("all").alias("key"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cells"))
+    top = clipped_at(px.select("key", "v", F.lit(2).alias("n")), sizes, perc_top)
+    px = px.join(F.broadcast(top), "key").select("i", "j", F.least("v", "top").alias("v"))
+    margin = kept.table(px.select(F.explode(F.array("i", "j")).alias("bin_id"), "v").groupBy("bin_id").agg(F.sum("v").alias("m")))
+    low = quantiles.exact_quantiles(margin.where("m > 0"), [], "m", [perc_bottom / 100])
+    good = margin.join(F.broadcast(low)).where((F.col("m") > 0) & (F.col("m") >= F.col("q")[0])).select("bin_id").join(cmap.bins.select("bin_id", "chrom"), "bin_id")
+    own = good.groupBy("chrom").agg(F.min("bin_id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a chromosome
+    own = own.select("chrom", "n", before.alias("base"), F.sum("n").over(W.partitionBy()).alias("total"))
+    place = F.row_number().over(W.partitionBy("chrom").orderBy("bin_id")) - 1
+    good = kept.table(good.withColumn("place", place).join(F.broadcast(own), "chrom").select("bin_id", "chrom", "n", "base", "total", (F.col("base") + F.col("place")).cast("long").alias("pos")))
+    rows = good.count()
+    for k in "ij":
+        px = px.join(small(good.select(F.col("bin_id").alias(k)), rows), k, "left_semi")
+    px = kept.table(px)
+    width = 256  # bins a bucket, so that a chromosome's pairs are spread over tasks
+    a = good.select("chrom", F.col("bin_id").alias("i"), F.col("pos").alias("pi"), "n", "base", "total")
+    b = good.select("chrom", F.col("bin_id").alias("j"), F.col("pos").alias("pj"), F.floor(F.col("pos") / width).alias("b"))
+    a = a.withColumn("b", F.explode(F.sequence(F.floor(F.col("pi") / width), F.floor((F.col("base") + F.col("n") - 1) / width))))
+    cells = a.join(b, ["chrom", "b"]).where("pj >= pi and total > n")
+    h = F.xxhash64("pi", "pj", F.lit(seed))
+    drawn = F.pmod(F.shiftrightunsigned(h, 1), F.col("total") - F.col("n"))
+    cells = cells.select("i", "j", F.when(F.pmod(h, F.lit(2)) == 0, F.col("i")).otherwise(F.col("j")).alias("own"), F.when(drawn >= F.col("base"), drawn + F.col("n")).otherwise(drawn).alias("pos"))
+    partner = small(good.select("pos", F.col("bin_id").alias("far")), rows)
+    cells = cells.join(partner, "pos").select("i", "j", F.least("own", "far").alias("x"), F.greatest("own", "far").alias("y"))
+    draws = kept.table(cells.join(px.select(F.col("i").alias("x"), F.col("j").alias("y"), F.col("v")), ["x", "y"]).select("i", "j", "x", "y", "v"))
+
+    def scaled(df: DataFrame, weight: DataFrame, first: str, second: str) -> DataFrame:
+        for k in (first, second):
+            df = df.join(small(weight.select(F.col("bin_id").alias(k), F.col("weight").alias(f"w{k}")), rows), k).withColumn("v", F.col("v") * F.col(f"w{k}")).drop(f"w{k}")
+        return df
+
+    for _ in range(2):
+        whole = kept.table(px.select("i", "j", "v").union(draws.select("i", "j", "v")))
+        as_map = ContactMap(good.select("bin_id"), whole.select(F.col("i").alias("bin1_id"), F.col("j").alias("bin2_id"), F.col("v").alias("count")), cmap.binsize, {}, rows)
+        weight, _ = knight_ruiz(as_map, max_products=max_products)
+        weight = kept.table(weight.where("weight is not null"))
+        px = kept.table(scaled(px, weight, "i", "j"))
+        last, draws = draws.select("i", "j", "v"), kept.table(scaled(draws, weight, "x", "y"))
+    whole = px.select("i", "j", "v").union(scaled(last, weight, "i", "j").select("i", "j", "v"))
+    members = weight.select(F.lit("all").alias("key"), "bin_id")
+    mean = whole.agg((F.sum(F.col("v") * F.when(F.col("i") == F.col("j"), 1).otherwise(2)) / F.lit(float(max(1, weight.count())) ** 2)).alias("mean"))
+    return whole.join(F.broadcast(mean)).select(F.lit("all").alias("key"), "i", "j", (F.col("v") / F.col("mean")).alias("s")), members
 
 
 def eigs_trans(cmap: ContactMap, n_eigs: int = 3, *, phasing: DataFrame | None = None, perc_top: float = 99.95, perc_bottom: float = 1.0, sort: str | None = None, seed: int = 0) -> DataFrame:
-    """Long form (bin_id, k, eigval, value) from contacts between chromosomes; the whole map is one matrix in one task."""
-    px = annotate(cmap.pixels, cmap.bins, rows=cmap.n_bins()).select(F.lit(0).alias("g"), "bin1_id", "bin2_id", (F.col("count") * F.col("weight1") * F.col("weight2")).alias("value"), (F.col("chrom1") == F.col("chrom2")).alias("cis"))
-    bins = cmap.bins.select(F.lit(0).alias("g"), "bin_id", "chrom")
-    bins = bins.join(phasing.select("bin_id", F.col("value").alias("phase")), "bin_id", "left") if phasing is not None else bins.withColumn("phase", F.lit(None).cast("double"))
-
-    def solve(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("bin_id")
-        at = pd.Series(np.arange(len(own)), index=own.bin_id)
-        cells = cells[cells.value.notna() & ~cells.cis]
-        a = _dense(pd.DataFrame({"i": cells.bin1_id.map(at), "j": cells.bin2_id.map(at), "value": cells.value}), len(own))
-        cis = own.chrom.to_numpy()[:, None] == own.chrom.to_numpy()[None, :]
-        a = np.minimum(a, np.percentile(a[~cis], perc_top))
-        margin = a.sum(axis=1)
-        bad = margin < np.percentile(margin[margin > 0], perc_bottom) if (margin > 0).any() else margin == 0
-        a[bad] = a[:, bad] = 0
-        for _ in range(2):
-            a = arrays.balance(arrays.fake_cis(a, cis & ~bad[:, None] & ~bad[None, :], seed))
-        good = a.sum(axis=1) > 0
-        mean = a[np.ix_(good, good)].mean() if good.any() else 1.0
-        a = np.where(good[:, None] & good[None, :], (a - mean) / mean, 0)
-        values, vectors = arrays.eigenvectors(a, n_eigs)
-        if own.phase.notna().any():
-            values, vectors = arrays.phase(values, vectors, own.phase.to_numpy(float), sort)
-        k = np.repeat(np.arange(1, n_eigs + 1), len(own))
-        return pd.DataFrame({"bin_id": np.tile(own.bin_id, n_eigs), "k": k, "eigval": np.repeat(values, len(own)), "value": vectors.ravel()})
-
-    return bins.groupBy("g").cogroup(px.groupBy("g")).applyInPandas(solve, "bin_id long, k int, eigval double, value double")
+    """Long form (bin_id, k, eigval, value) of unit eigenvectors from contacts between chromosomes; no task holds the map."""
+    entries, members = trans_operator(cmap, perc_top=perc_top, perc_bottom=perc_bottom, seed=seed)
+    return solved(entries, members, cmap.bins.select(F.lit("all").alias("key"), "bin_id"), n_eigs, False, phasing, sort).drop("key")
 
 
 def indicator(kind: str, a: Column, b: Column, which=None) -> Column:

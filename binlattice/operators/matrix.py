@@ -11,6 +11,7 @@ from ..functions import arrays
 from ..plans.joins import BROADCAST_ROWS, small
 from ..schema import ContactMap
 from ..sources.workspace import shared_dir
+from . import quantiles
 
 
 def matvec(pixels: DataFrame, x: DataFrame, rows: int | None = None) -> DataFrame:
@@ -86,9 +87,9 @@ def balance_rectangle(cells: DataFrame, *, max_iter: int = 1000, tol: float = 1e
 
 def trimmed_trans(cells: DataFrame, perc_top: float, perc_bottom: float) -> DataFrame:
     """Symmetric cells (i, j, value): values clipped at a percentile, bins of low marginal dropped."""
-    top = cells.agg(F.percentile("value", perc_top / 100).alias("top"))
+    top = quantiles.exact_quantiles(cells, [], "value", [perc_top / 100]).select(F.col("q")[0].alias("top"))
     margin = cells.groupBy("i").agg(F.sum("value").alias("m")).where("m > 0")
-    low = margin.agg(F.percentile("m", perc_bottom / 100).alias("low"))
+    low = quantiles.exact_quantiles(margin, [], "m", [perc_bottom / 100]).select(F.col("q")[0].alias("low"))
     weak = margin.crossJoin(F.broadcast(low)).where("m < low").select("i")
     kept = cells.join(small(weak), "i", "left_anti").join(small(weak.withColumnRenamed("i", "j")), "j", "left_anti")
     return kept.crossJoin(F.broadcast(top)).select("i", "j", F.least("value", "top").alias("value"))

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, columns
-from .operators import bands, compartments, dots, expected, matrix, profiles, rearrange, snip
+from .operators import bands, compartments, dots, eigen, expected, matrix, profiles, rearrange, snip
 from .plans import joins
 from .schema import expected_problems, ratio, track_problems, view_problems
 from .sources import genome, maps
+from .sources.workspace import Kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -515,6 +516,33 @@ def _(spark, d):
     return compartments.eigs_trans(maps.hour_map(spark, d))
 
 
+_SOLVED = ", k AS (SELECT unnest([1, 2, 3]) AS k) SELECT {region}CAST(k AS INTEGER) AS k, TRUE AS of_length, TRUE AS solved FROM {rows}k"
+
+
+def _checked(entries: DataFrame, found: DataFrame, length):
+    """Whether each vector has the length it should and solves the eigenvalue equation, by a product with the map."""
+    rows = eigen.residuals(entries, found, 3)
+    return rows.select("key", "k", (F.abs(F.col("norm") - length) < 1e-9 * F.col("norm")).alias("of_length"), (F.col("residual") < 1e-6).alias("solved"))
+
+
+@query("eigs_cis_residuals", _SOLVED.format(region="region, ", rows="(SELECT DISTINCT chrom AS region FROM bins) r, "))
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    view = maps.chrom_view(m.bins)
+    entries, _ = compartments.cis_operator(m, view)
+    found = compartments.eigs_cis(m, view, phasing=_track(m)).withColumnRenamed("region", "key")
+    return _checked(entries, found, F.sqrt(F.abs("eigval"))).withColumnRenamed("key", "region")
+
+
+@query("eigs_trans_residuals", _SOLVED.format(region="", rows=""))
+def _(spark, d):
+    m = maps.hour_map(spark, d)
+    kept = Kept(spark)
+    entries, members = map(kept.table, compartments.trans_operator(m))
+    found = compartments.solved(entries, members, m.bins.select(F.lit("all").alias("key"), "bin_id"), 3)
+    return _checked(entries, found, F.lit(1.0)).drop("key")
+
+
 @plain("expected_smoothed")
 def _(spark, d):
     return expected.smooth_cvd(expected.smooth_cvd(_cis(maps.hour_map(spark, d)), True), False)
