@@ -10,9 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..plans.joins import assign_supports, small
+from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap
-from .bands import band_cells
 
 
 def lambda_edges(n: int = 40) -> list[float]:
@@ -20,41 +19,124 @@ def lambda_edges(n: int = 40) -> list[float]:
     return [2 ** (k / 3) for k in range(n)]
 
 
-def tiles(matrix_size: int, offset: int, tile: int, pad: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Padded square tiles over a matrix, clipped to it."""
-    cuts = [(max(offset, a - pad), min(offset + matrix_size, a + tile + pad)) for a in range(offset, offset + matrix_size, tile)]
-    return [(x, y) for x in cuts for y in cuts]
+def corners(kernel: np.ndarray) -> list[tuple[int, int, float]]:
+    """(row, column, weight) whose look-ups in a summed-area table add up to the kernel: its differences in both directions, few for shapes made of rectangles."""
+    d = np.zeros((kernel.shape[0] + 1, kernel.shape[1] + 1))
+    d[:-1, :-1] += kernel
+    d[1:, :-1] -= kernel
+    d[:-1, 1:] -= kernel
+    d[1:, 1:] += kernel
+    return [(int(y), int(x), float(d[y, x])) for y, x in zip(*np.nonzero(d), strict=True)]
 
 
-def band_tiles(matrix_size: int, offset: int, tile: int, pad: int, band: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Those tiles that meet the band above the diagonal by more than their padding."""
-    return [(x, y) for x, y in tiles(matrix_size, offset, tile, pad) if y[1] >= x[0] and min(y[1] - x[0], band - (y[0] - x[1])) > 2 * pad]
+def summed(a: np.ndarray) -> np.ndarray:
+    """Summed-area table, with a row and a column of zeros before it."""
+    out = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    np.cumsum(np.cumsum(a, axis=0), axis=1, out=out[1:, 1:])
+    return out
 
 
-def scores(cmap: ContactMap, view: DataFrame, expected: DataFrame, kernels: dict[str, np.ndarray], *, band: int, max_nans: int = 1) -> DataFrame:
-    """(bin1_id, bin2_id, count, kernel, la_exp) of all pixels of the band, zeros included.
+def convolved(table: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The convolution with a kernel at all places where it fits, from the summed-area table."""
+    turned = kernel[::-1, ::-1]
+    side = len(kernel)
+    h, w = table.shape[0] - side, table.shape[1] - side
+    out = np.zeros((h, w))
+    for y, x, weight in corners(turned):  # the kernel's cell (y, x) lies over the table's differences there
+        out += weight * table[y : y + h, x : x + w]
+    return out
+
+
+def tile_scores(counts: np.ndarray, wi: np.ndarray, wj: np.ndarray, e: np.ndarray, kernels: dict[str, np.ndarray], max_nans: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which inner cells of a tile keep their scores, and la_exp by kernel.
+
+    The tile has a border as wide as the kernels' half-width. wi, wj are weights of rows and columns,
+    NaN where bad, and e is expected by cell, NaN where there is none.
+    """
+    side = len(next(iter(kernels.values())))
+    half = side // 2
+    value = counts * wi[:, None] * wj[None, :]
+    valid = ~(np.isnan(value) | np.isnan(e))
+    o, x = np.where(valid, value, 0.0), np.where(valid, e, 0.0)
+    inner = (slice(half, len(wi) - half), slice(half, len(wj) - half))
+    keep = side * side - np.rint(convolved(summed(valid), np.ones((side, side)))) < max_nans
+    la = np.nan_to_num(e[inner] / (wi[inner[0], None] * wj[None, inner[1]]))
+    tables = [summed(t) for t in (o, x, o != 0, x != 0)]
+    out = {}
+    for name, kernel in kernels.items():
+        under, some, seen = (convolved(t, k) for t, k in zip(tables[1:], (kernel, kernel != 0, kernel != 0), strict=True))
+        over = np.where(np.rint(some) > 0, convolved(tables[0], kernel), 0.0)
+        known = np.rint(seen) > 0
+        keep &= known & (under != 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[name] = la * over / under
+    return keep, out
+
+
+def scores(cmap: ContactMap, view: DataFrame, expected: DataFrame, kernels: dict[str, np.ndarray], *, band: int, max_nans: int = 1, tile: int = 256) -> DataFrame:
+    """(bin1_id, bin2_id, region, count, kernel, la_exp) of all pixels of the band, zeros included.
 
     la_exp = expected / (w1 w2) * (kernel over observed) / (kernel over expected).
-    Each valid cell is sent to the targets of every kernel offset and summed
-    there, so the work is cells times offsets whatever the region sizes. A
-    target stays if fewer than max_nans offsets are invalid, for all kernels.
+    A tile of the band gets its stored pixels, with a border as wide as the
+    kernels' half-width, the weights of its rows and columns and the expected
+    values, so little more than the band is shuffled, once. There, summed-area
+    tables give every kernel as a few look-ups. A pixel stays if fewer than
+    max_nans cells under the kernels are invalid, for all kernels.
     """
     half = arrays.check_kernels(kernels, 0)
-    bins = assign_supports(cmap.bins, view).where("region is not null")
-    lookup = expected.select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
-    cells = band_cells(cmap, bins, band + 2 * half).withColumn("dist", F.col("j") - F.col("i")).join(small(lookup, cmap.n_bins()), ["region", "dist"], "left")
-    cells = cells.withColumn("la", F.col("e") / (F.col("wi") * F.col("wj"))).select("region", "i", "j", "count", "value", "e", "la")
-    side = 2 * half + 1
-    spark = cmap.bins.sparkSession
-    offsets = [(dy - half, dx - half, [float(k[dy, dx]) for k in kernels.values()]) for dy in range(side) for dx in range(side)]
-    grid = spark.createDataFrame(offsets, "dy int, dx int, kw array<double>")
-    sent = cells.where("value is not null and e is not null").crossJoin(F.broadcast(grid))  # a fixed handful of offsets a cell
-    sums = [F.sum(F.col(v) * F.col("kw")[k]).alias(f"{v}_{k}") for k in range(len(kernels)) for v in ("value", "e")]
-    met = sent.groupBy((F.col("i") + F.col("dy")).alias("i"), (F.col("j") + F.col("dx")).alias("j")).agg(*sums, F.count("*").alias("n"))
-    target = cells.where((F.col("i") < F.col("j")) & (F.col("i") > F.col("j") - band)).join(met, ["i", "j"]).where(side * side - F.col("n") < max_nans)
-    la = F.array(*(F.struct(F.lit(name).alias("kernel"), (F.coalesce("la", F.lit(0.0)) * F.col(f"value_{k}") / F.nullif(F.col(f"e_{k}"), F.lit(0.0))).alias("la_exp")) for k, name in enumerate(kernels)))
-    whole = target.withColumn("la_all", la).where(F.forall("la_all", lambda x: x["la_exp"].isNotNull()))
-    return whole.select(F.col("i").alias("bin1_id"), F.col("j").alias("bin2_id"), "region", "count", F.explode("la_all").alias("x")).select("bin1_id", "bin2_id", "region", "count", "x.kernel", "x.la_exp")
+    reach = band + 2 * half
+    bins = assign_supports(cmap.bins, view).where("region is not null").select("region", "bin_id", "weight")
+    sides = lambda c: F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile))
+    touches = f"(tj - ti + 1) * {tile} > 1 and (tj - ti) * {tile} - {tile - 1} < {band}"
+    near = F.sequence(F.lit(0).cast("long"), F.lit((band + tile - 1) // tile + 1).cast("long"))
+    rows = bins.withColumn("ti", F.explode(sides("bin_id"))).withColumn("tj", F.explode(F.transform(near, lambda k: F.col("ti") + k)))
+    columns = bins.withColumn("tj", F.explode(sides("bin_id"))).withColumn("ti", F.explode(F.transform(near, lambda k: F.col("tj") - k)))
+    number = lambda c: F.col(c).cast("double")
+    part = lambda df, kind, a, b, x: df.where(touches).select("region", "ti", "tj", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x.alias("x"))
+    none = F.lit(0).cast("long")
+    px = annotate(cmap.pixels.where(F.col("bin2_id") - F.col("bin1_id") <= reach), bins, ("region",), rows=cmap.n_bins()).where("region1 = region2").withColumnRenamed("region1", "region")
+    px = px.withColumn("ti", F.explode(sides("bin1_id"))).withColumn("tj", F.explode(sides("bin2_id")))
+    extent = bins.groupBy("region").agg(F.floor(F.min("bin_id") / tile).alias("lo"), F.floor(F.max("bin_id") / tile).alias("hi"))
+    all_tiles = extent.withColumn("ti", F.explode(F.sequence("lo", "hi"))).withColumn("tj", F.explode(F.sequence(F.col("ti"), F.least("hi", F.col("ti") + near[F.size(near) - 1]))))
+    lookup = expected.where(F.col("dist") <= reach).select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
+    if "region2" in expected.columns:
+        lookup = expected.where((F.col("dist") <= reach) & (F.col("region1") == F.col("region2"))).select(F.col("region1").alias("region"), "dist", F.col("balanced_avg").alias("e"))
+    e_rows = all_tiles.join(small(lookup, cmap.n_bins()), "region")
+    every = part(px, 0, F.col("bin1_id"), F.col("bin2_id"), number("count"))
+    every = every.union(part(rows, 1, F.col("bin_id"), none, number("weight"))).union(part(columns, 2, F.col("bin_id"), none, number("weight"))).union(part(e_rows, 3, F.col("dist"), none, number("e")))
+    kind = cmap.pixels.schema["count"].dataType.simpleString()
+    made = pa.float64() if kind in ("double", "float") else pa.int64()
+
+    def score(t: pa.Table) -> pa.Table:
+        region, ti, tj = (t[c][0].as_py() for c in ("region", "ti", "tj"))
+        which, a, b, x = (t[c].to_numpy() for c in ("kind", "a", "b", "x"))
+        r0, c0, wide = ti * tile - half, tj * tile - half, tile + 2 * half
+        counts, wi, wj = np.zeros((wide, wide)), np.full(wide, np.nan), np.full(wide, np.nan)
+        here = np.zeros((2, wide), dtype=bool)
+        m = which == 0
+        counts[a[m] - r0, b[m] - c0] = x[m]
+        for k, w, first in ((1, wi, r0), (2, wj, c0)):
+            m = which == k
+            w[a[m] - first], here[k - 1][a[m] - first] = x[m], True
+        by_dist = np.full(reach + 1, np.nan)
+        m = which == 3
+        by_dist[a[m]] = x[m]
+        dist = c0 - r0 + np.arange(wide)[None, :] - np.arange(wide)[:, None]
+        e = np.where((dist >= 0) & (dist <= reach), by_dist[np.clip(dist, 0, reach)], np.nan)
+        keep, found = tile_scores(counts, wi, wj, e, kernels, max_nans)
+        inner = slice(half, half + tile)
+        d = dist[inner, inner]
+        keep &= (d > 0) & (d < band) & here[0][inner, None] & here[1][None, inner]
+        i, j = np.nonzero(keep)
+        n = counts[inner, inner][i, j]
+        return pa.table({
+            "bin1_id": pa.array(np.tile(i + r0 + half, len(kernels))), "bin2_id": pa.array(np.tile(j + c0 + half, len(kernels))), "region": pa.array([region] * (len(i) * len(kernels)), pa.string()),
+            "count": pa.array(np.tile(n, len(kernels)), made, safe=False) if made == pa.float64() else pa.array(np.tile(n.astype(np.int64), len(kernels))),
+            "kernel": pa.array(np.repeat(list(kernels), len(i)), pa.string()), "la_exp": pa.array(np.concatenate([la[i, j] for la in found.values()])),
+        })
+
+    schema = f"bin1_id long, bin2_id long, region string, count {'double' if made == pa.float64() else 'long'}, kernel string, la_exp double"
+    return every.groupBy("region", "ti", "tj").applyInArrow(score, schema).withColumn("count", F.col("count").cast(kind))
 
 
 def with_lambda_bin(scored: DataFrame, edges: list[float]) -> DataFrame:
