@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, narrow_join
 from .text import Words, buffers
 
-PIECE, HELD, HELD_BYTES = 1 << 19, 1 << 20, 32 << 20
+PIECE, HELD, HELD_BYTES = 1 << 20, 1 << 20, 32 << 20
 TILE, BLOCK_ROWS, TOP, SCALE = 256, 1 << 15, 10, 1_000_000_000
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
@@ -136,17 +136,13 @@ def _count(batches):
             words = Words(body, bounds, LETTERS, fold=True)
             term = terms.numbers(words)
             doc = words.doc()
-            group = of[first + doc]
-            keys, n = np.unique(group << 32 | term, return_counts=True)
-            parts.append((keys, np.stack([n, np.zeros_like(n)], axis=1)))
-            held = np.unique(doc << 32 | term)
-            new = held[~np.isin(held, going_on)]
-            keys, n = np.unique(of[first + (new >> 32)] << 32 | new & 0xFFFFFFFF, return_counts=True)
-            parts.append((keys, np.stack([np.zeros_like(n), n], axis=1)))
+            held, n = np.unique(doc << 32 | term, return_counts=True)  # each document's terms, with their number there
+            new = ~np.isin(held, going_on) if len(going_on) else np.ones(len(held), dtype=bool)
+            parts.append(_added(of[first + (held >> 32)] << 32 | held & 0xFFFFFFFF, np.stack([n, new], axis=1)))
+            rows += len(parts[-1][0])
             last = len(bounds) - 2
             mine = held[held >> 32 == last] & 0xFFFFFFFF
             going_on = (np.union1d(going_on, mine) if last == 0 else mine) if more else np.empty(0, dtype=np.int64)
-            rows += len(parts[-2][0]) + len(parts[-1][0])
             if rows > 2 * HELD:
                 parts = [_added(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))]
                 rows = len(parts[0][0])
