@@ -406,28 +406,6 @@ def fake_cis(a: np.ndarray, cis: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
-def clusters(points: np.ndarray, radius: float) -> np.ndarray:
-    """Labels of points by clustering features: each point, in order, joins the nearest cluster if its radius stays within the threshold."""
-    most = len(points)
-    n, square = np.zeros(most), np.zeros(most)
-    total, centre = np.zeros((most, points.shape[1])), np.zeros((most, points.shape[1]))
-    labels, used = np.empty(most, dtype=int), 0
-    for k, p in enumerate(points.astype(float)):
-        best, own = used, float(p @ p)
-        if used:
-            c = int(((centre[:used] - p) ** 2).sum(axis=1).argmin())
-            m, s = n[c] + 1, total[c] + p
-            if (square[c] + own) / m - (s / m) @ (s / m) <= radius**2:
-                best = c
-        used = max(used, best + 1)
-        n[best] += 1
-        total[best] += p
-        square[best] += own
-        centre[best] = total[best] / n[best]
-        labels[k] = best
-    return labels
-
-
 def interp_nan(v: np.ndarray) -> np.ndarray:
     ok = np.isfinite(v)
     return np.interp(np.arange(len(v)), np.flatnonzero(ok), v[ok]) if ok.any() else v.copy()

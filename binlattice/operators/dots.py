@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.clustering import inserted
 from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap
+from ..sources.workspace import Kept
 
 
 def lambda_edges(n: int = 40) -> list[float]:
@@ -186,16 +188,86 @@ def extracted(scored: DataFrame, limits: DataFrame, edges: list[float], n_kernel
     return hit.withColumn("_n", every).where(F.col("_n") == n_kernels).select("bin1_id", "bin2_id", "region", "kernel", "count", "la_exp", "qval")
 
 
-def clustered(pixels: DataFrame, radius_bins: float) -> DataFrame:
-    """Wide dots (one row a pixel) with cluster label and size, then the row of the largest count of each cluster."""
+TILINGS = ((0, 0), (1, 1), (1, 0), (0, 1))  # in halves of a tile: every place is well inside one of these
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bin1_id", "bin2_id"])
-        own = arrays.clusters(pdf[["bin1_id", "bin2_id"]].to_numpy(), radius_bins)
-        return pdf[["region", "bin1_id", "bin2_id"]].assign(c_label=own, c_size=np.bincount(own)[own])
 
-    labels = pixels.groupBy("region").applyInPandas(label, "region string, bin1_id long, bin2_id long, c_label long, c_size long")
-    rows = pixels.join(labels, ["region", "bin1_id", "bin2_id"])
+def feature_tiles(points: DataFrame, radius_bins: float, tile: int, branching: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Clusters (region, label, n, x, y, square) of points (region, bin1_id, bin2_id), and the points with their label.
+
+    Each tile of a region's plane grows a clustering-feature tree of its own. The
+    clusters of a tile, as features, are then inserted into trees of tilings
+    moved by half a tile, so that clusters at a border meet. A cluster is moved on only
+    if it lies within four radii of a border of the tiling before: what is
+    inside has met its neighbours. Points and features go in by place, so the result
+    doesn't depend on partitions; it does on the order and on the tiling, as
+    with any such tree.
+    """
+    kept = Kept(points.sparkSession)
+    first = points.select("region", "bin1_id", "bin2_id").distinct()
+    coordinate = lambda c: F.col(c).cast("double")
+    square = coordinate("bin1_id") ** 2 + coordinate("bin2_id") ** 2
+    place = F.struct("bin1_id", "bin2_id")
+    features = first.select("region", place.alias("label"), F.lit(1.0).alias("n"), coordinate("bin1_id").alias("x"), coordinate("bin2_id").alias("y"), square.alias("square"))
+    label = features.schema["label"].dataType.simpleString()
+    members = None
+    for turn, (right, down) in enumerate(TILINGS):
+        cx, cy = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+        shift = lambda c, half: (c + half * tile / 2) / tile
+        placed = features.withColumn("tx", F.floor(shift(cx, right))).withColumn("ty", F.floor(shift(cy, down)))
+        if turn:  # only what lies at a border of the tiling before, or within reach of it, can still join others
+            old = TILINGS[turn - 1]
+            edge = lambda c, half: F.abs(shift(c, half) - F.round(shift(c, half))) * tile <= 4 * radius_bins
+            moves = edge(cx, old[0]) | edge(cy, old[1]) | (edge(cx, TILINGS[0][0]) | edge(cy, TILINGS[0][1]))
+            placed, rest = placed.where(moves), placed.where(~moves).drop("tx", "ty")
+            if not placed.take(1):
+                continue
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.assign(a=[v["bin1_id"] for v in pdf.label], b=[v["bin2_id"] for v in pdf.label]).sort_values(["a", "b"])
+            of, tree = inserted(pdf.n.to_numpy(), pdf[["x", "y"]].to_numpy(), pdf.square.to_numpy(), radius_bins, branching)
+            n, total, squares = tree.clusters()
+            head = np.full(tree.count, len(pdf))
+            np.minimum.at(head, of, np.arange(len(pdf)))
+            heads = pdf.label.to_numpy()[head]
+            return pd.DataFrame({"region": pdf.region.to_numpy(), "old": pdf.label.to_numpy(), "label": heads[of], "n": n[of], "x": total[of, 0], "y": total[of, 1], "square": squares[of]})
+
+        met = kept.table(placed.groupBy("region", "tx", "ty").applyInPandas(grow, f"region string, old {label}, label {label}, n double, x double, y double, square double"))
+        made = met.dropDuplicates(["region", "label"]).select(*features.columns)
+        step = met.select("region", "old", F.col("label").alias("new"))
+        if turn:
+            features = kept.table(rest.unionByName(made))
+            members = kept.table(members.join(step.withColumnRenamed("old", "label"), ["region", "label"], "left").select("region", "bin1_id", "bin2_id", F.coalesce("new", "label").alias("label")))
+        else:
+            features = made
+            members = kept.table(step.select("region", F.col("old.bin1_id").alias("bin1_id"), F.col("old.bin2_id").alias("bin2_id"), F.col("new").alias("label")))
+    return features, members
+
+
+def clusters(points: DataFrame, radius_bins: float, *, tile: int = 4096, branching: int = 50) -> DataFrame:
+    """Points (region, bin1_id, bin2_id) with c_label, c_size and the centroid c_bin1, c_bin2 of their cluster.
+
+    Clusters come from clustering-feature trees; a point then takes the cluster of the nearest centroid
+    within two radii, or keeps its own, so a centroid is that of the tree and a size
+    that of the points after it. Labels number a region's clusters by place.
+    """
+    features, members = feature_tiles(points, radius_bins, tile, branching)
+    centre = features.select("region", "label", (F.col("x") / F.col("n")).alias("c_bin1"), (F.col("y") / F.col("n")).alias("c_bin2"))
+    cell = 2 * radius_bins
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    at = centre.withColumn("gx", F.explode(F.transform(around, lambda k: F.floor(F.col("c_bin1") / cell) + k))).withColumn("gy", F.explode(F.transform(around, lambda k: F.floor(F.col("c_bin2") / cell) + k)))
+    here = members.select("region", "bin1_id", "bin2_id", F.floor(F.col("bin1_id") / cell).alias("gx"), F.floor(F.col("bin2_id") / cell).alias("gy"))
+    near = here.join(at, ["region", "gx", "gy"]).drop("gx", "gy")
+    own = members.join(centre, ["region", "label"])
+    away = (F.col("bin1_id") - F.col("c_bin1")) ** 2 + (F.col("bin2_id") - F.col("c_bin2")) ** 2
+    best = near.unionByName(own).groupBy("region", "bin1_id", "bin2_id").agg(F.min(F.struct(F.round(away, 9).alias("d"), "c_bin1", "c_bin2", "label")).alias("c"))
+    number = F.dense_rank().over(W.partitionBy("region").orderBy("c.c_bin1", "c.c_bin2", "c.label")) - 1
+    size = F.count("*").over(W.partitionBy("region", "c.label"))
+    return best.select("region", "bin1_id", "bin2_id", number.cast("long").alias("c_label"), size.alias("c_size"), F.col("c.c_bin1").alias("c_bin1"), F.col("c.c_bin2").alias("c_bin2"))
+
+
+def clustered(pixels: DataFrame, radius_bins: float, *, tile: int = 4096) -> DataFrame:
+    """Wide dots (one row a pixel) with cluster label, size and centroid, then the row of the largest count of each cluster."""
+    rows = pixels.join(clusters(pixels, radius_bins, tile=tile), ["region", "bin1_id", "bin2_id"])
     first = F.row_number().over(W.partitionBy("region", "c_label").orderBy(F.desc("count"), "bin1_id", "bin2_id"))
     return rows.withColumn("_k", first).where("_k = 1").drop("_k")
 
@@ -218,7 +290,7 @@ def enriched(dots: DataFrame) -> DataFrame:
 def dots(cmap: ContactMap, view: DataFrame, expected: DataFrame, kernels: dict[str, np.ndarray], *, band: int, max_nans: int = 1, n_lambda_bins: int = 40, fdr: float = 0.1, radius_bins: float | None = 2.0) -> DataFrame:
     """One row a dot, with la_<kernel> and q_<kernel>; clustered and, with the four recommended kernels, filtered."""
     edges = lambda_edges(n_lambda_bins)
-    scored = scores(cmap, view, expected, kernels, band=band, max_nans=max_nans).persist()
+    scored = Kept(cmap.bins.sparkSession).table(scores(cmap, view, expected, kernels, band=band, max_nans=max_nans))
     limits = thresholds(histogram(scored, edges), edges, fdr)
     hit = extracted(scored, limits, edges, len(kernels))
     pick = lambda k, c: F.max(F.when(F.col("kernel") == k, F.col(c)))

@@ -192,10 +192,6 @@ def test_binnify(spark):
     assert [(r.start, r.end) for r in got] == [(0, 10), (10, 20), (20, 25)]
 
 
-def test_tiles():
-    assert dots.tiles(10, 0, 5, 1)[0] == ((0, 6), (0, 6)) and len(dots.band_tiles(100, 0, 10, 1, 15)) < len(dots.tiles(100, 0, 10, 1))
-
-
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=3, max_size=25, unique=True))
 def test_prominence_is_bounded(values):
@@ -209,7 +205,6 @@ def test_numpy_routines():
     assert np.isfinite(arrays.poisson_sf(82570.0, 10)).all()
     x = arrays.persistent_log_bins(3)
     assert x[0] == 1 and (np.diff(np.diff(x)) >= 0).all()
-    assert arrays.clusters(np.array([[0, 0], [1, 0], [50, 50]]), 2.0).tolist() == [0, 0, 1]
     assert arrays.interp_nan(np.array([1.0, np.nan, 3.0])).tolist() == [1, 2, 3]
     assert 1 < arrays.li_threshold(np.array([0.1, 0.2, 0.1, 5, 6, 5.5])) < 5
     assert arrays.zoom(np.ones((4, 4)), (2, 2)).tolist() == [[1, 1], [1, 1]]

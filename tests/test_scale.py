@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from binlattice.functions import arrays
-from binlattice.operators import compartments, eigen, quantiles
+from binlattice.functions import arrays, clustering
+from binlattice.operators import compartments, dots, eigen, quantiles
 from binlattice.schema import ContactMap
 from binlattice.sources import maps
 
@@ -128,3 +128,119 @@ def test_rank_deficient_and_tiny_regions(spark):
     members = spark.createDataFrame([("a", 0), ("a", 1), ("b", 5)], "key string, bin_id long")
     values, vectors = eigen.leading(entries, members, 2)
     assert values["a"] == pytest.approx([3, 1]) and len(values["b"]) <= 1 and vectors.count() == 3
+
+
+def test_summed_areas_give_convolutions():
+    rng = np.random.default_rng(3)
+    a = rng.random((20, 17))
+    kernels = [rng.integers(0, 4, (5, 5)), *arrays.recommend_kernels(10000).values()]
+    for k in kernels:
+        w = len(k)
+        want = [[(a[i : i + w, j : j + w] * k[::-1, ::-1]).sum() for j in range(17 - w + 1)] for i in range(20 - w + 1)]
+        assert dots.convolved(dots.summed(a), k) == pytest.approx(np.array(want))
+    assert len(dots.corners(kernels[1])) <= 36 and len(dots.corners(kernels[2])) <= 8
+
+
+def scores_by_hand(m, dense, chrom, e, kernels, band, max_nans):
+    """Cell by cell: (bin1, bin2, kernel) to la_exp."""
+    counts = {(r.bin1_id, r.bin2_id): r["count"] for r in m.pixels.collect()}
+    w = {r.bin_id: r.weight for r in m.bins.collect()}
+    half, out = len(next(iter(kernels.values()))) // 2, {}
+    n = len(chrom)
+    def cell(i, j):
+        if not (0 <= i <= j < n) or chrom[i] != chrom[j] or j - i > band + 2 * half or w[i] is None or w[j] is None or e.get((chrom[i], j - i)) is None:
+            return None
+        return counts.get((i, j), 0) * w[i] * w[j], e[chrom[i], j - i]
+    for i in range(n):
+        for j in range(i + 1, n):
+            if chrom[i] != chrom[j] or j - i >= band:
+                continue
+            met = {(dy, dx): cell(i - dy, j - dx) for dy in range(-half, half + 1) for dx in range(-half, half + 1)}
+            if sum(c is None for c in met.values()) >= max_nans:
+                continue
+            found = {}
+            for name, k in kernels.items():
+                o, x = (sum(c[v] * k[dy + half, dx + half] for (dy, dx), c in met.items() if c) for v in (0, 1))
+                la = e[chrom[i], j - i] / (w[i] * w[j]) if w[i] and w[j] and e.get((chrom[i], j - i)) is not None else 0.0
+                found[name] = la * o / x if x else None
+            if all(v is not None for v in found.values()):
+                out |= {(i, j, name): (v, counts.get((i, j), 0)) for name, v in found.items()}
+    return out
+
+
+@pytest.mark.parametrize(("tile", "max_nans"), [(4, 1), (7, 2), (64, 1)])
+def test_dot_scores_in_tiles(spark, tile, max_nans):
+    m, dense, chrom = small_map(spark, 5, chroms=(22, 15), density=0.7, bad=(9,))
+    view = maps.chrom_view(m.bins)
+    rng = np.random.default_rng(6)
+    e = {(c, d): float(rng.uniform(1, 3)) for c in ("c0", "c1") for d in range(2, 22)}
+    table = spark.createDataFrame([(c, c, d, v) for (c, d), v in e.items()], "region1 string, region2 string, dist long, balanced_avg double")
+    kernels = {"k": np.array([[1, 2, 0], [0, 0, 3], [1, 0, 1]]), "l": np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]])}
+    got = dots.scores(m, view, table, kernels, band=8, max_nans=max_nans, tile=tile).collect()
+    want = scores_by_hand(m, dense, chrom, e, kernels, 8, max_nans)
+    assert len(got) == len(want) > 50
+    for r in got:
+        assert (r.la_exp, r["count"]) == pytest.approx(want[r.bin1_id, r.bin2_id, r.kernel]) and r.region == chrom[r.bin1_id]
+
+
+@pytest.mark.parametrize("branching", [2, 3, 50])
+def test_feature_trees(branching):
+    rng = np.random.default_rng(7)
+    points = np.vstack([rng.normal(c, 0.4, (40, 2)) for c in ((0, 0), (9, 1), (3, 12), (1e6, 1e6))])[rng.permutation(160)]
+    of, tree = clustering.inserted(np.ones(160), points, (points**2).sum(axis=1), 1.0, branching)
+    n, total, square = tree.clusters()
+    assert n.tolist() == np.bincount(of).tolist() and n.sum() == 160
+    for c in range(tree.count):
+        own = points[of == c]
+        assert total[c] / n[c] == pytest.approx(own.mean(axis=0)) and ((own - own.mean(axis=0)) ** 2).sum(axis=1).mean() <= 1 + 1e-6
+    depths, rest = set(), [(tree.root, 0)]
+    while rest:
+        node, d = rest.pop()
+        assert node.used <= branching
+        depths |= {d} if node.leaf else set()
+        rest += [] if node.leaf else [(x, d + 1) for x in node.below]
+    assert len(depths) == 1 and (branching > 3 or max(depths) > 0)
+    if branching == 50:
+        assert tree.count == 4
+        again, merged = clustering.inserted(n, total, square, 1.0, branching)  # merged trees keep what is apart
+        assert merged.count == 4 and sorted(merged.clusters()[0]) == [40] * 4
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_clusters_meet_over_borders(spark, tile):
+    centres = [(8, 24), (16, 16), (16, 40), (32, 48), (40, 56), (23, 32), (5, 100)]
+    rows = [(x + dx, y + dy) for x, y in centres for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    df = spark.createDataFrame([("r", *p) for p in rows] + [("s", 1, 2)], "region string, bin1_id long, bin2_id long").repartition(3)
+    got = dots.clusters(df, 2.0, tile=tile).toPandas()
+    assert len(got) == len(rows) + 1
+    r = got[got.region == "r"]
+    assert sorted(r[["c_bin1", "c_bin2"]].drop_duplicates().itertuples(index=False, name=None)) == sorted((float(x), float(y)) for x, y in centres)
+    assert set(r.c_size) == {9} and sorted(r.c_label.unique()) == list(range(len(centres))) and (abs(r.bin1_id - r.c_bin1) <= 1).all()
+    assert got[got.region == "s"][["c_label", "c_size", "c_bin1", "c_bin2"]].to_numpy().tolist() == [[0, 1, 1.0, 2.0]]
+
+
+def wide_dots(spark, rows):
+    names = ("donut", "vertical", "horizontal", "lowleft")
+    kind = "region string, bin1_id long, bin2_id long, count long, c_size long, " + ", ".join([f"la_{k} double" for k in names] + [f"q_{k} double" for k in names])
+    return spark.createDataFrame([("r", i, i + 9, n, size, *la, *q) for i, (n, size, la, q) in enumerate(rows)], kind)
+
+
+def test_enriched_dots_by_hand(spark):
+    low = (0.001,) * 4
+    rows = [
+        (21, 2, (10.0, 10.0, 10.0, 10.0), (0.1,) * 4),  # over twice two of them, and 1.75 and 1.5 times all
+        (20, 2, (10.0, 10.0, 10.0, 10.0), low),  # not over twice the donut or lower left
+        (21, 2, (13.0, 10.0, 10.0, 10.0), low),  # not 1.75 times the donut
+        (21, 2, (10.0, 14.5, 10.0, 10.0), low),  # not 1.5 times the vertical
+        (21, 1, (10.0, 10.0, 10.0, 10.0), (0.005,) * 4),  # alone, q-values add up to 0.02
+        (21, 1, (10.0, 10.0, 10.0, 10.0), (0.006,) * 4),
+    ]
+    assert sorted(r.bin1_id for r in dots.enriched(wide_dots(spark, rows)).collect()) == [0, 4]
+    with pytest.raises(ValueError):
+        dots.enriched(wide_dots(spark, rows).drop("la_donut"))
+
+
+def test_a_cluster_keeps_its_largest_count(spark):
+    df = spark.createDataFrame([("r", 5, 9, 3), ("r", 5, 10, 7), ("r", 6, 10, 7), ("r", 90, 99, 1)], "region string, bin1_id long, bin2_id long, count long")
+    got = sorted((r.bin1_id, r.bin2_id, r.c_size) for r in dots.clustered(df, 2.0).collect())
+    assert got == [(5, 10, 3), (90, 99, 1)]
