@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..plans.joins import annotate, small
 from ..schema import ContactMap
 
@@ -118,8 +121,41 @@ def sample_approx(pixels: DataFrame, frac: float, seed: int = 0, *, key=None) ->
     return pixels.where("count > 0").select("bin1_id", "bin2_id", drawn.alias("count")).where("count > 0")
 
 
+BLOCK_PIXELS, MOST_BLOCKS = 1 << 18, 1 << 20
+
+
+def sample_split(pixels: DataFrame, count: int, seed: int = 0, *, block_pixels: int = BLOCK_PIXELS) -> DataFrame:
+    """Exactly count contacts without replacement, by a tree of draws: over blocks of pixels, then over each block's pixels.
+
+    Blocks are dealt by a hash of the pixel, and each draws by its own seed from its
+    pixels in order, so the sample depends on pixels and seed alone, not on
+    partitions or retries. A row is never made for a contact: one number a block
+    reaches the driver, and work and shuffle are by pixels.
+    """
+    spark = pixels.sparkSession
+    px = pixels.where("count > 0").select("bin1_id", "bin2_id", F.col("count").cast("long").alias("count"))
+    rows, total = px.agg(F.count("*"), F.sum("count")).first()
+    if not 0 <= count <= (total or 0):
+        raise ValueError("more contacts asked for than there are")
+    blocks = min(MOST_BLOCKS, max(1, -(-rows // block_pixels)))
+    px = px.withColumn("block", F.pmod(F.xxhash64("bin1_id", "bin2_id"), F.lit(blocks)).cast("int"))
+    sums = sorted((r.block, r.n) for r in px.groupBy("block").agg(F.sum("count").alias("n")).collect())
+    share = draws.split(np.random.default_rng([seed, 0]), np.array([n for _, n in sums], dtype=np.int64), count)
+    wanted = spark.createDataFrame([(b, int(k)) for (b, _), k in zip(sums, share, strict=True) if k], "block int, k long")
+
+    def draw(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bin1_id", "ascending"), ("bin2_id", "ascending")])
+        got = draws.split(np.random.default_rng([seed, 1, t["block"][0].as_py()]), t["count"].to_numpy(), t["k"][0].as_py())
+        keep = np.flatnonzero(got)
+        return pa.table({"bin1_id": t["bin1_id"].take(keep), "bin2_id": t["bin2_id"].take(keep), "count": pa.array(got[keep])})
+
+    return px.join(small(wanted, len(sums)), "block").groupBy("block").applyInArrow(draw, "bin1_id long, bin2_id long, count long")
+
+
 def sample_exact(pixels: DataFrame, count: int, seed: int = 0, *, key=None) -> DataFrame:
-    """Exactly count contacts without replacement: those of the least hash; ties by pixel and number.
+    """Exactly count contacts without replacement: those of the least hash, so that other engines can draw the same; ties by pixel and number.
+
+    ``sample_split`` is the way to draw where no hash of each contact is asked for.
 
     Histograms of the hash narrow the last one down until few contacts share its
     interval; only those are sorted.
@@ -156,5 +192,5 @@ def sample(cmap: ContactMap, *, count: int | None = None, cis_count: int | None
         frac = count / total
     if frac > 1:
         raise ValueError("more contacts asked for than there are")
-    px = sample_exact(cmap.pixels, count if count is not None else round(frac * total), seed) if exact else sample_approx(cmap.pixels, frac, seed)
+    px = sample_split(cmap.pixels, count if count is not None else round(frac * total), seed) if exact else sample_approx(cmap.pixels, frac, seed)
     return ContactMap(cmap.bins if exact else cmap.bins.withColumn("weight", F.lit(None).cast("double")), px, cmap.binsize, cmap.meta)

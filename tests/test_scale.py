@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from binlattice.functions import arrays, clustering
-from binlattice.operators import compartments, dots, eigen, quantiles
+from binlattice.functions import arrays, clustering, draws
+from binlattice.operators import compartments, dots, eigen, profiles, quantiles
 from binlattice.schema import ContactMap
 from binlattice.sources import maps
 
@@ -244,3 +244,43 @@ def test_a_cluster_keeps_its_largest_count(spark):
     df = spark.createDataFrame([("r", 5, 9, 3), ("r", 5, 10, 7), ("r", 6, 10, 7), ("r", 90, 99, 1)], "region string, bin1_id long, bin2_id long, count long")
     got = sorted((r.bin1_id, r.bin2_id, r.c_size) for r in dots.clustered(df, 2.0).collect())
     assert got == [(5, 10, 3), (90, 99, 1)]
+
+
+@pytest.mark.parametrize(("counts", "draws_"), [([3, 0, 5, 2], 4), ([400, 900, 0, 1700], 1200), ([400, 900, 0, 1700], 2600)])
+def test_draws_are_multivariate_hypergeometric(counts, draws_):
+    rng, counts = np.random.default_rng(11), np.array(counts)
+    got = np.array([draws.split(rng, counts, draws_) for _ in range(4000)])
+    total = counts.sum()
+    assert (got.sum(axis=1) == draws_).all() and (got <= counts).all() and (got >= 0).all()
+    p = counts / total
+    var = draws_ * p * (1 - p) * (total - draws_) / (total - 1)
+    assert np.abs(got.mean(axis=0) - draws_ * p).max() < 5 * np.sqrt(var.max() / 4000)
+    ok = var > 0
+    assert got.var(axis=0)[ok] / var[ok] == pytest.approx(1, abs=0.12)
+    cov = np.cov(got[:, 0], got[:, 3])[0, 1]
+    assert cov == pytest.approx(-draws_ * p[0] * p[3] * (total - draws_) / (total - 1), rel=0.25)
+
+
+def test_draws_from_very_large_counts():
+    counts = np.array([10**15, 3 * 10**15, 5], dtype=np.int64)
+    got = draws.split(np.random.default_rng(1), counts, 10**15)
+    assert got.sum() == 10**15 and got[0] == pytest.approx(10**15 / 4, rel=1e-6)
+    assert draws.split(np.random.default_rng(1), counts, int(counts.sum())).tolist() == counts.tolist()
+    with pytest.raises(ValueError):
+        draws.split(np.random.default_rng(1), counts, int(counts.sum()) + 1)
+
+
+def test_samples_by_a_tree_of_draws(spark):
+    m, _, _ = small_map(spark, 9, density=1.0)
+    px = m.pixels.withColumn("count", F.col("count") * 1_000_000)
+    total = px.agg(F.sum("count")).first()[0]
+    have = {(r.bin1_id, r.bin2_id): r["count"] for r in px.collect()}
+    got = {(r.bin1_id, r.bin2_id): r["count"] for r in profiles.sample_split(px, total // 3, 5, block_pixels=20).collect()}
+    assert sum(got.values()) == total // 3 and all(0 < k <= have[p] for p, k in got.items())
+    off = [(got.get(p, 0) - n / 3) / np.sqrt(n * 2 / 9) for p, n in have.items()]
+    assert 0.8 < np.std(off) < 1.2 and abs(np.mean(off)) < 0.3
+    again = profiles.sample_split(px.repartition(7), total // 3, 5, block_pixels=20)
+    assert {(r.bin1_id, r.bin2_id): r["count"] for r in again.collect()} == got
+    assert profiles.sample_split(px, 0).collect() == []
+    with pytest.raises(ValueError):
+        profiles.sample_split(px, total + 1)
