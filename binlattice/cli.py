@@ -29,12 +29,12 @@ def parser() -> argparse.ArgumentParser:
     number = {"type": int}
     add("expected-cis", smooth={"action": "store_true"}, aggregate_smoothed={"action": "store_true"}, ignore_diags={"type": int, "default": 2})
     add("expected-trans")
-    add("logbin-expected", bins_per_decade={"type": int, "default": 10}, table={"choices": ["binned", "slopes", "combined", "combined-slopes"], "default": "binned"}, spread={"choices": ["logstd", "std"], "default": "logstd"})
+    add("logbin-expected", bins_per_decade={"type": int, "default": 10}, table={"choices": ["binned", "slopes", "combined", "combined-slopes"], "default": "binned"}, spread={"choices": ["logstd", "std"], "default": "logstd"}, spread_slopes={"choices": ["std", "minmax"], "default": "std"}, min_nvalid={"type": int, "default": 200}, min_count={"type": int, "default": 50}, expected={"help": "table of cis expected, instead of the map's own"})
     add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"}, bedgraph={"action": "store_true", "help": "also one track a window, beside the output"})
     add("directionality", window_bins={"type": int, "default": 10})
     add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"}, store={"action": "store_true", "help": "the output is the map with the marginals as bin columns"})
     add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"})
-    add("pileup", features={"required": True}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"}, expected={"help": "table of cis expected to divide by"}, stack={"help": "folder for the snippets themselves, as Parquet"})
+    add("pileup", features={"required": True}, ignore_diags={"type": int, "help": "by default as many as the map's balancing did, or 2"}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"}, expected={"help": "table of cis expected to divide by"}, stack={"help": "folder for the snippets themselves, as Parquet"})
     phased = {"n_eigs": {"type": int, "default": 3}, "phasing_track": {"help": "FILE or FILE::COLUMN of chrom, start, end, value"}, "sort_metric": {"choices": ["spearmanr", "pearsonr", "var_explained", "MAD_explained"]}}
     add("eigs-cis", clip_percentile={"type": float, "default": 99.9}, **phased)
     add("eigs-trans", **phased)
@@ -103,6 +103,8 @@ def run_genome(spark: SparkSession, a: argparse.Namespace) -> None:
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "genome":
         return run_genome(spark, a)
+    if a.command == "eigs-trans" and a.view:
+        raise ValueError("eigs-trans takes no view")
     m = maps.read_map(spark, a.map)
     view = genome.read_view(spark, a.view, m.chromsizes()) if a.view else maps.chrom_view(m.bins)
     out = None
@@ -111,9 +113,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "expected-trans":
         out = expected.expected_trans(m, view)
     elif a.command == "logbin-expected":
-        out = expected.logbin(expected.expected_cis(m, view), per_decade=a.bins_per_decade)
-        out = expected.slopes(out) if a.table.endswith("slopes") else out
-        out = expected.combine_binned(out, spread="std" if a.table == "combined-slopes" else a.spread, value="slope" if a.table == "combined-slopes" else "balanced_avg") if a.table.startswith("combined") else out
+        e = genome.read_expected(spark, a.expected, ["count_sum", "balanced_sum"]) if a.expected else expected.expected_cis(m, view)
+        out = expected.logbin(e, per_decade=a.bins_per_decade, min_nvalid=a.min_nvalid, min_count=a.min_count)
+        if a.table == "slopes":
+            out = expected.slopes(out)
+        elif a.table == "combined":
+            out = expected.combine_binned(out, spread=a.spread)
+        elif a.table == "combined-slopes":
+            out = expected.combined_slopes(expected.combine_binned(out), expected.slopes(out), spread=a.spread_slopes)
     elif a.command == "insulation":
         windows = [w * m.binsize for w in a.window] if a.window_pixels else a.window
         more = {"min_frac_valid": a.min_frac_valid_pixels, "min_dist_bad_bin": a.min_dist_bad_bin, "append_raw": a.append_raw_scores}
@@ -124,15 +131,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         out = bands.directionality(m, a.window_bins)
     elif a.command == "coverage":
         out = profiles.coverage(m, weighted=not a.raw, ignore_diags=a.ignore_diags)
-        if a.store:
-            total = out.agg(F.sum("cov_cis")).first()[0]
-            maps.write_map(ContactMap(out, m.pixels, m.binsize, m.meta | {"cis": total}), a.output)
+        if a.store:  # the marginals count each contact at both ends; the total within chromosomes is of raw contacts only
+            kind = "raw" if a.raw else "weight"
+            stored = out.withColumnsRenamed({"cov_cis": f"cov_cis_{kind}", "cov_tot": f"cov_tot_{kind}"})
+            total = {"cis": int(out.agg(F.sum("cov_cis")).first()[0] or 0) // 2} if a.raw else {}
+            maps.write_map(ContactMap(stored, m.pixels, m.binsize, m.meta | total), a.output)
             return
     elif a.command == "virtual4c":
         out = profiles.virtual4c(m, *region(a.viewpoint))
     elif a.command == "pileup":
         e = cis_expected(spark, m, view, a.expected) if a.by_expected or a.expected else None
-        stack = snip.snippets(m, genome.read_features(spark, a.features), view, flank=a.flank, min_diag=None, expected=e)
+        diags = m.meta.get("ignore_diags", 2) if a.ignore_diags is None else a.ignore_diags
+        stack = snip.snippets(m, genome.read_features(spark, a.features), view, flank=a.flank, min_diag=diags, expected=e)
         if a.stack:
             stack.write.parquet(a.stack)
             stack = spark.read.parquet(a.stack)
@@ -140,8 +150,6 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "eigs-cis":
         out = compartments.eigs_cis(m, view, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), clip_percentile=a.clip_percentile, sort=a.sort_metric)
     elif a.command == "eigs-trans":
-        if a.view:
-            raise ValueError("eigs-trans takes no view")
         out = compartments.eigs_trans(m, a.n_eigs, phasing=track_of(spark, m, a.phasing_track), sort=a.sort_metric)
     elif a.command == "saddle":
         track = track_of(spark, m, a.track)

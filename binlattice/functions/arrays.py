@@ -227,8 +227,10 @@ def prominence_sweep(v: np.ndarray, steps: int = 100, least_pairs: int = 5) -> t
 
 
 def li_threshold(v: np.ndarray) -> float:
-    """Minimum cross-entropy threshold by fixed-point iteration."""
+    """Minimum cross-entropy threshold by fixed-point iteration; of equal values, that value."""
     v = v[np.isfinite(v)]
+    if v.min() == v.max():
+        return float(v[0])
     shift = v.min()
     x, t, last = v - shift, (v - shift).mean(), -1.0
     step = np.min(np.diff(np.unique(x))) / 2 if len(np.unique(x)) > 1 else 0.0
@@ -239,6 +241,10 @@ def li_threshold(v: np.ndarray) -> float:
 
 
 def otsu_threshold(v: np.ndarray, bins: int = 256) -> float:
+    """The threshold of largest variance between both sides of a histogram; of equal values, that value."""
+    v = v[np.isfinite(v)]
+    if v.min() == v.max():
+        return float(v[0])
     n, edges = np.histogram(v[np.isfinite(v)], bins)
     mid = (edges[1:] + edges[:-1]) / 2
     w1, w2 = np.cumsum(n), np.cumsum(n[::-1])[::-1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,6 +89,14 @@ def gauss_smooth(df: DataFrame, value: str, region: str, order: str, sigma: floa
     return a.join(b, [region, "_o"]).groupBy(region, order).agg(ratio(F.sum(w * F.col("_v")), F.sum(w)).alias("smooth"))
 
 
+def gauss_rows(value: str, w, sigma: float) -> Column:
+    """Gaussian mean over the rows of a window, by their order, within four sigma; rows that aren't there or are null don't count."""
+    reach = int(4 * sigma + 0.5)
+    near = [(F.lag(value, d).over(w) if d >= 0 else F.lead(value, -d).over(w), math.exp(-d * d / (2 * sigma * sigma))) for d in range(-reach, reach + 1)]
+    total = sum((F.coalesce(x * k, F.lit(0.0)) for x, k in near), F.lit(0.0))
+    return ratio(total, sum((F.when(x.isNotNull(), k).otherwise(0.0) for x, k in near), F.lit(0.0)))
+
+
 def asymmetry(cells: DataFrame, by: str | None = None) -> DataFrame:
     """Cells (i, j, value) whose mirror differs, in one matrix or in one for each value of by."""
     keys = [by] if by else []

@@ -12,6 +12,8 @@ from ..functions import arrays
 from ..functions.columns import distance_to_mask
 from ..plans.joins import annotate, assign_supports, small
 from ..schema import ContactMap, ratio
+from . import quantiles
+from .peaks import prominences
 
 
 def band_pairs(bins: DataFrame, reach: int) -> DataFrame:
@@ -63,8 +65,8 @@ def insulation(cmap: ContactMap, view: DataFrame, window: int, *, ignore_diags:
     out = out.withColumns({c: F.when(F.col("n_valid") > 0, F.coalesce(c, F.lit(0).cast(t))) for c, t in (("sum_counts", "long"), ("sum_balanced", "double"))})
     out = out.withColumn("score", ratio("sum_balanced", "n_valid"))
     if norm_by_median:
-        median = out.groupBy("region").agg(F.median("score").alias("_m"))
-        out = out.join(F.broadcast(median), "region").withColumn("score", ratio("score", "_m")).drop("_m")
+        median = quantiles.exact_quantiles(out, ["region"], "score", [0.5]).select("region", F.col("q")[0].alias("_m"))
+        out = out.join(F.broadcast(median), "region", "left").withColumn("score", ratio("score", "_m")).drop("_m")
     bad = F.col("weight").isNull() if weighted else F.lit(False)
     return out.select("bin_id", "chrom", "start", "end", "region", bad.alias("is_bad_bin"), F.when(F.col("score") > 0, F.log2("score")).alias("log2_score"), "n_valid", "sum_counts", "sum_balanced")
 
@@ -74,20 +76,16 @@ def boundaries(scores: DataFrame, *, min_frac_valid: float = 0.66) -> DataFrame:
     top = scores.agg(F.max("n_valid")).first()[0] or 0
     ok = scores.where((F.col("n_valid") >= min_frac_valid * top) & F.col("log2_score").isNotNull()).select("region", "bin_id", "log2_score")
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin_id")
-        p = arrays.prominence(-pdf.log2_score.to_numpy())
-        return pd.DataFrame({"bin_id": pdf.bin_id, "boundary_strength": np.where(p > 0, p, np.nan)}).dropna()
-
-    found = ok.groupBy("region").applyInPandas(find, "bin_id long, boundary_strength double")
+    found = prominences(ok.select("region", "bin_id", (-F.col("log2_score")).alias("v"))).where("prominence > 0")
+    found = found.select("bin_id", F.col("prominence").alias("boundary_strength"))
     return scores.join(found, "bin_id", "left")
 
 
 def call_boundaries(scores: DataFrame, threshold: float | str = "Li") -> DataFrame:
     """Adds is_boundary; Li and Otsu thresholds come from all strengths, a number is used as is."""
     if threshold in ("Li", "Otsu"):
-        v = np.array([r[0] for r in scores.where("boundary_strength is not null").select("boundary_strength").toLocalIterator()])
-        threshold = {"Li": arrays.li_threshold, "Otsu": arrays.otsu_threshold}[threshold](v) if len(v) > 1 else float("inf")
+        v = scores.where("boundary_strength is not null").select("boundary_strength").toPandas()["boundary_strength"].to_numpy(float)  # fewer than bins
+        threshold = {"Li": arrays.li_threshold, "Otsu": arrays.otsu_threshold}[threshold](v) if len(v) else float("inf")
     return scores.withColumn("is_boundary", F.coalesce(F.col("boundary_strength") >= threshold, F.lit(False)))
 
 

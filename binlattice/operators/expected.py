@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.columns import gauss_rows
 from ..plans.joins import annotate, assign_supports, view_pairs
 from ..schema import ContactMap, ratio
 
@@ -182,24 +183,52 @@ def logbin(expected: DataFrame, value: str = "balanced_sum", per_decade: int = 1
     return out.where((F.col("n_valid") > min_nvalid) & (F.col("balanced_avg") > 0) & (F.col("count_sum") > min_count))
 
 
-def slopes(binned: DataFrame, smooth: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Log-log slope between consecutive kept distance bins of a region pair, at the geometric mean distance.
-
-    smooth may take the logarithms of a region pair's averages, in order, before slopes are drawn.
-    """
+def _drawn_slopes(binned: DataFrame, keys: list[str], sigma: float | None, smooth: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    rows = binned.withColumn("_x", F.log("dist_avg")).withColumn("_y", F.log("balanced_avg"))
+    w = W.partitionBy(*keys).orderBy("dist_bin_id")  # a row a distance bin
     if smooth:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("dist_bin_id")
-            return pdf.assign(balanced_avg=np.exp(smooth(np.log(pdf.balanced_avg.to_numpy(float)))))
+            return pdf.assign(**{c: smooth(pdf[c].to_numpy(float)) for c in ("_x", "_y")})
 
-        binned = binned.groupBy(*REGIONS).applyInPandas(run, binned.schema)
-    w = W.partitionBy(*REGIONS).orderBy("dist_bin_id")
+        grouped = rows if keys else rows.withColumn("_all", F.lit(0))
+        rows = grouped.groupBy(*keys or ["_all"]).applyInPandas(run, grouped.schema)
+    elif sigma:
+        rows = rows.withColumns({c: gauss_rows(c, w, sigma) for c in ("_x", "_y")})
     nxt = lambda c: F.lead(c).over(w)
-    return binned.select(
-        *REGIONS, "dist_bin_id", F.least("n_valid", nxt("n_valid")).alias("n_valid"), F.sqrt(F.col("dist_avg") * nxt("dist_avg")).alias("dist_avg"),
-        ratio(F.log(nxt("balanced_avg")) - F.log("balanced_avg"), F.log(nxt("dist_avg")) - F.log("dist_avg")).alias("slope"),
-    ).where("slope is not null")
+    return rows.select(
+        *keys, "dist_bin_id", F.least("n_valid", nxt("n_valid")).alias("n_valid"), F.sqrt(F.col("dist_avg") * nxt("dist_avg")).alias("dist_avg"),
+        ratio(nxt("_y") - F.col("_y"), nxt("_x") - F.col("_x")).alias("slope"), nxt("dist_bin_id").alias("_next"),
+    ).where("_next is not null and slope is not null").drop("_next")
+
+
+def slopes(binned: DataFrame, sigma: float | None = 2.0, *, smooth: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Log-log slope between consecutive kept distance bins of a region pair, at the geometric mean distance.
+
+    Before, the logarithms of average and distance are smoothed over the region
+    pair's bins, in their order, by a Gaussian of sigma bins (None: not at all), or by smooth.
+    """
+    return _drawn_slopes(binned, REGIONS, sigma, smooth)
+
+
+def combined_slopes(combined: DataFrame, by_region: DataFrame | None = None, sigma: float | None = 1.3, *, smooth: Callable[[np.ndarray], np.ndarray] | None = None, spread: str = "std", minmax_drop_bins: int = 2) -> DataFrame:
+    """Slopes of the curve of all regions together (the result of combine_binned), smoothed likewise.
+
+    With slopes by region, low_err and high_err are the slope less and plus their weighted standard
+    deviation, or their extremes without the last bins of each region (minmax).
+    """
+    out = _drawn_slopes(combined, [], sigma, smooth)
+    if by_region is None:
+        return out
+    if spread == "minmax":
+        spans = _extremes(by_region.withColumn("balanced_avg", F.col("slope")), minmax_drop_bins)
+        return out.join(spans.select("dist_bin_id", F.col("low").alias("low_err"), F.col("high").alias("high_err")), "dist_bin_id", "left")
+    w, v = F.col("n_valid"), F.col("slope")
+    mean = by_region.groupBy("dist_bin_id").agg(ratio(F.sum(w * v), F.sum(w)).alias("_m"))
+    var = by_region.join(mean, "dist_bin_id").groupBy("dist_bin_id").agg(F.sqrt(ratio(F.sum(w * (v - F.col("_m")) ** 2), F.sum(w))).alias("_s"))
+    out = out.join(var, "dist_bin_id", "left")
+    return out.select("dist_bin_id", "n_valid", "dist_avg", "slope", (v - F.col("_s")).alias("low_err"), (v + F.col("_s")).alias("high_err"))
 
 
 def combine_binned(binned: DataFrame, minmax_drop_bins: int = 2, spread: str | Callable[[Column, Column], Column] = "logstd", value: str = "balanced_avg") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import assign_supports, assign_view, small
 from ..schema import ContactMap, ratio, require
+from . import quantiles
 
 REDUCERS = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_pop}
 
@@ -81,5 +82,8 @@ def snippets(cmap: ContactMap, features: DataFrame, view: DataFrame, *, flank: i
 
 
 def pileup(stack: DataFrame, reducer: str = "mean") -> DataFrame:
-    """The stack reduced over snippets; nulls don't count."""
+    """The stack reduced over snippets; nulls don't count. Medians are exact, with bounded state however many snippets there are."""
+    if reducer == "median":
+        middle = quantiles.exact_quantiles(stack, ["i", "j"], "value", [0.5]).select("i", "j", F.col("q")[0].alias("value"))
+        return stack.select("i", "j").distinct().join(middle, ["i", "j"], "left")
     return stack.groupBy("i", "j").agg(REDUCERS[reducer]("value").alias("value"))

@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("view_pairs", "SELECT DISTINCT a.arm AS region1, b.arm AS region2 FROM bins a JOIN bins b ON a.chrom = b.chrom AND a.arm_idx <= b.arm_idx")
 def _(spark, d):
-    return joins.view_pairs(maps.half_view(spark), "cis")
+    return joins.view_pairs(maps.halves(maps.hour_map(spark, d).bins), "cis")
 
 
 @query("assign_supports", "SELECT bin_id, arm AS region FROM bins")
@@ -412,10 +412,37 @@ def _(spark, d):
 
 
 @query("logbin_slopes", _LOGBIN + ", y AS (SELECT region, b, least(n_valid, lead(n_valid) OVER u) AS n, sqrt(da * lead(da) OVER u) AS da, (ln(lead(p) OVER u) - ln(p)) / nullif(ln(lead(da) OVER u) - ln(da), 0) AS slope, lead(p) OVER u AS nx FROM lk WINDOW u AS (PARTITION BY region ORDER BY b)) SELECT region AS region1, region AS region2, b AS dist_bin_id, CAST(n AS BIGINT) AS n_valid, round(da, 6) AS dist_avg, round(slope, 5) AS slope FROM y WHERE slope IS NOT NULL", ("cis",))
+def _(spark, d):
+    return rounded(expected.slopes(_logbin(maps.hour_map(spark, d)), None).withColumn("slope", F.round("slope", 5)))
+
+
+def _smoothed(rows: str, part: str, sigma: float) -> str:
+    """CTEs g (rows with smoothed logarithms lx, ly) and z (slopes between them)."""
+    reach, by = int(4 * sigma + 0.5), f"PARTITION BY {part} ORDER BY b" if part else "ORDER BY b"
+    w = f"exp(-pow(o.i - a.i, 2) / {2 * sigma * sigma!r}e0)"
+    same = f"o.{part} = a.{part} AND " if part else ""
+    keep = f"a.{part}, " if part else ""
+    return f""", nr AS (SELECT *, row_number() OVER ({by}) AS i FROM {rows}),
+g AS (SELECT {keep}a.b, a.n_valid, a.da, sum({w} * ln(o.da)) / sum({w}) AS lx, sum({w} * ln(o.p)) / sum({w}) AS ly FROM nr a JOIN nr o ON {same}abs(o.i - a.i) <= {reach} GROUP BY {keep}a.b, a.n_valid, a.da),
+z AS (SELECT {keep.replace("a.", "")}b, least(n_valid, lead(n_valid) OVER u) AS n, sqrt(da * lead(da) OVER u) AS da, (lead(ly) OVER u - ly) / nullif(lead(lx) OVER u - lx, 0) AS slope FROM g WINDOW u AS ({by}))"""
+
+
+@query("logbin_slopes_smoothed", _LOGBIN + _smoothed("lk", "region", 2.0) + " SELECT region AS region1, region AS region2, b AS dist_bin_id, CAST(n AS BIGINT) AS n_valid, round(da, 6) AS dist_avg, round(slope, 5) AS slope FROM z WHERE slope IS NOT NULL", ("cis",))
 def _(spark, d):
     return rounded(expected.slopes(_logbin(maps.hour_map(spark, d))).withColumn("slope", F.round("slope", 5)))
 
 
+_OVER_ALL = ", al AS (SELECT b, sum(n_valid) AS n_valid, sum(n_valid * da) / sum(n_valid) AS da, sum(n_valid * p) / sum(n_valid) AS p FROM lk GROUP BY b)"
+_BY_REGION = ", sr AS (SELECT * FROM z), sm AS (SELECT b, sum(n * slope) / sum(n) AS m FROM sr WHERE slope IS NOT NULL GROUP BY b), ss AS (SELECT sr.b, sqrt(sum(n * pow(slope - m, 2)) / sum(n)) AS s FROM sr JOIN sm USING (b) WHERE slope IS NOT NULL GROUP BY sr.b)"
+
+
+@query("combined_slopes", _LOGBIN + _smoothed("lk", "region", 2.0) + _BY_REGION + _OVER_ALL + _smoothed("al", "", 1.3).replace(" nr ", " nr2 ").replace("nr a", "nr2 a").replace("nr o", "nr2 o").replace("\ng AS", "\ng2 AS").replace("FROM g ", "FROM g2 ").replace("\nz AS", "\nz2 AS") + " SELECT z2.b AS dist_bin_id, CAST(n AS BIGINT) AS n_valid, round(da, 6) AS dist_avg, round(slope, 5) AS slope, round(slope - s, 5) AS low_err, round(slope + s, 5) AS high_err FROM z2 LEFT JOIN ss ON ss.b = z2.b WHERE slope IS NOT NULL", ("cis",))
+def _(spark, d):
+    binned = _logbin(maps.hour_map(spark, d))
+    found = expected.combined_slopes(expected.combine_binned(binned), expected.slopes(binned))
+    return rounded(found.withColumns({c: F.round(c, 5) for c in ("slope", "low_err", "high_err")}))
+
+
 @query("combine_binned", _LOGBIN + """, mm AS (SELECT b, sum(n_valid) AS n, sum(n_valid * da) / sum(n_valid) AS da, sum(n_valid * p) / sum(n_valid) AS p, sum(n_valid * ln(p)) / sum(n_valid) AS lm FROM lk GROUP BY b), sp AS (SELECT lk.b, exp(sqrt(greatest(sum(n_valid * pow(ln(lk.p) - lm, 2)) / sum(n_valid), 0))) AS ls FROM lk JOIN mm USING (b) GROUP BY lk.b),
 xt AS (SELECT b, min(p) AS lo, max(p) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY b DESC) AS k FROM lk) u WHERE k > 2 GROUP BY b)
 SELECT b AS dist_bin_id, CAST(n AS BIGINT) AS n_valid, round(da, 6) AS dist_avg, round(p, 6) AS balanced_avg, round(ls, 5) AS logstd, round(lo, 6) AS low, round(hi, 6) AS high FROM mm JOIN sp USING (b) LEFT JOIN xt USING (b)""", ("cis",))

@@ -94,6 +94,15 @@ def half_view(spark: SparkSession, chroms: int = 4, half: int = 90 * 3600) -> Da
     )
 
 
+def halves(bins: DataFrame) -> DataFrame:
+    """Two regions a chromosome, cut in the middle of its bins and named like it with _p and _q."""
+    sizes = bins.groupBy("chrom", "chrom_idx").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.sort_array(F.collect_list("start")).alias("starts"))  # one row a chromosome
+    middle = F.element_at("starts", (F.floor(F.size("starts") / 2) + 1).cast("int"))
+    side = lambda name, start, end, k: F.struct(start.alias("start"), end.alias("end"), F.concat("chrom", F.lit(name)).alias("name"), (F.col("chrom_idx") * 2 + k).cast("int").alias("region_idx"))
+    both = F.explode(F.array(side("_p", F.col("s"), middle, 0), side("_q", middle, F.col("e"), 1)))
+    return sizes.select("chrom", both.alias("r")).select("chrom", "r.*")
+
+
 def chrom_view(bins: DataFrame) -> DataFrame:
     """One region a chromosome, named like it."""
     return bins.groupBy("chrom", "chrom_idx").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chrom", "start", "end", F.col("chrom").alias("name"), F.col("chrom_idx").alias("region_idx"))

@@ -267,7 +267,10 @@ def test_commands_over_a_map(spark, tmp_path):
     assert read("pile").count() == 25 and spark.read.parquet(out("stack")).select("snip_id").distinct().count() == 2
     run(spark, "coverage", d, "-o", out("covered"), "--store")
     stored = maps.read_map(spark, out("covered"))
-    assert "cov_tot" in stored.bins.columns and stored.meta["cis"] > 0
+    assert "cov_tot_weight" in stored.bins.columns and "cis" not in stored.meta
+    run(spark, "coverage", d, "-o", out("counted"), "--store", "--raw")
+    stored = maps.read_map(spark, out("counted"))
+    assert "cov_tot_raw" in stored.bins.columns and stored.meta["cis"] == sum(k for i, j, k in px if (i < 14) == (j < 14))
     run(spark, "coarsen", d, "-o", out("levels"), "--factor", 2, 4)
     two, four = (maps.read_map(spark, out(f"levels/{k}")) for k in (2, 4))
     assert two.bins.count() == 12 and four.bins.count() == 7 and four.binsize == 4

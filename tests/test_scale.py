@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binlattice.functions import arrays, clustering, draws
-from binlattice.operators import compartments, dots, eigen, profiles, quantiles
+from binlattice.operators import compartments, dots, eigen, peaks, profiles, quantiles
 from binlattice.schema import ContactMap
 from binlattice.sources import maps
 
@@ -284,3 +284,13 @@ def test_samples_by_a_tree_of_draws(spark):
     assert profiles.sample_split(px, 0).collect() == []
     with pytest.raises(ValueError):
         profiles.sample_split(px, total + 1)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_prominences_of_signals_cut_anywhere(spark, chunk):
+    rng = np.random.default_rng(10)
+    signals = {"walk": np.cumsum(rng.standard_normal(90)), "ties": rng.integers(0, 4, 80).astype(float), "flat": np.zeros(5), "hill": np.r_[0.0, 5, 1], "one": np.ones(1), "tops": np.tile([0.0, 7, 1, 7], 5)}
+    rows = [(g, 3 + 2 * i, float(x)) for g, v in signals.items() for i, x in enumerate(v)]
+    got = peaks.prominences(spark.createDataFrame(rows, "region string, bin_id long, v double"), chunk=chunk).where("prominence > 0").collect()
+    want = {(g, 3 + 2 * i): x for g, v in signals.items() for i, x in enumerate(arrays.prominence(v)) if x > 0}
+    assert {(r.region, r.bin_id): r.prominence for r in got} == pytest.approx(want) and len(want) > 20
