@@ -9,9 +9,10 @@ are joined. A match fixes where the unit can lie; placements outside the
 document are out by length and position, and the rest are verified word by word
 over windows of the unit's own size.
 
-Items are taken in blocks of a fixed size. What a block finds is written, a row
-for each text that holds one of its units, and its broadcasts are destroyed, so
-memory doesn't grow with the benchmark; one last pass puts the rows to the
+Items are taken in blocks of a fixed size, whose units are arrays over the block's
+words, about a hundred bytes a word. What a block finds is written, a row for
+each text that holds one of its units, and its broadcasts are destroyed, so memory
+doesn't grow with the benchmark beyond a block; one last pass puts the rows to the
 documents, the same way for one block as for many.
 
 Defined cases: null or empty texts have no words and no hits; items without
@@ -27,9 +28,8 @@ through, ``mark`` returns only its own).
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,86 +40,161 @@ from . import text as tx
 from .shared import Scratch, narrow_join, places, without
 
 SHINGLE = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, TABLE_CELLS = 8 << 20, 1 << 20
 
 
 @dataclass
-class Unit:
-    items: list[int]
-    words: list[bytes]
-    shingles: np.ndarray
-    need: int
-    prefix: list[tuple[int, int]] = field(default_factory=list)
+class Items:
+    """The words of a block's items: bytes, bounds of each word, first word of each item."""
+
+    ids: list[int | None]
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]]
 
 
 @dataclass
 class Group:
-    """Units whose shingles have the same number of words."""
+    """Units whose shingles have the same number of words. A unit is a run of the items' words; all is in arrays, about 100 bytes a word."""
 
     width: int
-    units: list[Unit]
+    items: Items
+    first: np.ndarray  # word of the items
+    size: np.ndarray
+    need: np.ndarray
+    exact: np.ndarray  # whether all shingles are needed
+    owners: np.ndarray  # item numbers, by unit
+    owned: np.ndarray
+    place: np.ndarray  # of the shingle that begins at a word, in the vocabulary
     vocabulary: np.ndarray
     screen: np.ndarray
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    post_first: np.ndarray = None  # postings by place: the units that a prefix shingle stands for, and its word offset there
+    post_unit: np.ndarray = None
+    post_offset: np.ndarray = None
 
     def matches(self, words: tx.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start words, and their places in the vocabulary, of shingles that some unit has."""
         at, h = words.rolling(hashes, self.width)
-        keep = self.screen[(h >> np.uint64(44)).astype(np.int64)]
+        keep = self.screen[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         at, h = at[keep], h[keep]
         place = np.searchsorted(self.vocabulary, h)
         place[place == len(self.vocabulary)] = 0
         same = self.vocabulary[place] == h
         return at[same], place[same]
 
-
-def item_words(texts: list[str | None]) -> list[list[bytes]]:
-    out: list[list[bytes]] = []
-    for _, _, w in tx.words(pa.array(texts, pa.string()), tx.ALNUM, True):
-        out += [w.run(a, b) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    return out
-
-
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    joined = tx.Words(np.frombuffer(b" ".join(words), dtype=np.uint8), np.array([0, len(b" ".join(words))]), tx.NOT_SPACE, False)
-    return joined.rolling(joined.hashes(), width)[1]
-
-
-def build(items: list[tuple[int, str | None]], window: int | None, containment: float, shingle: int) -> list[Group]:
-    units: dict[tuple[bytes, ...], Unit] = {}
-    for (item, _), words in zip(items, item_words([t for _, t in items]), strict=True):
-        size = len(words) if window is None else min(window, len(words))
-        for i in range(len(words) - size + 1) if words else ():
-            run = words[i : i + size]
-            unit = units.get(tuple(run))
-            if unit is None:
-                h = shingle_hashes(run, min(shingle, size))
-                unit = units[tuple(run)] = Unit([], run, h, max(1, math.ceil(containment * len(np.unique(h)) - 1e-9)))
-            if item not in unit.items:
-                unit.items.append(item)
-    by_width: dict[int, list[Unit]] = defaultdict(list)
-    for unit in units.values():
-        by_width[min(shingle, len(unit.words))].append(unit)
-    groups = []
-    for width, members in sorted(by_width.items()):
-        vocabulary = np.unique(np.concatenate([u.shingles for u in members]))
-        screen = np.zeros(1 << 20, dtype=bool)
-        screen[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        groups.append(Group(width, members, vocabulary, screen))
+    @property
+    def bits(self) -> int:
+        return len(self.screen).bit_length() - 1
+
+    def shingles(self, unit: int) -> np.ndarray:
+        lo = self.first[unit]
+        return self.place[lo : lo + self.size[unit] - self.width + 1]
+
+    def tables(self):
+        """(units, their shingles' places as a table): units of one size, some at a time."""
+        for size in np.unique(self.size).tolist():
+            units, n = np.flatnonzero(self.size == size), size - self.width + 1
+            step = max(1, TABLE_CELLS // n)
+            for lo in range(0, len(units), step):
+                some = units[lo : lo + step]
+                yield some, self.place[self.first[some][:, None] + np.arange(n)]
+
+
+def distinct_in_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted, and how many distinct values come up to each place."""
+    table = np.sort(table, axis=1)
+    new = np.ones(table.shape, dtype=np.int32)
+    new[:, 1:] = table[:, 1:] != table[:, :-1]
+    return table, np.cumsum(new, axis=1)
+
+
+def read_items(items: list[tuple[int | None, str | None]]) -> tuple[Items, list[tuple[tx.Words, int]]]:
+    data, starts, ends, first, parts, bytes_, words = [], [], [], [np.zeros(1, dtype=np.int64)], [], 0, 0
+    for _, _, w in tx.words(pa.array([t for _, t in items], pa.string()), tx.ALNUM, True):
+        parts.append((w, words))
+        data.append(w.data.tobytes())
+        starts.append(w.starts + bytes_)
+        ends.append(w.ends + bytes_)
+        first.append(w.first[1:] + words)
+        bytes_, words = bytes_ + len(w.data), words + len(w.starts)
+    whole = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
+    return Items([i for i, _ in items], b"".join(data), whole(starts), whole(ends), whole(first)), parts
+
+
+def same_words(items: Items, a: int, b: int, size: int) -> bool:
+    return all(items.word(a + k) == items.word(b + k) for k in range(size))
+
+
+def build(block: list[tuple[int | None, str | None]], window: int | None, containment: float, shingle: int) -> list[Group]:
+    items, parts = read_items(block)
+    length = np.diff(items.first)
+    size = length if window is None else np.minimum(window, length)
+    widths, groups = np.minimum(shingle, size), []
+    for width in np.unique(widths[length > 0]).tolist():
+        own = np.flatnonzero((widths == width) & (length > 0))
+        inside = np.zeros(len(items.starts), dtype=bool)
+        for i in own.tolist():
+            inside[items.first[i] : items.first[i + 1]] = True
+        at, h = (np.concatenate(x) for x in zip(*((p + base, v) for w, base in parts for p, v in [w.rolling(w.hashes(), width)]), strict=True))
+        at, h = at[inside[at]], h[inside[at]]
+        vocabulary = np.unique(h)
+        bits = max(20, min(24, len(vocabulary).bit_length() + 3))
+        screen = np.zeros(1 << bits, dtype=bool)
+        screen[(vocabulary >> np.uint64(64 - bits)).astype(np.int64)] = True
+        place = np.full(len(items.starts), -1, dtype=np.int32)
+        place[at] = np.searchsorted(vocabulary, h)
+        number = length[own] - size[own] + 1
+        item = np.repeat(own, number)
+        first = items.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number)
+        g = Group(width, items, first, size[item], np.empty(0), np.empty(0), item, np.empty(0), place, vocabulary, screen)
+        merge_equal(g)
+        g.need, g.exact = np.empty(len(g.first), dtype=np.int64), np.empty(len(g.first), dtype=bool)
+        for units, table in g.tables():
+            n = distinct_in_rows(table)[1][:, -1]
+            g.need[units] = np.maximum(1, np.ceil(containment * n - 1e-9).astype(np.int64))
+            g.exact[units] = g.need[units] == n
+        groups.append(g)
     return groups
 
 
-def order(groups: list[Group], counts: dict[tuple[int, int], int]) -> None:
-    """Fills the postings: for each prefix shingle, the units it stands for and its word offset there."""
+def merge_equal(g: Group) -> None:
+    """Units of the same words become one with all their items, compared word by word where their shingles agree."""
+    rng = np.random.default_rng(1)
+    leader = np.arange(len(g.first))
+    for units, table in g.tables():
+        key = (table.astype(np.uint64) * rng.integers(1, 1 << 62, table.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        _, head, group = np.unique(key, return_index=True, return_inverse=True)
+        lead = units[head[group]]
+        for u, k in zip(units[lead != units].tolist(), lead[lead != units].tolist(), strict=True):
+            if same_words(g.items, int(g.first[u]), int(g.first[k]), int(g.size[u])):
+                leader[u] = k
+    kept, to = np.unique(leader, return_inverse=True)
+    pairs = np.unique(np.stack([to, g.owners], axis=1), axis=0)
+    g.first, g.size = g.first[kept], g.size[kept]
+    g.owned, g.owners = np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1)), pairs[:, 1]
+
+
+def order(groups: list[Group], counts: dict[int, np.ndarray]) -> None:
+    """Fills the postings with each unit's rarest shingles; counts are documents' shingles by width and place."""
     for g in groups:
-        rank = np.array([counts.get((g.width, i), 0) for i in range(len(g.vocabulary))])
-        for k, unit in enumerate(g.units):
-            places = np.searchsorted(g.vocabulary, unit.shingles)
-            distinct = sorted(set(places.tolist()), key=lambda p: (rank[p], p))
-            first = set(distinct[: len(distinct) - unit.need + 1])
-            for offset, p in enumerate(places.tolist()):
-                if p in first:
-                    g.postings.setdefault(p, []).append((k, offset))
+        rank = counts.get(g.width, np.zeros(len(g.vocabulary), dtype=np.int64))
+        turn = np.empty(len(rank), dtype=np.int64)
+        turn[np.lexsort((np.arange(len(rank)), rank))] = np.arange(len(rank))  # by rarity, ties by place
+        found = []
+        for units, table in g.tables():
+            turns = turn[table]
+            ranked, upto = distinct_in_rows(turns)
+            last = (upto <= (upto[:, -1] - g.need[units] + 1)[:, None]).sum(axis=1) - 1
+            row, offset = np.nonzero(turns <= ranked[np.arange(len(units)), last][:, None])
+            found.append((table[row, offset], units[row], offset))
+        place, unit, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((offset, unit, place))
+        g.post_unit, g.post_offset = unit[by].astype(np.int32), offset[by].astype(np.int32)
+        g.post_first = np.searchsorted(place[by], np.arange(len(g.vocabulary) + 1))
 
 
 def find(groups: list[Group], words: tx.Words, hashes: np.ndarray):
@@ -130,30 +205,32 @@ def find(groups: list[Group], words: tx.Words, hashes: np.ndarray):
             continue
         docs = np.searchsorted(words.first, at, side="right") - 1
         done: set[tuple[int, int, int]] = set()
-        for p, v, d in zip(at.tolist(), place.tolist(), docs.tolist(), strict=True):
-            for k, offset in g.postings.get(v, ()):
-                unit = g.units[k]
-                size, n = len(unit.words), len(np.unique(unit.shingles))
-                lo, hi = int(words.first[d]), int(words.first[d + 1])
-                if unit.need == n:
+        listed = np.flatnonzero(g.post_first[place + 1] > g.post_first[place])
+        for p, v, d in zip(at[listed].tolist(), place[listed].tolist(), docs[listed].tolist(), strict=True):
+            lo, hi = int(words.first[d]), int(words.first[d + 1])
+            span = slice(g.post_first[v], g.post_first[v + 1])
+            for k, offset in zip(g.post_unit[span].tolist(), g.post_offset[span].tolist(), strict=True):
+                size, first = int(g.size[k]), int(g.first[k])
+                ids = [g.items.ids[i] for i in g.owners[g.owned[k] : g.owned[k + 1]].tolist()]
+                if g.exact[k]:
                     start = p - offset
                     if start < lo or start + size > hi or (k, d, start) in done:
                         continue
                     done.add((k, d, start))
-                    if words.run(start, start + size) == unit.words:
-                        for item in unit.items:
+                    if all(words.word(start + i) == g.items.word(first + i) for i in range(size)):
+                        for item in ids:
                             yield d, item, start, start + size
                     continue
                 if (k, d, p) in done:
                     continue
                 done.add((k, d, p))
-                own = set(np.searchsorted(g.vocabulary, unit.shingles).tolist())
-                span = slice(np.searchsorted(at, max(lo, p - size + g.width)), np.searchsorted(at, min(hi, p + size)))
-                near = [(a, b) for a, b in zip(at[span].tolist(), place[span].tolist(), strict=True) if b in own]
+                own = set(g.shingles(k).tolist())
+                reach = slice(np.searchsorted(at, max(lo, p - size + g.width)), np.searchsorted(at, min(hi, p + size)))
+                near = [(a, b) for a, b in zip(at[reach].tolist(), place[reach].tolist(), strict=True) if b in own]
                 for i, (a, _) in enumerate(near):
                     inside = [(x, b) for x, b in near[i:] if x + g.width <= a + size]
-                    if len({b for _, b in inside}) >= unit.need:
-                        for item in unit.items:
+                    if len({b for _, b in inside}) >= g.need[k]:
+                        for item in ids:
                             yield d, item, a, inside[-1][0] + g.width
                         break
 
@@ -203,8 +280,12 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, *, window: int | N
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), width, dtype=np.int32)), pa.array(at), pa.array(n[at])], ["width", "at", "n"])
 
-        seen = body.select("text").mapInArrow(count, "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n")).collect()
-        order(groups, {(r.width, r.at): r.n for r in seen})
+        seen = body.select("text").mapInArrow(count, "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n")).toArrow()
+        width, at, n = (seen[c].to_numpy() for c in ("width", "at", "n"))
+        counts = {g.width: np.zeros(len(g.vocabulary), dtype=np.int64) for g in groups}
+        for w, total in counts.items():
+            total[at[width == w]] = n[width == w]
+        order(groups, counts)
         ranked = context.broadcast(groups)
 
         def scan(batches, shared=ranked):

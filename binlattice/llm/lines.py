@@ -21,8 +21,8 @@ that repeat count once for it, and all go or stay together; rows that repeat a
 doc_id count as one document, each row losing its own lines; rows with a null
 doc_id are left as they are and count for nothing; the largest doc_id is unique
 to a key, so there are no ties; texts and lines of any length are taken whole; no
-documents give no rows; with keep_text, other columns may have any names but
-``__keys`` and ``__row``, else only the digest columns return.
+documents give no rows; with keep_text, other columns may have any names, else
+only the digest columns return.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Scratch, narrow_join, partitions, places
+from .shared import Scratch, free_prefix, narrow_join, partitions, places
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 BUCKET_ROWS, BUCKETS_MOST, SALTS, HOT_SHARE = 4_000_000, 100_000, 64, 100_000  # Spark lays out no more buckets
@@ -154,8 +154,10 @@ def dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     scratch = Scratch(docs.sparkSession)
     gone = drops(docs, scratch, min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if not keep_text else docs
-    marks = gone.select(F.col("doc_id").alias("__row"), F.col("keys").alias("__keys"))
-    joined = narrow_join(own.select("*", places("__")[0]), marks, "__row", "__keys", limit=limit)  # rows without doc_id spread by their texts
+    free = free_prefix(own.columns)
+    row, keys = f"{free}row", f"{free}keys"
+    marks = gone.select(F.col("doc_id").alias(row), F.col("keys").alias(keys))
+    joined = narrow_join(own.select("*", places(free)[0]), marks, row, keys, limit=limit)  # rows without doc_id spread by their texts
     names, extra = docs.columns, ["n_lines", "n_dropped", "kept_sha256"]
 
     def run(stream):
@@ -163,7 +165,7 @@ def dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
             data, at = tx.buffers(batch.column("text"))
             whole = data.tobytes()
             out: list[tuple[int, int, bytes]] = []
-            for a, b, packed in zip(at[:-1], at[1:], batch.column("__keys").to_pylist(), strict=True):
+            for a, b, packed in zip(at[:-1], at[1:], batch.column(keys).to_pylist(), strict=True):
                 lines = whole[a:b].split(b"\n")
                 kept = lines
                 if packed:
@@ -180,5 +182,5 @@ def dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sums], ["doc_id", *extra])
 
     if keep_text:
-        return joined.select(*names, "__keys").mapInArrow(run, docs.schema)
+        return joined.select(*names, keys).mapInArrow(run, docs.schema)
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -101,10 +101,19 @@ def by_key(batches):
         yield held.combine_chunks()
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of the columns begins with, in either case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def without(docs: DataFrame, scratch: Scratch, gone: DataFrame) -> DataFrame:
-    """The documents but the rows in gone (row, tag of ``places``, distinct), columns as they were."""
-    listed = scratch.table(gone.select(F.col("row").alias("__row"), F.col("tag").alias("__tag"), F.lit("x").alias("__mark")))
-    return narrow_join(docs.select("*", *places("__")), listed, ["__row", "__tag"], "__mark", "left_anti").select(docs.columns)
+    """The documents but the rows in gone (row, tag of ``places``, distinct), columns as they were, whatever their names."""
+    own = free_prefix(docs.columns)
+    listed = scratch.table(gone.select(F.col("row").alias(f"{own}row"), F.col("tag").alias(f"{own}tag"), F.lit("x").alias(f"{own}mark")))
+    return narrow_join(docs.select("*", *places(own)), listed, [f"{own}row", f"{own}tag"], f"{own}mark", "left_anti").select(docs.columns)
 
 
 def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:

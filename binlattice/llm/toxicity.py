@@ -129,7 +129,7 @@ class Model:
                     w = self._bare[word] = self.entries.get(f" {bare(word)} ", 0.0)
                 if w > best.get(start - 1, 0.0):
                     best[start - 1] = w
-        hits = [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
+        hits = outside(best, spared)
         n = max(1, folded.count(" ") - 1)
         total = sum(hits)
         return [total / (1 + np.sqrt(n / 50)), max(hits, default=0.0), total / n * 10]
@@ -138,6 +138,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights[:-1]) + self.weights[-1], -30, 30)))
 
 
+def outside(best: dict[int, float], spared: list[tuple[int, int]]) -> list[float]:
+    """The weights at places that no span [start, end) holds; both are sorted and swept once."""
+    if not spared:
+        return list(best.values())
+    spared, at, reach, out = sorted(spared), 0, -1, []
+    for place in sorted(best):
+        while at < len(spared) and spared[at][0] <= place:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if reach <= place:
+            out.append(best[place])
+    return out
+
+
 def terms(text: str) -> Counter:
     """How often a text has each word and word beginning."""
     out: Counter = Counter()

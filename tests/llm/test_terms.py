@@ -4,15 +4,17 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from binlattice.llm import divergence, search, spelling
+from binlattice.llm import decontaminate, divergence, lines, search, similar, simhash, spelling, toxicity
 from binlattice.llm.shared import Scratch
-from binlattice.llm.text import Words, buffers
+from binlattice.llm.text import ALNUM, Words, buffers
+from binlattice.llm.text import words as tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, term string, pos long, key string, shard int"
@@ -258,3 +260,51 @@ def test_links_are_each_pair_once(spark):
     vocab = spark.createDataFrame([("ab", 1), ("aab", 1), ("aaab", 1), ("b", 1)], "word string, n long")
     got = sorted((min(r.x, r.y), max(r.x, r.y)) for r in spelling.near_words(vocab, Scratch(spark)).collect())
     assert got == [("aaab", "aab"), ("aab", "ab"), ("ab", "b")]
+
+
+def test_units_are_compact(spark):
+    """A block of benchmark text: windows of 8 words, duplicates merged, and memory far below that of a list a unit."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(800)]
+    texts += [texts[0], texts[1][:100] + " other", "two words", None]
+    tracemalloc.start()
+    groups = decontaminate.build(list(enumerate(texts)), 8, 1.0, 5)
+    decontaminate.order(groups, {})
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(len(t or "") for t in texts)
+    assert held < 30 * size and most < 120 * size
+    want = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for k in range(max(1, len(w) - 7) if w else 0):
+            want[tuple(w[k : k + 8])].add(i)
+    got = {}
+    for g in groups:
+        for u in range(len(g.first)):
+            run = tuple(g.items.word(int(g.first[u]) + k).decode() for k in range(int(g.size[u])))
+            got[run] = {g.items.ids[i] for i in g.owners[g.owned[u] : g.owned[u + 1]].tolist()}
+    assert got == want
+    body = pa.array(["x " + texts[5][40:300] + " y", texts[0], "only two words here"])
+    for _, _, words in tokens(body, ALNUM, True):
+        hits = {(d, i) for d, i, _, _ in decontaminate.find(groups, words, words.hashes())}
+    assert hits == {(0, 5), (1, 0), (1, 800), (2, 802)}
+
+
+def test_names_that_operators_use_may_clash(spark):
+    names = "__row __tag __keys __mark ___row word n term".split()
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, *names), (2, text, *names), (3, "short one", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    bench = spark.createDataFrame([(7, "short one")], "item_id long, text string")
+    for kept, ids in ((simhash.first_of_each(docs), [None, 1, 3]), (similar.first_of_each(docs), [None, 1, 3]), (decontaminate.clean(docs, bench), [None, 1, 2]), (lines.dedup(docs, keep_text=True), [None, 1, 2, 3])):
+        assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=lambda i: i or 0) == ids
+
+
+def test_spared_places_by_one_sweep():
+    rng = random.Random(3)
+    for _ in range(200):
+        best = {rng.randrange(40): rng.random() for _ in range(rng.randrange(12))}
+        spans = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        assert sorted(toxicity.outside(best, spans)) == sorted(w for at, w in best.items() if not any(a <= at < b for a, b in spans))
