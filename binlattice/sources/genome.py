@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import require, view_problems
+from .fasta import TILE, read_tiles
 
 # Recognition sites of common restriction enzymes, the cut marked by ^
 SITES = {"BglII": "A^GATCT", "DpnII": "^GATC", "EcoRI": "G^AATTC", "HindIII": "A^AGCTT", "MboI": "^GATC", "NcoI": "C^CATGG"}
@@ -29,23 +32,68 @@ def binnify(chromsizes: DataFrame, binsize: int) -> DataFrame:
     return rows.select("chrom", (F.col("k") * binsize).alias("start"), F.least((F.col("k") + 1) * binsize, "length").alias("end"))
 
 
-def digest(sequences: DataFrame, site: str, cut: int) -> DataFrame:
-    """Fragments (chrom, start, end) of (chrom, seq): cuts lie cut letters into each occurrence of a site."""
-    rows = sequences.select("chrom", F.posexplode(F.split(F.upper("seq"), site)).alias("k", "part"))
-    w = W.partitionBy("chrom").orderBy("k")
-    last = F.lead("k").over(w).isNull()
-    end = F.sum(F.length("part")).over(w) + F.col("k") * len(site) + F.when(last, 0).otherwise(cut)
-    cuts = rows.select("chrom", "k", end.cast("long").alias("end"))
-    return cuts.select("chrom", F.coalesce(F.lag("end").over(w), F.lit(0)).cast("long").alias("start"), "end").where("end > start")
+def tiled(sequences: DataFrame, tile: int = TILE) -> DataFrame:
+    """Tiles (chrom, start, seq) of short whole sequences (chrom, seq); long ones are read as tiles by ``fasta.read_tiles``."""
+    if "start" in sequences.columns:
+        return sequences
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")))
+    rows = sequences.where("seq <> ''").withColumn("k", k)
+    return rows.select("chrom", (F.col("k") * tile).cast("long").alias("start"), F.substring("seq", F.col("k") * tile + 1, F.lit(tile)).alias("seq"))
 
 
-def gc(bins: DataFrame, sequences: DataFrame, mapped_only: bool = True) -> DataFrame:
-    """Share of G and C letters in each bin; unmapped (not ACGT) letters leave the denominator, or the bin if asked."""
-    part = F.upper(F.substring(F.col("seq"), F.col("start") + 1, F.col("end") - F.col("start")))
+def overlaps_itself(site: str) -> bool:
+    return any(site[k:] == site[:-k] for k in range(1, len(site)))
+
+
+def apart(t: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Places at least width apart, taken from the left."""
+    kept, end = [], -1
+    for x in np.sort(t["at"].to_numpy()).tolist():
+        if x >= end:
+            kept.append(x)
+            end = x + width
+    return pd.DataFrame({"chrom": [t.chrom.iloc[0]] * len(kept), "at": kept})
+
+
+def digest(sequences: DataFrame, site: str, cut: int, *, tile: int = TILE) -> DataFrame:
+    """Fragments (chrom, start, end) of sequences or tiles: cuts lie cut letters into each occurrence of a site.
+
+    A tile is searched together with the first letters of the next one, so no
+    occurrence is missed at a border. Of occurrences that overlap, which few sites
+    allow, the first counts.
+    """
+    rows = tiled(sequences, tile).withColumn("seq", F.upper("seq"))
+    reach = len(site) - 1
+    heads = rows.select("chrom", (F.col("start") - tile).alias("start"), F.substring("seq", 1, reach).alias("head")) if reach else None
+    if reach:
+        rows = rows.join(heads, ["chrom", "start"], "left").withColumn("seq", F.concat("seq", F.coalesce("head", F.lit("")))).withColumn("own", F.length("seq") - F.length(F.coalesce("head", F.lit(""))))
+    else:
+        rows = rows.withColumn("own", F.length("seq"))
+    parts = F.split("seq", f"(?={site})")  # every part but perhaps the first begins where the site does
+    places = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda s, p: F.struct((s["n"] + F.length(p)).alias("n"), F.when((s["n"] > 0) | F.col("seq").startswith(site), F.concat(s["at"], F.array(s["n"]))).otherwise(s["at"]).alias("at")), lambda s: s["at"])
+    found = rows.select("chrom", "start", "own", F.explode(places).alias("p")).where("p < own").select("chrom", (F.col("start") + F.col("p")).alias("at"))
+    if overlaps_itself(site):
+        found = found.groupBy("chrom").applyInPandas(lambda t: apart(t, len(site)), "chrom string, at long")  # places only
+    lengths = rows.groupBy("chrom").agg(F.max(F.col("start") + F.col("own")).alias("end"))
+    ends = found.select("chrom", (F.col("at") + cut).alias("end")).union(lengths).distinct()
+    before = F.lag("end").over(W.partitionBy("chrom").orderBy("end"))
+    return ends.select("chrom", F.coalesce(before, F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("end > start")
+
+
+def gc(bins: DataFrame, sequences: DataFrame, mapped_only: bool = True, *, tile: int = TILE) -> DataFrame:
+    """Share of G and C letters in each bin of the sequences' chromosomes; unmapped (not ACGT) letters leave the denominator, or the bin if asked.
+
+    Bins meet the tiles they touch, and the letters counted there are added up.
+    """
+    rows = tiled(sequences, tile).select("chrom", F.col("start").alias("s"), F.upper("seq").alias("seq"), F.floor(F.col("start") / tile).alias("k"))
+    touched = bins.where("end > start").select("chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("k"))
+    lo = F.greatest("start", "s")
+    part = F.substring("seq", (lo - F.col("s") + 1).cast("int"), F.greatest(F.least(F.col("end"), F.col("s") + tile) - lo, F.lit(0)).cast("int"))
     count = lambda letters: F.length("part") - F.length(F.translate("part", letters, ""))
-    rows = bins.join(sequences, "chrom").withColumn("part", part)
-    size = count("ACGT") if mapped_only else F.length("part")
-    return rows.select("chrom", "start", "end", (count("GC") / F.nullif(size.cast("double"), F.lit(0.0))).alias("gc"))
+    met = touched.join(rows, ["chrom", "k"]).select("chrom", "start", "end", part.alias("part"))
+    sums = met.groupBy("chrom", "start", "end").agg(F.sum(count("GC")).alias("gc"), F.sum(count("ACGT") if mapped_only else F.length("part")).alias("n"))
+    known = bins.join(rows.select("chrom").distinct(), "chrom", "left_semi").select("chrom", "start", "end")
+    return known.join(sums, ["chrom", "start", "end"], "left").select("chrom", "start", "end", (F.col("gc") / F.nullif(F.col("n").cast("double"), F.lit(0.0))).alias("gc"))
 
 
 def gene_coverage(bins: DataFrame, genes: DataFrame, binsize: int) -> DataFrame:
@@ -58,10 +106,8 @@ def gene_coverage(bins: DataFrame, genes: DataFrame, binsize: int) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) of each record; records are split by the reader, so that a task holds one chromosome at a time."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.split("value", "\r?\n", 2)
-    return rows.select(F.split(head[0], "\\s")[0].alias("chrom"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), "\\s", "").alias("seq"))
+    """(chrom, start, seq) tiles of the records of FASTA files, read by byte ranges."""
+    return read_tiles(spark, path)
 
 
 def path_and_column(text: str) -> tuple[str, int | str | None]:
