@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 
 def pair_distances(v1: np.ndarray, v2: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,23 +308,6 @@ def newton_scaling(product, n: int, tol: float = 1e-6, max_products: int = 300)
     return x, math.sqrt(err)
 
 
-def balance_rectangle(a: np.ndarray, max_iter: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, bool]:
-    """Iterative correction of rows and columns, and whether it converged."""
-    x, done = np.nan_to_num(a.astype(float)), False
-    for _ in range(max_iter):
-        spread = 0.0
-        for axis in (1, 0):
-            s = x.sum(axis=axis, keepdims=True)
-            good = s != 0
-            s = np.where(good, s / s[good].mean(), 1.0)
-            spread = max(spread, float(s[good].var()))
-            x = x / s
-        if spread < tol:
-            done = True
-            break
-    return x, done
-
-
 def observed_over_expected(a: np.ndarray, good: np.ndarray, ratio: float = 1.03) -> np.ndarray:
     """A symmetric matrix over its mean by logarithmic distance bin, over good cells; a mean of 0 changes nothing."""
     n = len(a)
@@ -460,6 +444,17 @@ def zoom(a: np.ndarray, shape: tuple[int, ...], same_sum: bool = False, zoom_fun
     return out * (math.prod(a.shape) / math.prod(shape)) if same_sum else out
 
 
+def zoom_weights(n: int, size: int) -> pd.DataFrame:
+    """(to, at, f): what each of n places along an axis adds to each of size new ones, as ``zoom`` does."""
+    fold = math.ceil(n / size) if size < n else 1
+    k = np.arange(size * fold)
+    at = np.linspace(0, n - 1, size * fold)
+    lo = np.minimum(at.astype(int), max(n - 2, 0))
+    part = at - lo
+    rows = pd.DataFrame({"to": np.tile(k // fold, 2), "at": np.r_[lo, np.minimum(lo + 1, n - 1)], "f": np.r_[1 - part, part] / fold})
+    return rows.groupby(["to", "at"], as_index=False).f.sum()
+
+
 def adaptive_coarsegrain(a: np.ndarray, counts: np.ndarray, cutoff: int = 5, max_levels: int = 8, min_shape: int = 8) -> np.ndarray:
     """Quartets of cells with one of too few counts share the mean of the 2, 4, ... wide block around them; invalid cells stay NaN.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..plans.joins import BROADCAST_ROWS, small
 from ..schema import ContactMap
-from ..sources.workspace import shared_dir
+from ..sources.workspace import Kept, shared_dir
 from . import quantiles
 
 
@@ -73,16 +73,36 @@ def knight_ruiz(cmap: ContactMap, *, ignore_diags: int = 0, tol: float = 1e-6, m
 
 
 def balance_rectangle(cells: DataFrame, *, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
-    """Iterative correction of the rows and columns of each region's rectangle of cells (region, i, j, value)."""
+    """Cells (region, i, j, value, converged) of each region's rectangle, iteratively corrected: rows, then columns, divided by their relative sums.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((int(t.i.max()) + 1, int(t.j.max()) + 1))
-        a[t.i, t.j] = t.value.fillna(0)
-        out, done = arrays.balance_rectangle(a, max_iter, tol)
-        return t[["region", "i", "j"]].assign(value=out[t.i, t.j], converged=done)
-
-    kind = "region string, i long, j long, value double, converged boolean"
-    return cells.select("region", "i", "j", "value").groupBy("region").applyInPandas(run, kind)
+    Rows and columns have a factor each, from products of the cells with the other
+    side's; only factors and their spread by region are kept between rounds. A
+    region is done when both spreads are below tol.
+    """
+    kept = Kept(cells.sparkSession)
+    base = kept.table(cells.select("region", "i", "j", F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v")))
+    sides = {k: kept.table(base.select("region", k, F.lit(1.0).alias("f")).distinct()) for k in "ij"}
+    done: dict[str, bool] = {}
+    for _ in range(max_iter):
+        spread: dict[str, float] = {}
+        for own, other in ("ij", "ji"):
+            sums = base.join(sides[other], ["region", other]).groupBy("region", own).agg(F.sum(F.col("v") * F.col("f")).alias("y"))
+            own_sums = sums.join(sides[own], ["region", own]).withColumn("s", F.col("y") * F.col("f"))
+            mean = own_sums.where("s <> 0").groupBy("region").agg(F.avg("s").alias("m"))
+            step = F.when((F.col("s") == 0) | F.col("m").isNull(), 1.0).otherwise(F.col("s") / F.col("m"))
+            new = kept.table(own_sums.join(F.broadcast(mean), "region", "left").select("region", own, (F.col("f") / step).alias("f"), F.when(F.col("s") != 0, step).alias("step")))
+            for r in new.groupBy("region").agg(F.var_pop("step").alias("v")).collect():  # a row a region
+                spread[r.region] = max(spread.get(r.region, 0.0), r.v or 0.0)
+            kept.drop(sides[own])
+            sides[own] = new
+        done = {r: v < tol for r, v in spread.items()}
+        if all(done.values()):
+            break
+    out = base
+    for k in "ij":
+        out = out.join(sides[k].select("region", k, F.col("f").alias(f"f{k}")), ["region", k])
+    state = cells.sparkSession.createDataFrame(list(done.items()) or [("", False)], "region string, converged boolean")
+    return out.join(F.broadcast(state), "region").select("region", "i", "j", (F.col("v") * F.col("fi") * F.col("fj")).alias("value"), "converged")
 
 
 def trimmed_trans(cells: DataFrame, perc_top: float, perc_bottom: float) -> DataFrame:

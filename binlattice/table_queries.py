@@ -10,6 +10,7 @@ from .operators import bands, compartments, expected, matrix, profiles, signals,
 from .plans import joins
 from .queries import _STRENGTHS, _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
 from .sources import genome, maps
+from .sources.workspace import Kept
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -311,6 +312,20 @@ def _(spark, d):
     return m.bins.select("bin_id").join(near, "bin_id", "left").select("bin_id", F.col("even").isNotNull().alias("reached"), F.coalesce("even", F.lit(True)).alias("even"), F.lit(done).alias("converged"))
 
 
+@query("rectangles_balanced", """, en AS (SELECT c1 || c2 AS region, bin1_id AS i, bin2_id AS j FROM px WHERE c1 <> c2)
+SELECT region, 'i' AS axis, i AS at, true AS even, true AS converged FROM en GROUP BY region, i UNION ALL SELECT region, 'j', j, true, true FROM en GROUP BY region, j""")
+def _(spark, d):
+    """Rectangles between chromosomes: after correction, every row and column adds up to within 2 % of its side's mean."""
+    m = maps.hour_map(spark, d)
+    px = joins.annotate(m.pixels, m.bins).where("chrom1 <> chrom2")
+    cells = px.select(F.concat("chrom1", "chrom2").alias("region"), F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), F.col("count").cast("double").alias("value"))
+    out = Kept(spark).table(matrix.balance_rectangle(cells))
+    sums = [out.groupBy("region", F.lit(k).alias("axis"), F.col(k).alias("at")).agg(F.sum("value").alias("s"), F.first("converged").alias("converged")) for k in "ij"]
+    both = sums[0].union(sums[1])
+    mean = both.groupBy("region", "axis").agg(F.avg("s").alias("m"))
+    return both.join(F.broadcast(mean), ["region", "axis"]).select("region", "axis", "at", (F.abs(F.col("s") / F.col("m") - 1) < 0.02).alias("even"), "converged")
+
+
 @query("newton_weights", ", mg AS (SELECT DISTINCT unnest([bin1_id, bin2_id]) AS bin_id FROM pix) SELECT bins.bin_id, mg.bin_id IS NOT NULL AS reached, CASE WHEN mg.bin_id IS NOT NULL THEN 1.0e0 END AS marginal FROM bins LEFT JOIN mg ON mg.bin_id = bins.bin_id")
 def _(spark, d):
     """Newton's balancing: every bin with contacts has a marginal of 1."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binlattice.functions import arrays, clustering, draws
-from binlattice.operators import compartments, dots, eigen, peaks, profiles, quantiles
+from binlattice.operators import compartments, dots, eigen, peaks, profiles, quantiles, signals
 from binlattice.schema import ContactMap
 from binlattice.sources import maps
 
@@ -294,3 +294,36 @@ def test_prominences_of_signals_cut_anywhere(spark, chunk):
     got = peaks.prominences(spark.createDataFrame(rows, "region string, bin_id long, v double"), chunk=chunk).where("prominence > 0").collect()
     want = {(g, 3 + 2 * i): x for g, v in signals.items() for i, x in enumerate(arrays.prominence(v)) if x > 0}
     assert {(r.region, r.bin_id): r.prominence for r in got} == pytest.approx(want) and len(want) > 20
+
+
+def block(spark, arrays_by_region, name="value"):
+    rows = [(g, i, j, None if np.isnan(a[i, j]) else float(a[i, j]), int(abs(np.nan_to_num(a[i, j])) * 3) % 9) for g, a in arrays_by_region.items() for i in range(a.shape[0]) for j in range(a.shape[1])]
+    return spark.createDataFrame(rows, "region string, i long, j long, value double, count long")
+
+
+def dense_of(df, shapes):
+    out = {g: np.full(s, np.nan) for g, s in shapes.items()}
+    for r in df.collect():
+        out[r.region][r.i, r.j] = np.nan if r.value is None else r.value
+    return out
+
+
+@pytest.mark.parametrize(("levels", "least"), [(8, 2), (1, 2), (8, 8)])
+def test_pyramids_are_those_of_the_dense_block(spark, levels, least):
+    rng = np.random.default_rng(13)
+    a = {"r": rng.uniform(0, 3, (11, 11)), "s": rng.uniform(0, 3, (4, 4)), "t": rng.uniform(0, 3, (1, 1))}
+    a["r"][4] = a["r"][:, 4] = np.nan
+    cells = block(spark, a)
+    got = dense_of(signals.adaptively_coarse(cells, 4, levels, least), {g: x.shape for g, x in a.items()})
+    for g, x in a.items():
+        counts = (np.abs(np.nan_to_num(x)) * 3).astype(int) % 9
+        assert got[g] == pytest.approx(arrays.adaptive_coarsegrain(x, counts, 4, levels, least), nan_ok=True)
+
+
+def test_zooms_are_those_of_the_dense_block(spark):
+    rng = np.random.default_rng(14)
+    a = {"r": rng.uniform(0, 3, (11, 8)), "s": rng.uniform(0, 3, (4, 5))}
+    for shape, same in (((5, 5), False), ((13, 3), True)):
+        got = dense_of(signals.zoomed(block(spark, a), shape, same_sum=same), dict.fromkeys(a, shape))
+        for g, x in a.items():
+            assert got[g] == pytest.approx(arrays.zoom(x, shape, same))
