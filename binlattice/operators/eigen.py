@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..plans.joins import BROADCAST_ROWS
 from ..sources.workspace import Kept
 
-BLOCK, BASIS, STEPS, TOL, NOISE, KEYS_AT_ONCE, TASKS = 16, 256, 80, 1e-7, 1e-13, 256, 64
+BLOCK, BASIS, STEPS, TOL, NOISE, KEYS_AT_ONCE, TASKS = 16, 256, 60, 1e-7, 1e-13, 256, 64
 
 
 @dataclass
