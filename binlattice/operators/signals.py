@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..schema import ratio
 from ..sources.workspace import Kept
 
 
@@ -106,7 +107,7 @@ def adaptively_coarse(cells: DataFrame, cutoff: int = 5, max_levels: int = 8, mi
     for k in range(most, -1, -1):
         own = pyramid[k].select("region", "i", "j", "v", "ok", "depth", *(["thin"] if k else []))
         if above is not None:
-            wide = above.select("region", F.col("i").alias("pi"), F.col("j").alias("pj"), (F.col("u") / F.col("ok")).alias("mean"), F.col("thin").alias("least"))
+            wide = above.select("region", F.col("i").alias("pi"), F.col("j").alias("pj"), ratio("u", "ok").alias("mean"), F.col("thin").alias("least"))
             own = own.withColumn("pi", F.floor(F.col("i") / 2)).withColumn("pj", F.floor(F.col("j") / 2)).join(wide, ["region", "pi", "pj"], "left").drop("pi", "pj")
             u = F.when(F.col("depth") <= k, F.col("v")).when(F.col("ok") == 0, 0.0).when(F.col("least") < cutoff, F.col("mean") * F.col("ok")).otherwise(F.col("v"))
         else:
