@@ -280,16 +280,16 @@ def _(spark, d):
     return profiles.sample_exact(maps.hour_map(spark, d).pixels, 50000, key=_portable(7)).withColumnRenamed("count", "n")
 
 
-@query("sample_split", """ SELECT b.bin_id, CAST(coalesce(c.cov, 0) AS BIGINT) AS contacts, true AS within, true AS likely, 50000 AS drawn FROM bins b LEFT JOIN cov c USING (bin_id)""")
+@query("sample_split", """ SELECT b.bin_id, CAST(coalesce(c.cov, 0) AS BIGINT) AS contacts, true AS within, true AS likely, CAST((SELECT sum(cnt) // 4 FROM pix) AS INTEGER) AS drawn FROM bins b LEFT JOIN cov c USING (bin_id)""")
 def _(spark, d):
     """An exact sample by bin: never more than the map has, each marginal within six deviations of what a fair draw gives, and the total drawn."""
     m = maps.hour_map(spark, d)
     total = m.pixels.agg(F.sum("count")).first()[0]
-    got = profiles.sample_split(m.pixels, 50000, seed=3)
+    got = profiles.sample_split(m.pixels, total // 4, seed=3)
     per_pixel = m.pixels.join(got.withColumnRenamed("count", "k"), ["bin1_id", "bin2_id"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     ends = per_pixel.select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id"), "count", "k")
     sums = ends.groupBy("bin_id").agg(F.sum("count").alias("n"), F.sum("k").alias("k"), F.max(F.col("k") - F.col("count")).alias("over"))
-    share = 50000 / total
+    share = total // 4 / total
     off = F.abs(F.col("k") - share * F.col("n")) / F.sqrt(2 * share * (1 - share) * F.col("n"))
     drawn = F.broadcast(got.agg(F.sum("count").cast("int").alias("drawn")))
     out = m.bins.select("bin_id").join(sums, "bin_id", "left").crossJoin(drawn)
