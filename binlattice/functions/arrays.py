@@ -271,41 +271,66 @@ def balance(a: np.ndarray, max_iter: int = 1000, tol: float = 1e-5, ignore_diags
     return x
 
 
+# Fixed values of the published method: bounds of a factor in one outer step, and the forcing terms of inexact Newton steps
+FACTOR_LOW, FACTOR_HIGH, FORCING_SHARE, FORCING_MOST = 0.1, 3.0, 0.9, 0.1
+
+
+def share_inside(y: np.ndarray, step: np.ndarray) -> float:
+    """The largest share of a step, up to 1, that keeps all factors within their bounds."""
+    edge = np.where(step < 0, FACTOR_LOW, FACTOR_HIGH)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        limit = np.where(step == 0, np.inf, (edge - y) / step)
+    return float(min(1.0, limit.min(initial=np.inf)))
+
+
+def newton_correction(times, r: np.ndarray, diagonal: np.ndarray, goal: float, budget: int) -> tuple[np.ndarray, int]:
+    """s with J s = r by conjugate gradients preconditioned by a diagonal, and the products it took.
+
+    It takes a step at least, and ends at the goal (squared, in the preconditioner's norm), where the budget does, or where 1 + s would leave its bounds.
+    """
+    s, used = np.zeros_like(r), 0
+    z = r / diagonal
+    direction, size = z, float(r @ z)
+    while size > 0 and (used == 0 or size > goal and used < budget):
+        image, used = times(direction), used + 1
+        step = size / float(direction @ image) * direction
+        share = share_inside(1 + s, step)
+        s = s + share * step
+        if share < 1:
+            break
+        r = r - size / float(direction @ image) * image
+        z = r / diagonal
+        before, size = size, float(r @ z)
+        direction = z + size / before * direction
+    return s, used
+
+
+def forcing_term(eta: float, before: float, after: float, tol: float) -> float:
+    """How closely the next step is solved: by what the last one gained, but not abruptly closer, and never closer than asked for."""
+    if not after:
+        return FORCING_MOST
+    held_back = FORCING_SHARE * eta**2
+    wanted = max(FORCING_SHARE * after / before, held_back if held_back > FORCING_MOST else 0.0)
+    return max(min(wanted, FORCING_MOST), tol / (2 * math.sqrt(after)))
+
+
 def newton_scaling(product, n: int, tol: float = 1e-6, max_products: int = 300) -> tuple[np.ndarray, float]:
     """x with x * (A x) = 1 for a symmetric non-negative A given by its product with a vector, and the residual.
 
-    Outer steps solve Newton's equation for a factor y of x by conjugate
-    gradients, preconditioned by the marginals; y stays within bounds, and each
-    outer step is solved as closely as the last one's progress warrants.
+    With M = X A X and its marginals v, a factor 1 + s of x solves (M + diag v) s = 1 - v to first order; each outer
+    step takes such a factor, found by conjugate gradients.
     """
-    low, high, forcing, most = 0.1, 3.0, 0.9, 0.1  # bounds of a factor; how closely inner steps are solved
-    x, eta, used = np.ones(n), most, 1
-    v = x * product(x)
-    r = 1 - v
-    err = float(r @ r)
-    while err > tol**2 and used < max_products:
-        y, p, rz_before, rz, goal = np.ones(n), None, 1.0, float(r @ (r / v)), max(eta**2 * err, tol**2)
-        while (p is None or rz > goal) and used < max_products:
-            p = r / v if p is None else r / v + rz / rz_before * p
-            w, used = x * product(x * p) + v * p, used + 1
-            step = rz / float(p @ w) * p
-            to = y + step
-            out = (to <= low) | (to >= high)
-            if out.any():  # go as far as the bounds allow, and take a new outer step
-                room = np.where(step[out] < 0, low - y[out], high - y[out]) / step[out]
-                y = y + room.min() * step
-                break
-            y, r, rz_before = to, r - rz / float(p @ w) * w, rz
-            rz = float(r @ (r / v))
-        x, used = x * y, used + 1
-        v = x * product(x)
-        r = 1 - v
-        before, err = err, float(r @ r)
-        chosen = forcing * err / before
-        if forcing * eta**2 > most:
-            chosen = max(chosen, forcing * eta**2)
-        eta = max(min(chosen, most), tol / 2 / math.sqrt(err)) if err else most
-    return x, math.sqrt(err)
+    x, eta = np.ones(n), FORCING_MOST
+    v, used = x * product(x), 1
+    error = float(((1 - v) ** 2).sum())
+    while error > tol**2 and used < max_products:
+        jacobian = lambda p, x=x, v=v: x * product(x * p) + v * p
+        s, took = newton_correction(jacobian, 1 - v, v, max(eta**2 * error, tol**2), max_products - used)
+        x = x * (1 + s)
+        v, used = x * product(x), used + took + 1
+        before, error = error, float(((1 - v) ** 2).sum())
+        eta = forcing_term(eta, before, error, tol)
+    return x, math.sqrt(error)
 
 
 def observed_over_expected(a: np.ndarray, good: np.ndarray, ratio: float = 1.03) -> np.ndarray:

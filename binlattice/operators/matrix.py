@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..plans.joins import BROADCAST_ROWS, small
 from ..schema import ContactMap
-from ..sources.workspace import Kept, shared_dir
+from ..sources.workspace import Kept
 from . import quantiles
 
 
@@ -33,15 +33,14 @@ def ice_step(pixels: DataFrame, bias: DataFrame, damping: float = 0.8, rows: int
 
 
 def balance(cmap: ContactMap, *, ignore_diags: int = 2, max_iter: int = 200, tol: float = 1e-5) -> tuple[DataFrame, bool]:
-    """Weights by iterative correction, each round a checkpoint; bins without contacts get null. Also whether it converged."""
-    spark = cmap.bins.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    """Weights by iterative correction, each round a written table in place of the last; bins without contacts get null. Also whether it converged."""
+    kept = Kept(cmap.bins.sparkSession)
     px = cmap.pixels.where(F.col("bin2_id") - F.col("bin1_id") >= ignore_diags)
-    bias = cmap.bins.select("bin_id", F.lit(1.0).alias("x"))
+    bias = kept.table(cmap.bins.select("bin_id", F.lit(1.0).alias("x")))
     done = False
     for _ in range(max_iter):
-        bias = ice_step(px, bias.select("bin_id", "x"), rows=cmap.n_bins()).checkpoint()
+        last, bias = bias, kept.table(ice_step(px, bias.select("bin_id", "x"), rows=cmap.n_bins()))
+        kept.drop(last)
         if done := (bias.where("s <> 1").agg(F.var_pop("s")).first()[0] or 0.0) < tol:
             break
     return cmap.bins.select("bin_id").join(bias.select("bin_id", F.col("x").alias("weight")), "bin_id", "left"), done
