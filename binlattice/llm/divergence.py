@@ -96,8 +96,12 @@ class Terms:
         digest = self.digest
         hashes = np.array([digest(body[i:j]) for i, j in zip(starts, ends)], dtype=np.uint64)
         _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
-        known = np.array([self.number(int(hashes[i]), body[starts[i] : ends[i]]) for i in first.tolist()], dtype=np.int64)
-        out = known[group]
+        slices, of_hash, names = [body[starts[i] : ends[i]] for i in first.tolist()], hashes[first].tolist(), self.names
+        known = list(map(self.by_hash.get, of_hash))
+        for k, (at, name) in enumerate(zip(known, slices)):
+            if at is None or names[at] != name:
+                known[k] = self.number(of_hash[k], name)
+        out = np.array(known, dtype=np.int64)[group]
         for i in np.flatnonzero(~same_slices(words.data, words.starts, words.ends, first[group])).tolist():
             out[i] = self.number(int(hashes[i]), body[starts[i] : ends[i]])
         return out
@@ -120,10 +124,12 @@ def _count(batches):
         keys, values = _added(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])) if parts else (np.empty(0, dtype=np.int64), np.empty((0, 2), dtype=np.int64))
         of, term = keys >> 32, keys & 0xFFFFFFFF
         names = list(groups)
+        lang, source = (pa.array([g[k] for g in names], pa.string()) for k in (0, 1))
+        spelt = pa.array(terms.names, pa.binary()).cast(pa.string())
         for lo in range(0, len(keys), 1 << 16):
-            own = [names[g] for g in of[lo : lo + (1 << 16)].tolist()]
-            spelt = pa.array([terms.names[t] for t in term[lo : lo + (1 << 16)].tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in own], pa.string()), pa.array([g[1] for g in own], pa.string()), spelt, *(pa.array(values[lo : lo + (1 << 16), k]) for k in (0, 1))], ["lang", "source", "term", "n", "docs"])
+            part = slice(lo, lo + (1 << 16))
+            own = pa.array(of[part])
+            yield pa.RecordBatch.from_arrays([lang.take(own), source.take(own), spelt.take(pa.array(term[part])), *(pa.array(values[part, k]) for k in (0, 1))], ["lang", "source", "term", "n", "docs"])
         seen = np.flatnonzero(documents)
         yield pa.RecordBatch.from_arrays([pa.array([names[g][0] for g in seen], pa.string()), pa.array([names[g][1] for g in seen], pa.string()), pa.nulls(len(seen), pa.string()), pa.array(np.zeros(len(seen), dtype=np.int64)), pa.array(documents[seen])], ["lang", "source", "term", "n", "docs"])
 
