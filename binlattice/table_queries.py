@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns, tables
 from .operators import bands, compartments, expected, matrix, profiles, signals, snip
-from .plans import joins
+from .plans import intervals, joins
 from .queries import _STRENGTHS, _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
 from .sources import genome, maps
 from .sources.workspace import Kept
@@ -333,3 +333,31 @@ def _(spark, d):
     weights, _ = matrix.knight_ruiz(m, tol=1e-8)
     y = matrix.matvec(m.pixels, weights.where("weight is not null").withColumnRenamed("weight", "x"))
     return weights.join(y, "bin_id", "left").select("bin_id", F.col("weight").isNotNull().alias("reached"), F.round(F.col("weight") * F.col("y"), 5).alias("marginal"))
+
+
+def _spans(df: DataFrame, key: str, start, length) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.concat(F.lit("c"), (F.col("o") % 4 + 1).cast("string")).alias("chrom"), start.alias("start"), (start + length).alias("end"))
+
+
+@plain("interval_overlaps", """SELECT f.o_orderkey AS id, count(*) AS n, CAST(sum(least(s + 200, t + w) - greatest(s, t)) AS BIGINT) AS shared FROM (SELECT o_orderkey, o_orderkey % 4 AS c, o_custkey * 37 % 600000 AS s FROM orders) f
+JOIN (SELECT l_orderkey % 4 AS c, l_partkey * 53 % 600000 AS t, 50 * l_linenumber AS w FROM lineitem) r ON f.c = r.c AND s + 200 > t AND s < t + w GROUP BY 1""")
+def _(spark, d):
+    """Intervals of orders against those of all lines: how many each meets, and how many places it shares with them."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("o", F.col("o_orderkey"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("o", F.col("l_orderkey"))
+    f = _spans(orders, "o_orderkey", F.col("o_custkey") * 37 % 600000, F.lit(200))
+    r = _spans(lines, "l_linenumber", F.col("l_partkey") * 53 % 600000, 50 * F.col("l_linenumber"))
+    shared = F.least("f.end", "r.end") - F.greatest("f.start", "r.start")
+    return intervals.overlapping(f, r, leaf=64).groupBy("f.id").agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
+
+
+@plain("assign_spans", """SELECT f.o_orderkey AS id, max_by(r.name, least(s + 200, t + w) * 1000000000 - greatest(s, t) * 1000000000 - r.name) AS region FROM (SELECT o_orderkey, o_orderkey % 4 AS c, o_custkey * 37 % 600000 AS s FROM orders) f
+LEFT JOIN (SELECT l_orderkey % 4 AS c, l_partkey * 53 % 600000 AS t, 50 * l_linenumber AS w, l_orderkey * 8 + l_linenumber AS name FROM lineitem) r ON f.c = r.c AND s + 200 > t AND s < t + w GROUP BY 1""")
+def _(spark, d):
+    """The interval of largest overlap of each order, where the view is a whole table and no list of regions is made."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("o", F.col("o_orderkey"))
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("o", F.col("l_orderkey")).withColumn("n", number)
+    view = _spans(lines, "n", F.col("l_partkey") * 53 % 600000, 50 * F.col("l_linenumber")).withColumn("name", F.col("id")).withColumn("region_idx", F.col("id"))
+    f = _spans(orders, "o_orderkey", F.col("o_custkey") * 37 % 600000, F.lit(200))
+    return joins.assign_regions(f, view, "id").select("id", "region")
