@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .operators import bands, compartments, expected, matrix, profiles, signals,
 from .plans import intervals, joins
 from .queries import _STRENGTHS, _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
 from .sources import genome, maps
-from .sources.workspace import Kept
+from .sources.workspace import Kept, shared_dir
+from .streaming.incremental import StoredMap
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -361,3 +364,32 @@ def _(spark, d):
     view = _spans(lines, "n", F.col("l_partkey") * 53 % 600000, 50 * F.col("l_linenumber")).withColumn("name", F.col("id")).withColumn("region_idx", F.col("id"))
     f = _spans(orders, "o_orderkey", F.col("o_custkey") * 37 % 600000, F.lit(200))
     return joins.assign_regions(f, view, "id").select("id", "region")
+
+
+def _followed(spark: SparkSession, d: str) -> StoredMap:
+    """A stored map that followed a stream of the lines' (part, supplier) pairs, which came in six batches."""
+    root = f"{shared_dir(spark)}/followed-{uuid.uuid4().hex}"
+    end = lambda k, x: [F.concat(F.lit("c"), (F.col(x) % 3).cast("string")).alias(f"chrom{k}"), F.col(x).alias(f"pos{k}")]
+    pairs = spark.read.parquet(f"{d}/lineitem.parquet").select(*end(1, "l_partkey"), *end(2, "l_suppkey"), (F.col("l_orderkey") % 6).alias("part"))
+    pairs.write.partitionBy("part").parquet(f"{root}/in")
+    n = len(spark.read.parquet(f"{root}/in").inputFiles())
+    arrived = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", -(-n // 6)).parquet(f"{root}/in")
+    stored = StoredMap(spark, f"{root}/map", 10)
+    stored.follow(arrived, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return stored
+
+
+_FOLLOWED = """WITH e AS (SELECT 'c' || CAST(l_partkey % 3 AS VARCHAR) AS c1, l_partkey // 10 AS b1, 'c' || CAST(l_suppkey % 3 AS VARCHAR) AS c2, l_suppkey // 10 AS b2 FROM lineitem),
+p AS (SELECT CASE WHEN (c1, b1) <= (c2, b2) THEN c1 ELSE c2 END AS chrom1, CASE WHEN (c1, b1) <= (c2, b2) THEN b1 ELSE b2 END AS bin1, CASE WHEN (c1, b1) <= (c2, b2) THEN c2 ELSE c1 END AS chrom2, CASE WHEN (c1, b1) <= (c2, b2) THEN b2 ELSE b1 END AS bin2 FROM e)
+"""
+
+
+@plain("pixels_incremental", _FOLLOWED + "SELECT chrom1, bin1, chrom2, bin2, count(*) AS count FROM p GROUP BY ALL")
+def _(spark, d):
+    return _followed(spark, d).pixels()
+
+
+@plain("coverage_incremental", _FOLLOWED + """SELECT chrom, bin, sum(CASE WHEN same THEN 1 ELSE 0 END)::BIGINT AS cis, count(*) AS total FROM (SELECT chrom1 AS chrom, bin1 AS bin, chrom1 = chrom2 AS same FROM p
+UNION ALL SELECT chrom2, bin2, chrom1 = chrom2 FROM p) GROUP BY ALL""")
+def _(spark, d):
+    return _followed(spark, d).marginals()
