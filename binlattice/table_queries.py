@@ -11,7 +11,7 @@ from .functions import columns, tables
 from .operators import bands, compartments, expected, matrix, profiles, signals, snip
 from .plans import intervals, joins
 from .queries import _STRENGTHS, _INS, ORACLE_SQL, QUERIES, _cis, _contrast, plain, query, rounded
-from .sources import genome, maps
+from .sources import bigwig, genome, maps
 from .sources.workspace import Kept, shared_dir
 from .streaming.incremental import StoredMap
 
@@ -393,3 +393,13 @@ def _(spark, d):
 UNION ALL SELECT chrom2, bin2, chrom1 = chrom2 FROM p) GROUP BY ALL""")
 def _(spark, d):
     return _followed(spark, d).marginals()
+
+
+@query("track_bigwig", """ SELECT chrom, s AS start, t AS "end", CAST(x AS DOUBLE) AS value FROM bins JOIN (SELECT b, sum(cnt) AS x FROM (SELECT bin1_id AS b, cnt FROM pix UNION ALL SELECT bin2_id, cnt FROM pix) GROUP BY 1) m ON m.b = bins.bin_id""")
+def _(spark, d):
+    """Marginals of the map, written as a bigWig file and read again from its blocks."""
+    m = maps.hour_map(spark, d)
+    ends = m.pixels.select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id"), "count").groupBy("bin_id").agg(F.sum("count").alias("value"))
+    path = f"{shared_dir(spark)}/track-{uuid.uuid4().hex}.bw"
+    bigwig.write_bigwig(m.bins.join(ends, "bin_id"), m.chromsizes(), path)
+    return bigwig.read_bigwig(spark, path).withColumn("value", F.col("value").cast("double"))
