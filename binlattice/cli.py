@@ -12,6 +12,8 @@ from .operators import bands, compartments, dots, expected, profiles, rearrange,
 from .plans.joins import align_track, view_pairs
 from .schema import ContactMap, expected_fits_trans, expected_fits_view, expected_problems, require
 from .sources import genome, maps
+from .sources.bigwig import write_bigwig
+from .sources.workspace import Kept
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,12 +32,12 @@ def parser() -> argparse.ArgumentParser:
     add("expected-cis", smooth={"action": "store_true"}, aggregate_smoothed={"action": "store_true"}, ignore_diags={"type": int, "default": 2})
     add("expected-trans")
     add("logbin-expected", bins_per_decade={"type": int, "default": 10}, table={"choices": ["binned", "slopes", "combined", "combined-slopes"], "default": "binned"}, spread={"choices": ["logstd", "std"], "default": "logstd"}, spread_slopes={"choices": ["std", "minmax"], "default": "std"}, min_nvalid={"type": int, "default": 200}, min_count={"type": int, "default": 50}, expected={"help": "table of cis expected, instead of the map's own"})
-    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"}, bedgraph={"action": "store_true", "help": "also one track a window, beside the output"})
+    add("insulation", window={"type": int, "nargs": "+", "required": True}, threshold={"default": "0"}, ignore_diags={"type": int, "default": 2}, min_frac_valid_pixels={"type": float, "default": 0.66}, min_dist_bad_bin={"type": int, "default": 0}, append_raw_scores={"action": "store_true"}, window_pixels={"action": "store_true", "help": "windows are in bins"}, bedgraph={"action": "store_true", "help": "also one track a window, beside the output"}, bigwig={"action": "store_true", "help": "also as bigWig, beside the output"})
     add("directionality", window_bins={"type": int, "default": 10})
-    add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"}, store={"action": "store_true", "help": "the output is the map with the marginals as bin columns"})
-    add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"})
+    add("coverage", ignore_diags={"type": int, "default": 0}, raw={"action": "store_true"}, store={"action": "store_true", "help": "the output is the map with the marginals as bin columns"}, bigwig={"action": "store_true", "help": "also as bigWig, beside the output"})
+    add("virtual4c", viewpoint={"required": True, "help": "chrom:start-end"}, bigwig={"action": "store_true", "help": "also as bigWig, beside the output"})
     add("pileup", features={"required": True}, ignore_diags={"type": int, "help": "by default as many as the map's balancing did, or 2"}, flank={"type": int, "default": 100_000}, aggregate={"default": "mean", "choices": sorted(snip.REDUCERS)}, by_expected={"action": "store_true"}, expected={"help": "table of cis expected to divide by"}, stack={"help": "folder for the snippets themselves, as Parquet"})
-    phased = {"n_eigs": {"type": int, "default": 3}, "phasing_track": {"help": "FILE or FILE::COLUMN of chrom, start, end, value"}, "sort_metric": {"choices": ["spearmanr", "pearsonr", "var_explained", "MAD_explained"]}}
+    phased = {"bigwig": {"action": "store_true", "help": "also the first eigenvector as bigWig, beside the output"}, "n_eigs": {"type": int, "default": 3}, "phasing_track": {"help": "FILE or FILE::COLUMN of chrom, start, end, value"}, "sort_metric": {"choices": ["spearmanr", "pearsonr", "var_explained", "MAD_explained"]}}
     add("eigs-cis", clip_percentile={"type": float, "default": 99.9}, **phased)
     add("eigs-trans", **phased)
     add("saddle", track={"required": True, "help": "FILE or FILE::COLUMN of chrom, start, end, value"}, n_bins={"type": int, "default": 50}, strength={"action": "store_true"}, contact_type={"choices": ["cis", "trans"], "default": "cis"}, expected={"help": "table of expected values"}, qrange={"type": float, "nargs": 2}, vrange={"type": float, "nargs": 2}, min_dist={"type": int, "default": 3, "help": "in bins"}, max_dist={"type": int, "default": -1, "help": "in bins"}, trim_outliers={"action": "store_true"}, bundle={"help": "folder for sums, counts, edges and the digitized track, as Parquet"})
@@ -100,6 +102,21 @@ def run_genome(spark: SparkSession, a: argparse.Namespace) -> None:
     genome.write_table(out, a.output)
 
 
+def write_tracks(a: argparse.Namespace, m: ContactMap, out: DataFrame) -> None:
+    """One bigWig file a track, named after the output."""
+    if a.command == "insulation":
+        tracks = {c.removeprefix("log2_insulation_score_"): (out, c) for c in out.columns if c.startswith("log2_insulation_score_")}
+    elif a.command == "coverage":
+        tracks = {"cis": (out, "cov_cis"), "tot": (out, "cov_tot")}
+    elif a.command == "virtual4c":
+        tracks = {"": (out, "value")}
+    else:
+        first = out.where("k = 1").select("bin_id", "value").join(m.bins.select("bin_id", "chrom", "start", "end"), "bin_id")
+        tracks = {a.command.removeprefix("eigs-"): (first, "value")}
+    for name, (rows, column) in tracks.items():
+        write_bigwig(rows, m.chromsizes(), ".".join(x for x in (a.output.rstrip("/"), name, "bw") if x), column)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "genome":
         return run_genome(spark, a)
@@ -131,11 +148,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         out = bands.directionality(m, a.window_bins)
     elif a.command == "coverage":
         out = profiles.coverage(m, weighted=not a.raw, ignore_diags=a.ignore_diags)
+        if a.bigwig:
+            out = Kept(spark).table(out)
         if a.store:  # the marginals count each contact at both ends; the total within chromosomes is of raw contacts only
             kind = "raw" if a.raw else "weight"
             stored = out.withColumnsRenamed({"cov_cis": f"cov_cis_{kind}", "cov_tot": f"cov_tot_{kind}"})
             total = {"cis": int(out.agg(F.sum("cov_cis")).first()[0] or 0) // 2} if a.raw else {}
             maps.write_map(ContactMap(stored, m.pixels, m.binsize, m.meta | total), a.output)
+            if a.bigwig:
+                write_tracks(a, m, out)
             return
     elif a.command == "virtual4c":
         out = profiles.virtual4c(m, *region(a.viewpoint))
@@ -174,6 +195,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "coarsen":
         for k in a.factor:
             maps.write_map(maps.coarser(m, k), f"{a.output}/{m.binsize * k}")
+    if getattr(a, "bigwig", False):
+        out = Kept(spark).table(out)
+        write_tracks(a, m, out)
     if out is not None:
         genome.write_table(out, a.output)
 

@@ -9,7 +9,7 @@ from binlattice import cli
 from binlattice.functions import arrays
 from binlattice.operators import bands, compartments, expected, profiles, snip
 from binlattice.schema import ContactMap, uncatalogued
-from binlattice.sources import maps
+from binlattice.sources import bigwig, maps
 
 BIN = 20000
 
@@ -171,3 +171,22 @@ def test_uncatalogued_regions(spark, contacts):
     e = spark.createDataFrame([("c1", "c1"), ("c1", "c3")], "region1 string, region2 string")
     assert [r["name"] for r in uncatalogued(e, maps.chrom_view(m.bins)).collect()] == ["c2"]
     assert profiles.coverage(m).count() == 66
+
+
+def test_tracks_as_bigwig(spark, contacts, tmp_path):
+    """Each command's files hold the finite values of its table."""
+    m, folder, _ = contacts
+    shown = lambda t, c: sorted((r.chrom, r.start, r.end, float(np.float32(getattr(r, c)))) for r in t.itertuples() if np.isfinite(getattr(r, c)))
+    held = lambda name: sorted(tuple(r) for r in bigwig.read_bigwig(spark, f"{tmp_path}/{name}.bw").collect())
+    command(spark, "insulation", folder, "-o", tmp_path / "ins", "--window", 3 * BIN, "--bigwig")
+    want = shown(table(spark, tmp_path / "ins"), f"log2_insulation_score_{3 * BIN}")
+    assert held(f"ins.{3 * BIN}") == want and len(want) > 40
+    command(spark, "coverage", folder, "-o", tmp_path / "cov", "--raw", "--bigwig")
+    got = table(spark, tmp_path / "cov")
+    assert held("cov.cis") == shown(got, "cov_cis") and held("cov.tot") == shown(got, "cov_tot")
+    command(spark, "virtual4c", folder, "-o", tmp_path / "v4c", "--viewpoint", f"c1:{5 * BIN}-{8 * BIN}", "--bigwig")
+    assert held("v4c") == shown(table(spark, tmp_path / "v4c"), "value")
+    command(spark, "eigs-cis", folder, "-o", tmp_path / "eig", "--n-eigs", 1, "--bigwig")
+    got = table(spark, tmp_path / "eig")
+    bins = m.bins.select("bin_id", "chrom", "start", "end").toPandas()
+    assert held("eig.cis") == shown(got[["bin_id", "value"]].merge(bins, on="bin_id"), "value")
