@@ -121,6 +121,14 @@ def test_extrema(spark):
     assert signals.swept_prominence(df.where("at = 0"), "value", "region", "at").first().low is None
 
 
+def test_extrema_of_flat_signals_and_behind_nulls(spark):
+    rows = [("flat", i, 1.0) for i in range(5)] + [("none", i, None) for i in range(3)] + [("late", i, x) for i, x in enumerate([None, 0.0, 5.0, 1.0, 4.0])]
+    df = spark.createDataFrame(rows, "region string, at long, value double")
+    got = lambda df: sorted((r.region, r["at"], r.kind) for r in signals.extrema(df, "value", "region", "at", 2.0).collect())
+    assert got(df) == [("late", 2, "max"), ("late", 3, "min")]
+    assert got(df.where("region <> 'late'")) == []
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.floats(-100, 100, allow_nan=False), min_size=3, max_size=60))
 def test_sweep_keeps_the_largest_threshold(values):
