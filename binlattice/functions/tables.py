@@ -70,17 +70,22 @@ def unnormalized(y: Column) -> Column:
     return ratio(1 + y, 1 - y)
 
 
-def fill_gaps(runs: DataFrame, region: str, length: int | None = None) -> DataFrame:
-    """Runs (region, start, length, value) with null runs between them, from 0 and up to a length if given."""
+def fill_gaps(runs: DataFrame, region: str, length: int | None = None, *, signed_tail: bool = False) -> DataFrame:
+    """Runs (region, start, length, value) with null runs between them, from 0 and up to a length if given.
+
+    signed_tail always gives a region's last null run, of length 0 or less where its runs reach or pass the length.
+    """
     w = W.partitionBy(region).orderBy("start", "length")
     end = F.col("start") + F.col("length")
     own = runs.select(region, F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("value"))
     before = own.withColumn("_from", F.coalesce(F.lag(end).over(w), F.lit(0)))
     gaps = before.select(region, F.col("_from").alias("start"), (F.col("start") - F.col("_from")).alias("length"))
+    gaps = gaps.where("length > 0")
     if length is not None:
         last = own.groupBy(region).agg(F.max(end).alias("start"))
-        gaps = gaps.unionByName(last.withColumn("length", F.lit(length).cast("long") - F.col("start")))
-    return own.unionByName(gaps.where("length > 0"), allowMissingColumns=True)
+        tail = last.withColumn("length", F.lit(length).cast("long") - F.col("start"))
+        gaps = gaps.unionByName(tail if signed_tail else tail.where("length > 0"))
+    return own.unionByName(gaps, allowMissingColumns=True)
 
 
 def drop_gaps(runs: DataFrame) -> DataFrame:

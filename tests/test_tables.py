@@ -102,6 +102,13 @@ def test_sampled_deviation(spark):
     assert one[0] == one[1] == pytest.approx(np.std(np.arange(100)), rel=0.1)
 
 
+def test_runs_that_reach_or_pass_the_length(spark):
+    runs = spark.createDataFrame([("under", 2, 3, 1.0), ("at", 10, 5, 1.0), ("past", 14, 4, 1.0)], RUNS)
+    tail = lambda **k: sorted((r.region, r.start, r.length) for r in tables.fill_gaps(runs, "region", 15, **k).where("value is null and start > 0").collect())
+    assert tail() == [("under", 5, 10)]
+    assert tail(signed_tail=True) == [("at", 15, 0), ("past", 18, -3), ("under", 5, 10)]
+
+
 def test_aligned_windows(spark):
     loci = spark.createDataFrame([("c", 105, 260)], "chrom string, left long, right long")
     r = snip.aligned_windows(loci, 50, 100).first()
