@@ -225,6 +225,28 @@ def wide_dots(spark, rows):
     return spark.createDataFrame([("r", i, i + 9, n, size, *la, *q) for i, (n, size, la, q) in enumerate(rows)], kind)
 
 
+def test_bin_beyond_the_last_edge(spark):
+    hist = spark.createDataFrame([("k", 0, 1, 50), ("k", 0, 9, 2), ("k", 2, 9, 3), ("k", 2, 700, 1)], "kernel string, lbin int, count long, n long")
+    with pytest.raises(ValueError, match="open"):
+        dots.thresholds(hist, [1.0, 2.0], 0.1).collect()
+    got = {(r.lbin, r["count"]): (r.threshold, r.qval) for r in dots.thresholds(hist, [1.0, 2.0], 0.1, open_bin=True).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, c): (701, 1.0) for c in (1, 9, 700)}
+    assert got[0, 9][0] == 9 and got[0, 9][1] < 1e-4
+    assert {k: v for k, v in got.items() if k[0] == 0} == {(r.lbin, r["count"]): (r.threshold, r.qval) for r in dots.thresholds(hist.where("lbin = 0").union(hist.where("lbin = 2").selectExpr("kernel", "1", "count", "n")), [1.0, 2.0], 0.1).where("lbin = 0").collect()}
+
+
+def test_dots_add_edges_for_large_expected_values(spark):
+    n = 24
+    bins = spark.createDataFrame([(i, "c", 0, i * 10, i * 10 + 10, 1.0) for i in range(n)], "bin_id long, chrom string, chrom_idx int, start long, end long, weight double")
+    px = spark.createDataFrame([(i, j, 900 if (i, j) == (6, 14) else 100) for i in range(n) for j in range(i, n)], "bin1_id long, bin2_id long, count long")
+    m = ContactMap(bins, px, 10)
+    view = maps.chrom_view(bins)
+    expected = spark.createDataFrame([("c", k, 100.0) for k in range(n)], "region1 string, dist long, balanced_avg double")
+    kernels = {"donut": arrays.kernel(3, 1, "donut")}
+    call = lambda **k: sorted((r.bin1_id, r.bin2_id) for r in dots.dots(m, view, expected, kernels, band=12, n_lambda_bins=12, radius_bins=None, **k).collect())
+    assert (6, 14) in call() and call(open_bin=True) == []
+
+
 def test_enriched_dots_by_hand(spark):
     low = (0.001,) * 4
     rows = [
