@@ -62,3 +62,32 @@ def test_long_views_assign_like_short_ones(spark, monkeypatch):
     short = tables()
     monkeypatch.setattr(joins, "VIEW_ROWS", 5)
     assert tables() == short
+
+
+def overlap(f, r):
+    lo, hi = (-10**6 if r[1] is None else r[1]), (10**6 if r[2] is None else r[2])
+    return min(f[2], hi) - max(f[1], lo)
+
+
+@pytest.mark.parametrize("cell", [1, 64, 4096])
+def test_sums_over_overlaps_without_pairs(spark, cell):
+    fs, rs = spans(80, 7, 900), spans(70, 8, 4000, nulls=True) + [("a", 5, 5, "empty", 90), ("b", 700, 700, "empty", 91)]
+    fs += [("a", 5, 5, "both empty", 95), ("a", 4, 5, "before", 96), ("a", 5, 6, "after", 97), (None, 1, 9, "x", 98), ("z", 1, 9, "z", 99)]
+    got = {(r.name, r.n, r.shared) for r in intervals.overlap_sums(spark.createDataFrame(fs, SCHEMA), spark.createDataFrame(rs, SCHEMA), cell=cell).collect()}
+    assert got == {(f[3], sum(meet(f, r) for r in rs), sum(overlap(f, r) for r in rs if meet(f, r))) for f in fs}
+
+
+@pytest.mark.parametrize("leaf,longest", [(1, 60), (16, 4900), (1024, 900), (64, 300)])
+@pytest.mark.parametrize("kind", ["largest", "last"])
+def test_one_region_a_feature_without_pairs(spark, kind, leaf, longest):
+    rng = random.Random(longest)
+    rs = [r for r in spans(150, 9, longest, nulls=True)]
+    rs = [(*r[:4], i) for i, r in zip(rng.sample(range(1000), len(rs)), rs, strict=True)]
+    rs = [(*r[:3], f"n{r[4]}", r[4]) for r in rs]
+    fs = spans(120, 10, longest)[:120] + [(None, 1, 9, "x", 98), ("z", 1, 9, "z", 99)]
+    out = intervals.best_met(spark.createDataFrame(fs, SCHEMA), spark.createDataFrame(rs, SCHEMA).select("chrom", "start", "end", "name", "region_idx"), kind, leaf=leaf)
+    got = {x["name"]: x._r and x._r.region_idx for x in out.collect()}
+    rank = (lambda f, r: (overlap(f, r), -r[4])) if kind == "largest" else (lambda f, r: r[4])
+    for f in fs:
+        met = [r for r in rs if meet(f, r) and (kind == "last" or overlap(f, r) > 0)]
+        assert got[f[3]] == (max(met, key=lambda r: rank(f, r))[4] if met else None), f
