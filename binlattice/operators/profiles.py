@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..plans.joins import annotate, small
 from ..schema import ContactMap
+from ..sources.workspace import Kept
 
 
 def coverage(cmap: ContactMap, *, weighted: bool = False, ignore_diags: int = 0) -> DataFrame:
@@ -157,10 +160,42 @@ def sample_exact(pixels: DataFrame, count: int, seed: int = 0, *, key=None) -> D
 
     ``sample_split`` is the way to draw where no hash of each contact is asked for.
 
-    Histograms of the hash narrow the last one down until few contacts share its
-    interval; only those are sorted.
+    Hashes spread evenly, so two bounds on either side of the share asked for hold the last one but for a chance in 10^9. One
+    pass over the contacts counts those below both by pixel and keeps those between; only these are sorted. Where the
+    bounds miss, histograms of the hash narrow the last one down instead.
     """
-    contacts = pixels.select("bin1_id", "bin2_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("k")).withColumn("h", (key or contact_hash(seed))(F.col("k")))
+    kept = Kept(pixels.sparkSession)
+    px = kept.table(pixels.where("count > 0").select("bin1_id", "bin2_id", F.col("count").cast("long").alias("count")))  # a row a pixel
+    total = px.agg(F.sum("count")).first()[0] or 0
+    if count >= total:
+        return px
+    if count <= 0:
+        return px.where("false")
+    share, off = count / total, 6 * math.sqrt(count * (1 - count / total)) / total + 20 / total
+    lo, hi = (min(HASH_RANGE, max(0, round((share + s * off) * HASH_RANGE))) for s in (-1, 1))
+    dealt = px.repartition(max(1, min(-(-total // CONTACTS_A_TASK), 10_000)), "bin1_id", "bin2_id") if total > CONTACTS_A_TASK else px  # few rows of pixels are much work
+    drawn = _contacts(dealt, key or contact_hash(seed)).where(F.col("h") < hi)
+    between = F.col("h") >= lo
+    met = kept.table(drawn.groupBy("bin1_id", "bin2_id", F.when(between, F.col("h")).alias("h"), F.when(between, F.col("k")).alias("k")).agg(F.count("*").alias("count")))
+    below, inside = met.agg(F.sum(F.when(F.col("h").isNull(), F.col("count"))), F.count("h")).first()
+    left = count - (below or 0)
+    if 0 <= left <= inside:
+        sure, last = met.where("h is null"), met.where("h is not null").orderBy("h", "bin1_id", "bin2_id", "k").limit(left)
+        return sure.unionByName(last).groupBy("bin1_id", "bin2_id").agg(F.sum("count").alias("count"))
+    return _narrowed(px, count, key or contact_hash(seed))
+
+
+CONTACTS_A_TASK = 1 << 22
+
+
+def _contacts(pixels: DataFrame, key) -> DataFrame:
+    """A row a contact (bin1_id, bin2_id, k, h), by its number and hash."""
+    return pixels.select("bin1_id", "bin2_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("k")).withColumn("h", key(F.col("k")))
+
+
+def _narrowed(pixels: DataFrame, count: int, key) -> DataFrame:
+    """The contacts of the least hash, whatever its spread: histograms narrow the last one down until few contacts share its interval."""
+    contacts = _contacts(pixels, key)
     lo, width, left, size = 0, HASH_RANGE, count, None
     while (size is None or size > FEW) and width > 1 and left > 0:
         step = max(1, width // SPLITS)

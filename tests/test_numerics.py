@@ -186,6 +186,22 @@ def test_exact_samples_narrow_down(spark, monkeypatch):
     assert {(r.bin1_id, r.bin2_id): r["count"] for r in profiles.sample_approx(m.pixels, 0.3).collect()} == want
 
 
+def test_exact_samples_take_one_pass_unless_hashes_are_uneven(spark, monkeypatch):
+    m, _ = dense_map(spark, 30)
+    total = m.pixels.agg(F.sum("count")).first()[0]
+    made = []
+    narrowed = profiles._narrowed
+    monkeypatch.setattr(profiles, "_narrowed", lambda *a: made.append(1) or narrowed(*a))
+    monkeypatch.setattr(profiles, "CONTACTS_A_TASK", 50)
+    for key, passes in ((None, 0), (lambda k: F.xxhash64("bin1_id", "bin2_id", k).bitwiseAND(1023), 1)):
+        made.clear()
+        own = key or profiles.contact_hash()
+        every = m.pixels.select("bin1_id", "bin2_id", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("k")).withColumn("h", own(F.col("k"))).toPandas()
+        want = every.sort_values(["h", "bin1_id", "bin2_id", "k"]).head(total // 2).groupby(["bin1_id", "bin2_id"]).size().to_dict()
+        assert {(r.bin1_id, r.bin2_id): r["count"] for r in profiles.sample_exact(m.pixels, total // 2, key=key).collect()} == want
+        assert len(made) == passes
+
+
 def test_pairs_of_a_group_are_counted_by_bin(spark):
     rows = [("u", b) for b in (1, 1, 1, 2, 5)] + [("v", 7)]
     got = {(r.bin1_id, r.bin2_id): r["count"] for r in maps.pixels_of(spark.createDataFrame(rows, "g string, b long"), "g", "b").collect()}
