@@ -218,3 +218,12 @@ def test_numpy_routines():
 def test_cli_arguments():
     a = parser().parse_args(["insulation", "m", "-o", "out", "--window", "10", "20"])
     assert a.window == [10, 20] and region("chr1:1,000-2000") == ("chr1", 1000, 2000)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr("binlattice.plans.joins.ROWS_A_TASK", 10)
+    rows = spark.range(400).selectExpr("id div 4 as g", "id % 4 + id div 40 as b")
+    counted = lambda df: df.selectExpr("count(*)", "sum(count)").first()
+    plan = maps.pixels_of(rows, "g", "b", once=True)._jdf.queryExecution().toString()
+    assert "hashpartitioning(g#" in plan and ", 40)" in plan
+    assert tuple(counted(maps.pixels_of(rows, "g", "b", once=True))) == tuple(counted(maps.pixels_of(rows.distinct(), "g", "b")))
