@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import tasks_for
 from .pairs import pixel_stream
 
 PIXEL = ["chrom1", "bin1", "chrom2", "bin2"]
@@ -85,10 +86,10 @@ class StoredMap:
             self._fs.delete(aside, False)
             raise RuntimeError(f"batch {state.batch} of {self.path} was finished by another writer")
 
-    def _write(self, pixels: DataFrame) -> str:
-        """One run: its pixels in the order of their bins, and their marginals from what was written."""
+    def _write(self, pixels: DataFrame, tasks: int) -> str:
+        """One run: its pixels in the order of their bins, and their marginals from what was written. A stream's session doesn't adapt its partitions, so tasks are counted."""
         folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        pixels.repartitionByRange(*PIXEL).sortWithinPartitions(*PIXEL).write.parquet(f"{folder}/pixels")
+        pixels.repartitionByRange(tasks, *PIXEL).sortWithinPartitions(*PIXEL).write.parquet(f"{folder}/pixels")
         marginals(self._read(folder, "pixels")).write.parquet(f"{folder}/marginals")
         return folder
 
@@ -100,7 +101,7 @@ class StoredMap:
         if not folders:
             return self.spark.createDataFrame([], PIXEL_SCHEMA if what == "pixels" else MARGINAL_SCHEMA)
         rows = self.spark.read.schema(PIXEL_SCHEMA if what == "pixels" else MARGINAL_SCHEMA).parquet(*(f"{x}/{what}" for x in folders))
-        return rows.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
+        return rows.repartition(tasks_for(rows.count()), *keys).groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
 
     def merge(self, pairs: DataFrame, batch: int, writer: str = "") -> State:
         """Adds a batch of pairs (chrom1, pos1, chrom2, pos2). A batch that is already in is skipped, so replays change nothing.
@@ -116,12 +117,14 @@ class StoredMap:
         if batch <= before.batch:
             return before
         known = pairs.dropna(subset=["chrom1", "pos1", "chrom2", "pos2"])
-        new = self._write(pixel_stream(known, self.binsize))
+        tasks = tasks_for(known.count())
+        new = self._write(pixel_stream(known, self.binsize, tasks=tasks), tasks)
         sums = self._read(new, "pixels").agg(F.sum("count"), F.sum(F.when(F.col("chrom1") == F.col("chrom2"), F.col("count")))).first()
         after = State(batch, writer, [*before.runs, [0, new]], before.contacts + (sums[0] or 0), before.cis + (sums[1] or 0))
         while full := [k for k, folders in after.levels().items() if len(folders) >= RUNS_A_LEVEL]:
             level = min(full)
-            merged = self._write(self._summed(after.levels()[level], "pixels"))
+            folders = after.levels()[level]
+            merged = self._write(self._summed(folders, "pixels"), tasks_for(self.spark.read.schema(PIXEL_SCHEMA).parquet(*(f"{x}/pixels" for x in folders)).count()))
             after.runs = [r for r in after.runs if r[0] != level] + [[level + 1, merged]]
         self._commit(after)
         self._clean(after)

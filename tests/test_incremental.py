@@ -90,3 +90,12 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
             os.remove(tmp_path / "c" / "commits" / x)
     go(2)
     check(spark, stored, batches[:3])
+
+
+def test_a_batch_is_dealt_by_its_rows(spark):
+    from binlattice.streaming.pairs import pixel_stream
+
+    pairs = spark.range(60).selectExpr("concat('c', id % 2) as chrom1", "id as pos1", "'c1' as chrom2", "id % 7 as pos2")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    dealt = pixel_stream(pairs, 5, tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13 and rows(dealt) == rows(pixel_stream(pairs, 5))
