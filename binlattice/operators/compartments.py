@@ -199,7 +199,13 @@ def eigs_cis(cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: Dat
     Regions are solved together by block Lanczos over the stored pixels; no task
     holds a region's matrix. Regions of too few bins have nulls.
     """
-    entries, members = cis_operator(cmap, view, ignore_diags=ignore_diags, clip_percentile=clip_percentile)
+    operator = cis_operator(cmap, view, ignore_diags=ignore_diags, clip_percentile=clip_percentile)
+    return eigs_of(operator, cmap, view, n_eigs, phasing=phasing, ignore_diags=ignore_diags, sort=sort)
+
+
+def eigs_of(operator: tuple[DataFrame, DataFrame], cmap: ContactMap, view: DataFrame, n_eigs: int = 3, *, phasing: DataFrame | None = None, ignore_diags: int = 2, sort: str | None = None) -> DataFrame:
+    """``eigs_cis`` of an operator (entries and members) that is there already."""
+    entries, members = operator
     bins = assign_supports(cmap.bins, view).where("region is not null").select(F.col("region").alias("key"), "bin_id")
     enough = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(ignore_diags + 3, n_eigs)).select("key")
     entries, members = (df.join(F.broadcast(enough), "key", "left_semi") for df in (entries, members))

@@ -227,3 +227,20 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     plan = maps.pixels_of(rows, "g", "b", once=True)._jdf.queryExecution().toString()
     assert "hashpartitioning(g#" in plan and ", 40)" in plan
     assert tuple(counted(maps.pixels_of(rows, "g", "b", once=True))) == tuple(counted(maps.pixels_of(rows.distinct(), "g", "b")))
+
+
+def test_pairs_in_few_bins_are_summed_by_task(spark, monkeypatch):
+    monkeypatch.setattr(maps, "PAIRS_AT_ONCE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = spark.range(300).selectExpr("'u' || cast(sqrt(id) as int) as g", "pmod(xxhash64(id), 12) as b").union(spark.sql("values (null, 3L), (null, 4L), ('u1', null), ('u1', null), ('one', 11L)"))
+        pixels = lambda rows, **how: sorted(map(tuple, maps.pixels_of(rows, "g", "b", **how).collect()))
+        plan = lambda rows, bins: maps.pixels_of(rows, "g", "b", bins=bins)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan(rows, 12) and "Join" in plan(rows, 11)
+        for once in (False, True):
+            assert pixels(rows, once=once) == pixels(rows, once=once, bins=12) == pixels(rows, once=once, bins=11)
+        outside = rows.union(spark.sql("values ('u3', -2L), ('u3', 40L)"))
+        assert pixels(outside) == pixels(outside, bins=12)
+        assert pixels(rows.limit(0), bins=12) == pixels(rows.where("g = 'one'"), bins=12) == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
